@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-PARTS = ("ingest", "shapes")
+PARTS = ("ingest", "shapes", "models")
 
 
 def load() -> None:

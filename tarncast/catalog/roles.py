@@ -142,7 +142,8 @@ def with_(names: str, final: str, extra: list[tuple[str, str]] = (), recursive:
     return f"with {'recursive ' if recursive else ''}{', '.join(parts)} {final}" if parts else final
 
 
-def fit_ctes(xs: list[str], refs: str = "refs_month", frame: str = "frame", name: str = "fit", days: int | None = None):
+def fit_ctes(xs: list[str], refs: str = "refs_month", frame: str = "frame", name: str = "fit", days: int | None = None,
+             min_rows: int = 30):
     """One regression for each (site, reference date), by sweeping the covariance matrix."""
     k = len(xs)
     variables = [*xs, "observation"]
@@ -156,7 +157,7 @@ def fit_ctes(xs: list[str], refs: str = "refs_month", frame: str = "frame", name
             f"{name}_0",
             f"""select r.site_id, r.reference_datetime, count(*) as n, {', '.join(moments)}
             from {refs} r join {frame} f on f.site_id = r.site_id and f.datetime < r.reference_datetime {limit}
-            where {complete} group by r.site_id, r.reference_datetime having count(*) > {k + 1}""",
+            where {complete} group by r.site_id, r.reference_datetime having count(*) >= {min_rows}""",
         )
     ]
     keep = ", ".join(f"m{i}" for i in range(k + 1))
@@ -292,11 +293,11 @@ def persistence_ctes(refs: str = "refs_day"):
             f"""select site_id, reference_datetime, last_value(day ignore nulls) over w as last_date,
             last_value(observation ignore nulls) over w as mu, avg(change * change) over w as step_variance,
             count(change) over w as changes
-            from (select site_id, datetime as at, 1 as turn, null as reference_datetime, datetime as day, observation, change
+            from (select site_id, datetime as seen_on, 1 as turn, null as reference_datetime, datetime as day, observation, change
                   from changes
                   union all
                   select site_id, reference_datetime, 0, reference_datetime, null, null, null from {refs})
-            window w as (partition by site_id order by at, turn rows between unbounded preceding and current row)""",
+            window w as (partition by site_id order by seen_on, turn rows between unbounded preceding and current row)""",
         ),
         ("state", "select * from running where reference_datetime is not null and mu is not null"),
         (
@@ -314,13 +315,13 @@ def climatology_ctes(refs: str = "refs_day"):
             "by_doy",
             f"""select site_id, reference_datetime, datetime, avg(observation) over w as mu,
             stddev_samp(observation) over w as clim_sd
-            from (select site_id, dayofyear(datetime) as doy, datetime as at, 1 as turn, null as reference_datetime,
+            from (select site_id, dayofyear(datetime) as doy, datetime as seen_on, 1 as turn, null as reference_datetime,
                          null as datetime, observation from targets
                   union all
                   select r.site_id, dayofyear(r.reference_datetime + cast(k.h as int)), r.reference_datetime, 0,
                          r.reference_datetime, r.reference_datetime + cast(k.h as int), null
                   from {refs} r, (select unnest(range(1, 36)) as h) k)
-            window w as (partition by site_id, doy order by at, turn rows between unbounded preceding and current row)""",
+            window w as (partition by site_id, doy order by seen_on, turn rows between unbounded preceding and current row)""",
         ),
         (
             "climatology",

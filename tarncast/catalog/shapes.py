@@ -35,12 +35,11 @@ def unpivot_variables(spark, folder):
     return reshape.lengthen(fx.driver_history(spark, folder), ["datetime"], NOISE_FREE, "variable", "observation")
 
 
-@query("""select split_part(p_type, ' ', 1) as finish, split_part(p_type, ' ', 2) as material, count(*) as n
-    from part group by 1, 2""")
+@query("""select split_part(o_orderpriority, '-', 1) as rank, split_part(o_orderpriority, '-', 2) as label, count(*) as n
+    from orders group by 1, 2""")
 def separate_labels(spark, folder):
-    parts = reshape.split_label(fx.table(spark, folder, "part"), "p_type", ["finish", "material"], " ")
-    parts = parts.fillna("", ["finish", "material"])
-    return parts.groupBy("finish", "material").agg(F.count(F.lit(1)).alias("n"))
+    orders = reshape.split_label(fx.table(spark, folder, "orders"), "o_orderpriority", ["rank", "label"], "-")
+    return orders.groupBy("rank", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 SEASON = """case when month(datetime) in (3, 4, 5) then 'Spring' when month(datetime) in (6, 7, 8) then 'Summer'

@@ -46,13 +46,13 @@ def _moments(variables: int, over: str = "") -> list[Column]:
     return out
 
 
-def solve(moments: DataFrame, k: int) -> DataFrame:
+def solve(moments: DataFrame, k: int, min_rows: int | None = None) -> DataFrame:
     """Add ``beta`` and ``se`` (intercept first), ``sigma``, ``rss`` and ``r2`` to rows of moments.
 
     The covariance matrix of predictors and response, one flat array, is swept on each predictor:
     what remains is the inverse, the slopes and the residual variance. One fold over an array
-    keeps the plan as small for twenty predictors as for two. Groups with no more rows than
-    coefficients, or with collinear predictors, have no fit and are left out.
+    keeps the plan as small for twenty predictors as for two. Groups with fewer than ``min_rows``
+    rows (at least two more than predictors), or with collinear predictors, are left out.
     """
     keep = [c for c in moments.columns if c != "n" and not _is_moment(c)]
     m = k + 1
@@ -67,7 +67,7 @@ def solve(moments: DataFrame, k: int) -> DataFrame:
                  when {col} = p then -v / {pivot}
                  else v - a[{row} * {m} + p] * a[p * {m} + {col}] / {pivot} end))"""
     swept = (
-        moments.filter(F.col("n") > k + 1)
+        moments.filter(F.col("n") >= max(min_rows or 0, k + 2))
         .select(*keep, "n", means.alias("mean"), flat.alias("cov"))
         .withColumn("s", F.expr(sweep))
     )
@@ -112,7 +112,8 @@ def fit(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFrame:
 
 
 def fit_before(
-    daily: DataFrame, refs: DataFrame, keys: list[str], y: str, xs: list[str], trailing_days: int | None = None
+    daily: DataFrame, refs: DataFrame, keys: list[str], y: str, xs: list[str], trailing_days: int | None = None,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """One regression for each (series, reference date) on the days strictly before it.
 
@@ -134,7 +135,7 @@ def fit_before(
     series = ", ".join(f"`{k}`" for k in keys)
     over = f"over (partition by {series} order by day range between {first} and 1 preceding)"
     moments = days.unionByName(asks).select(*keys, "reference_datetime", *_moments(m, over))
-    return solve(moments.filter(F.col("reference_datetime").isNotNull()), len(xs))
+    return solve(moments.filter(F.col("reference_datetime").isNotNull()), len(xs), min_rows)
 
 
 def predict(beta: Column, xs: list[Column]) -> Column:

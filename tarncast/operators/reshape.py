@@ -25,7 +25,7 @@ def transpose(df: DataFrame, ids: list[str], values: list[str], across: str, int
 def split_label(df: DataFrame, column: str, into: list[str], sep: str) -> DataFrame:
     """One label into several columns."""
     pieces = F.split(F.col(column), sep)
-    return df.withColumns({name: pieces.getItem(i) for i, name in enumerate(into)})
+    return df.withColumns({name: F.get(pieces, i) for i, name in enumerate(into)})
 
 
 def parameters_wide(forecast: DataFrame, ids: list[str], parameters=("mu", "sigma")) -> DataFrame:

@@ -54,9 +54,11 @@ def calibration_frame(
     )
 
 
-def fits_for(frame: DataFrame, refs: DataFrame, xs: list[str], trailing_days: int | None = None) -> DataFrame:
+def fits_for(
+    frame: DataFrame, refs: DataFrame, xs: list[str], trailing_days: int | None = None, min_rows: int | None = None
+) -> DataFrame:
     """One fit for each (site, reference date) that has enough earlier rows."""
-    return fit_before(frame, refs.select(*SITE_REF), ["site_id"], "observation", xs, trailing_days)
+    return fit_before(frame, refs.select(*SITE_REF), ["site_id"], "observation", xs, trailing_days, min_rows)
 
 
 def _members(df: DataFrame) -> DataFrame:
@@ -72,9 +74,11 @@ def _members(df: DataFrame) -> DataFrame:
 MET_PREDICTORS = ["shortwave", "rain", "rain_lag1"]
 
 
-def met_regression(targets, history, drivers, refs, start=None, horizon: int = 35) -> DataFrame:
+def met_regression(
+    targets, history, drivers, refs, start=None, horizon: int = 35, min_rows: int | None = None
+) -> DataFrame:
     """Observation on shortwave, rain and yesterday's rain; no value on the day of issue."""
-    fits = fits_for(calibration_frame(targets, history, start), refs, MET_PREDICTORS)
+    fits = fits_for(calibration_frame(targets, history, start), refs, MET_PREDICTORS, min_rows=min_rows)
     names = {k: DRIVER_COLUMNS[k] for k in ("shortwave", "rain")}
     path = W.partitionBy(*TRAJECTORY).orderBy("horizon")
     rows = driver_rows(drivers, names).withColumn(
@@ -101,9 +105,11 @@ def spliced_rain(history: DataFrame, rows: DataFrame, refs: DataFrame, members:
     return each_member(recorded, members).select(*columns).unionByName(rows.select(*columns))
 
 
-def rain_lag(targets, history, drivers, refs, start=None, horizon: int = 35, members: int = MEMBERS) -> DataFrame:
+def rain_lag(
+    targets, history, drivers, refs, start=None, horizon: int = 35, members: int = MEMBERS, min_rows: int | None = None
+) -> DataFrame:
     """Observation on the rain of the last ten days, across the issue date."""
-    fits = fits_for(calibration_frame(targets, history, start), refs, ["rain_10"])
+    fits = fits_for(calibration_frame(targets, history, start), refs, ["rain_10"], min_rows=min_rows)
     rows = driver_rows(drivers, {"rain": DRIVER_COLUMNS["rain"]})
     window = W.partitionBy(*TRAJECTORY).orderBy("horizon").rangeBetween(-9, 0)
     summed = spliced_rain(history, rows, refs, members).withColumn(
@@ -128,6 +134,7 @@ def ar_forecast(
     horizon: int = 34,
     initial_sd: float = INITIAL_SD,
     uncertainty=ALL_UNCERTAINTY,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """Recursive autoregression: one row for each member and day, the day of issue included.
 
@@ -136,7 +143,7 @@ def ar_forecast(
     ``horizon + 1`` of them, by construction) and a fold over that array walks the recursion, so
     dates, sites and members all run in parallel. A missing driver day makes the rest NULL.
     """
-    fits = fits_for(calibration_frame(targets, history, start), refs, AR_PREDICTORS)
+    fits = fits_for(calibration_frame(targets, history, start), refs, AR_PREDICTORS, min_rows=min_rows)
     extra = [water_temp] if water_temp is not None else []
     rows = driver_rows(drivers, DRIVER_COLUMNS, *extra).filter(F.col("horizon").between(0, horizon))
     step = F.struct(
@@ -184,16 +191,16 @@ def ar_forecast(
     return _members(walked.withColumn("datetime", F.expr("date_add(reference_datetime, horizon)")))
 
 
-def ar_driver_only(targets, history, drivers, water_temp, refs, start=None, horizon: int = 34) -> DataFrame:
+def ar_driver_only(targets, history, drivers, water_temp, refs, start=None, horizon: int = 34, min_rows=None) -> DataFrame:
     """The autoregression with fixed coefficients and state: members differ by their drivers only."""
     return ar_forecast(
-        targets, history, drivers, water_temp, refs, start, horizon, uncertainty=frozenset({"driver"})
+        targets, history, drivers, water_temp, refs, start, horizon, uncertainty=frozenset({"driver"}), min_rows=min_rows
     )
 
 
 def ar_next_day_with(
     targets: DataFrame, history: DataFrame, drivers: DataFrame, water_temp, refs, extra: DataFrame, name: str,
-    start=None, initial_sd: float = INITIAL_SD,
+    start=None, initial_sd: float = INITIAL_SD, min_rows: int | None = None,
 ) -> DataFrame:
     """Autoregression with one more lagged daily variable, for the first day ahead only.
 
@@ -203,7 +210,7 @@ def ar_next_day_with(
     lagged = f"{name}_lag1"
     frame = calibration_frame(targets, history, start).join(extra, ["site_id", "datetime"], "left")
     frame = frame.withColumn(lagged, previous(name, ["site_id"]))
-    fits = fits_for(frame, refs, [*AR_PREDICTORS, lagged])
+    fits = fits_for(frame, refs, [*AR_PREDICTORS, lagged], min_rows=min_rows)
     more = [water_temp] if water_temp is not None else []
     path = W.partitionBy(*TRAJECTORY).orderBy("horizon")
     rows = (
@@ -228,9 +235,11 @@ def ar_next_day_with(
     return _members(ready.withColumn("prediction", value).filter(F.col("prediction").isNotNull()))
 
 
-def linear_forecast(targets: DataFrame, history: DataFrame, future: DataFrame, x: str, keys=("site_id",)) -> DataFrame:
+def linear_forecast(
+    targets: DataFrame, history: DataFrame, future: DataFrame, x: str, keys=("site_id",), on=("site_id", "datetime")
+) -> DataFrame:
     """Plain line from one driver: ``future`` rows with a prediction."""
-    frame = targets.join(history, [*keys, "datetime"])
+    frame = targets.join(history, list(on))
     fitted = fit(frame, list(keys), "observation", [x]).select(*keys, "beta")
     return future.join(fitted, list(keys)).withColumn("prediction", predict(F.col("beta"), [F.col(x)]))
 
