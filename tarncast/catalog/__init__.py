@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-PARTS = ("ingest", "shapes", "models")
+PARTS = ("ingest", "shapes", "models", "scores", "tables", "live")
 
 
 def load() -> None:

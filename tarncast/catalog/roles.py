@@ -331,3 +331,76 @@ def climatology_ctes(refs: str = "refs_day"):
                 window i as (partition by site_id, reference_datetime)) where dates >= 3""",
         ),
     ]
+
+
+def sample_ctes(source: str, keys: str, name: str = "sampled", logs: bool = True):
+    """Scores and summaries of the ensembles in ``source`` (keys, prediction, observation)."""
+    d = "(prediction - observation)"
+    steps = [
+        (
+            f"{name}_stats",
+            f"""select {keys}, any_value(observation) as observation, count(*) as n, avg(prediction) as mean,
+            median(prediction) as median, stddev_samp(prediction) as sd, quantile_cont(prediction, 0.975) as quantile97_5,
+            quantile_cont(prediction, 0.025) as quantile02_5, quantile_cont(prediction, 0.95) as q95,
+            quantile_cont(prediction, 0.05) as q05, quantile_cont(prediction, 0.75) - quantile_cont(prediction, 0.25) as iqr,
+            min(abs{d}) as nearest from {source} where prediction is not null group by {keys}""",
+        ),
+        (
+            f"{name}_crps",
+            f"""select {keys}, 2 * (count(*) * sum(greatest({d}, 0)) - sum({d} * (i - 0.5))) / count(*) / count(*) as crps
+            from (select *, row_number() over (partition by {keys} order by prediction) as i from {source}
+                  where prediction is not null)
+            group by {keys}""",
+        ),
+    ]
+    if not logs:
+        return steps + [(name, f"select * from {name}_stats join {name}_crps using ({keys})")]
+    return steps + [
+        (
+            f"{name}_width",
+            f"select *, nullif(1.06 * least(sd, iqr / 1.34) * n ^ (-0.2), 0) as width from {name}_stats",
+        ),
+        (
+            f"{name}_kernels",
+            f"""select {keys}, sum(exp((nearest ^ 2 - (x.prediction - x.observation) ^ 2) / (2 * width ^ 2))) as kernels
+            from {source} x join (select {keys}, nearest, width from {name}_width) using ({keys})
+            where x.prediction is not null group by {keys}""",
+        ),
+        (
+            name,
+            f"""select *, (nearest / width) ^ 2 / 2 - ln(kernels / n) + ln(width) + {0.5 * math.log(2 * math.pi)!r} as logs
+            from {name}_width join {name}_crps using ({keys}) join {name}_kernels using ({keys})""",
+        ),
+    ]
+
+
+Z_975, Z_95 = 1.959963984540054, 1.644853626951472
+
+
+def normal_scores(source: str) -> str:
+    """Scores and summaries of normal forecasts in ``source`` (mu, sigma, observation)."""
+    return f"""select *, {crps_normal('observation', 'mu', 'sigma')} as crps, {logs_normal('observation', 'mu', 'sigma')} as logs,
+        mu as mean, mu as median, sigma as sd, mu + {Z_975} * sigma as quantile97_5, mu - {Z_975} * sigma as quantile02_5,
+        mu + {Z_95} * sigma as q95, mu - {Z_95} * sigma as q05 from {source}"""
+
+
+MODELS = persistence_ctes() + climatology_ctes() + [
+    (
+        "both_models",
+        """select p.site_id, p.reference_datetime, p.datetime, p.mu, p.sigma, c.mu as mu_c, c.sigma as sigma_c
+        from persistence p join climatology c on c.site_id = p.site_id and c.reference_datetime = p.reference_datetime
+        and c.datetime = p.datetime""",
+    ),
+    (
+        "model_rows",
+        """select m.*, t.observation, m.datetime - m.reference_datetime as horizon,
+        case when model_id in ('Persistence', 'DOY') then 'Baseline' else 'Data Driven' end as model_type from (
+          select site_id, reference_datetime, datetime, 'Persistence' as model_id, mu, sigma from both_models
+          union all select site_id, reference_datetime, datetime, 'DOY', mu_c, sigma_c from both_models
+          union all select site_id, reference_datetime, datetime, 'Shifted', mu + 0.5, sigma from both_models
+          union all select site_id, reference_datetime, datetime, 'Blend', (mu + mu_c) / 2,
+            sqrt((sigma * sigma + sigma_c * sigma_c) / 2) from both_models) m
+        left join targets t on t.site_id = m.site_id and t.datetime = m.datetime""",
+    ),
+    ("scored", normal_scores("model_rows")),
+]

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from tarncast.functions.noise import draw_key, standard_normal
 from tarncast.operators.grid import each_horizon, each_member, issue_dates, spread
+from tarncast.plans import baselines
 from tarncast.plans.common import default_depth
+from tarncast.plans.evaluation import with_horizon, with_model_type
+from tarncast.plans.scoring import SCORES, SUMMARIES, score_parametric, with_summaries
 
 VARIABLE = "fdom_mean"
 FOCAL_DEPTHS = {"1-URGENT": 1.6}
@@ -127,3 +130,37 @@ def normal_cases(spark, folder) -> DataFrame:
         (1 + 100 * F.col("l_tax")).alias("sigma"),
         (F.col("l_quantity") + 100 * (F.col("l_discount") - 0.05)).alias("observation"),
     )
+
+
+MODELS = ["Persistence", "DOY", "Shifted", "Blend"]
+BASELINES = {"P": "Persistence", "C": "DOY"}
+
+
+def model_forecasts(spark, folder) -> DataFrame:
+    """Both baselines and two variants of them for every day of the record, one row for each case and model."""
+    obs, refs = targets(spark, folder), daily_refs(spark, folder)
+    case = ["site_id", "reference_datetime", "datetime"]
+    walk = baselines.persistence(obs, refs)
+    clim = baselines.climatology(obs, refs).withColumnsRenamed({"mu": "mu_c", "sigma": "sigma_c"})
+    both = walk.join(clim, case)
+
+    def model(name, mu, sigma):
+        return F.struct(F.lit(name).alias("model_id"), mu.alias("mu"), sigma.alias("sigma"))
+
+    mu, sigma, mu_c, sigma_c = (F.col(c) for c in ("mu", "sigma", "mu_c", "sigma_c"))
+    entries = F.array(
+        model("Persistence", mu, sigma),
+        model("DOY", mu_c, sigma_c),
+        model("Shifted", mu + 0.5, sigma),
+        model("Blend", (mu + mu_c) / 2, F.sqrt((sigma * sigma + sigma_c * sigma_c) / 2)),
+    )
+    return both.select(*case, F.explode(entries).alias("m")).select(*case, "m.*")
+
+
+def scored_models(spark, folder) -> DataFrame:
+    """``model_forecasts`` with observations, scores, summaries and horizon."""
+    obs = targets(spark, folder).select("site_id", "datetime", "observation")
+    wide = model_forecasts(spark, folder).join(obs, ["site_id", "datetime"], "left")
+    scored = score_parametric(wide.withColumn("family", F.lit("normal")), special_families=False)
+    names = ["site_id", "reference_datetime", "datetime", "model_id", "observation", "mu", "sigma", *SCORES, *SUMMARIES]
+    return with_model_type(with_horizon(with_summaries(scored).select(*names)), BASELINES.values())

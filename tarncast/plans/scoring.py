@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarncast.functions import incomplete, scores
-from tarncast.functions.special import Z_95, Z_975, normal_cdf
+from tarncast.functions.special import Z_95, Z_975
 from tarncast.operators.ranks import HOT_ROWS, RankedPart, quantile, ranked_parts, weighted_mean
 from tarncast.operators.reshape import parameters_wide, present
 
@@ -192,7 +192,8 @@ def _closed_scores() -> dict[str, Column]:
 def _summary_columns() -> dict[str, Column]:
     """Closed-form summaries; NULL where a family has no closed form."""
     c = {name: F.col(name) for name in PARAMETERS}
-    z = {"quantile97_5": Z_975, "quantile02_5": -Z_975, "q95": Z_95, "q05": -Z_95, "median": 0.0}
+    z = {"quantile97_5": Z_975, "quantile02_5": -Z_975, "q95": Z_95, "q05": -Z_95}
+    normal = {name: c["mu"] + z[name] * c["sigma"] if name in z else c["mu"] for name in LEVELS}
     odds = {name: math.log(p / (1 - p)) for name, p in LEVELS.items()}
     a, b = c["shape1"], c["shape2"]
     sigma2 = c["sigma"] * c["sigma"]
@@ -222,8 +223,8 @@ def _summary_columns() -> dict[str, Column]:
     for name, p in LEVELS.items():
         out[name] = _by_family(
             {
-                "normal": c["mu"] + z[name] * c["sigma"],
-                "lognormal": F.exp(c["mu"] + z[name] * c["sigma"]),
+                "normal": normal[name],
+                "lognormal": F.exp(normal[name]),
                 "logistic": c["location"] + odds[name] * c["scale"],
                 "exponential": -math.log(1 - p) / c["rate"],
                 "uniform": c["min"] + p * (c["max"] - c["min"]),
@@ -233,6 +234,14 @@ def _summary_columns() -> dict[str, Column]:
     return out
 
 
+def with_summaries(wide: DataFrame) -> DataFrame:
+    """Add the distribution summaries to rows holding a family and its parameters."""
+    for name in PARAMETERS:
+        if name not in wide.columns:
+            wide = wide.withColumn(name, F.lit(None).cast("double"))
+    return wide.withColumns(_summary_columns())
+
+
 def score_parametric(wide: DataFrame, special_families: bool = True) -> DataFrame:
     """Add ``crps`` and ``logs`` to rows holding an observation, a family and its parameters.
 
@@ -273,7 +282,7 @@ def score(
     parametric = parameters_wide(long.filter(F.col("family") != "sample"), keys, PARAMETERS)
     scored = score_parametric(attach_observation(parametric, target, extra_groups), special_families)
     if summaries:
-        scored = scored.withColumns(_summary_columns())
+        scored = with_summaries(scored)
     rows = attach_observation(long.filter(F.col("family") == "sample"), target, extra_groups)
     sampled = score_samples(rows, keys, summaries=summaries, hot_rows=hot_rows)
     return scored.select(*names).unionByName(sampled.select(*names))
@@ -287,7 +296,7 @@ def summarize(forecast: DataFrame, extra_groups=(), hot_rows: int | None = HOT_R
     rows = long.filter(F.col("family") == "sample")
     sampled = score_samples(rows, keys, y=None, logs=False, hot_rows=hot_rows)
     return (
-        parametric.withColumns(_summary_columns())
+        with_summaries(parametric)
         .select(*keys, *SUMMARIES)
         .unionByName(sampled.select(*keys, *SUMMARIES))
     )
@@ -301,6 +310,3 @@ def normal_interval(mu: Column, sigma: Column) -> tuple[Column, Column]:
 def interval_names(scored: DataFrame) -> DataFrame:
     """The 90% bounds under the names some published tables use."""
     return scored.withColumnsRenamed({"q95": "quantile90", "q05": "quantile10"})
-
-
-__all__ = ["score", "summarize", "score_samples", "score_parametric", "normal_interval", "normal_cdf"]
