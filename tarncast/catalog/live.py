@@ -16,7 +16,9 @@ from tarncast.streaming import feeds
 def sensor_feed(spark, folder):
     schema = fx.table(spark, folder, "events").schema
     events = feeds.read_feed(spark, folder, schema, "events.parquet")
-    return events.select(F.col("event_type").alias("site_id"), F.col("ts").alias("datetime"), F.col("value").alias("fdom"))
+    return events.select(
+        F.col("event_type").alias("site_id"), F.col("ts").cast("timestamp").alias("datetime"), F.col("value").alias("fdom")
+    )
 
 
 @query(with_("sensor", f"""select site_id, cast(datetime as date) as datetime, {r('avg(fdom)', 'fdom')}, count(fdom) as readings
@@ -45,7 +47,8 @@ def stream_latest(spark, folder):
     table, state = work_path(spark, "latest"), work_path(spark, "latest-state")
     stream = feeds.latest_stream(sensor_feed(spark, folder), "fdom")
     feeds.run_updates(stream, table, state).awaitTermination()
-    return feeds.read_updates(spark, table, ["site_id"])
+    latest = feeds.read_updates(spark, table, ["site_id"])
+    return latest.withColumn("last_time", F.col("last_time").cast("timestamp_ntz"))
 
 
 def published_forecasts(spark, folder):
@@ -69,11 +72,15 @@ INCREMENTAL = persistence_ctes("refs_month") + climatology_ctes("refs_month") +
         """select 'Persistence' as model_id, site_id, reference_datetime, datetime, mu from persistence
         union all select 'DOY', site_id, reference_datetime, datetime, mu from climatology""",
     ),
-    ("groups_", "select distinct model_id, datetime from forecast_days where datetime in (select datetime from targets)"),
+    (
+        "groups_",
+        """select distinct model_id, date_trunc('month', datetime) as month from forecast_days
+        where date_trunc('month', datetime) in (select date_trunc('month', datetime) from targets)""",
+    ),
     (
         "rows_",
         """select f.model_id, count(*) as forecasts, count(t.observation) as observed from forecast_days f
-        join groups_ g on g.model_id = f.model_id and g.datetime = f.datetime
+        join groups_ g on g.model_id = f.model_id and g.month = date_trunc('month', f.datetime)
         left join targets t on t.site_id = f.site_id and t.datetime = f.datetime group by 1""",
     ),
 ]
@@ -90,7 +97,7 @@ def incremental(spark, folder):
 
     def run():
         return incremental_score(
-            forecasts, targets, scores_path, log_path, AS_OF, LOOK_BACK, special_families=False
+            forecasts, targets, scores_path, log_path, AS_OF, LOOK_BACK, special_families=False, unit="month"
         )
 
     run()
@@ -111,11 +118,11 @@ def stream_scores(spark, folder):
     published = published_forecasts(spark, folder).withColumn("year", F.year("datetime"))
     published.repartition("model_id", "year").write.partitionBy("model_id", "year").parquet(arrived)
     schema = spark.read.parquet(arrived).schema
-    stream = feeds.read_feed(spark, arrived, schema, files=4).drop("year")
+    stream = feeds.read_feed(spark, arrived, schema, files=8).drop("year")
     targets = fx.targets(spark, folder)
 
     def score_batch(batch):
-        incremental_score(batch, targets, scores_path, log_path, AS_OF, LOOK_BACK, special_families=False)
+        incremental_score(batch, targets, scores_path, log_path, AS_OF, LOOK_BACK, special_families=False, unit="month")
 
     feeds.score_arrivals(stream, state, score_batch).awaitTermination()
     return spark.read.parquet(scores_path).groupBy("model_id").agg(

@@ -16,15 +16,20 @@ def collapse(column: Column) -> Column:
     return F.array_join(F.sort_array(F.collect_set(column)), ",")
 
 
-def forecast_groups(forecasts: DataFrame, dates: Column = None) -> DataFrame:
-    """One row for each (model, forecast day) with the issues and publications that feed it.
+def period(unit: str = "day", column: str = "datetime") -> Column:
+    """First day of the scoring period a forecast date falls in."""
+    return F.to_date(F.date_trunc(unit, column))
+
+
+def forecast_groups(forecasts: DataFrame, unit: str = "day") -> DataFrame:
+    """One row for each (model, period of forecast dates) with the issues and publications that feed it.
 
     Repeats are dropped before collecting, so a set holds one entry for each distinct date,
     whatever the number of forecast rows behind it.
     """
     distinct = forecasts.select(
         "model_id",
-        F.to_date("datetime").alias("date"),
+        period(unit).alias("date"),
         F.col("reference_datetime").cast("string").alias("reference_date"),
         F.col("pub_datetime").cast("string").alias("pub_date"),
     ).distinct()
@@ -39,21 +44,21 @@ def content_number(*columns) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def target_fingerprint(targets: DataFrame) -> DataFrame:
-    """One fingerprint for each day of targets.
+def target_fingerprint(targets: DataFrame, unit: str = "day") -> DataFrame:
+    """One fingerprint for each period of targets.
 
-    The rows of a day are combined by a count and a sum, which merge in any order: nothing is
+    The rows of a period are combined by a count and a sum, which merge in any order: nothing is
     collected or sorted.
     """
     number = content_number("site_id", "variable", "datetime", "observation")
-    return targets.groupBy(F.to_date("datetime").alias("date")).agg(
+    return targets.groupBy(period(unit).alias("date")).agg(
         F.count(F.lit(1)).alias("target_rows"), F.sum(number).alias("target_sum")
     )
 
 
-def group_ids(forecasts: DataFrame, targets: DataFrame) -> DataFrame:
+def group_ids(forecasts: DataFrame, targets: DataFrame, unit: str = "day") -> DataFrame:
     """Groups with an id that changes when their issues, publications or targets do."""
-    groups = forecast_groups(forecasts).join(target_fingerprint(targets), "date")
+    groups = forecast_groups(forecasts, unit).join(target_fingerprint(targets, unit), "date")
     parts = ["model_id", "date", "reference_date", "pub_date", "target_rows", "target_sum"]
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in parts])
     return groups.withColumn("new_id", F.sha2(text, 256))
@@ -79,9 +84,13 @@ def incremental_score(
     extra_groups=(),
     hot_rows: int | None = None,
     special_families: bool = True,
+    unit: str = "day",
 ) -> int:
     """Score the groups whose id is not in the log; returns how many there were.
 
+    ``unit`` is the period of forecast dates that is scored, logged and stored together: days, as
+    a daily run wants them, or months, which keeps a small archive from turning into tiny files.
+
     Scores replace whole (model, date) partitions and the log is appended after them, so a run
     that dies in between is repeated without harm. The new groups are written before they are
     used, so scores and log describe the same set.
@@ -93,19 +102,19 @@ def incremental_score(
     )
     seen = read_log(spark, log_path).select("new_id")
     pending_path = f"{scores_path.rstrip('/')}_pending"
-    group_ids(recent, targets).join(seen, "new_id", "left_anti").write.mode("overwrite").parquet(pending_path)
+    group_ids(recent, targets, unit).join(seen, "new_id", "left_anti").write.mode("overwrite").parquet(pending_path)
     pending = spark.read.parquet(pending_path)
     count = pending.count()
     if count == 0:
         return 0
-    due = recent.withColumn("date", F.to_date("datetime")).join(
+    due = recent.withColumn("date", period(unit)).join(
         pending.select("model_id", "date"), ["model_id", "date"], "left_semi"
     )
     averaged = due.groupBy(*[c for c in due.columns if c not in ("prediction", "date")]).agg(
         F.avg("prediction").alias("prediction")
     )
     scored = score(averaged, targets, extra_groups, special_families=special_families, hot_rows=hot_rows)
-    replace_partitions(scored.withColumn("date", F.to_date("datetime")), scores_path, ["model_id", "date"])
+    replace_partitions(scored.withColumn("date", period(unit)), scores_path, ["model_id", "date"])
     entries = pending.select(today.alias("date"), "new_id", "model_id", "reference_date", "pub_date")
     append(entries, log_path)
     return count

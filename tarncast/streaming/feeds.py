@@ -24,7 +24,10 @@ def read_feed(spark: SparkSession, path: str, schema: StructType, pattern: str =
 
 
 def daily_stream(feed: DataFrame, value: str, keys=("site_id",), time="datetime", lateness="1 day") -> DataFrame:
-    """Tumbling one-day means; a late row updates its day until the watermark has passed it."""
+    """Tumbling one-day means; a late row updates its day until the watermark has passed it.
+
+    Event time is a timestamp and days are UTC days: run with ``spark.sql.session.timeZone=UTC``.
+    """
     return (
         feed.withWatermark(time, lateness)
         .groupBy(*keys, F.window(time, "1 day").alias("day"))
