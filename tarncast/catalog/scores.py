@@ -21,7 +21,8 @@ from tarncast.catalog.roles import (
 )
 from tarncast.functions import scores
 from tarncast.operators.ranks import ranked
-from tarncast.plans import baselines, regressions, scoring
+from tarncast.plans import baselines, scoring
+from tarncast.plans.campaign import BASELINE_MODELS, DRIVER_MODELS, forecast_all
 from tarncast.plans.common import standard_format
 
 NORMAL = """(select l_orderkey, l_linenumber, l_quantity as mu, 1 + 100 * l_tax as sigma,
@@ -224,25 +225,9 @@ def crps_special_families(spark, folder):
 
 def all_forecasts(spark, folder):
     """Both baselines and the three driver models in the shared long table, issued monthly."""
-    targets, history, weather, water, refs = model_inputs(spark, folder)
-
-    def normal(model, forecast):
-        return standard_format(baselines.normal_rows(forecast), model, "normal", fx.VARIABLE)
-
-    def ensemble(model, forecast):
-        return standard_format(forecast, model, "ensemble", fx.VARIABLE)
-
-    parts = [
-        normal("Persistence", baselines.persistence(targets, refs)),
-        normal("DOY", baselines.climatology(targets, refs)),
-        ensemble("TS_Met", regressions.met_regression(targets, history, weather, refs, min_rows=MIN_ROWS)),
-        ensemble("TS_Rain", regressions.rain_lag(targets, history, weather, refs, min_rows=MIN_ROWS)),
-        ensemble("TS_AR", regressions.ar_forecast(targets, history, weather, water, refs, min_rows=MIN_ROWS)),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return forecast_all(
+        *model_inputs(spark, folder), fx.VARIABLE, (*BASELINE_MODELS, *DRIVER_MODELS), min_rows=MIN_ROWS
+    )
 
 
 ALL_MODELS = persistence_ctes("refs_month") + climatology_ctes("refs_month") + MET + RAIN + ar_ctes(True) + [
