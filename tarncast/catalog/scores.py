@@ -97,7 +97,8 @@ def ranks_in_hot_groups(spark, folder):
     rows = fx.table(spark, folder, "lineitem").select(
         F.col("l_returnflag").alias("case_id"), F.col("l_quantity").alias("prediction")
     )
-    return ranked(rows, ["case_id"], "prediction", hot_rows=1000).select("case_id", "prediction", "rank_lo", "rank_hi")
+    out = ranked(rows, ["case_id"], "prediction", hot_rows=1000)
+    return out.groupBy("case_id", "prediction").agg(F.min("rank_lo").alias("rank_lo"), F.max("rank_hi").alias("rank_hi"))
 
 
 FAMILY_ROWS = """(select l_suppkey, l_quantity as y, case when l_returnflag = 'R' then 1.0::double else 0.0::double end as hit,

@@ -7,8 +7,6 @@ rows in the slices below, so one group may hold any share of the table.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,51 +16,37 @@ from tarncast.session import durable
 HOT_ROWS = 1_000_000
 
 
-@dataclass(frozen=True)
-class RankedPart:
-    """Ranked rows: keys, carried columns, value, copies, rank_lo, rank_hi, n.
-
-    ``slices`` is true where one group is spread over many tasks.
-    """
-
-    rows: DataFrame
-    slices: bool
-
+def split_hot(
+    rows: DataFrame, keys: list[str], value: str, hot_rows: int | None = HOT_ROWS
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups with at most ``hot_rows`` values, and the rows of the other groups if any exist.
 
-def ranked_parts(
-    df: DataFrame, keys: list[str], value: str, carry: list[str] = (), hot_rows: int | None = HOT_ROWS
-) -> list[RankedPart]:
-    """Rank ``value`` inside ``keys``; ``carry`` columns must be constant inside a group.
-
-    ``hot_rows=None`` skips the search for hot groups; use it only where the producer fixes the
-    group size, as the forecast models do with their members.
+    ``hot_rows=None`` skips the search; use it only where the producer fixes the group size, as
+    the forecast models do with their members.
     """
-    rows = df.select(*keys, *carry, value).filter(F.col(value).isNotNull())
     if hot_rows is None:
-        return [RankedPart(_rank_in_window(rows, keys, value), False)]
+        return rows, None
     hot = durable(
         rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("rows_in_group"))
-        .filter(F.col("rows_in_group") > hot_rows)
+        .agg(F.count(value).alias("values_in_group"))
+        .filter(F.col("values_in_group") > hot_rows)
         .select(*[F.col(k).alias(f"hot_{k}") for k in keys])
     )
     if hot.isEmpty():
-        return [RankedPart(_rank_in_window(rows, keys, value), False)]
+        return rows, None
     same = [F.col(k).eqNullSafe(F.col(f"hot_{k}")) for k in keys]
-    calm = rows.join(hot, same, "left_anti")
-    busy = rows.join(hot, same, "left_semi")
-    return [
-        RankedPart(_rank_in_window(calm, keys, value), False),
-        RankedPart(_rank_in_slices(busy, keys, value, list(carry)), True),
-    ]
+    return rows.join(hot, same, "left_anti"), rows.join(hot, same, "left_semi")
 
 
 def ranked(df: DataFrame, keys: list[str], value: str, carry: list[str] = (), hot_rows=HOT_ROWS) -> DataFrame:
-    parts = ranked_parts(df, keys, value, carry, hot_rows)
-    out = parts[0].rows
-    for part in parts[1:]:
-        out = out.unionByName(part.rows)
-    return out
+    """Rank ``value`` inside ``keys``: keys, carried columns, value, copies, rank_lo, rank_hi, n.
+
+    ``carry`` columns must be constant inside a group. A row stands for ``copies`` equal values.
+    """
+    rows = df.select(*keys, *carry, value).filter(F.col(value).isNotNull())
+    calm, busy = split_hot(rows, keys, value, hot_rows)
+    out = _rank_in_window(calm, keys, value)
+    return out if busy is None else out.unionByName(rank_in_slices(busy, keys, value, list(carry)))
 
 
 def _rank_in_window(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -75,7 +59,9 @@ def _rank_in_window(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     ).withColumn("rank_hi", F.col("rank_lo"))
 
 
-def _rank_in_slices(rows: DataFrame, keys: list[str], value: str, carry: list[str]) -> DataFrame:
+def rank_in_slices(rows: DataFrame, keys: list[str], value: str, carry: list[str]) -> DataFrame:
+    """Ranks of groups too large for one task."""
+    rows = rows.filter(F.col(value).isNotNull())
     # Equal values collapse first, so a heavily repeated value is one row, not one long slice.
     values = rows.groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("copies"), *[F.max(c).alias(c) for c in carry]

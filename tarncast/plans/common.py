@@ -69,7 +69,7 @@ def param_draw(j: int, site="site_id", ref="reference_datetime", member="member"
 
 def param_ensemble(fits: DataFrame, coefficients: int, members: int = MEMBERS) -> DataFrame:
     """Coefficient draws: one row for each fit and member, an array in coefficient order."""
-    return each_member(fits, members).withColumn(
+    return each_member(spread(fits, *SITE_REF), members).withColumn(
         "draw", F.array(*[param_draw(j) for j in range(coefficients)])
     )
 

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarncast.operators.grid import spread
 from tarncast.operators.series import interpolate, scaffold
 
 OFFSET = 0.001
@@ -54,7 +55,7 @@ def _train(x: np.ndarray, y: np.ndarray, hidden: int, rng: np.random.Generator,
             damping *= 4
         else:
             return w
-        done = loss - trial_loss < 1e-8 * loss
+        done = loss - trial_loss < 1e-6 * loss
         w, (h, w2, out), loss, damping = w - step, trial, trial_loss, damping / 3
         if done:
             return w
@@ -104,8 +105,7 @@ def neural_ar(
         F.sort_array(F.collect_list(F.struct("datetime", "observation"))).alias("series")
     )
     jobs = (
-        refs.select("site_id", "reference_datetime")
-        .join(packed, "site_id")
+        spread(refs.select("site_id", "reference_datetime").join(packed, "site_id"), "site_id", "reference_datetime")
         .withColumn("series", F.filter("series", lambda s: s["datetime"] <= F.col("reference_datetime")))
         .filter(F.size("series") >= min_days)
         .select(
@@ -116,7 +116,6 @@ def neural_ar(
             F.datediff("reference_datetime", F.lit(date(1970, 1, 1))).alias("issue"),
             F.abs(F.hash("site_id", "reference_datetime")).alias("seed"),
         )
-        .repartition("site_id", "reference_datetime")
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

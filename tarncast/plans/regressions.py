@@ -20,7 +20,7 @@ from tarncast.plans.common import (
     SITE_REF,
     driver_rows,
     initial_draw,
-    param_draw,
+    param_ensemble,
     process_noise,
 )
 
@@ -61,6 +61,12 @@ def fits_for(
     return fit_before(frame, refs.select(*SITE_REF), ["site_id"], "observation", xs, trailing_days, min_rows)
 
 
+def _with_draws(rows: DataFrame, fits: DataFrame, coefficients: int, members: int) -> DataFrame:
+    """Rows of trajectories next to their member's coefficient draws and the fit's sigma."""
+    draws = param_ensemble(fits, coefficients, members).select(*TRAJECTORY, "draw", "sigma")
+    return rows.join(draws, TRAJECTORY)
+
+
 def _members(df: DataFrame) -> DataFrame:
     return df.select(
         "site_id",
@@ -75,7 +81,7 @@ MET_PREDICTORS = ["shortwave", "rain", "rain_lag1"]
 
 
 def met_regression(
-    targets, history, drivers, refs, start=None, horizon: int = 35, min_rows: int | None = None
+    targets, history, drivers, refs, start=None, horizon: int = 35, members: int = MEMBERS, min_rows: int | None = None
 ) -> DataFrame:
     """Observation on shortwave, rain and yesterday's rain; no value on the day of issue."""
     fits = fits_for(calibration_frame(targets, history, start), refs, MET_PREDICTORS, min_rows=min_rows)
@@ -84,16 +90,9 @@ def met_regression(
     rows = driver_rows(drivers, names).withColumn(
         "rain_lag1", F.when(F.col("horizon") - F.lag("horizon").over(path) == 1, F.lag("rain").over(path))
     )
-    draws = [param_draw(j) for j in range(4)]
-    value = (
-        draws[0]
-        + draws[1] * F.col("shortwave")
-        + draws[2] * F.col("rain")
-        + draws[3] * F.col("rain_lag1")
-        + process_noise(F.col("sigma"))
-    )
+    value = predict(F.col("draw"), [F.col(x) for x in MET_PREDICTORS]) + process_noise(F.col("sigma"))
     ahead = rows.filter(F.col("horizon").between(1, horizon))
-    return _members(ahead.join(fits, SITE_REF).withColumn("prediction", value))
+    return _members(_with_draws(ahead, fits, 4, members).withColumn("prediction", value))
 
 
 def spliced_rain(history: DataFrame, rows: DataFrame, refs: DataFrame, members: int, on=("datetime",)) -> DataFrame:
@@ -115,9 +114,9 @@ def rain_lag(
     summed = spliced_rain(history, rows, refs, members).withColumn(
         "rain_10", F.when(F.count("rain").over(window) == 10, F.sum("rain").over(window))
     )
-    value = param_draw(0) + param_draw(1) * F.col("rain_10") + process_noise(F.col("sigma"))
+    value = predict(F.col("draw"), [F.col("rain_10")]) + process_noise(F.col("sigma"))
     ahead = summed.filter(F.col("horizon").between(1, horizon))
-    return _members(ahead.join(fits, SITE_REF).withColumn("prediction", value))
+    return _members(_with_draws(ahead, fits, 2, members).withColumn("prediction", value))
 
 
 AR_PREDICTORS = ["observation_lag1", "shortwave", "rain", "rain_lag1", "water_temp"]
@@ -134,6 +133,7 @@ def ar_forecast(
     horizon: int = 34,
     initial_sd: float = INITIAL_SD,
     uncertainty=ALL_UNCERTAINTY,
+    members: int = MEMBERS,
     min_rows: int | None = None,
 ) -> DataFrame:
     """Recursive autoregression: one row for each member and day, the day of issue included.
@@ -156,23 +156,22 @@ def ar_forecast(
     by_day = F.map_from_entries(F.transform("found", lambda s: F.struct(s["horizon"], s)))
     complete = F.size("found") == horizon + 1
     filled = F.transform(F.sequence(F.lit(0), F.lit(horizon)), lambda h: F.try_element_at(by_day, h))
-    draws = [
-        param_draw(j) if "parameter" in uncertainty else F.element_at("beta", j + 1) for j in range(6)
-    ]
     state = initial_draw(F.col("observation"), initial_sd) if "initial" in uncertainty else F.col("observation")
     noise_scale = F.col("sigma") if "process" in uncertainty else F.lit(0.0)
+    if "parameter" in uncertainty:
+        drawn = _with_draws(paths, fits, 6, members)
+    else:
+        drawn = paths.join(fits.select(*SITE_REF, F.col("beta").alias("draw"), "sigma"), SITE_REF)
     ready = (
-        paths.join(fits.select(*SITE_REF, "beta", "se", "sigma"), SITE_REF)
-        .join(initial.filter(F.col("observation").isNotNull()), SITE_REF)
+        drawn.join(initial.filter(F.col("observation").isNotNull()), SITE_REF)
         .withColumn("steps", F.when(complete, F.col("found")).otherwise(filled))
-        .withColumn("b", F.array(*draws))
         .withColumn("state", state)
         .withColumn("scale", noise_scale)
-        .select(*TRAJECTORY, "steps", "b", "state", "scale")
+        .select(*TRAJECTORY, "steps", "draw", "state", "scale")
     )
 
     def b(j):
-        return F.element_at("b", j + 1)
+        return F.element_at("draw", j + 1)
 
     def advance(track: Column, h: Column) -> Column:
         today, yesterday = F.element_at("steps", h + 1), F.element_at("steps", h)
@@ -200,7 +199,7 @@ def ar_driver_only(targets, history, drivers, water_temp, refs, start=None, hori
 
 def ar_next_day_with(
     targets: DataFrame, history: DataFrame, drivers: DataFrame, water_temp, refs, extra: DataFrame, name: str,
-    start=None, initial_sd: float = INITIAL_SD, min_rows: int | None = None,
+    start=None, initial_sd: float = INITIAL_SD, members: int = MEMBERS, min_rows: int | None = None,
 ) -> DataFrame:
     """Autoregression with one more lagged daily variable, for the first day ahead only.
 
@@ -221,13 +220,10 @@ def ar_next_day_with(
     )
     state = targets.select("site_id", F.col("datetime").alias("reference_datetime"), "observation")
     seen = extra.select("site_id", F.col("datetime").alias("reference_datetime"), F.col(name).alias(lagged))
-    draws = [param_draw(j) for j in range(7)]
     terms = ["start_value", "shortwave", "rain", "rain_lag1", "water_temp", lagged]
-    value = draws[0] + process_noise(F.col("sigma"))
-    for draw, term in zip(draws[1:], terms):
-        value = value + draw * F.col(term)
+    value = predict(F.col("draw"), [F.col(t) for t in terms]) + process_noise(F.col("sigma"))
     ready = (
-        rows.join(fits, SITE_REF)
+        _with_draws(rows, fits, 7, members)
         .join(state, SITE_REF)
         .join(seen, SITE_REF)
         .withColumn("start_value", initial_draw(F.col("observation"), initial_sd))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarncast.functions import incomplete, scores
 from tarncast.functions.special import Z_95, Z_975
-from tarncast.operators.ranks import HOT_ROWS, RankedPart, quantile, ranked_parts, weighted_mean
+from tarncast.operators.ranks import HOT_ROWS, quantile, rank_in_slices, split_hot, weighted_mean
 from tarncast.operators.reshape import parameters_wide, present
 
 GROUPING = [
@@ -68,71 +68,119 @@ def single_observation_violations(forecast: DataFrame, target: DataFrame, extra_
 # --- ensembles -------------------------------------------------------------------------------
 
 
-def _sample_crps(value: str, y: str) -> Column:
-    """Sorted form of E|X - y| - E|X - X'| / 2 over ranked rows; linear in the members."""
+# An ensemble below the hot limit is one sorted array: one shuffle, then expressions over it.
+
+
+def _array_quantile(p: float) -> Column:
+    """Interpolated (type 7) quantile of the sorted array ``xs``."""
+    position = (F.col("n") - 1) * F.lit(p)
+    low = F.floor(position).cast("int")
+    at_low, at_high = F.get("xs", low), F.get("xs", F.least(low + 1, F.col("n") - 1))
+    return at_low + (at_high - at_low) * (position - low)
+
+
+def _array_crps(y: str) -> Column:
+    """Sorted form of E|X - y| - E|X - X'| / 2, linear in the members."""
+    terms = f"transform(xs, (x, i) -> (x - {y}) * (if(x > {y}, n, 0) - i - 0.5D))"
+    total = F.expr(f"aggregate({terms}, 0D, (a, v) -> a + v)")
+    return F.when(F.col("n") > 0, 2 * total / F.col("n") / F.col("n"))
+
+
+def _kernel_score(near: Column, kernels: Column, width: Column, size: Column) -> Column:
+    """Log score of a Gaussian kernel density whose largest kernel has been factored out.
+
+    Factoring it out keeps the score finite for an observation far from every member.
+    """
+    relative = near / width
+    return relative * relative / 2 - F.ln(kernels / size) + F.ln(width) + 0.5 * math.log(2 * math.pi)
+
+
+def _bandwidth(sd: Column, iqr: Column, size: Column) -> Column:
+    """Rule-of-thumb kernel width; NULL where the ensemble has no spread."""
+    width = 1.06 * F.least(sd, iqr / 1.34) * F.pow(size, F.lit(-0.2))
+    return F.when(width > 0, width)
+
+
+def _score_arrays(rows: DataFrame, keys: list[str], value: str, y: str | None, summaries: bool, logs: bool) -> DataFrame:
+    observed = [F.max(y).alias("observed")] if y else []
+    df = rows.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(value)).alias("xs"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), *observed
+    )
+    df = df.withColumn("n", F.size("xs"))
+    out = list(keys)
+    if y:
+        df = df.withColumn("crps", _array_crps("observed"))
+        out += [F.col("observed").alias(y), "crps"]
+    if logs:
+        df = df.withColumns(
+            {
+                "width": _bandwidth(F.col("sd"), _array_quantile(0.75) - _array_quantile(0.25), F.col("n")),
+                "near": F.array_min(F.transform("xs", lambda x: F.abs(x - F.col("observed")))),
+            }
+        )
+        kernels = F.expr(
+            "aggregate(xs, 0D, (a, x) -> a + exp((near * near - (x - observed) * (x - observed)) / (2 * width * width)))"
+        )
+        out.append(_kernel_score(F.col("near"), kernels, F.col("width"), F.col("n")).alias("logs"))
+    if summaries:
+        out += ["mean", "sd", *[_array_quantile(p).alias(name) for name, p in LEVELS.items()]]
+    return df.select(*out)
+
+
+# A hot ensemble is spread over many tasks as ranked slices; every step is a mergeable aggregate.
+
+
+def _slice_crps(value: str, y: str) -> Column:
     d = F.col(value) - F.col(y)
     rank_sum = F.col("copies") * (F.col("rank_lo") + F.col("rank_hi") - 1) / 2
     above = F.sum(F.greatest(d, F.lit(0.0)) * F.col("copies"))
-    weighted = F.sum(d * rank_sum)
     n = F.max("n")
-    return 2 * (n * above - weighted) / (n * n)
+    return 2 * (n * above - F.sum(d * rank_sum)) / n / n
 
 
-def _sample_sd(value: str) -> Column:
-    """Sample standard deviation over rows that may stand for several equal values."""
+def _slice_sd(value: str) -> Column:
+    """Sample standard deviation over rows that stand for several equal values."""
     x, c = F.col(value), F.col("copies")
     mean = weighted_mean(value)
     spread = F.sum(x * x * c) / F.sum(c) - mean * mean
-    pooled = F.when(F.sum(c) > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) * F.sum(c) / (F.sum(c) - 1)))
-    return F.when(F.max(c) == 1, F.stddev_samp(value)).otherwise(pooled)
+    return F.when(F.sum(c) > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) * F.sum(c) / (F.sum(c) - 1)))
 
 
-def _sample_stats(part: RankedPart, keys: list[str], value: str, y: str | None, summaries: bool, logs: bool):
-    columns = []
-    if y is not None:
-        columns += [F.max(y).alias(y), _sample_crps(value, y).alias("crps")]
-    if summaries:
-        columns += [weighted_mean(value).alias("mean"), _sample_sd(value).alias("sd")]
-        columns += [quantile(value, p).alias(name) for name, p in LEVELS.items()]
-    if logs:
+def _score_slices(ranked: DataFrame, keys: list[str], value: str, y: str | None, summaries: bool, logs: bool) -> DataFrame:
+    columns = [weighted_mean(value).alias("mean"), _slice_sd(value).alias("sd"), F.max("n").alias("n")]
+    columns += [quantile(value, p).alias(name) for name, p in LEVELS.items()]
+    columns.append((quantile(value, 0.75) - quantile(value, 0.25)).alias("iqr"))
+    if y:
         columns += [
-            F.max("n").alias("size"),
-            _sample_sd(value).alias("kernel_sd"),
-            (quantile(value, 0.75) - quantile(value, 0.25)).alias("iqr"),
-            F.min(F.abs(F.col(value) - F.col(y))).alias("nearest"),
+            F.max(y).alias(y),
+            _slice_crps(value, y).alias("crps"),
+            F.min(F.abs(F.col(value) - F.col(y))).alias("near"),
         ]
-    return part.rows.groupBy(*keys).agg(*columns)
-
+    stats = ranked.groupBy(*keys).agg(*columns)
+    out = [*keys, *([y, "crps"] if y else [])]
+    if logs:
+        stats = stats.withColumn("width", _bandwidth(F.col("sd"), F.col("iqr"), F.col("n")))
+        kernels = _slice_kernels(ranked, stats, keys, value, y)
+        same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys]
+        stats = stats.join(kernels, same, "left").withColumn(
+            "logs", _kernel_score(F.col("near"), F.col("kernels"), F.col("width"), F.col("n"))
+        )
+        out.append("logs")
+    return stats.select(*out, *(SUMMARIES if summaries else []))
 
-def _with_kernel_score(part: RankedPart, stats: DataFrame, keys: list[str], value: str, y: str) -> DataFrame:
-    """Log score of the Gaussian kernel density of each ensemble, rule-of-thumb bandwidth.
 
-    The largest kernel is factored out before summing, so an observation far from every member
-    gets its finite score instead of log(0). Sliced groups meet their bandwidth through salted
-    copies of the one-row-per-group side.
-    """
-    width = 1.06 * F.least("kernel_sd", F.col("iqr") / 1.34) * F.pow(F.col("size"), F.lit(-0.2))
-    stats = stats.withColumn("width", F.when(width > 0, width)).drop("kernel_sd", "iqr")
-    side = stats.select(*[F.col(k).alias(f"s_{k}") for k in keys], "width", "nearest")
-    rows = part.rows.select(*keys, value, y, "copies")
-    same = [F.col(k).eqNullSafe(F.col(f"s_{k}")) for k in keys]
-    if part.slices:
-        salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        side = side.withColumn("s_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64(value), F.lit(salts)).cast("int"))
-        same.append(F.col("salt") == F.col("s_salt"))
-    d = F.col(value) - F.col(y)
-    relative = F.exp((F.col("nearest") * F.col("nearest") - d * d) / (2 * F.col("width") * F.col("width")))
-    density = rows.join(side, same).groupBy(*keys).agg(F.sum(relative * F.col("copies")).alias("kernels"))
-    near = F.col("nearest") / F.col("width")
-    logs = near * near / 2 - F.ln(F.col("kernels") / F.col("size")) + F.ln("width") + 0.5 * math.log(2 * math.pi)
-    d_side = density.select(*[F.col(k).alias(f"d_{k}") for k in keys], "kernels")
-    match = [F.col(k).eqNullSafe(F.col(f"d_{k}")) for k in keys]
-    return (
-        stats.join(d_side, match, "left")
-        .withColumn("logs", logs)
-        .drop("kernels", "width", "nearest", "size", *[f"d_{k}" for k in keys])
+def _slice_kernels(ranked: DataFrame, stats: DataFrame, keys: list[str], value: str, y: str) -> DataFrame:
+    """Kernel sums of hot groups, which meet their bandwidth through salted copies of it."""
+    salts = int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = stats.select(*[F.col(k).alias(f"k_{k}") for k in keys], "width", "near").withColumn(
+        "k_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
+    rows = ranked.withColumn("salt", F.pmod(F.xxhash64(value), F.lit(salts)).cast("int"))
+    same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys] + [F.col("salt") == F.col("k_salt")]
+    d, w = F.col(value) - F.col(y), F.col("width")
+    relative = F.exp((F.col("near") * F.col("near") - d * d) / (2 * w * w))
+    sums = rows.join(side, same).groupBy(*[F.col(f"k_{k}") for k in keys])
+    return sums.agg(F.sum(relative * F.col("copies")).alias("kernels"))
 
 
 def score_samples(
@@ -144,13 +192,19 @@ def score_samples(
     logs: bool = True,
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """CRPS, log score and summaries of ensembles of any size; one row for each group."""
-    done = []
-    for part in ranked_parts(rows, keys, value, [y] if y else [], hot_rows):
-        want_logs = logs and y is not None
-        stats = _sample_stats(part, keys, value, y, summaries, want_logs)
-        done.append(_with_kernel_score(part, stats, keys, value, y) if want_logs else stats)
-    return reduce(lambda a, b: a.unionByName(b), done)
+    """CRPS, log score and summaries of ensembles of any size; one row for each group.
+
+    ``y`` must be constant inside a group. Missing members are left out; an ensemble without
+    members keeps its row, unscored. ``hot_rows=None`` says that the producer bounds the group.
+    """
+    used = rows.select(*keys, *([y] if y else []), value)
+    logs = logs and y is not None
+    calm, busy = split_hot(used, keys, value, hot_rows)
+    scored = _score_arrays(calm, keys, value, y, summaries, logs)
+    if busy is None:
+        return scored
+    ranked = rank_in_slices(busy, keys, value, [y] if y else [])
+    return scored.unionByName(_score_slices(ranked, keys, value, y, summaries, logs))
 
 
 # --- parametric families ---------------------------------------------------------------------
