@@ -97,7 +97,7 @@ def incremental(spark, folder):
 
     def run():
         return incremental_score(
-            forecasts, targets, scores_path, log_path, AS_OF, LOOK_BACK, special_families=False, unit="month"
+            forecasts, targets, scores_path, log_path, AS_OF, LOOK_BACK, families=["normal"], unit="month"
         )
 
     run()
@@ -122,7 +122,7 @@ def stream_scores(spark, folder):
     targets = fx.targets(spark, folder)
 
     def score_batch(batch):
-        incremental_score(batch, targets, scores_path, log_path, AS_OF, LOOK_BACK, special_families=False, unit="month")
+        incremental_score(batch, targets, scores_path, log_path, AS_OF, LOOK_BACK, families=["normal"], unit="month")
 
     feeds.score_arrivals(stream, state, score_batch).awaitTermination()
     return spark.read.parquet(scores_path).groupBy("model_id").agg(

@@ -161,7 +161,9 @@ def family_cases(spark, folder):
 
 @query(f"select l_suppkey, family, {r('avg(crps)', 'crps')}, {r('avg(logs)', 'logs')} from ({FAMILY_SQL}) group by 1, 2")
 def crps_families(spark, folder):
-    scored = scoring.score_parametric(family_cases(spark, folder), special_families=False)
+    scored = scoring.score_parametric(
+        family_cases(spark, folder), ["lognormal", "logistic", "exponential", "uniform", "bernoulli"]
+    )
     return scored.groupBy("l_suppkey", "family").agg(F.avg("crps").alias("crps"), F.avg("logs").alias("logs"))
 
 
@@ -198,7 +200,7 @@ LOGS_SPECIAL = f"""
 
 @query(f"select family, y, cast(sum(n) as bigint) as n, {r('sum(n * logs) / sum(n)', 'logs')} from ({LOGS_SPECIAL}) group by 1, 2")
 def logs_special_families(spark, folder):
-    scored = scoring.score_parametric(special_cases(spark, folder), special_families=False)
+    scored = scoring.score_parametric(special_cases(spark, folder))
     return scored.groupBy("family", "y").agg(
         F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("logs")) / F.sum("n")).alias("logs")
     )
@@ -258,7 +260,7 @@ SCORE_COLUMNS = f"observation crps logs {SUMMARY}"
     ALL_MODELS, recursive=True), digits=3)
 def score_all(spark, folder):
     # The members of these models are numbered 1 to 31, so no group can be hot.
-    out = scoring.score(all_forecasts(spark, folder), fx.targets(spark, folder), special_families=False, hot_rows=None)
+    out = scoring.score(all_forecasts(spark, folder), fx.targets(spark, folder), families=["normal"], hot_rows=None)
     return out.select("model_id", "site_id", "reference_datetime", "datetime", "family", *SCORE_COLUMNS.split())
 
 
@@ -267,7 +269,7 @@ def score_all(spark, folder):
     union all select model_id, site_id, reference_datetime, datetime, 'sample', {SUMMARY.replace(' ', ', ')} from sampled)""",
     ALL_MODELS, recursive=True), digits=3)
 def forecast_summary(spark, folder):
-    out = scoring.summarize(all_forecasts(spark, folder), hot_rows=None)
+    out = scoring.summarize(all_forecasts(spark, folder), families=["normal"], hot_rows=None)
     return out.select("model_id", "site_id", "reference_datetime", "datetime", "family", *SUMMARY.split())
 
 
@@ -280,7 +282,7 @@ def score_by_depth(spark, folder):
     walk = baselines.persistence(targets, refs)
     depth = fx.default_depth(F.col("site_id"), fx.FOCAL_DEPTHS, fx.OTHER_DEPTH)
     rows = standard_format(baselines.normal_rows(walk), "Persistence", "normal", fx.VARIABLE, depth)
-    out = scoring.score(rows, targets, ["depth_m"], summaries=False, special_families=False, hot_rows=None)
+    out = scoring.score(rows, targets, ["depth_m"], summaries=False, families=["normal"], hot_rows=None)
     return out.select("site_id", "depth_m", "reference_datetime", "datetime", "crps")
 
 

@@ -55,7 +55,7 @@ def flagship(spark, folder):
     means = daily.daily_mean(fx.sensor(spark, folder), ["fdom"]).withColumnRenamed("fdom", "observation")
     walk = baselines.persistence(means, grid.issue_dates(means))
     wide = walk.join(means, ["site_id", "datetime"], "left").withColumn("family", F.lit("normal"))
-    scored = scoring.with_summaries(scoring.score_parametric(wide, special_families=False))
+    scored = scoring.with_summaries(scoring.score_parametric(wide, ["normal"]), ["normal"])
     table = evaluation.per_site_and_pooled(evaluation.with_horizon(scored), ["horizon"], evaluation.measures())
     return table.select("site_id", F.col("horizon").cast("long").alias("horizon"), "rmse", "mae", "crps", "sd")
 

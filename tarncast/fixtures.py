@@ -75,17 +75,18 @@ def monthly_refs(spark, folder) -> DataFrame:
 def driver_ensemble(spark, folder, refs, columns=tuple(DRIVER_NAMES), members: int = 31, horizon: int = 35) -> DataFrame:
     """Ensemble driver forecasts for each issue: the recorded day plus noise that grows with the horizon."""
     history = driver_history(spark, folder)
-    overall = history.agg(*[F.avg(c).alias(f"all_{c}") for c in columns])
     days = each_horizon(refs.select("site_id", "reference_datetime"), 0, horizon)
-    # ``overall`` is one row by construction.
-    based = days.join(history.select("datetime", *columns), "datetime", "left").join(F.broadcast(overall))
+    based = days.join(history.select("datetime", *columns), "datetime", "left")
+    based = based.select(
+        "site_id", "reference_datetime", "datetime", "horizon",
+        *[F.coalesce(F.col(c), history.agg(F.avg(c)).scalar()).alias(c) for c in columns],
+    )
     rows = each_member(spread(based, "site_id", "reference_datetime", "horizon"), members)
 
     def entry(column):
         key = draw_key(F.col("site_id"), F.col("reference_datetime"), F.col("member"), F.lit(column), F.col("horizon"))
         noise = 0.01 * F.col("horizon") * standard_normal(key)
-        value = F.coalesce(F.col(column), F.col(f"all_{column}")) + noise
-        return F.struct(F.lit(DRIVER_NAMES[column]).alias("variable"), value.alias("prediction"))
+        return F.struct(F.lit(DRIVER_NAMES[column]).alias("variable"), (F.col(column) + noise).alias("prediction"))
 
     return rows.withColumn("entry", F.explode(F.array(*[entry(c) for c in columns]))).select(
         "site_id", "reference_datetime", "datetime", F.col("member").alias("parameter"), "entry.variable", "entry.prediction"
@@ -161,6 +162,6 @@ def scored_models(spark, folder) -> DataFrame:
     """``model_forecasts`` with observations, scores, summaries and horizon."""
     obs = targets(spark, folder).select("site_id", "datetime", "observation")
     wide = model_forecasts(spark, folder).join(obs, ["site_id", "datetime"], "left")
-    scored = score_parametric(wide.withColumn("family", F.lit("normal")), special_families=False)
+    scored = score_parametric(wide.withColumn("family", F.lit("normal")), families=["normal"])
     names = ["site_id", "reference_datetime", "datetime", "model_id", "observation", "mu", "sigma", *SCORES, *SUMMARIES]
-    return with_model_type(with_horizon(with_summaries(scored).select(*names)), BASELINES.values())
+    return with_model_type(with_horizon(with_summaries(scored, ["normal"]).select(*names)), BASELINES.values())

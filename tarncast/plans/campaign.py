@@ -51,6 +51,6 @@ def run_campaign(forecasts: DataFrame, targets: DataFrame, forecast_path: str, s
     """
     spark = forecasts.sparkSession
     write_table(forecasts, forecast_path)
-    scored = score(spark.read.parquet(forecast_path), targets, special_families=False, hot_rows=None)
+    scored = score(spark.read.parquet(forecast_path), targets, families=["normal"], hot_rows=None)
     write_table(scored, score_path)
     return spark.read.parquet(score_path)

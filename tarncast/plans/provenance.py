@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarncast import schemas
-from tarncast.plans.scoring import score
+from tarncast.plans.scoring import FAMILIES, score
 from tarncast.sources.sinks import append, replace_partitions
 
 
@@ -83,7 +83,7 @@ def incremental_score(
     past_days: int = 365,
     extra_groups=(),
     hot_rows: int | None = None,
-    special_families: bool = True,
+    families=FAMILIES,
     unit: str = "day",
 ) -> int:
     """Score the groups whose id is not in the log; returns how many there were.
@@ -113,7 +113,7 @@ def incremental_score(
     averaged = due.groupBy(*[c for c in due.columns if c not in ("prediction", "date")]).agg(
         F.avg("prediction").alias("prediction")
     )
-    scored = score(averaged, targets, extra_groups, special_families=special_families, hot_rows=hot_rows)
+    scored = score(averaged, targets, extra_groups, families=families, hot_rows=hot_rows)
     replace_partitions(scored.withColumn("date", period(unit)), scores_path, ["model_id", "date"])
     entries = pending.select(today.alias("date"), "new_id", "model_id", "reference_date", "pub_date")
     append(entries, log_path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,9 @@ GROUPING = [
 PARAMETERS = [
     "mu", "sigma", "prob", "min", "max", "shape", "shape1", "shape2", "rate", "location", "scale", "lambda",
 ]
-SPECIAL = ["gamma", "beta", "poisson"]
+FAMILIES = (
+    "normal", "lognormal", "logistic", "exponential", "uniform", "bernoulli", "gamma", "beta", "poisson",
+)
 SCORES = ["crps", "logs"]
 # q95 and q05 bound the central 90% interval; some tables call them quantile90 and quantile10.
 SUMMARIES = ["mean", "median", "sd", "quantile97_5", "quantile02_5", "q95", "q05"]
@@ -101,25 +104,29 @@ def _bandwidth(sd: Column, iqr: Column, size: Column) -> Column:
     return F.when(width > 0, width)
 
 
-def _score_arrays(rows: DataFrame, keys: list[str], value: str, y: str | None, summaries: bool, logs: bool) -> DataFrame:
-    observed = [F.max(y).alias("observed")] if y else []
-    df = rows.groupBy(*keys).agg(
+def _pack(rows: DataFrame, keys: list[str], value: str, y: str | None) -> DataFrame:
+    """One row for each ensemble: its sorted members, mean and spread, and ``y`` if the rows have it."""
+    observed = [F.max(y).alias(y)] if y else []
+    return rows.groupBy(*keys).agg(
         F.sort_array(F.collect_list(value)).alias("xs"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), *observed
     )
-    df = df.withColumn("n", F.size("xs"))
+
+
+def _score_packed(packed: DataFrame, keys: list[str], y: str | None, summaries: bool, logs: bool) -> DataFrame:
+    df = packed.withColumn("n", F.size("xs"))
     out = list(keys)
     if y:
-        df = df.withColumn("crps", _array_crps("observed"))
-        out += [F.col("observed").alias(y), "crps"]
+        df = df.withColumn("crps", _array_crps(y))
+        out += [y, "crps"]
     if logs:
         df = df.withColumns(
             {
                 "width": _bandwidth(F.col("sd"), _array_quantile(0.75) - _array_quantile(0.25), F.col("n")),
-                "near": F.array_min(F.transform("xs", lambda x: F.abs(x - F.col("observed")))),
+                "near": F.array_min(F.transform("xs", lambda x: F.abs(x - F.col(y)))),
             }
         )
         kernels = F.expr(
-            "aggregate(xs, 0D, (a, x) -> a + exp((near * near - (x - observed) * (x - observed)) / (2 * width * width)))"
+            f"aggregate(xs, 0D, (a, x) -> a + exp((near * near - (x - {y}) * (x - {y})) / (2 * width * width)))"
         )
         out.append(_kernel_score(F.col("near"), kernels, F.col("width"), F.col("n")).alias("logs"))
     if summaries:
@@ -191,18 +198,24 @@ def score_samples(
     summaries: bool = True,
     logs: bool = True,
     hot_rows: int | None = HOT_ROWS,
+    attach: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """CRPS, log score and summaries of ensembles of any size; one row for each group.
 
-    ``y`` must be constant inside a group. Missing members are left out; an ensemble without
-    members keeps its row, unscored. ``hot_rows=None`` says that the producer bounds the group.
+    ``y`` must be constant inside a group. Where the rows do not have it yet, ``attach`` adds it:
+    after packing, so the join sees one row for each ensemble instead of one for each member.
+    Missing members are left out; an ensemble without members keeps its row, unscored.
+    ``hot_rows=None`` says that the producer bounds the group.
     """
-    used = rows.select(*keys, *([y] if y else []), value)
+    carried = y if y and attach is None else None
+    used = rows.select(*keys, *([carried] if carried else []), value)
     logs = logs and y is not None
     calm, busy = split_hot(used, keys, value, hot_rows)
-    scored = _score_arrays(calm, keys, value, y, summaries, logs)
+    packed = _pack(calm, keys, value, carried)
+    scored = _score_packed(attach(packed) if attach else packed, keys, y, summaries, logs)
     if busy is None:
         return scored
+    busy = attach(busy) if attach else busy
     ranked = rank_in_slices(busy, keys, value, [y] if y else [])
     return scored.unionByName(_score_slices(ranked, keys, value, y, summaries, logs))
 
@@ -210,111 +223,122 @@ def score_samples(
 # --- parametric families ---------------------------------------------------------------------
 
 
-def _by_family(choices: dict[str, Column]) -> Column:
-    out = None
+def _by_family(choices: dict[str, Callable[[], Column]], families) -> Column:
+    """One value for each family; a family that is not listed gives NULL."""
+    out = F.lit(None).cast("double")
     for family, value in choices.items():
-        is_it = F.col("family") == family
-        out = F.when(is_it, value) if out is None else out.when(is_it, value)
+        if family in families:
+            out = F.when(F.col("family") == family, value()).otherwise(out)
     return out
 
 
-def _closed_scores() -> dict[str, Column]:
-    y = F.col("observation")
-    p = {name: F.col(name) for name in PARAMETERS}
+def _parameter(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
+def _closed_scores(families) -> dict[str, Column]:
+    y, p = F.col("observation"), _parameter
     crps = {
-        "normal": scores.crps_normal(y, p["mu"], p["sigma"]),
-        "lognormal": scores.crps_lognormal(y, p["mu"], p["sigma"]),
-        "logistic": scores.crps_logistic(y, p["location"], p["scale"]),
-        "exponential": scores.crps_exponential(y, p["rate"]),
-        "uniform": scores.crps_uniform(y, p["min"], p["max"]),
-        "bernoulli": scores.crps_bernoulli(y, p["prob"]),
+        "normal": lambda: scores.crps_normal(y, p("mu"), p("sigma")),
+        "lognormal": lambda: scores.crps_lognormal(y, p("mu"), p("sigma")),
+        "logistic": lambda: scores.crps_logistic(y, p("location"), p("scale")),
+        "exponential": lambda: scores.crps_exponential(y, p("rate")),
+        "uniform": lambda: scores.crps_uniform(y, p("min"), p("max")),
+        "bernoulli": lambda: scores.crps_bernoulli(y, p("prob")),
     }
     logs = {
-        "normal": scores.logs_normal(y, p["mu"], p["sigma"]),
-        "lognormal": scores.logs_lognormal(y, p["mu"], p["sigma"]),
-        "logistic": scores.logs_logistic(y, p["location"], p["scale"]),
-        "exponential": scores.logs_exponential(y, p["rate"]),
-        "uniform": scores.logs_uniform(y, p["min"], p["max"]),
-        "bernoulli": scores.logs_bernoulli(y, p["prob"]),
-        "poisson": scores.logs_poisson(y, p["lambda"]),
-        "gamma": scores.logs_gamma(y, p["shape"], p["rate"]),
-        "beta": scores.logs_beta(y, p["shape1"], p["shape2"]),
+        "normal": lambda: scores.logs_normal(y, p("mu"), p("sigma")),
+        "lognormal": lambda: scores.logs_lognormal(y, p("mu"), p("sigma")),
+        "logistic": lambda: scores.logs_logistic(y, p("location"), p("scale")),
+        "exponential": lambda: scores.logs_exponential(y, p("rate")),
+        "uniform": lambda: scores.logs_uniform(y, p("min"), p("max")),
+        "bernoulli": lambda: scores.logs_bernoulli(y, p("prob")),
+        "poisson": lambda: scores.logs_poisson(y, p("lambda")),
+        "gamma": lambda: scores.logs_gamma(y, p("shape"), p("rate")),
+        "beta": lambda: scores.logs_beta(y, p("shape1"), p("shape2")),
     }
-    return {"crps": _by_family(crps), "logs": _by_family(logs)}
+    return {"crps": _by_family(crps, families), "logs": _by_family(logs, families)}
 
 
-def _summary_columns() -> dict[str, Column]:
+def _summary_columns(families) -> dict[str, Column]:
     """Closed-form summaries; NULL where a family has no closed form."""
-    c = {name: F.col(name) for name in PARAMETERS}
+    c = _parameter
     z = {"quantile97_5": Z_975, "quantile02_5": -Z_975, "q95": Z_95, "q05": -Z_95}
-    normal = {name: c["mu"] + z[name] * c["sigma"] if name in z else c["mu"] for name in LEVELS}
-    odds = {name: math.log(p / (1 - p)) for name, p in LEVELS.items()}
-    a, b = c["shape1"], c["shape2"]
-    sigma2 = c["sigma"] * c["sigma"]
+
+    def log_mean():
+        return F.exp(c("mu") + c("sigma") * c("sigma") / 2)
+
+    def total():
+        return c("shape1") + c("shape2")
+
     mean = {
-        "normal": c["mu"],
-        "lognormal": F.exp(c["mu"] + sigma2 / 2),
-        "logistic": c["location"],
-        "exponential": 1 / c["rate"],
-        "uniform": (c["min"] + c["max"]) / 2,
-        "bernoulli": c["prob"],
-        "poisson": c["lambda"],
-        "gamma": c["shape"] / c["rate"],
-        "beta": a / (a + b),
+        "normal": lambda: c("mu"),
+        "lognormal": log_mean,
+        "logistic": lambda: c("location"),
+        "exponential": lambda: 1 / c("rate"),
+        "uniform": lambda: (c("min") + c("max")) / 2,
+        "bernoulli": lambda: c("prob"),
+        "poisson": lambda: c("lambda"),
+        "gamma": lambda: c("shape") / c("rate"),
+        "beta": lambda: c("shape1") / total(),
     }
     sd = {
-        "normal": c["sigma"],
-        "lognormal": F.exp(c["mu"] + sigma2 / 2) * F.sqrt(F.expm1(sigma2)),
-        "logistic": c["scale"] * (math.pi / math.sqrt(3)),
-        "exponential": 1 / c["rate"],
-        "uniform": (c["max"] - c["min"]) / math.sqrt(12),
-        "bernoulli": F.sqrt(c["prob"] * (1 - c["prob"])),
-        "poisson": F.sqrt(c["lambda"]),
-        "gamma": F.sqrt(c["shape"]) / c["rate"],
-        "beta": F.sqrt(a * b / (a + b + 1)) / (a + b),
+        "normal": lambda: c("sigma"),
+        "lognormal": lambda: log_mean() * F.sqrt(F.expm1(c("sigma") * c("sigma"))),
+        "logistic": lambda: c("scale") * (math.pi / math.sqrt(3)),
+        "exponential": lambda: 1 / c("rate"),
+        "uniform": lambda: (c("max") - c("min")) / math.sqrt(12),
+        "bernoulli": lambda: F.sqrt(c("prob") * (1 - c("prob"))),
+        "poisson": lambda: F.sqrt(c("lambda")),
+        "gamma": lambda: F.sqrt(c("shape")) / c("rate"),
+        "beta": lambda: F.sqrt(c("shape1") * c("shape2") / (total() + 1)) / total(),
     }
-    out = {"mean": _by_family(mean), "sd": _by_family(sd)}
+    out = {"mean": _by_family(mean, families), "sd": _by_family(sd, families)}
     for name, p in LEVELS.items():
-        out[name] = _by_family(
-            {
-                "normal": normal[name],
-                "lognormal": F.exp(normal[name]),
-                "logistic": c["location"] + odds[name] * c["scale"],
-                "exponential": -math.log(1 - p) / c["rate"],
-                "uniform": c["min"] + p * (c["max"] - c["min"]),
-                "bernoulli": F.when(1 - c["prob"] >= p, 0.0).otherwise(1.0),
-            }
-        )
+
+        def normal(name=name):
+            return c("mu") + z[name] * c("sigma") if name in z else c("mu")
+
+        quantiles = {
+            "normal": normal,
+            "lognormal": lambda: F.exp(normal()),
+            "logistic": lambda p=p: c("location") + math.log(p / (1 - p)) * c("scale"),
+            "exponential": lambda p=p: -math.log(1 - p) / c("rate"),
+            "uniform": lambda p=p: c("min") + p * (c("max") - c("min")),
+            "bernoulli": lambda p=p: F.when(1 - c("prob") >= p, 0.0).otherwise(1.0),
+        }
+        out[name] = _by_family(quantiles, families)
     return out
 
 
-def with_summaries(wide: DataFrame) -> DataFrame:
+def _with_parameters(wide: DataFrame) -> DataFrame:
+    missing = [name for name in PARAMETERS if name not in wide.columns]
+    return wide.withColumns({name: F.lit(None).cast("double") for name in missing}) if missing else wide
+
+
+def with_summaries(wide: DataFrame, families=FAMILIES) -> DataFrame:
     """Add the distribution summaries to rows holding a family and its parameters."""
-    for name in PARAMETERS:
-        if name not in wide.columns:
-            wide = wide.withColumn(name, F.lit(None).cast("double"))
-    return wide.withColumns(_summary_columns())
+    return _with_parameters(wide).withColumns(_summary_columns(families))
 
 
-def score_parametric(wide: DataFrame, special_families: bool = True) -> DataFrame:
+def score_parametric(wide: DataFrame, families=FAMILIES) -> DataFrame:
     """Add ``crps`` and ``logs`` to rows holding an observation, a family and its parameters.
 
-    Gamma, beta and Poisson CRPS go through Arrow batches; only rows of those families do.
+    ``families`` names the families to score; any other row stays unscored. Gamma, beta and
+    Poisson CRPS go through Arrow batches, and only rows of those families do.
     """
-    for name in PARAMETERS:
-        if name not in wide.columns:
-            wide = wide.withColumn(name, F.lit(None).cast("double"))
-    closed = wide.withColumns(_closed_scores())
-    if not special_families:
+    closed = _with_parameters(wide).withColumns(_closed_scores(families))
+    y, p = F.col("observation"), _parameter
+    special = {
+        "gamma": lambda: incomplete.crps_gamma(y, p("shape"), p("rate")),
+        "beta": lambda: incomplete.crps_beta(y, p("shape1"), p("shape2")),
+        "poisson": lambda: incomplete.crps_poisson(y, p("lambda")),
+    }
+    chosen = [name for name in special if name in families]
+    if not chosen:
         return closed
-    y = F.col("observation")
-    parts = [closed.filter(~F.col("family").isin(*SPECIAL))]
-    for family, crps in {
-        "gamma": incomplete.crps_gamma(y, F.col("shape"), F.col("rate")),
-        "beta": incomplete.crps_beta(y, F.col("shape1"), F.col("shape2")),
-        "poisson": incomplete.crps_poisson(y, F.col("lambda")),
-    }.items():
-        parts.append(closed.filter(F.col("family") == family).withColumn("crps", crps))
+    parts = [closed.filter(~F.col("family").isin(*chosen))]
+    parts += [closed.filter(F.col("family") == name).withColumn("crps", special[name]()) for name in chosen]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -326,23 +350,33 @@ def score(
     target: DataFrame,
     extra_groups=(),
     summaries: bool = True,
-    special_families: bool = True,
+    families=FAMILIES,
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """CRPS and log score of every forecast in a long table, all families and models in one pass."""
+    """CRPS and log score of every forecast in a long table, all families and models in one pass.
+
+    Naming the parametric ``families`` that occur keeps the plan to what is needed.
+    """
     long = as_sample(forecast)
     keys = group_keys(long, extra_groups)
     names = [*keys, "observation", *SCORES, *(SUMMARIES if summaries else [])]
     parametric = parameters_wide(long.filter(F.col("family") != "sample"), keys, PARAMETERS)
-    scored = score_parametric(attach_observation(parametric, target, extra_groups), special_families)
+    scored = score_parametric(attach_observation(parametric, target, extra_groups), families)
     if summaries:
-        scored = with_summaries(scored)
-    rows = attach_observation(long.filter(F.col("family") == "sample"), target, extra_groups)
-    sampled = score_samples(rows, keys, summaries=summaries, hot_rows=hot_rows)
+        scored = with_summaries(scored, families)
+    sampled = score_samples(
+        long.filter(F.col("family") == "sample"),
+        keys,
+        summaries=summaries,
+        hot_rows=hot_rows,
+        attach=lambda df: attach_observation(df, target, extra_groups),
+    )
     return scored.select(*names).unionByName(sampled.select(*names))
 
 
-def summarize(forecast: DataFrame, extra_groups=(), hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def summarize(
+    forecast: DataFrame, extra_groups=(), families=FAMILIES, hot_rows: int | None = HOT_ROWS
+) -> DataFrame:
     """Distribution summaries without observations."""
     long = as_sample(forecast)
     keys = group_keys(long, extra_groups)
@@ -350,7 +384,7 @@ def summarize(forecast: DataFrame, extra_groups=(), hot_rows: int | None = HOT_R
     rows = long.filter(F.col("family") == "sample")
     sampled = score_samples(rows, keys, y=None, logs=False, hot_rows=hot_rows)
     return (
-        with_summaries(parametric)
+        with_summaries(parametric, families)
         .select(*keys, *SUMMARIES)
         .unionByName(sampled.select(*keys, *SUMMARIES))
     )

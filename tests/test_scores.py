@@ -100,7 +100,7 @@ def test_normal_score_is_the_limit_of_samples(spark):
     df = spark.createDataFrame([("g", float(v), 11.0) for v in x], "g string, prediction double, observation double")
     sampled = scoring.score_samples(df, ["g"], logs=False).first()["crps"]
     normal = spark.createDataFrame([("normal", 11.0, 10.0, 2.0)], "family string, observation double, mu double, sigma double")
-    assert sampled == pytest.approx(scoring.score_parametric(normal, False).first()["crps"], rel=0.02)
+    assert sampled == pytest.approx(scoring.score_parametric(normal, ["normal"]).first()["crps"], rel=0.02)
 
 
 def test_unusable_parameters_give_null(spark):

@@ -75,7 +75,7 @@ def test_only_new_or_changed_groups_are_scored(spark, tmp_path):
     scores, log = str(tmp_path / "scores"), str(tmp_path / "log")
 
     def run(forecasts, targets, as_of="2024-01-31", days=365):
-        return provenance.incremental_score(forecasts, targets, scores, log, as_of, days, special_families=False)
+        return provenance.incremental_score(forecasts, targets, scores, log, as_of, days, families=["normal"])
 
     assert run(forecasts_for(spark, [1, 2]), targets_for(spark)) == 4  # days 2 to 5
     assert run(forecasts_for(spark, [1, 2]), targets_for(spark)) == 0
