@@ -217,6 +217,7 @@ def ar_next_day_with(
         .filter(F.col("horizon").between(0, 1))
         .withColumn("rain_lag1", F.lag("rain").over(path))
         .filter(F.col("horizon") == 1)
+        .dropna(subset=["shortwave", "rain", "rain_lag1", "water_temp"])
     )
     state = targets.select("site_id", F.col("datetime").alias("reference_datetime"), "observation")
     seen = extra.select("site_id", F.col("datetime").alias("reference_datetime"), F.col(name).alias(lagged))
@@ -224,11 +225,11 @@ def ar_next_day_with(
     value = predict(F.col("draw"), [F.col(t) for t in terms]) + process_noise(F.col("sigma"))
     ready = (
         _with_draws(rows, fits, 7, members)
-        .join(state, SITE_REF)
-        .join(seen, SITE_REF)
+        .join(state.dropna(), SITE_REF)
+        .join(seen.dropna(), SITE_REF)
         .withColumn("start_value", initial_draw(F.col("observation"), initial_sd))
     )
-    return _members(ready.withColumn("prediction", value).filter(F.col("prediction").isNotNull()))
+    return _members(ready.withColumn("prediction", value))
 
 
 def linear_forecast(
