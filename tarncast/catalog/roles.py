@@ -334,8 +334,24 @@ def climatology_ctes(refs: str = "refs_day"):
 
 
 def sample_ctes(source: str, keys: str, name: str = "sampled", logs: bool = True):
-    """Scores and summaries of the ensembles in ``source`` (keys, prediction, observation)."""
+    """Scores and summaries of the ensembles in ``source`` (keys, prediction, observation).
+
+    An ensemble with a missing member keeps its row, unscored.
+    """
     d = "(prediction - observation)"
+    results = ["crps", "mean", "median", "sd", "quantile97_5", "quantile02_5", "q95", "q05"] + (["logs"] if logs else [])
+    whole = ", ".join(f"case when whole then {c} end as {c}" for c in results)
+    last = [
+        (
+            f"{name}_groups",
+            f"""select {keys}, any_value(observation) as observation, count(*) = count(prediction) as whole
+            from {source} group by {keys}""",
+        ),
+        (
+            name,
+            f"""select {keys}, g.observation, {whole} from {name}_groups g left join {name}_known k using ({keys})""",
+        ),
+    ]
     steps = [
         (
             f"{name}_stats",
@@ -354,7 +370,7 @@ def sample_ctes(source: str, keys: str, name: str = "sampled", logs: bool = True
         ),
     ]
     if not logs:
-        return steps + [(name, f"select * from {name}_stats join {name}_crps using ({keys})")]
+        return steps + [(f"{name}_known", f"select * from {name}_stats join {name}_crps using ({keys})")] + last
     return steps + [
         (
             f"{name}_width",
@@ -367,11 +383,11 @@ def sample_ctes(source: str, keys: str, name: str = "sampled", logs: bool = True
             where x.prediction is not null group by {keys}""",
         ),
         (
-            name,
+            f"{name}_known",
             f"""select *, (nearest / width) ^ 2 / 2 - ln(kernels / n) + ln(width) + {0.5 * math.log(2 * math.pi)!r} as logs
             from {name}_width join {name}_crps using ({keys}) join {name}_kernels using ({keys})""",
         ),
-    ]
+    ] + last
 
 
 Z_975, Z_95 = 1.959963984540054, 1.644853626951472

@@ -86,7 +86,7 @@ def _array_crps(y: str) -> Column:
     """Sorted form of E|X - y| - E|X - X'| / 2, linear in the members."""
     terms = f"transform(xs, (x, i) -> (x - {y}) * (if(x > {y}, n, 0) - i - 0.5D))"
     total = F.expr(f"aggregate({terms}, 0D, (a, v) -> a + v)")
-    return F.when(F.col("n") > 0, 2 * total / F.col("n") / F.col("n"))
+    return 2 * total / F.col("n") / F.col("n")
 
 
 def _kernel_score(near: Column, kernels: Column, width: Column, size: Column) -> Column:
@@ -105,16 +105,23 @@ def _bandwidth(sd: Column, iqr: Column, size: Column) -> Column:
 
 
 def _pack(rows: DataFrame, keys: list[str], value: str, y: str | None) -> DataFrame:
-    """One row for each ensemble: its sorted members, mean and spread, and ``y`` if the rows have it."""
+    """One row for each ensemble: its sorted members, size, mean and spread, and ``y`` if the rows have it.
+
+    All are NULL where a member is missing.
+    """
     observed = [F.max(y).alias(y)] if y else []
-    return rows.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(value)).alias("xs"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), *observed
-    )
+    whole = F.count(value) == F.count(F.lit(1))
+    members = {
+        "xs": F.sort_array(F.collect_list(value)),
+        "n": F.count(value).cast("int"),
+        "mean": F.avg(value),
+        "sd": F.stddev_samp(value),
+    }
+    return rows.groupBy(*keys).agg(*[F.when(whole, c).alias(name) for name, c in members.items()], *observed)
 
 
 def _score_packed(packed: DataFrame, keys: list[str], y: str | None, summaries: bool, logs: bool) -> DataFrame:
-    df = packed.withColumn("n", F.size("xs"))
-    out = list(keys)
+    df, out = packed, list(keys)
     if y:
         df = df.withColumn("crps", _array_crps(y))
         out += [y, "crps"]
@@ -204,8 +211,8 @@ def score_samples(
 
     ``y`` must be constant inside a group. Where the rows do not have it yet, ``attach`` adds it:
     after packing, so the join sees one row for each ensemble instead of one for each member.
-    Missing members are left out; an ensemble without members keeps its row, unscored.
-    ``hot_rows=None`` says that the producer bounds the group.
+    An ensemble with a missing member keeps its row, unscored. ``hot_rows=None`` says that the
+    producer bounds the group.
     """
     carried = y if y and attach is None else None
     used = rows.select(*keys, *([carried] if carried else []), value)
@@ -217,7 +224,19 @@ def score_samples(
         return scored
     busy = attach(busy) if attach else busy
     ranked = rank_in_slices(busy, keys, value, [y] if y else [])
-    return scored.unionByName(_score_slices(ranked, keys, value, y, summaries, logs))
+    sliced = _score_slices(ranked, keys, value, y, summaries, logs)
+    return scored.unionByName(_only_whole(sliced, busy, keys, value, y))
+
+
+def _only_whole(scored: DataFrame, rows: DataFrame, keys: list[str], value: str, y: str | None) -> DataFrame:
+    """Scores of ensembles with a missing member set to NULL."""
+    gaps = rows.groupBy(*[F.col(k).alias(f"g_{k}") for k in keys]).agg(
+        (F.count(value) == F.count(F.lit(1))).alias("whole")
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"g_{k}")) for k in keys]
+    kept = [*keys, *([y] if y else [])]
+    results = [F.when(F.col("whole"), F.col(c)).alias(c) for c in scored.columns if c not in kept]
+    return scored.join(gaps, same).select(*kept, *results)
 
 
 # --- parametric families ---------------------------------------------------------------------

@@ -128,3 +128,15 @@ def test_score_keeps_unobserved_forecasts_and_all_families(spark):
     old = scoring.interval_names(scoring.score(forecast, target))
     assert {"quantile90", "quantile10"} <= set(old.columns)
     assert scoring.summarize(forecast).count() == 3
+
+
+@pytest.mark.parametrize("hot_rows", [None, 3])
+def test_a_missing_member_leaves_the_ensemble_unscored(spark, hot_rows):
+    rows = [("a", float(i), 2.0) for i in range(8)] + [("a", None, 2.0)] + [("b", float(i), 2.0) for i in range(8)] + [("c", None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, prediction double, observation double")
+    got = {r["g"]: r for r in scoring.score_samples(df, ["g"], hot_rows=hot_rows).collect()}
+    assert set(got) == {"a", "b", "c"}
+    for g in ("a", "c"):
+        assert got[g]["observation"] == 2.0
+        assert all(got[g][c] is None for c in ("crps", "logs", "mean", "median", "sd", "q95"))
+    assert got["b"]["crps"] == pytest.approx(brute_crps(range(8), 2.0))
