@@ -5,9 +5,8 @@ from pyspark.sql import functions as F
 from tarncast import fixtures as fx
 from tarncast.catalog.registry import query
 from tarncast.catalog.roles import climatology_ctes, persistence_ctes, r, with_
-from tarncast.plans import baselines
+from tarncast.plans import baselines, provenance
 from tarncast.plans.common import standard_format
-from tarncast.plans.provenance import incremental_score, read_log
 from tarncast.session import work_path
 from tarncast.sources.sinks import write_table
 from tarncast.streaming import feeds
@@ -88,7 +87,7 @@ INCREMENTAL = persistence_ctes("refs_month") + climatology_ctes("refs_month") +
 
 @query(with_("refs_month targets", """select model_id, forecasts, observed, (select count(*) from groups_ x where x.model_id = r.model_id) as groups,
     0::bigint as second_run from rows_ r""", INCREMENTAL))
-def incremental(spark, folder):
+def incremental_score(spark, folder):
     """Score everything once; a second run over the same tables must find nothing to do."""
     scores_path, log_path = work_path(spark, "scores"), work_path(spark, "log")
     stored = work_path(spark, "published")
@@ -96,7 +95,7 @@ def incremental(spark, folder):
     forecasts, targets = spark.read.parquet(stored), fx.targets(spark, folder)
 
     def run():
-        return incremental_score(
+        return provenance.incremental_score(
             forecasts, targets, scores_path, log_path, AS_OF, LOOK_BACK, families=["normal"], unit="month"
         )
 
@@ -105,7 +104,7 @@ def incremental(spark, folder):
     scored = spark.read.parquet(scores_path).groupBy("model_id").agg(
         F.count(F.lit(1)).alias("forecasts"), F.count("observation").alias("observed")
     )
-    groups = read_log(spark, log_path).groupBy("model_id").agg(F.count(F.lit(1)).alias("groups"))
+    groups = provenance.read_log(spark, log_path).groupBy("model_id").agg(F.count(F.lit(1)).alias("groups"))
     return scored.join(groups, "model_id").withColumn("second_run", F.lit(second).cast("long"))
 
 
@@ -122,7 +121,9 @@ def stream_scores(spark, folder):
     targets = fx.targets(spark, folder)
 
     def score_batch(batch):
-        incremental_score(batch, targets, scores_path, log_path, AS_OF, LOOK_BACK, families=["normal"], unit="month")
+        provenance.incremental_score(
+            batch, targets, scores_path, log_path, AS_OF, LOOK_BACK, families=["normal"], unit="month"
+        )
 
     feeds.score_arrivals(stream, state, score_batch).awaitTermination()
     return spark.read.parquet(scores_path).groupBy("model_id").agg(

@@ -82,7 +82,9 @@ def read_updates(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
 def score_arrivals(arrivals: DataFrame, checkpoint: str, score_batch: Callable[[DataFrame], object]) -> StreamingQuery:
     """Run the incremental scorer on every batch of newly arrived forecasts.
 
-    The scorer skips groups it has logged, so a repeated batch scores nothing twice.
+    The scorer skips groups it has logged, so a repeated batch scores nothing twice. It replaces
+    the stored scores of a group, so ``score_batch`` must see all forecasts of the groups it is
+    given: let arrivals carry whole groups, or let it read their other forecasts from the archive.
     """
 
     def on_batch(batch: DataFrame, number: int) -> None:
