@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarncast.llm import exact_dedup
+from tarncast.llm import exact_dedup, jaccard_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,8 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op10_exact_dedup(spark, folder):
     return exact_dedup.equal_groups(documents(spark, folder))
+
+
+@query()
+def op7_ngram_jaccard(spark, folder):
+    return jaccard_join.near_duplicates(documents(spark, folder))
