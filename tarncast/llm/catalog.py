@@ -5,10 +5,12 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarncast.llm import exact_dedup, jaccard_join
+from tarncast.llm import chat, decontaminate, exact_dedup, jaccard_join, line_dedup, packing, quality, records, suffix_dedup, toxicity
+from tarncast.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +47,55 @@ def op10_exact_dedup(spark, folder):
 @query()
 def op7_ngram_jaccard(spark, folder):
     return jaccard_join.near_duplicates(documents(spark, folder))
+
+
+@query()
+def op1_decontamination(spark, folder):
+    return decontaminate.find_leaks(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+@query()
+def op2_best_fit_packing(spark, folder):
+    return packing.pack(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query()
+def op3_binary_records(spark, folder):
+    records_path, index = work_path(spark, "records"), work_path(spark, "index")
+    records.write_records(documents(spark, folder), records_path, public_tokenizers.path("word_bpe_49k.json"))
+    records.write_index(spark, records_path, index)
+    return records.read_index(spark, index)
+
+
+def share_of(ids: str, parts: int, part: int):
+    """Whether crc32 of the id as text leaves ``part`` when divided by ``parts``."""
+    return F.crc32(F.col(ids).cast("string")) % parts == part
+
+
+@query()
+def op4_toxicity(spark, folder):
+    return toxicity.score(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"), "toxic", share_of("doc_id", 3, 1))
+
+
+@query()
+def op5_chat_format(spark, folder):
+    turns = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))], "conv_id bigint, turn bigint, role string, text string")
+    path = work_path(spark, "chat")
+    chat.format_conversations(turns.unionByName(own)).write.parquet(path)
+    return chat.digest_conversations(spark.read.schema(chat.SEGMENT).parquet(path))
+
+
+@query()
+def op6_line_dedup(spark, folder):
+    return line_dedup.clean_lines(documents(spark, folder)).drop("kept")
+
+
+@query()
+def op8_quality(spark, folder):
+    return quality.score(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"), "quality", share_of("doc_id", 4, 2))
+
+
+@query()
+def op9_suffix_dedup(spark, folder):
+    return suffix_dedup.repeated_passages(documents(spark, folder)).drop("kept")

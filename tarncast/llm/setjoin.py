@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarncast.llm.words import mix, text_batches
-from tarncast.session import work_path
+from tarncast.session import durable, work_path
 
 NULL_ID = -(1 << 63)
 SKETCH_BITS = 16
@@ -105,7 +105,8 @@ def _unpack(values: list[bytes], *kinds: str) -> list[np.ndarray]:
 def post(docs: DataFrame, items: Items, order: tuple[np.ndarray, int], like: Similarity, grouped: bool) -> tuple[DataFrame, DataFrame]:
     """Token lists of two groups or more, and one row for each item that has tokens.
 
-    Lists: tok, g, n, rem. Items: id, part, n, sid (128-bit name of the set), g (64-bit name of its
+    Lists: tok, g, n, rem. ``tok`` names all tokens that have the same groups, with the largest ``rem`` of each.
+    Items: id, part, n, sid (128-bit name of the set), g (64-bit name of its
     group). A group is the items of one size and one prefix if ``grouped``, else of one set. Two
     groups under one g only bring more candidates. Both tables are stored in the shared folder.
     """
@@ -169,7 +170,6 @@ def post(docs: DataFrame, items: Items, order: tuple[np.ndarray, int], like: Sim
 
     def lists(table: pa.Table) -> pa.Table:
         blobs = [value for value in table.column("blob").to_pylist() if value is not None]
-        bucket = table.column("bucket")[0].as_py()
         tok, g, n, rem = _unpack(blobs, *kinds) if blobs else [np.zeros(0, dtype=kind) for kind in kinds]
         by = np.lexsort((g, n, tok))
         tok, g, n, rem = tok[by], g[by], n[by], rem[by]
@@ -191,9 +191,14 @@ def post(docs: DataFrame, items: Items, order: tuple[np.ndarray, int], like: Sim
                 for value in np.unique(tok[far]):
                     useful[np.searchsorted(tok, value, "left") : np.searchsorted(tok, value, "right")] = True
         tok, g, n, rem = tok[useful], g[useful], n[useful], rem[useful]
-        found = pa.table(
-            {"tok": pa.array(tok.astype(np.int64) | (bucket << 32)), "g": pa.array(g), "n": pa.array(n), "rem": pa.array(rem), "items": pa.nulls(len(tok), table.schema.field("items").type)}
-        )
+        if len(tok):  # tokens of equal members are one list: its name is a sum over its members
+            new = np.concatenate([[True], tok[1:] != tok[:-1]])
+            names = mix(np.add.reduceat(mix(g.view(np.uint64)), np.flatnonzero(new)))[np.cumsum(new) - 1]
+            by = np.lexsort((g, names))
+            names, g, n, rem = names[by], g[by], n[by], rem[by]
+            starts = np.flatnonzero(np.concatenate([[True], (names[1:] != names[:-1]) | (g[1:] != g[:-1])]))
+            tok, g, n, rem = names[starts].view(np.int64), g[starts], n[starts], np.maximum.reduceat(rem, starts)
+        found = pa.table({"tok": pa.array(tok.astype(np.int64)), "g": pa.array(g), "n": pa.array(n), "rem": pa.array(rem), "items": pa.nulls(len(tok), table.schema.field("items").type)})
         packed = table.column("items").drop_null()
         empty = [pa.nulls(len(packed), kind) for kind in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
         return pa.concat_tables([found, pa.table([*empty, packed], schema=found.schema)])
@@ -204,7 +209,7 @@ def post(docs: DataFrame, items: Items, order: tuple[np.ndarray, int], like: Sim
     posted.groupBy("bucket").applyInArrow(lists, f"tok bigint, g bigint, n int, rem int, items {item}").write.parquet(path)
     stored = docs.sparkSession.read.schema(f"tok bigint, g bigint, n int, rem int, items {item}").parquet(path)
     return (
-        stored.filter("items is null").select("tok", "g", "n", "rem"),
+        durable(stored.filter("items is null").groupBy("tok", "g").agg(F.first("n").alias("n"), F.max("rem").alias("rem"))),
         stored.filter("items is not null").select(F.explode("items").alias("x")).select("x.*"),
     )
 

@@ -50,8 +50,8 @@ def power_table(base: int, count: int) -> np.ndarray:
     return table[:count]
 
 
-def _hash_segment(segment: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words of one segment that ends with a space."""
+def _hash_segment(segment: np.ndarray, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Starts and hashes of the words of one segment that ends with a space, and hashes of their first bytes."""
     blank = SPACE[segment]
     edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     if not blank[0]:
@@ -59,14 +59,21 @@ def _hash_segment(segment: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     starts, ends = edge[0::2], edge[1::2]
     sums = np.zeros(len(segment) + 1, dtype=np.uint64)
     np.cumsum(BYTE_VALUES[LOWER[segment]] * power_table(BASE, len(segment)), out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * power_table(BASE_INVERSE, len(segment))[starts]
-    return starts, ends, mix(hashes + (ends - starts).astype(np.uint64) * PLACES[14])
+    back = power_table(BASE_INVERSE, len(segment))[starts]
+    hashes = [mix((sums[last] - sums[starts]) * back + (last - starts).astype(np.uint64) * PLACES[14]) for last in (ends, *(np.minimum(ends, starts + stem) for stem in stems))]
+    return starts, hashes[0], hashes[1:]
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and where each text's words begin and end (len(texts) + 1 bounds)."""
+    hashes, _, bounds = word_features(texts)
+    return hashes, bounds
+
+
+def word_features(texts: list[bytes], stems: tuple[int, ...] = ()) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Hashes of all words in order, for each length in ``stems`` of their first bytes, and the texts' bounds."""
     buffer = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    starts, hashes, at = [], [], 0
+    starts, hashes, firsts, at = [], [], [[] for _ in stems], 0
     while at < len(buffer):
         end = min(at + SEGMENT, len(buffer))
         cut = end
@@ -76,14 +83,16 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
                 end = min(end + SEGMENT, len(buffer))
                 blanks = np.flatnonzero(SPACE[buffer[at:end]])
             cut = at + int(blanks[-1]) + 1
-        first, _, found = _hash_segment(buffer[at:cut])
+        first, found, parts = _hash_segment(buffer[at:cut], stems)
         starts.append(first + at)
         hashes.append(found)
+        for own, part in zip(firsts, parts, strict=True):
+            own.append(part)
         at = cut
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     text_ends = np.cumsum(lengths + 1)
     bounds = np.concatenate([[0], np.searchsorted(np.concatenate(starts), text_ends, "left")])
-    return np.concatenate(hashes), bounds
+    return np.concatenate(hashes), [np.concatenate(own) for own in firsts], bounds
 
 
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
