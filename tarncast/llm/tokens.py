@@ -41,7 +41,7 @@ class WordIds(dict):
         if found is None:
             if len(self.pieces) >= CACHE_WORDS:
                 self.pieces.clear()
-            text = piece if piece.isascii() else "".join(self.letters[byte] for byte in piece.encode())
+            text = piece if piece.isascii() and piece.isprintable() else "".join(self.letters[byte] for byte in piece.encode())
             found = self.pieces[piece] = tuple(token.id for token in self.model.tokenize(text))
         return found
 
