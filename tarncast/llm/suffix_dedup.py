@@ -20,6 +20,7 @@ while its k-mer occurs again, is compared byte for byte with the others of its k
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterable, Iterator
 
@@ -33,7 +34,8 @@ from tarncast.session import durable, work_path
 
 BUCKET_ROWS = 400_000
 SMALL = 12
-GROUP_CONTEXTS = 2_000
+GROUP_CONTEXTS = 20_000
+PAIRED = 6
 SECOND = int(PLACES[13])
 SECOND_INVERSE = pow(SECOND, -1, 1 << 64)
 
@@ -55,7 +57,7 @@ def places(buffer: np.ndarray, starts: np.ndarray, length: int, stride: int) ->
     count = len(buffer) - k + 1
     inverse = power_table(BASE_INVERSE, len(buffer) + 1)
     kmers = mix((sums[k : k + count] - sums[:count]) * inverse[:count])
-    bits = np.uint64(max(1, int(count).bit_length()))
+    bits = np.uint64(max(24, int(count).bit_length()))  # the same for every buffer but of a text of over 16 MB
     keys = (kmers >> bits << bits) | np.arange(count, dtype=np.uint64)
     # The least key of each stride: the least of a block's tail and of the next block's head.
     padded = np.full(-(-count // stride) * stride, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -134,12 +136,15 @@ def multikey_quicksort(characters: list[np.ndarray]) -> np.ndarray:
 
 
 OCCURRENCE = "id bigint, tag bigint, at int, kmer bigint, ctx bigint, ctx2 bigint, state int"
-#: What a bucket says of an occurrence: all of its context is covered; to be compared in detail; at a bucket's end.
-COVERED, OPEN, EDGE = 0, 1, 2
+#: What a bucket says of an occurrence: all of its context is covered; to be compared in detail; alone of its context in
+#: a run at the bucket's end; one for several of its context there.
+COVERED, OPEN, EDGE, EDGES = 0, 1, 2, 3
 
 
 def sort_buckets(rows: DataFrame, buckets: int) -> DataFrame:
-    """Occurrences whose k-mer occurs again, with a state; the first and last run of a bucket are EDGE rows."""
+    """Occurrences whose k-mer occurs again, with a state. A context that occurs twice in its bucket is settled there; of the
+    first and last run of a bucket one row for each context goes on as EDGE or EDGES.
+    """
 
     def settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
@@ -157,12 +162,12 @@ def sort_buckets(rows: DataFrame, buckets: int) -> DataFrame:
         run_size, own_size = np.bincount(run)[run], np.bincount(own)[own]
         contexts = np.bincount(run[new_ctx])[run]
         edge = (run == 0) | (run == run[-1])
-        state = np.where(edge, EDGE, np.where(own_size > 1, COVERED, OPEN))
+        state = np.where(own_size > 1, COVERED, np.where(edge, EDGE, OPEN))
         kept = edge | (run_size > 1)
-        # One of a repeated context also stands for it where its k-mer has other contexts.
-        extra = np.flatnonzero(~edge & new_ctx & (own_size > 1) & (contexts > 1))
+        # One of a repeated context also stands for it where its k-mer has, or may have, other contexts.
+        extra = np.flatnonzero(new_ctx & (own_size > 1) & (edge | (contexts > 1)))
         at = np.concatenate([np.flatnonzero(kept), extra])
-        states = np.concatenate([state[kept], np.full(len(extra), OPEN)])
+        states = np.concatenate([state[kept], np.where(edge[extra], EDGES, OPEN)])
         picked = table.take(pa.array(order[at]))
         yield from (
             pa.table([picked.column(name) for name in ("id", "tag", "at", "kmer", "ctx", "ctx2")] + [pa.array(states, pa.int32())], names=["id", "tag", "at", "kmer", "ctx", "ctx2", "state"])
@@ -174,24 +179,43 @@ def sort_buckets(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def merge_edges(found: DataFrame) -> DataFrame:
-    """Settle the EDGE rows by counting over all buckets: partial aggregates, so a run over many buckets is cheap."""
-    edge = found.filter(F.col("state") == EDGE).drop("state")
-    classes = edge.groupBy("kmer", "ctx", "ctx2").agg(F.count("*").alias("own"), F.min(F.struct("id", "tag", "at")).alias("one"))
+    """Settle the rows of runs at buckets' ends by counting over all buckets, one row for each context and bucket."""
+    edge = found.filter(F.col("state") >= EDGE)
+    classes = edge.groupBy("kmer", "ctx", "ctx2").agg(F.sum(F.when(F.col("state") == EDGES, 2).otherwise(1)).alias("own"), F.min(F.struct("id", "tag", "at")).alias("one"))
     kmers = classes.groupBy("kmer").agg(F.sum("own").alias("run"), F.count("*").alias("contexts"))
     classes = durable(classes.join(kmers, "kmer").filter("run > 1"))
-    members = edge.join(classes.filter("own > 1").select("kmer", "ctx", "ctx2"), ["kmer", "ctx", "ctx2"]).withColumn("state", F.lit(COVERED))
+    alone = edge.filter(F.col("state") == EDGE).drop("state")
+    members = alone.join(classes.filter("own > 1").select("kmer", "ctx", "ctx2"), ["kmer", "ctx", "ctx2"]).withColumn("state", F.lit(COVERED))
     one = classes.filter("contexts > 1").select("one.*", "kmer", "ctx", "ctx2", F.lit(OPEN).alias("state"))
     names = [part.split()[0] for part in OCCURRENCE.split(", ")]
     return members.select(names).unionByName(one.select(names))
 
 
+def agreement(a: bytes, b: bytes) -> int:
+    """Length of the common beginning."""
+    size = min(len(a), len(b))
+    a, b = a[:size], b[:size]
+    if a == b:
+        return size
+    return int((np.frombuffer(a, np.uint8) != np.frombuffer(b, np.uint8)).argmax())
+
+
 def compare_group(contexts: list[tuple[bytes, int]], length: int, k: int) -> list[list[tuple[int, int]]]:
     """For each (context, place in it) of one k-mer the covered runs as (first, last) places in the context.
 
-    Windows that begin the same distance before the place are compared as whole strings.
+    A few contexts are compared by pairs: how far both sides agree. Of more, the windows that begin the same distance before the
+    place are compared as whole strings.
     """
     marks = [np.zeros(len(text) + 1, dtype=np.int32) for text, _ in contexts]
-    for back in range(length - k + 1):
+    if len(contexts) <= PAIRED:
+        for (one, (a, at)), (two, (b, place)) in itertools.combinations(enumerate(contexts), 2):
+            right = agreement(a[at:], b[place:])
+            left = agreement(a[:at][::-1], b[:place][::-1])
+            if left + right >= length:
+                for which, middle in ((one, at), (two, place)):
+                    marks[which][middle - left] += 1
+                    marks[which][middle + right] -= 1
+    for back in range(length - k + 1 if len(contexts) > PAIRED else 0):
         seen: dict[bytes, int] = {}
         for at, (text, place) in enumerate(contexts):
             begin = place - back
@@ -267,7 +291,7 @@ def compare_contexts(docs: DataFrame, opened: DataFrame, length: int, stride: in
     crowded = sized.filter(F.col("size") > GROUP_CONTEXTS).withColumn("begin", begin)
     windows = crowded.withColumn("back", F.explode(F.sequence(F.lit(0), F.lit(length - k)))).withColumn("from", F.col("at") - F.col("back"))
     windows = windows.filter((F.col("from") >= F.col("begin")) & (F.col("from") - F.col("begin") + length <= F.octet_length("context")))
-    windows = windows.select("id", "tag", "from", F.sha2(F.substring("context", F.col("from") - F.col("begin") + 1, F.lit(length)), 256).alias("window"))
+    windows = windows.select("id", "tag", "from", F.sha2(F.substring("context", F.col("from") - F.col("begin") + 1, F.lit(length)), 256).alias("window")).distinct()  # two places may bring one window
     often = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
     more = windows.join(often, "window").select("id", "tag", F.col("from").alias("first"), (F.col("from") + length).alias("last"))
     return runs.unionByName(more)
@@ -293,7 +317,7 @@ def repeated_passages(docs: DataFrame, length: int = 400, stride: int | None = N
     path = work_path(spark, "runs")
     sort_buckets(rows, max(2, math.ceil(rows.count() / BUCKET_ROWS))).write.parquet(path)
     found = spark.read.schema(OCCURRENCE).parquet(path)
-    settled = durable(found.filter(F.col("state") != EDGE).unionByName(merge_edges(found)))
+    settled = durable(found.filter(F.col("state") < EDGE).unionByName(merge_edges(found)))
     covered = settled.filter(F.col("state") == COVERED).select("id", "tag", F.greatest(F.lit(0), F.col("at") - (length - k)).alias("first"), (F.col("at") + length).alias("last"))
     detail = compare_contexts(docs, settled.filter(F.col("state") == OPEN), length, stride)
     runs = covered.unionByName(detail).groupBy("id", "tag").agg(F.collect_set(F.struct("first", "last")).alias("runs"))  # at most a text's places
