@@ -11,22 +11,20 @@ block, so that a group of near copies of any size is never written out as pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarncast.llm.components import components
-from tarncast.llm.setjoin import NULL_ID, Similarity, fetch, post, rarity, verify_clusters, verify_pairs
-from tarncast.llm.words import shingle_sets
+from tarncast.llm.setjoin import NULL_ID, Similarity, fetch, post, rarity, settle, verify_pairs
+from tarncast.llm.words import shingles
 from tarncast.session import durable
 
 
 def document_items(words: int):
-    def items(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
-        for row, tokens in enumerate(shingle_sets(texts, words)):
-            yield row, 0, tokens
+    def items(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        rows = np.arange(len(texts))
+        return *shingles(texts, words, short=True), rows, np.zeros_like(rows)
 
     return items
 
@@ -68,10 +66,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, like: Similarity | None = N
 
     # Every set of a list, or of a group of several sets, may have to be verified.
     spread = (
-        lists.select("tok", "g")
-        .unionByName(crowd.select((-F.abs(F.xxhash64("g"))).alias("tok"), "g"))
+        lists.select("tok", "g", "rem")
+        .unionByName(crowd.select((-F.abs(F.xxhash64("g"))).alias("tok"), "g", F.lit(None).cast("int").alias("rem")))
         .join(sets, "g")
-        .select("tok", "sid", "n", "id")
+        .select("tok", "sid", "n", F.coalesce("rem", "n").alias("rem"), "id")
     )
     spread = durable(spread)
     arrays = fetch(docs, items, spread.select("id", "sid").distinct())
@@ -81,11 +79,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, like: Similarity | None = N
     # What still spans components.
     placed = spread.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     open_lists = placed.groupBy("tok").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("sid").alias("centre")).filter("low <> high")
-    rest = durable(placed.join(open_lists.select("tok", "centre"), "tok").select("sid", "n", "label", "centre").distinct())
-    clusters = components(rest.select(F.col("sid").alias("a"), F.col("centre").alias("b")).distinct())
-    members = rest.select("sid", "n", F.col("label").alias("note")).distinct().join(clusters.select(F.col("node").alias("sid"), F.col("label").alias("cluster")), "sid")
-    more = verify_clusters(members, arrays, like, differing, "a binary, b binary")
-    labels = components(links.unionByName(more))
+    rest = placed.join(open_lists.select("tok", "centre"), "tok").select("tok", "sid", "n", "rem", "centre", F.col("label").alias("note"))
+    more = durable(settle(rest, arrays, like, lambda a, b: a != b, differing))
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
 
     named = sets.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     lowest = named.groupBy("label").agg(F.min("id").alias("component_id"))

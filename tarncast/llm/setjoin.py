@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarncast.llm.components import components
 from tarncast.llm.words import mix, text_batches
 from tarncast.session import durable, work_path
 
@@ -27,8 +28,8 @@ SHIFTS = 48
 UNIT_SETS = 200
 UNIT_TOKENS = 1 << 19
 
-#: From the texts of a slice: for each item the row it is in, its part of the row, and its sorted distinct hashes.
-Items = Callable[[list[bytes]], Iterator[tuple[int, int, np.ndarray]]]
+#: From the texts of a slice: token hashes with repeats, the item of each (ascending), and each item's row and part of the row.
+Items = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
 @dataclass(frozen=True)
@@ -41,8 +42,9 @@ class Similarity:
     def linked(self, shared, a, b):
         return self.under * shared >= self.over * (a + b - shared)
 
-    def prefix(self, n: int) -> int:
-        return n - -(-self.over * n // self.under) + 1
+    def prefix(self, n):
+        """How many tokens of a set of size n must hold a shared one."""
+        return n + (-self.over * n // self.under) + 1
 
     def lengths(self, a, b):
         """Whether sizes a and b can reach the threshold (numpy arrays or numbers)."""
@@ -65,9 +67,7 @@ def rarity(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, dtype=np.int64)
         for _, texts in text_batches(batches):
-            found = [tokens for _, _, tokens in items(texts)]
-            if found:
-                total += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=cells)
+            total += np.bincount((items(texts)[0] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=cells)
         used = np.flatnonzero(total)
         yield pa.record_batch({"cells": pa.array([used.tolist()], pa.list_(pa.int32())), "counts": pa.array([total[used].tolist()], pa.list_(pa.int64()))})
 
@@ -79,12 +79,57 @@ def rarity(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
     return sketch, int(sketch.sum())
 
 
-def set_key(tokens: np.ndarray) -> bytes:
-    """128 bits that name a set."""
-    with np.errstate(over="ignore"):
-        one = mix(tokens).sum(dtype=np.uint64)
-        two = mix(tokens ^ np.uint64(0x94D049BB133111EB)).sum(dtype=np.uint64)
-    return np.array([one, two ^ np.uint64(len(tokens))], dtype=">u8").tobytes()
+@dataclass
+class Sets:
+    """The items of a slice that have tokens: distinct tokens in hash order, bounds, 128-bit names, rows and parts."""
+
+    tokens: np.ndarray
+    bounds: np.ndarray
+    names: np.ndarray  # two unsigned 64-bit numbers for each item
+    rows: np.ndarray
+    parts: np.ndarray
+
+    @staticmethod
+    def of(texts: list[bytes], items: Items) -> Sets:
+        tokens, owner, rows, parts = items(texts)
+        used, owner = np.unique(owner, return_inverse=True)
+        owner = owner.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)  # 16 bits sort fastest
+        by = np.argsort(tokens)
+        by = by[np.argsort(owner[by], kind="stable")]
+        tokens, owner = tokens[by], owner[by]
+        if len(tokens):
+            fresh = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])])
+            tokens, owner = tokens[fresh], owner[fresh]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(used)))]).astype(np.int64)
+        return Sets(tokens, bounds, set_names(tokens, bounds), rows[used], parts[used])
+
+    def sids(self) -> list[bytes]:
+        blob = self.names.astype(">u8").tobytes()
+        return [blob[at : at + 16] for at in range(0, len(blob), 16)]
+
+    def prefixes(self, order: np.ndarray, like: Similarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of all prefixes, the item of each and its place in the item's order."""
+        sizes = np.diff(self.bounds)
+        owner = np.repeat(np.arange(len(sizes)), sizes).astype(np.uint16 if len(sizes) <= 1 << 16 else np.uint32)
+        by = np.argsort(order[(self.tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
+        by = by[np.argsort(owner[by], kind="stable")]
+        place = np.arange(len(by)) - np.repeat(self.bounds[:-1], sizes)
+        kept = place < np.repeat(like.prefix(sizes), sizes)
+        return self.tokens[by][kept], owner[kept].astype(np.int64), place[kept]
+
+
+def set_names(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """128 bits that name each set: two sums over its tokens."""
+    if len(bounds) == 1:
+        return np.zeros((0, 2), np.uint64)
+    one = np.add.reduceat(mix(tokens), bounds[:-1])
+    two = np.add.reduceat(mix(tokens ^ np.uint64(0x94D049BB133111EB)), bounds[:-1])
+    return np.stack([one, two ^ np.diff(bounds).astype(np.uint64)], axis=1)
+
+
+def rank_of(sketch: np.ndarray) -> np.ndarray:
+    """The sketch's counts on a fine logarithmic scale of 16 bits: the order of tokens."""
+    return np.minimum(np.log2(sketch + 1) * 1000, 65535).astype(np.uint16)
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -113,58 +158,42 @@ def post(docs: DataFrame, items: Items, order: tuple[np.ndarray, int], like: Sim
     sketch, total = order
     buckets = max(8, math.ceil(total * (1 - like.over / like.under) / BUCKET_POSTINGS))
 
+    rank = rank_of(sketch)
+    entry = pa.struct([("id", pa.int64()), ("part", pa.int32()), ("n", pa.int32()), ("sid", pa.binary()), ("g", pa.int64())])
+
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
-            ids = batch.column(batch.schema.get_field_index("id")).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-            seen: set[int] = set()
-            tokens, groups, sizes, rems = [], [], [], []
-            light: list[tuple] = []
-            for row, part, full in items(texts):
-                n = len(full)
-                if not n:
-                    continue
-                count = like.prefix(n)
-                rank = sketch[(full >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                prefix = full[np.lexsort((full, rank))[:count]]
-                sid = set_key(full)
-                if grouped:
-                    g = int.from_bytes(set_key(prefix)[:8], "big", signed=True) ^ n
-                else:
-                    g = int.from_bytes(sid[:8], "big", signed=True)
-                light.append((int(ids[row]), part, n, sid, g))
-                if g in seen:
-                    continue
-                seen.add(g)
-                tokens.append(prefix)
-                groups.append(np.full(count, g, dtype=np.int64))
-                sizes.append(np.full(count, n, dtype=np.int32))
-                rems.append((n - np.arange(count)).astype(np.int32))
-            if not light:
+            sets = Sets.of(texts, items)
+            if not len(sets.rows):
                 continue
-            token, g = np.concatenate(tokens), np.concatenate(groups)
-            n, rem = np.concatenate(sizes), np.concatenate(rems)
+            ids = batch.column(batch.schema.get_field_index("id")).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+            sizes = np.diff(sets.bounds).astype(np.int32)
+            token, owner, place = sets.prefixes(rank, like)
+            if grouped:
+                starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+                named = set_names(token, np.concatenate([starts, [len(token)]]))[:, 0] + mix(sizes.astype(np.uint64))
+            else:
+                named = sets.names[:, 0]
+            group = mix(named).view(np.int64)
+            light = pa.StructArray.from_arrays(
+                [pa.array(ids[sets.rows]), pa.array(sets.parts.astype(np.int32)), pa.array(sizes), pa.array(sets.sids(), pa.binary()), pa.array(group)], fields=list(entry)
+            )
+            _, once = np.unique(group, return_index=True)  # a slice's copies post once
+            posts = np.zeros(len(sizes), dtype=bool)
+            posts[once] = True
+            own = posts[owner]
+            token, owner, place = token[own], owner[own], place[own]
+            g, n, rem = group[owner], sizes[owner], (sizes[owner] - place).astype(np.int32)
             bucket = ((token >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
             by = np.argsort(bucket, kind="stable")
-            edges = np.flatnonzero(np.diff(bucket[by])) + 1
             names, blobs = [], []
-            for own in np.split(by, edges):
-                names.append(int(bucket[own[0]]))
-                blobs.append(_pack((token[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32), g[own], n[own], rem[own]))
-            columns = list(zip(*light, strict=True))
+            for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
+                names.append(int(bucket[part[0]]))
+                blobs.append(_pack((token[part] & np.uint64(0xFFFFFFFF)).astype(np.uint32), g[part], n[part], rem[part]))
             names.append(names[len(light) % len(names)])
             blobs.append(None)
-            last = len(names) - 1
-            yield pa.record_batch(
-                {
-                    "bucket": pa.array(names, pa.int32()),
-                    "blob": pa.array(blobs, pa.binary()),
-                    "items": pa.array(
-                        [None] * last + [[dict(zip(("id", "part", "n", "sid", "g"), row, strict=True)) for row in light]],
-                        pa.list_(pa.struct([("id", pa.int64()), ("part", pa.int32()), ("n", pa.int32()), ("sid", pa.binary()), ("g", pa.int64())])),
-                    ),
-                }
-            )
-            del columns
+            listed = pa.ListArray.from_arrays(pa.array([*[None] * (len(names) - 1), 0, len(light)], pa.int32()), light)
+            yield pa.record_batch({"bucket": pa.array(names, pa.int32()), "blob": pa.array(blobs, pa.binary()), "items": listed})
 
     kinds = ("<u4", "<i8", "<i4", "<i4")
 
@@ -224,12 +253,12 @@ def fetch(docs: DataFrame, items: Items, wanted: DataFrame) -> DataFrame:
     def arrays(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
             asked_for = [set(value) for value in batch.column(batch.schema.get_field_index("sids")).to_pylist()]
-            sids, blobs = [], []
-            for row, _, tokens in items(texts):
-                if len(tokens) and (sid := set_key(tokens)) in asked_for[row]:
+            sids, blobs, sets = [], [], Sets.of(texts, items)
+            for row, sid, first, last in zip(sets.rows, sets.sids(), sets.bounds[:-1], sets.bounds[1:], strict=True):
+                if sid in asked_for[row]:
                     asked_for[row].discard(sid)
                     sids.append(sid)
-                    blobs.append(tokens.tobytes())
+                    blobs.append(sets.tokens[first:last].tobytes())
             yield pa.record_batch({"sid": pa.array(sids, pa.binary()), "tokens": pa.array(blobs, pa.binary())})
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("id"), "text").join(asked, "id").select("text", "sids")
@@ -267,16 +296,45 @@ def verify_pairs(pairs: DataFrame, arrays: DataFrame, like: Similarity) -> DataF
     return rows.groupBy("unit").applyInArrow(test, "a binary, b binary")
 
 
-def verify_clusters(members: DataFrame, arrays: DataFrame, like: Similarity, ask: Callable, schema: str) -> DataFrame:
+def settle(rest: DataFrame, arrays: DataFrame, like: Similarity, differ: Callable[[Column, Column], Column], ask: Callable) -> DataFrame:
+    """Verify every pair of a list whose notes ``differ``: links a, b.
+
+    ``rest``: tok, sid, n, rem, centre (one member of the list), note. Lists that touch form a cluster. A cluster whose lists hold
+    fewer pairs than its blocks would take rows is tested pair by pair, any other block against block;
+    so the rows are never more than the square of a cluster's size over ``UNIT_SETS``.
+    """
+    clusters = components(rest.select(F.col("sid").alias("a"), F.col("centre").alias("b")).distinct())
+    rest = durable(rest.drop("centre").join(clusters.select(F.col("node").alias("sid"), F.col("label").alias("cluster")), "sid"))
+    members = rest.select("cluster", "sid", "n", "note").distinct()
+    blocks = members.groupBy("cluster").agg((F.count("*") * block_count()).alias("rows"))
+    size = rest.groupBy("cluster", "tok").agg(F.count("*").alias("m"))
+    pairs = size.groupBy("cluster").agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("pairs"))
+    choice = durable(blocks.join(pairs, "cluster").select("cluster", (F.col("pairs") <= F.col("rows")).alias("few")))
+    few = rest.join(choice.filter("few").select("cluster"), "cluster", "left_semi")
+    a, b = ([F.col(name).alias(f"{name}_{side}") for name in ("sid", "n", "rem", "note")] for side in "ab")
+    both = few.select("tok", *a).join(few.select("tok", *b), "tok").filter((F.col("sid_a") < F.col("sid_b")) & differ(F.col("note_a"), F.col("note_b")))
+    both = both.filter(like.pair(F.col("n_a"), F.col("rem_a"), F.col("n_b"), F.col("rem_b")))
+    both = durable(both.select(F.col("sid_a").alias("a"), "n_a", F.col("sid_b").alias("b"), "n_b").distinct())
+    one = verify_pairs(both, arrays, like)
+    many = durable(members.join(choice.filter("not few").select("cluster"), "cluster", "left_semi"))
+    return one if many.isEmpty() else one.unionByName(verify_clusters(many, arrays, like, ask))
+
+
+def block_count() -> Column:
+    """How many blocks the sets of a cluster make."""
+    return F.greatest(F.ceil(F.count("*") / F.lit(UNIT_SETS)), F.ceil(F.sum("n") / F.lit(UNIT_TOKENS))).cast("int")
+
+
+def verify_clusters(members: DataFrame, arrays: DataFrame, like: Similarity, ask: Callable) -> DataFrame:
     """Test all pairs that ``ask`` wants inside each cluster, in units of two blocks of sets.
 
     ``members``: cluster, sid, n, note (one row for each set). Blocks are dealt by hash, about
     ``UNIT_SETS`` sets each, and every set is sent once for each block of its cluster, so the rows sent are
     the square of a cluster's size over ``UNIT_SETS`` and no pair is ever a row.
     ``ask(notes, sizes, at)`` tells which sets are to be tested against set ``at``;
-    rows of links (a, b by order of note) come out.
+    rows of links a, b come out.
     """
-    size = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / F.lit(UNIT_SETS)), F.ceil(F.sum("n") / F.lit(UNIT_TOKENS))).cast("int").alias("blocks"))
+    size = members.groupBy("cluster").agg(block_count().alias("blocks"))
     placed = members.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = dealt.select(F.col("cluster"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "note")
@@ -311,4 +369,4 @@ def verify_clusters(members: DataFrame, arrays: DataFrame, like: Similarity, ask
         return pa.table({"a": pa.array([names[a] for a, _ in found], pa.binary()), "b": pa.array([names[b] for _, b in found], pa.binary())})
 
     joined = units.join(arrays, "sid")
-    return joined.groupBy("cluster", "i", "j").applyInArrow(test, schema)
+    return joined.groupBy("cluster", "i", "j").applyInArrow(test, "a binary, b binary")

@@ -107,12 +107,24 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
-def shingle_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
-    """For each text the sorted distinct hashes of its n-word shingles."""
+def shingles(texts: list[bytes], n: int, short: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-word shingles of all texts, and the text that each belongs to, in order.
+
+    A text of fewer words has its whole sequence as one if ``short``, else none.
+    """
     hashes, bounds = word_hashes(texts)
-    grams = ngrams(hashes, n) if len(hashes) >= n else hashes[:0]
-    for first, last in zip(bounds[:-1], bounds[1:], strict=True):
-        yield np.unique(grams[first : last - n + 1] if last - first >= n else ngrams(hashes[first:last], n))
+    counts = np.diff(bounds)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    grams = np.zeros(len(hashes), np.uint64)
+    if len(hashes) >= n:
+        grams[: len(hashes) - n + 1] = ngrams(hashes, n)
+    whole = np.arange(len(hashes)) + n <= np.repeat(bounds[1:], counts)
+    if short:
+        for text in np.flatnonzero((counts > 0) & (counts < n)):
+            first, last = bounds[text], bounds[text + 1]
+            grams[first] = ngrams(hashes[first:last], n)[0]
+            whole[first] = True
+    return grams[whole], owner[whole]
 
 
 def text_batches(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SEGMENT) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
