@@ -44,7 +44,23 @@ def op10_exact_dedup(spark, folder):
     return exact_dedup.equal_groups(documents(spark, folder))
 
 
-@query()
+#: Words of a text, and the distinct five-word shingles of a list of words, in the oracle's SQL.
+WORDS = f"list_filter(string_split_regex(translate(%s, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
+SHINGLES = "list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i+4], ' ')))"
+
+
+@query(
+    f"""
+    with recursive w as (select doc_id, {WORDS % "coalesce(text, '')"} as ws from documents),
+    s as (select doc_id, unnest(case when len(ws) >= 5 then {SHINGLES} when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from w),
+    n as (select doc_id, count(*) as n from s group by 1),
+    p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+    l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+    r as (select doc_id, doc_id as reached from documents union select r.doc_id, l.b from r join l on l.a = r.reached)
+    select d.doc_id, coalesce(n.n, 0) as n_shingles, d.component_id
+    from (select doc_id, min(reached) as component_id from r group by 1) d left join n using (doc_id)
+    """
+)
 def op7_ngram_jaccard(spark, folder):
     return jaccard_join.near_duplicates(documents(spark, folder))
 
@@ -77,7 +93,27 @@ def op4_toxicity(spark, folder):
     return toxicity.score(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"), "toxic", share_of("doc_id", 3, 1))
 
 
-@query()
+def marked(text: str) -> str:
+    """How many characters of a text are escaped, in the oracle's SQL."""
+    marks = ("chr(92)", "'<|'", "'<s>'", "'</s>'", "'<<SYS>'", "'<</SYS>'", "'[INST]'", "'[/INST]'")
+    return " + ".join(f"(length({text}) - length(replace({text}, {mark}, ''))) // length({mark})" for mark in marks)
+
+
+@query(
+    f"""
+    with t as (
+        select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+        union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+    )
+    select conv_id, count(*) as n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+        cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+        sha256(coalesce(string_agg(text, '' order by turn nulls first, text) filter (where role = 'assistant'), '')) as loss_sha256,
+        cast(sum(23 + length(role) + length(text) + {marked("role")} + {marked("text")}) as bigint) as formatted_chars,
+        0::bigint as attachments, 0::bigint as attachment_tokens
+    from t group by 1
+    """
+)
 def op5_chat_format(spark, folder):
     turns = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))], "conv_id bigint, turn bigint, role string, text string")
@@ -86,7 +122,21 @@ def op5_chat_format(spark, folder):
     return chat.digest_conversations(spark.read.schema(chat.SEGMENT).parquet(path))
 
 
-@query()
+@query(
+    f"""
+    with t as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+    e as (select doc_id, unnest(range(1, len(lines) + 1)) as i, unnest(lines) as line from t),
+    w as (select doc_id, i, {WORDS % "line"} as ws from e),
+    s as (select doc_id, i, unnest({SHINGLES}) as g from w where len(ws) >= 5),
+    n as (select doc_id, i, count(*) as n from s group by 1, 2),
+    p as (select b.doc_id, b.i, a.doc_id as d0, a.i as i0, count(*) as c from s a join s b on a.g = b.g and (a.doc_id, a.i) < (b.doc_id, b.i) group by 1, 2, 3, 4),
+    gone as (select distinct p.doc_id, p.i from p join n x on x.doc_id = p.doc_id and x.i = p.i join n y on y.doc_id = d0 and y.i = i0
+        where 100 * c >= 75 * (x.n + y.n - c))
+    select e.doc_id, count(*) as n_lines, count(gone.i) as n_removed,
+        sha256(coalesce(string_agg(line, chr(10) order by e.i) filter (where gone.i is null), '')) as kept_sha256
+    from e left join gone on gone.doc_id = e.doc_id and gone.i = e.i group by 1
+    """
+)
 def op6_line_dedup(spark, folder):
     return line_dedup.clean_lines(documents(spark, folder)).drop("kept")
 

@@ -12,16 +12,16 @@ classes before them that share a list.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarncast.llm.components import components
-from tarncast.llm.setjoin import NULL_ID, Similarity, fetch, post, rarity, verify_clusters, verify_pairs
-from tarncast.llm.words import ngrams, text_batches, word_hashes
+from tarncast.llm.setjoin import NULL_ID, Similarity, fetch, post, rarity, settle, verify_pairs
+from tarncast.llm.words import shingles, text_batches
 from tarncast.session import durable
 
 CLEANED = "doc_id bigint, n_lines bigint, n_removed bigint, kept_sha256 string, kept string"
@@ -30,16 +30,11 @@ CLEANED = "doc_id bigint, n_lines bigint, n_removed bigint, kept_sha256 string,
 def line_items(words: int):
     """Items of documents: the lines of ``words`` words or more, by their place."""
 
-    def items(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
-        lines, owners = [], []
-        for row, text in enumerate(texts):
-            own = text.split(b"\n")
-            lines += own
-            owners += [(row, number) for number in range(len(own))]
-        hashes, bounds = word_hashes(lines)
-        grams = ngrams(hashes, words) if len(hashes) >= words else hashes[:0]
-        for at in np.flatnonzero(np.diff(bounds) >= words):
-            yield *owners[at], np.unique(grams[bounds[at] : bounds[at + 1] - words + 1])
+    def items(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        lines = [text.split(b"\n") for text in texts]
+        counts = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+        parts = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        return *shingles(list(itertools.chain.from_iterable(lines)), words, short=False), np.repeat(np.arange(len(texts)), counts), parts
 
     return items
 
@@ -51,6 +46,11 @@ def still_open(notes: np.ndarray, sizes: np.ndarray, at: int) -> np.ndarray:
     return later_open
 
 
+def later_is_open(a: Column, b: Column) -> Column:
+    behind = F.struct(b["id"], b["part"]) > F.struct(a["id"], a["part"])
+    return ~F.when(behind, b["gone"]).otherwise(a["gone"])
+
+
 def removed_lines(docs: DataFrame, words: int = 5, like: Similarity | None = None) -> DataFrame:
     """The lines to remove: id, part (line number from 0), with null ids as the smallest id."""
     like = like or Similarity()
@@ -72,12 +72,10 @@ def removed_lines(docs: DataFrame, words: int = 5, like: Similarity | None = Non
         F.min(F.struct("first", "sid")).alias("c"), F.max(F.when(~F.col("gone"), F.struct("first", "sid"))).alias("open"), F.count("*").alias("size")
     )
     open_lists = open_lists.filter((F.col("size") > 2) & F.col("open").isNotNull() & (F.col("open.sid") != F.col("c.sid")))
-    rest = marked.join(open_lists.select("tok", F.col("c.sid").alias("centre"), F.col("open.first").alias("until")), "tok").filter(F.col("first") <= F.col("until"))
-    rest = durable(rest.select("sid", "n", "first", "gone", "centre").distinct())
-    clusters = components(rest.select(F.col("sid").alias("a"), F.col("centre").alias("b")).distinct())
     note = F.struct(F.col("first.id").alias("id"), F.col("first.part").alias("part"), "gone")
-    members = rest.select("sid", "n", note.alias("note")).distinct().join(clusters.select(F.col("node").alias("sid"), F.col("label").alias("cluster")), "sid")
-    more = verify_clusters(members, arrays, like, still_open, "a binary, b binary")
+    rest = marked.join(open_lists.select("tok", F.col("c.sid").alias("centre"), F.col("open.first").alias("until")), "tok").filter(F.col("first") <= F.col("until"))
+    rest = rest.select("tok", "sid", "n", "rem", "centre", note.alias("note"))
+    more = settle(rest, arrays, like, later_is_open, still_open)
     order = classes.select("sid", "first")
     later = (
         more.join(order.select(F.col("sid").alias("a"), F.col("first").alias("first_a")), "a")
