@@ -45,8 +45,8 @@ def op10_exact_dedup(spark, folder):
 
 
 #: Words of a text, and the distinct five-word shingles of a list of words, in the oracle's SQL.
-WORDS = f"list_filter(string_split_regex(translate(%s, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
-SHINGLES = "list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i+4], ' ')))"
+WORDS = f"list_filter(string_split_regex(translate(%s, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+SHINGLES = "list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')))"
 
 
 @query(
