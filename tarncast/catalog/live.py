@@ -73,8 +73,7 @@ INCREMENTAL = persistence_ctes("refs_month") + climatology_ctes("refs_month") +
     ),
     (
         "groups_",
-        """select distinct model_id, date_trunc('month', datetime) as month from forecast_days
-        where date_trunc('month', datetime) in (select date_trunc('month', datetime) from targets)""",
+        "select distinct model_id, date_trunc('month', datetime) as month from forecast_days",
     ),
     (
         "rows_",
@@ -113,11 +112,11 @@ def stream_scores(spark, folder):
     """Forecasts scored as they arrive, in micro-batches of files."""
     scores_path, log_path, state = (work_path(spark, n) for n in ("scores", "log", "scoring-state"))
     arrived = work_path(spark, "arrivals")
-    # One file for each model and year of forecast days: a group never spans two arrivals.
-    published = published_forecasts(spark, folder).withColumn("year", F.year("datetime"))
-    published.repartition("model_id", "year").write.partitionBy("model_id", "year").parquet(arrived)
+    # One file for each model, site and parameter: the sites and parameters of a group come in different batches.
+    published = published_forecasts(spark, folder).withColumns({"from_site": F.col("site_id"), "part": F.col("parameter")})
+    published.repartition("model_id", "from_site", "part").write.partitionBy("model_id", "from_site", "part").parquet(arrived)
     schema = spark.read.parquet(arrived).schema
-    stream = feeds.read_feed(spark, arrived, schema, files=8).drop("year")
+    stream = feeds.read_feed(spark, arrived, schema, files=8).drop("from_site", "part")
     targets = fx.targets(spark, folder)
 
     def score_batch(batch):
@@ -125,7 +124,7 @@ def stream_scores(spark, folder):
             batch, targets, scores_path, log_path, AS_OF, LOOK_BACK, families=["normal"], unit="month"
         )
 
-    feeds.score_arrivals(stream, state, score_batch).awaitTermination()
+    feeds.score_arrivals(stream, state, score_batch, work_path(spark, "archive"), "month").awaitTermination()
     return spark.read.parquet(scores_path).groupBy("model_id").agg(
         F.count(F.lit(1)).alias("forecasts"), F.count("observation").alias("observed")
     )

@@ -8,6 +8,7 @@ from tarncast.catalog.roles import (
     AR_XS,
     MET,
     RAIN,
+    SITE_FRAME,
     ar_ctes,
     climatology_ctes,
     draw,
@@ -18,14 +19,10 @@ from tarncast.catalog.roles import (
     with_,
     zkey,
 )
-from tarncast.operators import regress
+from tarncast.operators import daily, regress
 from tarncast.plans import baselines, common, neural, regressions
 
 
-# Fits on fewer rows than this are not issued; the SQL twins state the same rule.
-MIN_ROWS = 30
-
-
 def calibration(spark, folder):
     return regressions.calibration_frame(fx.targets(spark, folder), fx.driver_history(spark, folder))
 
@@ -83,15 +80,15 @@ def coefficient_columns(k: int):
 @query(with_("frame refs_month", f"""select site_id, reference_datetime, n, {rs('b0 b1 b2 b3 b4 b5 se0 se1 se2 se3 se4 se5 sigma r2')}
     from fit""", fit_ctes(AR_XS)))
 def multiple_ols(spark, folder):
-    fits = regressions.fits_for(calibration(spark, folder), fx.monthly_refs(spark, folder), regressions.AR_PREDICTORS, min_rows=MIN_ROWS)
+    fits = regressions.fits_for(calibration(spark, folder), fx.monthly_refs(spark, folder), regressions.AR_PREDICTORS)
     return fits.select("site_id", "reference_datetime", "n", *coefficient_columns(5), "sigma", "r2")
 
 
 @query(with_("frame refs_month", f"""select site_id, reference_datetime, n, {rs('b0 b1 b2 se0 se1 se2 sigma')} from fit""",
-    fit_ctes(["observation_lag1", "shortwave"], days=30, min_rows=6)))
+    fit_ctes(["observation_lag1", "shortwave"], days=30)))
 def trailing_ols(spark, folder):
     fits = regressions.fits_for(
-        calibration(spark, folder), fx.monthly_refs(spark, folder), ["observation_lag1", "shortwave"], trailing_days=30, min_rows=6
+        calibration(spark, folder), fx.monthly_refs(spark, folder), ["observation_lag1", "shortwave"], trailing_days=30
     )
     return fits.select("site_id", "reference_datetime", "n", *coefficient_columns(2), "sigma")
 
@@ -129,7 +126,7 @@ MEMBER_ROWS = "(select f.*, cast(m.member as int) as member from fit f, (select
     {r(draw(1).replace('f.', 'x.'), 'd1', 4)} from {MEMBER_ROWS} x""", fit_ctes(["rain_10"])), digits=4)
 def param_ensemble(spark, folder):
     fits = regressions.fits_for(
-        calibration(spark, folder), fx.monthly_refs(spark, folder), ["rain_10"], min_rows=MIN_ROWS
+        calibration(spark, folder), fx.monthly_refs(spark, folder), ["rain_10"]
     )
     out = common.param_ensemble(fits, 2)
     return out.select("site_id", "reference_datetime", "member", F.col("draw")[0].alias("d0"), F.col("draw")[1].alias("d1"))
@@ -162,7 +159,17 @@ def persistence(spark, folder):
     return baselines.persistence(fx.targets(spark, folder), fx.daily_refs(spark, folder))
 
 
-PATHS = 50
+@query(with_("refs_day", f"select site_id, reference_datetime, datetime, {rs('mu sigma')} from persistence", persistence_ctes()))
+def persistence_of_variable(spark, folder):
+    """The same forecast from a table that also holds another variable and another depth."""
+    own = fx.targets(spark, folder)
+    other = own.withColumns({"variable": F.lit("other"), "observation": F.col("observation") * 10})
+    deeper = own.withColumns({"depth_m": F.lit(9.0), "observation": F.col("observation") + 50})
+    series = common.chosen_series(own.unionByName(other).unionByName(deeper), fx.VARIABLE, (1.5, 1.6, None))
+    return baselines.persistence(series, fx.daily_refs(spark, folder))
+
+
+PATHS = 200
 BOOT_KEY = "concat_ws('|', w.site_id, w.reference_datetime, w.path, 'boot', w.step)"
 
 
@@ -216,25 +223,35 @@ def model_inputs(spark, folder):
 @query(with_("frame drivers", f"select site_id, reference_datetime, datetime, parameter, {r('prediction', digits=3)} from met", MET), digits=3)
 def met_regression(spark, folder):
     targets, history, weather, _, refs = model_inputs(spark, folder)
-    return regressions.met_regression(targets, history, weather, refs, min_rows=MIN_ROWS)
+    return regressions.met_regression(targets, history, weather, refs)
 
 
 @query(with_("frame drivers", f"select site_id, reference_datetime, datetime, parameter, {r('prediction', digits=3)} from rain", RAIN), digits=3)
 def rain_lag(spark, folder):
     targets, history, weather, _, refs = model_inputs(spark, folder)
-    return regressions.rain_lag(targets, history, weather, refs, min_rows=MIN_ROWS)
+    return regressions.rain_lag(targets, history, weather, refs)
 
 
 @query(with_("frame drivers", f"select site_id, reference_datetime, datetime, parameter, {r('prediction', digits=3)} from ar",
     ar_ctes(True), recursive=True), digits=3)
 def ar_full(spark, folder):
-    return regressions.ar_forecast(*model_inputs(spark, folder), min_rows=MIN_ROWS)
+    return regressions.ar_forecast(*model_inputs(spark, folder))
 
 
 @query(with_("frame drivers", f"select site_id, reference_datetime, datetime, parameter, {r('prediction', digits=3)} from ar",
     ar_ctes(False), recursive=True), digits=3)
 def ar_driver_only(spark, folder):
-    return regressions.ar_driver_only(*model_inputs(spark, folder), min_rows=MIN_ROWS)
+    return regressions.ar_driver_only(*model_inputs(spark, folder))
+
+
+@query(with_("frame drivers", f"select site_id, reference_datetime, datetime, parameter, {r('prediction', digits=3)} from ar",
+    SITE_FRAME + ar_ctes(True, "site_frame"), recursive=True), digits=3)
+def ar_site_history(spark, folder):
+    """The autoregression on each site's own history, taken from the ensemble issued on every day."""
+    targets, _, weather, water, refs = model_inputs(spark, folder)
+    issued = fx.driver_ensemble(spark, folder, fx.daily_refs(spark, folder), horizon=0)
+    history = daily.issue_day_history(issued, list(fx.DRIVER_NAMES.values())).withColumnsRenamed({v: k for k, v in fx.DRIVER_NAMES.items()})
+    return regressions.ar_forecast(targets, history, weather, water, refs)
 
 
 CHLA_XS = [*AR_XS, "chla_lag1"]
@@ -261,7 +278,7 @@ def ar_chlorophyll(spark, folder):
         .groupBy(F.col("o_orderpriority").alias("site_id"), F.to_date("o_orderdate").alias("datetime"))
         .agg((F.avg("o_custkey") / 100).alias("chla"))
     )
-    return regressions.ar_next_day_with(targets, history, weather, water, refs, chla, "chla", min_rows=MIN_ROWS)
+    return regressions.ar_next_day_with(targets, history, weather, water, refs, chla, "chla")
 
 
 @query(with_("targets drivers", f"""select d.site_id, d.reference_datetime, d.datetime, cast(d.member as varchar) as parameter,
@@ -285,5 +302,5 @@ def linear_forecast(spark, folder):
 @query()
 def neural_ar(spark, folder):
     """Rows only: the network's training has no SQL twin."""
-    return neural.neural_ar(fx.targets(spark, folder), fx.monthly_refs(spark, folder), networks=3)
+    return neural.neural_ar(fx.targets(spark, folder), fx.monthly_refs(spark, folder))
 

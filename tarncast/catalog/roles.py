@@ -143,9 +143,10 @@ def with_(names: str, final: str, extra: list[tuple[str, str]] = (), recursive:
 
 
 def fit_ctes(xs: list[str], refs: str = "refs_month", frame: str = "frame", name: str = "fit", days: int | None = None,
-             min_rows: int = 30):
-    """One regression for each (site, reference date), by sweeping the covariance matrix."""
+             min_rows: int | None = None):
+    """One regression for each (site, reference date) of enough rows, by sweeping the covariance matrix."""
     k = len(xs)
+    min_rows = min_rows or k + 2
     variables = [*xs, "observation"]
     complete = " and ".join(f"f.{v} is not null" for v in variables)
     pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
@@ -244,17 +245,33 @@ RAIN = fit_ctes(["rain_10"], name="fit_rain") + [
     ),
 ]
 
+# Each site's own driver history: the issue-day ensemble, which falls back on the mean of all days.
+SITE_FRAME = [
+    (
+        "site_days",
+        """select s.*, coalesce(h.rain, a.rain) as rain, coalesce(h.shortwave, a.shortwave) as shortwave,
+        coalesce(h.water_temp, a.water_temp) as water_temp
+        from scaffold s left join history h on h.datetime = s.datetime,
+        (select avg(rain) as rain, avg(shortwave) as shortwave, avg(water_temp) as water_temp from history) a""",
+    ),
+    (
+        "site_frame",
+        """select *, lag(observation) over w as observation_lag1, lag(rain) over w as rain_lag1
+        from site_days window w as (partition by site_id order by datetime)""",
+    ),
+]
+
 AR_XS = ["observation_lag1", "shortwave", "rain", "rain_lag1", "water_temp"]
 
 
-def ar_ctes(full: bool = True):
+def ar_ctes(full: bool = True, frame: str = "frame"):
     b = [draw(j) if full else f"f.b{j}" for j in range(6)]
     eps = f" + {noise()}" if full else ""
     state = "t.observation"
     if full:
         ic = zkey("p.site_id", "p.reference_datetime", "p.member", "'ic'")
         state = f"t.observation + 0.07 * {ic}"
-    return fit_ctes(AR_XS, name="fit_ar") + [
+    return fit_ctes(AR_XS, name="fit_ar", frame=frame) + [
         (
             "forcing",
             f"""select x.site_id, x.reference_datetime, x.member, any_value({b[1]}) as slope,

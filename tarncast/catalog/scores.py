@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tarncast import fixtures as fx
-from tarncast.catalog.models import MIN_ROWS, model_inputs
+from tarncast.catalog.models import model_inputs
 from tarncast.catalog.registry import query
 from tarncast.catalog.roles import (
     MET,
@@ -60,14 +60,14 @@ ORDERS = [
 
 @query(with_("", f"select case_id, {r('crps', digits=4)} from sampled", ORDERS + sample_ctes("members", "case_id", logs=False)), digits=4)
 def crps_sample(spark, folder):
-    out = scoring.score_samples(fx.order_ensembles(spark, folder), ["case_id"], summaries=False, logs=False)
+    out = scoring.score_samples(fx.order_ensembles(spark, folder), ["case_id"], summaries=False, logs=False, bounded=True)
     return out.select("case_id", "crps")
 
 
 @query(with_("", f"select case_id, {r('sign(logs) * ln(1 + abs(logs))', 'logs_scaled')} from sampled", ORDERS + sample_ctes("members", "case_id")))
 def logs_sample(spark, folder):
     """Kernel log scores on a signed log scale: a tight ensemble far from its observation scores in the billions."""
-    out = scoring.score_samples(fx.order_ensembles(spark, folder), ["case_id"], summaries=False)
+    out = scoring.score_samples(fx.order_ensembles(spark, folder), ["case_id"], summaries=False, bounded=True)
     logs = F.col("logs")
     return out.select("case_id", (F.signum(logs) * F.log1p(F.abs(logs))).alias("logs_scaled"))
 
@@ -77,7 +77,7 @@ SUMMARY = "mean median sd quantile97_5 quantile02_5 q95 q05"
 
 @query(with_("", f"select case_id, {rs(SUMMARY, 4)} from sampled", ORDERS + sample_ctes("members", "case_id", logs=False)), digits=4)
 def ensemble_summary(spark, folder):
-    out = scoring.score_samples(fx.order_ensembles(spark, folder), ["case_id"], y=None, logs=False)
+    out = scoring.score_samples(fx.order_ensembles(spark, folder), ["case_id"], y=None, logs=False, bounded=True)
     return out.select("case_id", *SUMMARY.split())
 
 
@@ -87,7 +87,7 @@ FLAGS = [("members", "select l_returnflag as case_id, l_extendedprice as predict
 @query(with_("", f"select case_id, {rs('crps logs ' + SUMMARY, 3)} from sampled", FLAGS + sample_ctes("members", "case_id")), digits=3)
 def crps_sample_hot(spark, folder):
     """Three groups with a third of all rows each: ranked in slices, never in one task."""
-    out = scoring.score_samples(fx.flag_ensembles(spark, folder), ["case_id"], hot_rows=1000)
+    out = scoring.score_samples(fx.flag_ensembles(spark, folder), ["case_id"])
     return out.select("case_id", "crps", "logs", *SUMMARY.split())
 
 
@@ -97,7 +97,7 @@ def ranks_in_hot_groups(spark, folder):
     rows = fx.table(spark, folder, "lineitem").select(
         F.col("l_returnflag").alias("case_id"), F.col("l_quantity").alias("prediction")
     )
-    out = ranked(rows, ["case_id"], "prediction", hot_rows=1000)
+    out = ranked(rows, ["case_id"], "prediction")
     return out.groupBy("case_id", "prediction").agg(F.min("rank_lo").alias("rank_lo"), F.max("rank_hi").alias("rank_hi"))
 
 
@@ -229,7 +229,7 @@ def crps_special_families(spark, folder):
 def all_forecasts(spark, folder):
     """Both baselines and the three driver models in the shared long table, issued monthly."""
     return forecast_all(
-        *model_inputs(spark, folder), fx.VARIABLE, (*BASELINE_MODELS, *DRIVER_MODELS), min_rows=MIN_ROWS
+        *model_inputs(spark, folder), fx.VARIABLE, (*BASELINE_MODELS, *DRIVER_MODELS)
     )
 
 
@@ -260,7 +260,7 @@ SCORE_COLUMNS = f"observation crps logs {SUMMARY}"
     ALL_MODELS, recursive=True), digits=3)
 def score_all(spark, folder):
     # The members of these models are numbered 1 to 31, so no group can be hot.
-    out = scoring.score(all_forecasts(spark, folder), fx.targets(spark, folder), families=["normal"], hot_rows=None)
+    out = scoring.score(all_forecasts(spark, folder), fx.targets(spark, folder), families=["normal"], bounded=True)
     return out.select("model_id", "site_id", "reference_datetime", "datetime", "family", *SCORE_COLUMNS.split())
 
 
@@ -269,7 +269,7 @@ def score_all(spark, folder):
     union all select model_id, site_id, reference_datetime, datetime, 'sample', {SUMMARY.replace(' ', ', ')} from sampled)""",
     ALL_MODELS, recursive=True), digits=3)
 def forecast_summary(spark, folder):
-    out = scoring.summarize(all_forecasts(spark, folder), families=["normal"], hot_rows=None)
+    out = scoring.summarize(all_forecasts(spark, folder), families=["normal"], bounded=True)
     return out.select("model_id", "site_id", "reference_datetime", "datetime", "family", *SUMMARY.split())
 
 
@@ -282,7 +282,7 @@ def score_by_depth(spark, folder):
     walk = baselines.persistence(targets, refs)
     depth = fx.default_depth(F.col("site_id"), fx.FOCAL_DEPTHS, fx.OTHER_DEPTH)
     rows = standard_format(baselines.normal_rows(walk), "Persistence", "normal", fx.VARIABLE, depth)
-    out = scoring.score(rows, targets, ["depth_m"], summaries=False, families=["normal"], hot_rows=None)
+    out = scoring.score(rows, targets, ["depth_m"], summaries=False, families=["normal"], bounded=True)
     return out.select("site_id", "depth_m", "reference_datetime", "datetime", "crps")
 
 

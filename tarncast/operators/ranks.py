@@ -1,8 +1,8 @@
 """Exact ranks inside groups of any size.
 
-A group that fits one task is ranked by a window. Groups above ``hot_rows`` rows are cut into
-ordered slices by Spark's range partitioner, ranked slice by slice and shifted by the number of
-rows in the slices below, so one group may hold any share of the table.
+Equal values of a group collapse to one row with a count. Groups are cut into ordered slices by
+Spark's range partitioner, ranked slice by slice and shifted by the number of rows in the slices
+below, so one group may hold any share of the table. Every group takes this path.
 """
 
 from __future__ import annotations
@@ -13,54 +13,18 @@ from pyspark.sql import functions as F
 
 from tarncast.session import durable
 
-HOT_ROWS = 1_000_000
 
+def ranked(df: DataFrame, keys: list[str], value: str, carry: list[str] = ()) -> DataFrame:
+    """Rank ``value`` inside ``keys``: keys, carried columns, value, copies, rank_lo, rank_hi, n, center.
 
-def split_hot(
-    rows: DataFrame, keys: list[str], value: str, hot_rows: int | None = HOT_ROWS
-) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of groups with at most ``hot_rows`` values, and the rows of the other groups if any exist.
-
-    ``hot_rows=None`` skips the search; use it only where the producer fixes the group size, as
-    the forecast models do with their members.
-    """
-    if hot_rows is None:
-        return rows, None
-    hot = durable(
-        rows.groupBy(*keys)
-        .agg(F.count(value).alias("values_in_group"))
-        .filter(F.col("values_in_group") > hot_rows)
-        .select(*[F.col(k).alias(f"hot_{k}") for k in keys])
-    )
-    if hot.isEmpty():
-        return rows, None
-    same = [F.col(k).eqNullSafe(F.col(f"hot_{k}")) for k in keys]
-    return rows.join(hot, same, "left_anti"), rows.join(hot, same, "left_semi")
-
-
-def ranked(df: DataFrame, keys: list[str], value: str, carry: list[str] = (), hot_rows=HOT_ROWS) -> DataFrame:
-    """Rank ``value`` inside ``keys``: keys, carried columns, value, copies, rank_lo, rank_hi, n.
-
-    ``carry`` columns must be constant inside a group. A row stands for ``copies`` equal values.
+    ``carry`` columns must be constant inside a group. A row stands for ``copies`` equal values;
+    ``center`` is the mean of the group.
     """
-    rows = df.select(*keys, *carry, value).filter(F.col(value).isNotNull())
-    calm, busy = split_hot(rows, keys, value, hot_rows)
-    out = _rank_in_window(calm, keys, value)
-    return out if busy is None else out.unionByName(rank_in_slices(busy, keys, value, list(carry)))
-
-
-def _rank_in_window(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    group = W.partitionBy(*keys)
-    return rows.select(
-        "*",
-        F.lit(1).cast("long").alias("copies"),
-        F.row_number().over(group.orderBy(value)).cast("long").alias("rank_lo"),
-        F.count(F.lit(1)).over(group).alias("n"),
-    ).withColumn("rank_hi", F.col("rank_lo"))
+    return rank_in_slices(df.select(*keys, *carry, value), keys, value, list(carry))
 
 
 def rank_in_slices(rows: DataFrame, keys: list[str], value: str, carry: list[str]) -> DataFrame:
-    """Ranks of groups too large for one task."""
+    """Ranks over slices of the groups; see ``ranked``."""
     rows = rows.filter(F.col(value).isNotNull())
     # Equal values collapse first, so a heavily repeated value is one row, not one long slice.
     values = rows.groupBy(*keys, value).agg(
@@ -71,7 +35,9 @@ def rank_in_slices(rows: DataFrame, keys: list[str], value: str, carry: list[str
     cut = durable(
         values.repartitionByRange(slices, *keys, value).withColumn("slice", F.spark_partition_id())
     )
-    per_slice = cut.groupBy(*keys, "slice").agg(F.sum("copies").alias("slice_rows"))
+    per_slice = cut.groupBy(*keys, "slice").agg(
+        F.sum("copies").alias("slice_rows"), F.sum(F.col(value) * F.col("copies")).alias("slice_sum")
+    )
     group = W.partitionBy(*keys)
     below = group.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = per_slice.select(
@@ -79,6 +45,7 @@ def rank_in_slices(rows: DataFrame, keys: list[str], value: str, carry: list[str
         F.col("slice").alias("cut_slice"),
         F.coalesce(F.sum("slice_rows").over(below), F.lit(0)).alias("below"),
         F.sum("slice_rows").over(group).alias("n"),
+        (F.sum("slice_sum").over(group) / F.sum("slice_rows").over(group)).alias("center"),
     )
     same = [F.col(k).eqNullSafe(F.col(f"cut_{k}")) for k in keys] + [F.col("slice") == F.col("cut_slice")]
     running = W.partitionBy(*keys, "slice").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -86,7 +53,7 @@ def rank_in_slices(rows: DataFrame, keys: list[str], value: str, carry: list[str
         cut.join(offsets, same)
         .withColumn("rank_hi", F.col("below") + F.sum("copies").over(running))
         .withColumn("rank_lo", F.col("rank_hi") - F.col("copies") + 1)
-        .select(*keys, *carry, value, "copies", "rank_lo", "n", "rank_hi")
+        .select(*keys, *carry, value, "copies", "rank_lo", "n", "rank_hi", "center")
     )
 
 

@@ -43,14 +43,15 @@ def interpolate(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Interior gaps linear in time, leading gaps back-filled, trailing gaps carried forward."""
     series = W.partitionBy(*keys).orderBy("datetime")
     back = series.rowsBetween(W.unboundedPreceding, W.currentRow)
-    ahead = series.rowsBetween(W.currentRow, W.unboundedFollowing)
+    # Looking ahead is looking back in descending order: a running frame, linear in the series.
+    ahead = W.partitionBy(*keys).orderBy(F.desc("datetime")).rowsBetween(W.unboundedPreceding, W.currentRow)
     day = F.when(F.col(value).isNotNull(), F.col("datetime"))
     marked = df.select(
         "*",
         F.last(value, ignorenulls=True).over(back).alias("v0"),
         F.last(day, ignorenulls=True).over(back).alias("d0"),
-        F.first(value, ignorenulls=True).over(ahead).alias("v1"),
-        F.first(day, ignorenulls=True).over(ahead).alias("d1"),
+        F.last(value, ignorenulls=True).over(ahead).alias("v1"),
+        F.last(day, ignorenulls=True).over(ahead).alias("d1"),
     )
     share = F.datediff("datetime", "d0") / F.datediff("d1", "d0")
     between = F.col("v0") + (F.col("v1") - F.col("v0")) * share

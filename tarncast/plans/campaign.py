@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from tarncast.plans import baselines, neural, regressions
-from tarncast.plans.common import standard_format
+from tarncast.plans.common import chosen_series, standard_format
 from tarncast.plans.scoring import score
 from tarncast.sources.sinks import write_table
 
@@ -27,8 +27,15 @@ def forecast_all(
     start=None,
     min_rows: int | None = None,
     networks: int = 5,
+    depths=None,
+    depth: Column | None = None,
 ) -> DataFrame:
-    """Forecasts of the chosen models in one long table."""
+    """Forecasts of the chosen models in one long table.
+
+    Models read the targets of ``variable``, and of ``depths`` if given. ``depth`` is what the forecasts carry
+    as depth_m (an expression on site_id), so that scores can match it.
+    """
+    targets = chosen_series(targets, variable, depths)
     common = {"start": start, "min_rows": min_rows}
     runs = {
         "Persistence": lambda: baselines.normal_rows(baselines.persistence(targets, refs)),
@@ -39,7 +46,7 @@ def forecast_all(
         "NNAR": lambda: neural.neural_ar(targets, refs, networks=networks),
     }
     family = {name: "normal" if name in BASELINE_MODELS else "ensemble" for name in runs}
-    parts = [standard_format(runs[name](), name, family[name], variable) for name in models]
+    parts = [standard_format(runs[name](), name, family[name], variable, depth) for name in models]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -51,6 +58,6 @@ def run_campaign(forecasts: DataFrame, targets: DataFrame, forecast_path: str, s
     """
     spark = forecasts.sparkSession
     write_table(forecasts, forecast_path)
-    scored = score(spark.read.parquet(forecast_path), targets, families=["normal"], hot_rows=None)
+    scored = score(spark.read.parquet(forecast_path), targets, families=["normal"], bounded=True)
     write_table(scored, score_path)
     return spark.read.parquet(score_path)

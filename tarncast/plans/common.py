@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarncast.functions.noise import draw_key, standard_normal
 from tarncast.operators.grid import each_member, spread
+from tarncast.operators.lookup import in_or_null, in_strict
 
 # Members of an ensemble, days ahead, and the detection limit of the sensor.
 MEMBERS = 31
@@ -15,6 +16,21 @@ INITIAL_SD = 0.07
 SITE_REF = ["site_id", "reference_datetime"]
 
 
+def chosen_series(targets: DataFrame, variable: str | None = None, depths=None) -> DataFrame:
+    """The targets of one variable and of some depths (None among them for a missing one), one row for each site and day.
+
+    Models key by site: without a choice, several variables or depths of a table would be mixed. Repeats are averaged.
+    """
+    if variable is not None and "variable" in targets.columns:
+        targets = targets.filter(F.col("variable") == variable)
+    if depths is not None and "depth_m" in targets.columns:
+        known = [d for d in depths if d is not None]
+        targets = targets.filter(in_or_null(F.col("depth_m"), known) if None in depths else in_strict(F.col("depth_m"), known))
+    kept = [c for c in targets.columns if c not in ("observation", "site_id", "datetime", "depth_m")]
+    depth = [F.max("depth_m").alias("depth_m")] if "depth_m" in targets.columns else []
+    return targets.groupBy("site_id", "datetime", *kept).agg(F.avg("observation").alias("observation"), *depth)
+
+
 def standard_format(
     df: DataFrame,
     model_id: str,

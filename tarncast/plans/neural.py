@@ -19,6 +19,7 @@ from tarncast.operators.grid import spread
 from tarncast.operators.series import interpolate, scaffold
 
 OFFSET = 0.001
+LEAST_DAMPING = 1e-9
 
 
 def _lag_matrix(y: np.ndarray, lags: list[int]) -> np.ndarray:
@@ -34,8 +35,20 @@ def _forward(x: np.ndarray, w: np.ndarray, hidden: int):
     return h, w2, h @ w2 + b2
 
 
+def _solve(square: np.ndarray, gradient: np.ndarray) -> np.ndarray | None:
+    """The step of a damped system; none where it is singular."""
+    try:
+        step = np.linalg.solve(square, gradient)
+    except np.linalg.LinAlgError:
+        return None
+    return step if np.isfinite(step).all() else None
+
+
 def _train(x: np.ndarray, y: np.ndarray, hidden: int, rng: np.random.Generator, rounds: int = 40) -> np.ndarray:
-    """Levenberg-Marquardt on the squared error of one hidden layer with a linear output."""
+    """Levenberg-Marquardt on the squared error of one hidden layer with a linear output.
+
+    The damping is relative to the system's diagonal and has a floor; a singular step is a rejected one.
+    """
     w = rng.uniform(-0.7, 0.7, hidden * (x.shape[1] + 2) + 1)
     damping = 1e-2
     h, w2, out = _forward(x, w, hidden)
@@ -46,17 +59,20 @@ def _train(x: np.ndarray, y: np.ndarray, hidden: int, rng: np.random.Generator,
             [(slope[:, :, None] * x[:, None, :]).reshape(len(x), -1), slope, h, np.ones((len(x), 1))]
         )
         gradient, square = jacobian.T @ (out - y), jacobian.T @ jacobian
+        diagonal = np.diag(square)
+        weight = np.maximum(diagonal, 1e-8 * max(diagonal.max(), 1e-300))
         for _ in range(8):
-            step = np.linalg.solve(square + damping * np.eye(len(w)), gradient)
-            trial = _forward(x, w - step, hidden)
-            trial_loss = np.sum((trial[2] - y) ** 2)
-            if trial_loss < loss:
-                break
+            step = _solve(square + damping * np.diag(weight), gradient)
+            if step is not None:
+                trial = _forward(x, w - step, hidden)
+                trial_loss = np.sum((trial[2] - y) ** 2)
+                if trial_loss < loss:
+                    break
             damping *= 4
         else:
             return w
         done = loss - trial_loss < 1e-6 * loss
-        w, (h, w2, out), loss, damping = w - step, trial, trial_loss, damping / 3
+        w, (h, w2, out), loss, damping = w - step, trial, trial_loss, max(damping / 3, LEAST_DAMPING)
         if done:
             return w
     return w
@@ -91,12 +107,13 @@ def neural_ar(
     members: int = 31,
     lags: tuple[int, ...] = (1, 2, 3, 7),
     networks: int = 5,
-    min_days: int = 30,
 ) -> DataFrame:
     """One network for each (site, reference date): site_id, reference_datetime, datetime, parameter, prediction.
 
     The record up to and including the reference date is scaffolded and gap-filled as of that
-    date, so nothing later leaks in. Each row handed to Python is one daily series.
+    date, so nothing later leaks in. An issue with fewer known days than one fit needs (the deepest lag and
+    two) keeps its rows, with NULL predictions. The first simulated day carries the date of issue (horizon 0).
+    Each row handed to Python is one daily series and the issues of one month, cut there.
     """
     lags = list(lags)
     known = targets.filter(F.col("observation").isNotNull()).select("site_id", "datetime", "observation")
@@ -104,35 +121,36 @@ def neural_ar(
     packed = known.groupBy("site_id").agg(
         F.sort_array(F.collect_list(F.struct("datetime", "observation"))).alias("series")
     )
-    jobs = (
-        spread(refs.select("site_id", "reference_datetime").join(packed, "site_id"), "site_id", "reference_datetime")
-        .withColumn("series", F.filter("series", lambda s: s["datetime"] <= F.col("reference_datetime")))
-        .filter(F.size("series") >= min_days)
-        .select(
-            "site_id",
-            "reference_datetime",
-            F.transform("series", lambda s: F.datediff(s["datetime"], F.lit(date(1970, 1, 1)))).alias("days"),
-            F.transform("series", lambda s: s["observation"]).alias("values"),
-            F.datediff("reference_datetime", F.lit(date(1970, 1, 1))).alias("issue"),
-            F.abs(F.hash("site_id", "reference_datetime")).alias("seed"),
-        )
+    month = F.trunc("reference_datetime", "month").alias("month")
+    issues = refs.groupBy("site_id", month).agg(F.sort_array(F.collect_set("reference_datetime")).alias("issues"))  # 31 at most
+    jobs = spread(issues.join(packed, "site_id", "left"), "site_id", "month").select(
+        "site_id",
+        "issues",
+        F.transform("issues", lambda d: F.datediff(d, F.lit(date(1970, 1, 1)))).alias("ends"),
+        F.transform("issues", lambda d: F.xxhash64("site_id", d)).alias("seeds"),
+        F.transform("series", lambda s: F.datediff(s["datetime"], F.lit(date(1970, 1, 1)))).alias("days"),
+        F.transform("series", lambda s: s["observation"]).alias("values"),
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                calendar = np.arange(row.days[0], row.issue + 1)
-                filled = np.interp(calendar, row.days, row.values)
-                tracks = _paths(filled, row.seed, horizon, members, lags, networks)
-                yield pd.DataFrame(
-                    {
-                        "site_id": row.site_id,
-                        "reference_datetime": row.reference_datetime,
-                        "horizon": np.tile(np.arange(horizon + 1), members),
-                        "parameter": np.repeat(np.arange(1, members + 1).astype(str), horizon + 1),
-                        "prediction": tracks.ravel(),
-                    }
-                )
+                for issue, end, seed in zip(row.issues, row.ends, row.seeds, strict=True):
+                    known = 0 if row.days is None else int(np.searchsorted(row.days, end, "right"))
+                    tracks = np.full((members, horizon + 1), np.nan)
+                    if known >= max(lags) + 2:
+                        calendar = np.arange(row.days[0], end + 1)
+                        filled = np.interp(calendar, row.days[:known], row.values[:known])
+                        tracks = _paths(filled, int(seed) & (2**64 - 1), horizon, members, lags, networks)
+                    yield pd.DataFrame(
+                        {
+                            "site_id": row.site_id,
+                            "reference_datetime": issue,
+                            "horizon": np.tile(np.arange(horizon + 1), members),
+                            "parameter": np.repeat(np.arange(1, members + 1).astype(str), horizon + 1),
+                            "prediction": tracks.ravel(),
+                        }
+                    )
 
     schema = "site_id string, reference_datetime date, horizon int, parameter string, prediction double"
     return jobs.mapInPandas(run, schema).select(

@@ -38,28 +38,29 @@ def forecast_groups(forecasts: DataFrame, unit: str = "day") -> DataFrame:
     )
 
 
-def content_number(*columns) -> Column:
-    """A 32-bit number from the text of a row."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in columns])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+def content_sums(columns: list[str]) -> list[Column]:
+    """Two sums of independent 64-bit numbers of the rows; they merge in any order."""
+    values = [F.struct(F.col(c).isNull(), F.col(c)) for c in columns]
+    return [F.sum(F.xxhash64(F.lit(seed), *values).cast("decimal(38,0)")).alias(f"target_sum{seed}") for seed in (1, 2)]
 
 
 def target_fingerprint(targets: DataFrame, unit: str = "day") -> DataFrame:
-    """One fingerprint for each period of targets.
+    """One fingerprint for each period of targets, over all their columns.
 
-    The rows of a period are combined by a count and a sum, which merge in any order: nothing is
-    collected or sorted.
+    The rows of a period are combined by a count and sums: nothing is collected or sorted.
     """
-    number = content_number("site_id", "variable", "datetime", "observation")
     return targets.groupBy(period(unit).alias("date")).agg(
-        F.count(F.lit(1)).alias("target_rows"), F.sum(number).alias("target_sum")
+        F.count(F.lit(1)).alias("target_rows"), *content_sums(sorted(targets.columns))
     )
 
 
 def group_ids(forecasts: DataFrame, targets: DataFrame, unit: str = "day") -> DataFrame:
-    """Groups with an id that changes when their issues, publications or targets do."""
-    groups = forecast_groups(forecasts, unit).join(target_fingerprint(targets, unit), "date")
-    parts = ["model_id", "date", "reference_date", "pub_date", "target_rows", "target_sum"]
+    """Groups with an id that changes when their forecasts, issues, publications or targets do; a group may have no targets."""
+    content = forecasts.groupBy("model_id", period(unit).alias("date")).agg(
+        F.count(F.lit(1)).alias("rows"), *[c.alias(f"sum{i}") for i, c in enumerate(content_sums(sorted(forecasts.columns)))]
+    )
+    groups = forecast_groups(forecasts, unit).join(content, ["model_id", "date"]).join(target_fingerprint(targets, unit), "date", "left")
+    parts = ["model_id", "date", "reference_date", "pub_date", "rows", "sum0", "sum1", "target_rows", "target_sum1", "target_sum2"]
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in parts])
     return groups.withColumn("new_id", F.sha2(text, 256))
 
@@ -82,7 +83,7 @@ def incremental_score(
     as_of,
     past_days: int = 365,
     extra_groups=(),
-    hot_rows: int | None = None,
+    bounded: bool = False,
     families=FAMILIES,
     unit: str = "day",
 ) -> int:
@@ -113,7 +114,7 @@ def incremental_score(
     averaged = due.groupBy(*[c for c in due.columns if c not in ("prediction", "date")]).agg(
         F.avg("prediction").alias("prediction")
     )
-    scored = score(averaged, targets, extra_groups, families=families, hot_rows=hot_rows)
+    scored = score(averaged, targets, extra_groups, families=families, bounded=bounded)
     replace_partitions(scored.withColumn("date", period(unit)), scores_path, ["model_id", "date"])
     entries = pending.select(today.alias("date"), "new_id", "model_id", "reference_date", "pub_date")
     append(entries, log_path)

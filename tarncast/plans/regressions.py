@@ -32,9 +32,12 @@ DRIVER_COLUMNS = {
 TRAJECTORY = ["site_id", "reference_datetime", "member"]
 
 
-def calibration_frame(
-    targets: DataFrame, history: DataFrame, start=None, on=("datetime",), by_row: bool = False
-) -> DataFrame:
+def history_keys(history: DataFrame) -> list[str]:
+    """A history of each site joins by site and day, one for all sites by day."""
+    return [key for key in ("site_id", "datetime") if key in history.columns]
+
+
+def calibration_frame(targets: DataFrame, history: DataFrame, start=None, on=None, by_row: bool = False) -> DataFrame:
     """Daily training rows: observation, its lag, drivers, lagged and 10-day rain.
 
     Lags are by calendar day; ``by_row`` makes them the previous recorded row instead, so a gap
@@ -44,7 +47,7 @@ def calibration_frame(
     if start is not None:
         used = used.filter(F.col("datetime") >= F.lit(start).cast("date"))
     days = used if by_row else scaffold(used, ["site_id"], "observation")
-    joined = days.join(history, list(on), "left")
+    joined = days.join(history, list(on or history_keys(history)), "left")
     keys = ["site_id"]
     return joined.select(
         "*",
@@ -95,11 +98,12 @@ def met_regression(
     return _members(_with_draws(ahead, fits, 4, members).withColumn("prediction", value))
 
 
-def spliced_rain(history: DataFrame, rows: DataFrame, refs: DataFrame, members: int, on=("datetime",)) -> DataFrame:
+def spliced_rain(history: DataFrame, rows: DataFrame, refs: DataFrame, members: int) -> DataFrame:
     """Each member's rain from ten days before issue on: recorded before, forecast from issue."""
     before = refs.select(*SITE_REF).withColumn("horizon", F.explode(F.sequence(F.lit(-10), F.lit(-1))))
     before = before.withColumn("datetime", F.expr("date_add(reference_datetime, horizon)"))
-    recorded = before.join(history.select(*on, "rain"), list(on), "left")
+    on = history_keys(history)
+    recorded = before.join(history.select(*on, "rain"), on, "left")
     columns = [*TRAJECTORY, "datetime", "horizon", "rain"]
     return each_member(recorded, members).select(*columns).unionByName(rows.select(*columns))
 

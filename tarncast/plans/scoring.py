@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from tarncast.functions import incomplete, scores
 from tarncast.functions.special import Z_95, Z_975
-from tarncast.operators.ranks import HOT_ROWS, quantile, rank_in_slices, split_hot, weighted_mean
+from tarncast.operators.ranks import quantile, rank_in_slices, weighted_mean
 from tarncast.operators.reshape import parameters_wide, present
 
+# The column, parameter and family names of the forecast tables.
 GROUPING = [
     "datetime", "reference_datetime", "site_id", "model_id", "family", "variable", "pubDate", "pub_datetime",
 ]
@@ -24,6 +25,7 @@ FAMILIES = (
     "normal", "lognormal", "logistic", "exponential", "uniform", "bernoulli", "gamma", "beta", "poisson",
 )
 SCORES = ["crps", "logs"]
+SALT_ROWS = 100_000
 # q95 and q05 bound the central 90% interval; some tables call them quantile90 and quantile10.
 SUMMARIES = ["mean", "median", "sd", "quantile97_5", "quantile02_5", "q95", "q05"]
 LEVELS = {"median": 0.5, "quantile97_5": 0.975, "quantile02_5": 0.025, "q95": 0.95, "q05": 0.05}
@@ -71,7 +73,7 @@ def single_observation_violations(forecast: DataFrame, target: DataFrame, extra_
 # --- ensembles -------------------------------------------------------------------------------
 
 
-# An ensemble below the hot limit is one sorted array: one shuffle, then expressions over it.
+# An ensemble that its producer bounds is one sorted array: one shuffle, then expressions over it.
 
 
 def _array_quantile(p: float) -> Column:
@@ -141,7 +143,7 @@ def _score_packed(packed: DataFrame, keys: list[str], y: str | None, summaries:
     return df.select(*out)
 
 
-# A hot ensemble is spread over many tasks as ranked slices; every step is a mergeable aggregate.
+# An ensemble of any size is spread over many tasks as ranked slices; every step is a mergeable aggregate.
 
 
 def _slice_crps(value: str, y: str) -> Column:
@@ -154,10 +156,9 @@ def _slice_crps(value: str, y: str) -> Column:
 
 def _slice_sd(value: str) -> Column:
     """Sample standard deviation over rows that stand for several equal values."""
-    x, c = F.col(value), F.col("copies")
-    mean = weighted_mean(value)
-    spread = F.sum(x * x * c) / F.sum(c) - mean * mean
-    return F.when(F.sum(c) > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) * F.sum(c) / (F.sum(c) - 1)))
+    off, c = F.col(value) - F.col("center"), F.col("copies")
+    spread = F.sum(off * off * c) - F.sum(off * c) * F.sum(off * c) / F.sum(c)
+    return F.when(F.sum(c) > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (F.sum(c) - 1)))
 
 
 def _score_slices(ranked: DataFrame, keys: list[str], value: str, y: str | None, summaries: bool, logs: bool) -> DataFrame:
@@ -184,12 +185,12 @@ def _score_slices(ranked: DataFrame, keys: list[str], value: str, y: str | None,
 
 
 def _slice_kernels(ranked: DataFrame, stats: DataFrame, keys: list[str], value: str, y: str) -> DataFrame:
-    """Kernel sums of hot groups, which meet their bandwidth through salted copies of it."""
-    salts = int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    side = stats.select(*[F.col(k).alias(f"k_{k}") for k in keys], "width", "near").withColumn(
-        "k_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    """Kernel sums of groups, which meet their bandwidth through a copy of it for every SALT_ROWS members."""
+    salts = F.ceil(F.col("n") / F.lit(SALT_ROWS)).cast("int")
+    side = stats.select(*[F.col(k).alias(f"k_{k}") for k in keys], "width", "near", salts.alias("salts")).withColumn(
+        "k_salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
     )
-    rows = ranked.withColumn("salt", F.pmod(F.xxhash64(value), F.lit(salts)).cast("int"))
+    rows = ranked.withColumn("salt", F.pmod(F.xxhash64(value), salts).cast("int"))
     same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys] + [F.col("salt") == F.col("k_salt")]
     d, w = F.col(value) - F.col(y), F.col("width")
     relative = F.exp((F.col("near") * F.col("near") - d * d) / (2 * w * w))
@@ -204,39 +205,37 @@ def score_samples(
     y: str | None = "observation",
     summaries: bool = True,
     logs: bool = True,
-    hot_rows: int | None = HOT_ROWS,
+    bounded: bool = False,
     attach: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """CRPS, log score and summaries of ensembles of any size; one row for each group.
 
     ``y`` must be constant inside a group. Where the rows do not have it yet, ``attach`` adds it:
     after packing, so the join sees one row for each ensemble instead of one for each member.
-    An ensemble with a missing member keeps its row, unscored. ``hot_rows=None`` says that the
-    producer bounds the group.
+    An ensemble with a missing member keeps its row, unscored. ``bounded`` says that the producer
+    bounds the group, as the forecast models do with their members: each is then one array.
     """
     carried = y if y and attach is None else None
     used = rows.select(*keys, *([carried] if carried else []), value)
     logs = logs and y is not None
-    calm, busy = split_hot(used, keys, value, hot_rows)
-    packed = _pack(calm, keys, value, carried)
-    scored = _score_packed(attach(packed) if attach else packed, keys, y, summaries, logs)
-    if busy is None:
-        return scored
-    busy = attach(busy) if attach else busy
-    ranked = rank_in_slices(busy, keys, value, [y] if y else [])
-    sliced = _score_slices(ranked, keys, value, y, summaries, logs)
-    return scored.unionByName(_only_whole(sliced, busy, keys, value, y))
+    if bounded:
+        packed = _pack(used, keys, value, carried)
+        return _score_packed(attach(packed) if attach else packed, keys, y, summaries, logs)
+    rows = attach(used) if attach else used
+    sliced = _score_slices(rank_in_slices(rows, keys, value, [y] if y else []), keys, value, y, summaries, logs)
+    return _only_whole(sliced, rows, keys, value, y)
 
 
 def _only_whole(scored: DataFrame, rows: DataFrame, keys: list[str], value: str, y: str | None) -> DataFrame:
     """Scores of ensembles with a missing member set to NULL."""
+    observed = [F.max(y).alias("g_y")] if y else []
     gaps = rows.groupBy(*[F.col(k).alias(f"g_{k}") for k in keys]).agg(
-        (F.count(value) == F.count(F.lit(1))).alias("whole")
+        (F.count(value) == F.count(F.lit(1))).alias("whole"), *observed
     )
     same = [F.col(k).eqNullSafe(F.col(f"g_{k}")) for k in keys]
-    kept = [*keys, *([y] if y else [])]
-    results = [F.when(F.col("whole"), F.col(c)).alias(c) for c in scored.columns if c not in kept]
-    return scored.join(gaps, same).select(*kept, *results)
+    kept = [F.col(f"g_{k}").alias(k) for k in keys] + ([F.col("g_y").alias(y)] if y else [])
+    results = [F.when(F.col("whole"), F.col(c)).alias(c) for c in scored.columns if c not in (*keys, y)]
+    return gaps.join(scored, same, "left").select(*kept, *results)
 
 
 # --- parametric families ---------------------------------------------------------------------
@@ -370,7 +369,7 @@ def score(
     extra_groups=(),
     summaries: bool = True,
     families=FAMILIES,
-    hot_rows: int | None = HOT_ROWS,
+    bounded: bool = False,
 ) -> DataFrame:
     """CRPS and log score of every forecast in a long table, all families and models in one pass.
 
@@ -387,21 +386,21 @@ def score(
         long.filter(F.col("family") == "sample"),
         keys,
         summaries=summaries,
-        hot_rows=hot_rows,
+        bounded=bounded,
         attach=lambda df: attach_observation(df, target, extra_groups),
     )
     return scored.select(*names).unionByName(sampled.select(*names))
 
 
 def summarize(
-    forecast: DataFrame, extra_groups=(), families=FAMILIES, hot_rows: int | None = HOT_ROWS
+    forecast: DataFrame, extra_groups=(), families=FAMILIES, bounded: bool = False
 ) -> DataFrame:
     """Distribution summaries without observations."""
     long = as_sample(forecast)
     keys = group_keys(long, extra_groups)
     parametric = parameters_wide(long.filter(F.col("family") != "sample"), keys, PARAMETERS)
     rows = long.filter(F.col("family") == "sample")
-    sampled = score_samples(rows, keys, y=None, logs=False, hot_rows=hot_rows)
+    sampled = score_samples(rows, keys, y=None, logs=False, bounded=bounded)
     return (
         with_summaries(parametric, families)
         .select(*keys, *SUMMARIES)

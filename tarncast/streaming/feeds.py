@@ -79,16 +79,23 @@ def read_updates(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"newest.{v}").alias(v) for v in values])
 
 
-def score_arrivals(arrivals: DataFrame, checkpoint: str, score_batch: Callable[[DataFrame], object]) -> StreamingQuery:
+def score_arrivals(
+    arrivals: DataFrame, checkpoint: str, score_batch: Callable[[DataFrame], object], archive: str, unit: str = "day"
+) -> StreamingQuery:
     """Run the incremental scorer on every batch of newly arrived forecasts.
 
-    The scorer skips groups it has logged, so a repeated batch scores nothing twice. It replaces
-    the stored scores of a group, so ``score_batch`` must see all forecasts of the groups it is
-    given: let arrivals carry whole groups, or let it read their other forecasts from the archive.
+    A batch is stored in the archive under its number, so a repeated batch replaces itself. The scorer
+    replaces the stored scores of a group (model and ``unit`` of forecast dates), so it is given all archived forecasts of the
+    groups that the batch touches: a group may arrive in any number of batches.
     """
 
     def on_batch(batch: DataFrame, number: int) -> None:
-        score_batch(batch)
+        batch.write.mode("overwrite").parquet(f"{archive}/batch={number}")
+        stored = batch.sparkSession.read.parquet(archive)
+        group = F.to_date(F.date_trunc(unit, "datetime"))
+        touched = stored.filter(F.col("batch") == number).select(F.col("model_id").alias("of_model"), group.alias("of_group")).distinct()
+        due = stored.join(touched, (F.col("model_id") == F.col("of_model")) & (group == F.col("of_group")), "left_semi")
+        score_batch(due.drop("batch"))
 
     return (
         arrivals.writeStream.foreachBatch(on_batch)

@@ -29,11 +29,11 @@ def ensembles(spark, rng):
     return groups, truth, spark.createDataFrame(rows, "g string, prediction double, observation double")
 
 
-@pytest.mark.parametrize("hot_rows", [None, 1_000_000, 20])
-def test_sample_scores_match_brute_force(spark, hot_rows):
-    """The same answers whether groups are ranked whole or cut into slices."""
+@pytest.mark.parametrize("bounded", [True, False])
+def test_sample_scores_match_brute_force(spark, bounded):
+    """The same answers whether groups are arrays or cut into slices."""
     groups, truth, df = ensembles(spark, np.random.default_rng(1))
-    got = {r["g"]: r for r in scoring.score_samples(df, ["g"], hot_rows=hot_rows).collect()}
+    got = {r["g"]: r for r in scoring.score_samples(df, ["g"], bounded=bounded).collect()}
     for g, x in groups.items():
         assert got[g]["crps"] == pytest.approx(brute_crps(x, truth[g]), rel=1e-9)
         assert got[g]["mean"] == pytest.approx(x.mean())
@@ -47,13 +47,23 @@ def test_sample_scores_match_brute_force(spark, hot_rows):
     assert got["d"]["crps"] == pytest.approx(2.0)
 
 
+def test_spread_of_large_values(spark):
+    """Members near a billion: the spread must not cancel, and one shape of ranks serves every group."""
+    values = [1e9 + v for v in np.random.default_rng(4).normal(0, 1, 40)]
+    df = spark.createDataFrame([("a", float(v), 1e9) for v in values], "g string, prediction double, observation double")
+    rows = [scoring.score_samples(df, ["g"], bounded=bounded).first() for bounded in (True, False)]
+    for row in rows:
+        assert row["sd"] == pytest.approx(np.std(values, ddof=1), rel=1e-6)
+        assert row["logs"] == pytest.approx(brute_logs(np.array(values), 1e9), rel=1e-5)
+
+
 def test_missing_key_values_are_groups(spark):
     df = spark.createDataFrame(
         [("m", None, 1.0, 2.0), ("m", None, 3.0, 2.0), ("m", 1.5, 2.0, 2.0)],
         "model_id string, depth_m double, prediction double, observation double",
     )
-    for hot in (None, 1):
-        got = scoring.score_samples(df, ["model_id", "depth_m"], logs=False, hot_rows=hot).collect()
+    for bounded in (True, False):
+        got = scoring.score_samples(df, ["model_id", "depth_m"], logs=False, bounded=bounded).collect()
         assert {(r["depth_m"], round(r["crps"], 6)) for r in got} == {(None, 0.5), (1.5, 0.0)}
 
 
@@ -130,11 +140,11 @@ def test_score_keeps_unobserved_forecasts_and_all_families(spark):
     assert scoring.summarize(forecast).count() == 3
 
 
-@pytest.mark.parametrize("hot_rows", [None, 3])
-def test_a_missing_member_leaves_the_ensemble_unscored(spark, hot_rows):
+@pytest.mark.parametrize("bounded", [True, False])
+def test_a_missing_member_leaves_the_ensemble_unscored(spark, bounded):
     rows = [("a", float(i), 2.0) for i in range(8)] + [("a", None, 2.0)] + [("b", float(i), 2.0) for i in range(8)] + [("c", None, 2.0)]
     df = spark.createDataFrame(rows, "g string, prediction double, observation double")
-    got = {r["g"]: r for r in scoring.score_samples(df, ["g"], hot_rows=hot_rows).collect()}
+    got = {r["g"]: r for r in scoring.score_samples(df, ["g"], bounded=bounded).collect()}
     assert set(got) == {"a", "b", "c"}
     for g in ("a", "c"):
         assert got[g]["observation"] == 2.0
