@@ -29,7 +29,7 @@ def document_items(words: int):
     return items
 
 
-def differing(notes: np.ndarray, sizes: np.ndarray, at: int) -> np.ndarray:
+def differing(notes: np.ndarray, at: int) -> np.ndarray:
     return notes != notes[at]
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarncast.llm.setjoin import NULL_ID, Similarity, fetch, post, rarity, settle, verify_pairs
+from tarncast.llm.setjoin import NULL_ID, Similarity, fetch, post, rarity, release, settle, verify_pairs
 from tarncast.llm.words import shingles, text_batches
 from tarncast.session import durable
 
@@ -39,7 +39,7 @@ def line_items(words: int):
     return items
 
 
-def still_open(notes: np.ndarray, sizes: np.ndarray, at: int) -> np.ndarray:
+def still_open(notes: np.ndarray, at: int) -> np.ndarray:
     """Pairs whose later class is not yet removed; a note is (doc_id, line, removed)."""
     own = (notes[at]["id"], notes[at]["part"])
     later_open = np.fromiter(((not note["gone"]) if (note["id"], note["part"]) > own else not notes[at]["gone"] for note in notes), dtype=bool, count=len(notes))
@@ -101,6 +101,7 @@ def clean_lines(docs: DataFrame, words: int = 5, like: Similarity | None = None,
     ignored; an empty table gives no rows.
     """
     lines = removed_lines(docs, words, like)
+    release(docs.sparkSession)
     lost = durable(lines.groupBy("id").agg(F.collect_set("part").alias("lost")))  # at most the lines of a document
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,13 +8,14 @@ or more share a token among their first n - ceil(t n) + 1, so each item posts on
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarncast.llm.components import components
@@ -25,8 +26,9 @@ NULL_ID = -(1 << 63)
 SKETCH_BITS = 16
 BUCKET_POSTINGS = 1 << 20
 SHIFTS = 48
-UNIT_SETS = 200
-UNIT_TOKENS = 1 << 19
+UNIT_SETS = 4_000
+UNIT_TOKENS = 1 << 20
+SHORT_LIST = 32
 
 #: From the texts of a slice: token hashes with repeats, the item of each (ascending), and each item's row and part of the row.
 Items = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
@@ -236,6 +238,7 @@ def post(docs: DataFrame, items: Items, order: tuple[np.ndarray, int], like: Sim
     posted = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").mapInArrow(emit, f"bucket int, blob binary, items {item}")
     path = work_path(docs.sparkSession, "lists")
     posted.groupBy("bucket").applyInArrow(lists, f"tok bigint, g bigint, n int, rem int, items {item}").write.parquet(path)
+    release(docs.sparkSession)
     stored = docs.sparkSession.read.schema(f"tok bigint, g bigint, n int, rem int, items {item}").parquet(path)
     return (
         durable(stored.filter("items is null").groupBy("tok", "g").agg(F.first("n").alias("n"), F.max("rem").alias("rem"))),
@@ -243,6 +246,12 @@ def post(docs: DataFrame, items: Items, order: tuple[np.ndarray, int], like: Sim
     )
 
 
+def release(spark: SparkSession) -> None:
+    """Spark removes the shuffle files of finished steps when the driver collects garbage; ask for it, so that disks hold one step at a time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fetch(docs: DataFrame, items: Items, wanted: DataFrame) -> DataFrame:
     """The token arrays of the sets named in ``wanted`` (id, sid: any document that holds the set), stored: sid, tokens.
 
@@ -264,6 +273,7 @@ def fetch(docs: DataFrame, items: Items, wanted: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("id"), "text").join(asked, "id").select("text", "sids")
     path = work_path(docs.sparkSession, "arrays")
     rows.mapInArrow(arrays, "sid binary, tokens binary").write.parquet(path)
+    release(docs.sparkSession)
     return docs.sparkSession.read.schema("sid binary, tokens binary").parquet(path)
 
 
@@ -299,74 +309,83 @@ def verify_pairs(pairs: DataFrame, arrays: DataFrame, like: Similarity) -> DataF
 def settle(rest: DataFrame, arrays: DataFrame, like: Similarity, differ: Callable[[Column, Column], Column], ask: Callable) -> DataFrame:
     """Verify every pair of a list whose notes ``differ``: links a, b.
 
-    ``rest``: tok, sid, n, rem, centre (one member of the list), note. Lists that touch form a cluster. A cluster whose lists hold
-    fewer pairs than its blocks would take rows is tested pair by pair, any other block against block;
-    so the rows are never more than the square of a cluster's size over ``UNIT_SETS``.
+    ``rest``: tok, sid, n, rem, centre (one member of the list), note. Sets are clustered: by the pairs of short lists that pass
+    the length and positional filters, and by all members of longer lists. A cluster is tested whole, see ``verify_clusters``.
     """
-    clusters = components(rest.select(F.col("sid").alias("a"), F.col("centre").alias("b")).distinct())
-    rest = durable(rest.drop("centre").join(clusters.select(F.col("node").alias("sid"), F.col("label").alias("cluster")), "sid"))
-    members = rest.select("cluster", "sid", "n", "note").distinct()
-    blocks = members.groupBy("cluster").agg((F.count("*") * block_count()).alias("rows"))
-    size = rest.groupBy("cluster", "tok").agg(F.count("*").alias("m"))
-    pairs = size.groupBy("cluster").agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("pairs"))
-    choice = durable(blocks.join(pairs, "cluster").select("cluster", (F.col("pairs") <= F.col("rows")).alias("few")))
-    few = rest.join(choice.filter("few").select("cluster"), "cluster", "left_semi")
+    size = rest.groupBy("tok").agg(F.count("*").alias("m"))
+    rest = durable(rest.join(size, "tok"))
+    short = rest.filter(F.col("m") <= SHORT_LIST)
     a, b = ([F.col(name).alias(f"{name}_{side}") for name in ("sid", "n", "rem", "note")] for side in "ab")
-    both = few.select("tok", *a).join(few.select("tok", *b), "tok").filter((F.col("sid_a") < F.col("sid_b")) & differ(F.col("note_a"), F.col("note_b")))
-    both = both.filter(like.pair(F.col("n_a"), F.col("rem_a"), F.col("n_b"), F.col("rem_b")))
-    both = durable(both.select(F.col("sid_a").alias("a"), "n_a", F.col("sid_b").alias("b"), "n_b").distinct())
-    one = verify_pairs(both, arrays, like)
-    many = durable(members.join(choice.filter("not few").select("cluster"), "cluster", "left_semi"))
-    return one if many.isEmpty() else one.unionByName(verify_clusters(many, arrays, like, ask))
-
-
-def block_count() -> Column:
-    """How many blocks the sets of a cluster make."""
-    return F.greatest(F.ceil(F.count("*") / F.lit(UNIT_SETS)), F.ceil(F.sum("n") / F.lit(UNIT_TOKENS))).cast("int")
+    both = short.select("tok", *a).join(short.select("tok", *b), "tok").filter((F.col("sid_a") < F.col("sid_b")) & differ(F.col("note_a"), F.col("note_b")))
+    near = both.filter(like.pair(F.col("n_a"), F.col("rem_a"), F.col("n_b"), F.col("rem_b"))).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
+    far = rest.filter(F.col("m") > SHORT_LIST).select(F.col("sid").alias("a"), F.col("centre").alias("b"))
+    clusters = components(near.unionByName(far).distinct()).select(F.col("node").alias("sid"), F.col("label").alias("cluster"))
+    members = rest.select("sid", "n", "note").distinct().join(clusters, "sid")
+    return verify_clusters(members, arrays, like, ask)
 
 
 def verify_clusters(members: DataFrame, arrays: DataFrame, like: Similarity, ask: Callable) -> DataFrame:
-    """Test all pairs that ``ask`` wants inside each cluster, in units of two blocks of sets.
+    """Test all pairs that ``ask`` wants inside each cluster: links a, b.
 
-    ``members``: cluster, sid, n, note (one row for each set). Blocks are dealt by hash, about
-    ``UNIT_SETS`` sets each, and every set is sent once for each block of its cluster, so the rows sent are
-    the square of a cluster's size over ``UNIT_SETS`` and no pair is ever a row.
-    ``ask(notes, sizes, at)`` tells which sets are to be tested against set ``at``;
-    rows of links a, b come out.
+    ``members``: cluster, sid, n, note (one row for each set). A cluster of up to ``UNIT_TOKENS`` tokens and ``UNIT_SETS`` sets is
+    sent once, small ones together; a larger one is dealt into blocks of that size and tested two blocks at a time, so its rows are the
+    square of its size over the block's, and no pair is ever a row. ``ask(notes, at)`` tells which sets are to be tested against set ``at``.
     """
-    size = members.groupBy("cluster").agg(block_count().alias("blocks"))
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(UNIT_SETS)), F.ceil(F.sum("n") / F.lit(UNIT_TOKENS))).cast("int").alias("blocks")
+    size = durable(members.groupBy("cluster").agg(blocks, F.sum("n").alias("tokens")))
+    packs = max(1, math.ceil((size.filter("blocks = 1").agg(F.sum("tokens")).first()[0] or 0) / UNIT_TOKENS))
     placed = members.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = dealt.select(F.col("cluster"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "note")
+    whole = F.col("blocks") == 1
+    units = dealt.select(
+        F.when(whole, F.pmod(F.xxhash64("cluster"), F.lit(packs)).cast("string")).otherwise(F.hex("cluster")).alias("unit"),
+        F.when(whole, -1).otherwise(F.least("block", "other")).alias("i"),
+        F.when(whole, -1).otherwise(F.greatest("block", "other")).alias("j"),
+        "cluster",
+        "block",
+        "sid",
+        "note",
+    )
 
-    def test(key: tuple, table: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        rows = {}
-        for sid, note, block, tokens in zip(*(table.column(name).to_pylist() for name in ("sid", "note", "block", "tokens")), strict=True):
-            rows[sid] = (note, block, np.frombuffer(tokens, dtype=np.uint64))
-        names = sorted(rows, key=lambda sid: (rows[sid][1], sid))
-        notes = np.array([rows[sid][0] for sid in names], dtype=object)
-        blocks = np.array([rows[sid][1] for sid in names])
-        sizes = np.array([len(rows[sid][2]) for sid in names], dtype=np.int64)
-        flat = np.concatenate([rows[sid][2] for sid in names])
+    def links(rows: list[tuple], i: int, j: int) -> list[tuple[bytes, bytes]]:
+        """Pairs of one block, or across two, that reach the threshold; shared tokens are counted from a list of holders for each token."""
+        rows.sort(key=lambda row: (row[0], row[1]))
+        notes = np.array([row[2] for row in rows] + [None], dtype=object)[:-1]
+        blocks = np.array([row[0] for row in rows])
+        sets = [np.frombuffer(row[3], dtype=np.uint64) for row in rows]
+        sizes = np.array([len(own) for own in sets], dtype=np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)])
+        owner = np.repeat(np.arange(len(rows)), sizes)
+        flat = np.concatenate(sets)
+        by = np.argsort(flat, kind="stable")
+        new = np.concatenate([[True], flat[by][1:] != flat[by][:-1]])
+        firsts = np.flatnonzero(new)
+        lasts = np.concatenate([firsts[1:], [len(flat)]])
+        group = np.empty(len(flat), np.int64)
+        group[by] = np.cumsum(new) - 1
+        holders = owner[by]
         found = []
-        for at in range(int((blocks == i).sum())):
-            todo = ask(notes, sizes, at) & like.lengths(sizes, sizes[at])
+        for at in range(len(rows) if i == j else int((blocks == i).sum())):
+            todo = ask(notes, at) & like.lengths(sizes, sizes[at])
             todo[: at + 1] = False
             if i != j:
                 todo &= blocks == j
-            which = np.flatnonzero(todo)
-            if not len(which):
+            if not todo.any():
                 continue
-            own = flat[starts[at] : starts[at + 1]]
-            first, last = starts[which[0]], starts[which[-1] + 1]
-            place = np.searchsorted(own, flat[first:last])
-            hit = own[np.minimum(place, len(own) - 1)] == flat[first:last]
-            sums = np.concatenate([[0], np.cumsum(hit)])
-            shared = sums[starts[which + 1] - first] - sums[starts[which] - first]
-            found += [(at, other) for other in which[like.linked(shared, sizes[at], sizes[which])]]
-        return pa.table({"a": pa.array([names[a] for a, _ in found], pa.binary()), "b": pa.array([names[b] for _, b in found], pa.binary())})
+            own = group[starts[at] : starts[at + 1]]
+            counts = lasts[own] - firsts[own]
+            places = np.repeat(firsts[own] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            shared = np.bincount(holders[places], minlength=len(rows))
+            found += [(rows[at][1], rows[other][1]) for other in np.flatnonzero(todo & like.linked(shared, sizes[at], sizes))]
+        return found
+
+    def test(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        clusters: dict[bytes, dict[bytes, tuple]] = {}
+        for cluster, sid, note, block, tokens in zip(*(table.column(name).to_pylist() for name in ("cluster", "sid", "note", "block", "tokens")), strict=True):
+            clusters.setdefault(cluster, {})[sid] = (block, sid, note, tokens)
+        found = [pair for own in clusters.values() for pair in links(list(own.values()), i, j)]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
     joined = units.join(arrays, "sid")
-    return joined.groupBy("cluster", "i", "j").applyInArrow(test, "a binary, b binary")
+    return joined.groupBy("unit", "i", "j").applyInArrow(test, "a binary, b binary")

@@ -75,6 +75,7 @@ def test_near_copies(docs, monkeypatch, small):
     if small:
         monkeypatch.setattr(setjoin, "UNIT_SETS", 3)
         monkeypatch.setattr(setjoin, "SHIFTS", 2)
+        monkeypatch.setattr(setjoin, "SHORT_LIST", 3)
         monkeypatch.setattr(setjoin, "UNIT_TOKENS", 500)
     got = jaccard_join.near_duplicates(docs).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == near_brute(pairs_of(docs))
@@ -90,6 +91,7 @@ def test_lines(docs, monkeypatch, small):
     if small:
         monkeypatch.setattr(setjoin, "UNIT_SETS", 3)
         monkeypatch.setattr(setjoin, "SHIFTS", 2)
+        monkeypatch.setattr(setjoin, "SHORT_LIST", 3)
         monkeypatch.setattr(setjoin, "UNIT_TOKENS", 300)
     texts = pairs_of(docs)
     gone = lines_brute(texts)
