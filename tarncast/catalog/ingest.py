@@ -216,7 +216,8 @@ def default_depths(spark, folder):
 @query(f"""select l_linestatus as status, count(*) as n, {r("avg(case when l_discount > 0 then l_tax / l_discount end)", 'ratio')}
     from lineitem where l_discount > 0 group by 1""")
 def nan_to_null(spark, folder):
-    ratio = daily.not_nan(F.try_divide("l_tax", "l_discount"))
+    """The division gives real NaN values: 0 / 0 as floating-point numbers do."""
+    ratio = daily.not_nan(F.when(F.col("l_discount") > 0, F.col("l_tax") / F.col("l_discount")).otherwise(F.lit(float("nan"))))
     lines = fx.table(spark, folder, "lineitem").withColumn("ratio", ratio).dropna(subset=["ratio"])
     return lines.groupBy(F.col("l_linestatus").alias("status")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("ratio").alias("ratio")

@@ -54,7 +54,7 @@ def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, missing values, mean, extremes and distinct values of numeric columns, one row each.
+    """Count, missing values, mean and extremes of numeric columns, one row each.
 
     All columns are profiled in one pass over the source.
     """
