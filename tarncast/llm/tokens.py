@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import itertools
+import re
+from unicodedata import category
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
 CACHE_WORDS = 400_000
+#: A full stop or comma that ends a word is a piece of its own: apart from it, the word is met more often.
+END_MARK = re.compile(r"([a-z])([.,])(?=[ \n]|$)")
 #: The pattern that the vocabulary file itself states for its pieces.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -21,7 +25,7 @@ def byte_letters() -> list[str]:
 
 
 class WordIds(dict):
-    """Ids of a word (a run without ASCII white space), remembered; the memory is emptied when full.
+    """Ids of a word (a run without ASCII white space) as little-endian unsigned 32-bit integers, remembered; the memory is emptied when full.
 
     The vocabulary's normaliser and pre-tokenizer never join across white space, so the ids of a text
     are those of its words in order. A word is cut into pieces by the file's pattern and each piece
@@ -45,19 +49,29 @@ class WordIds(dict):
             found = self.pieces[piece] = tuple(token.id for token in self.model.tokenize(text))
         return found
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        plain = word.lower() if word.isascii() else self.normalizer.normalize_str(word)
-        ids = tuple(itertools.chain.from_iterable(self.piece(piece) for piece in PIECES.findall(plain)))
-        self[word] = ids
-        return ids
+        plain = word if word.isascii() else self.normalizer.normalize_str(word)
+        if not plain.isascii() and any(category(letter) == "Cn" for letter in plain):
+            # A character that this Python does not know may be a letter to the library.
+            value = self[word] = np.array(self.whole.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return value
+        if plain.isalpha():  # letters only: one piece
+            text = plain if plain.isascii() else "".join([self.letters[byte] for byte in plain.encode()])
+            ids = [token.id for token in self.model.tokenize(text)]
+        else:
+            ids = itertools.chain.from_iterable(map(self.piece, PIECES.findall(plain)))
+        value = self[word] = np.fromiter(ids, dtype="<u4").tobytes()
+        return value
 
     def encode(self, text: str) -> np.ndarray:
         """What the library's ``encode(text, add_special_tokens=False).ids`` gives, as unsigned 32-bit integers."""
         if any(token in text for token in self.special) or not usual_space(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return np.fromiter(itertools.chain.from_iterable(map(self.__getitem__, text.split())), dtype="<u4")
+        plain = text.encode().lower().decode()  # A-Z only, as the normaliser does too
+        words = END_MARK.sub(r"\1 \2", plain).split()
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), dtype="<u4")
 
 
 #: Characters at which Python's split cuts although the pattern's white space leaves them in a piece.
