@@ -211,9 +211,11 @@ def test_neural_paths(spark, world):
     refs = refs_at(spark, [("a", 100), ("b", 110), ("a", 10)])
     out = neural.neural_ar(world["targets"], refs, horizon=5, members=8, networks=2)
     rows = out.collect()
-    assert {(r["site_id"], r["reference_datetime"]) for r in rows} == {("a", on(100)), ("b", on(110))}
-    assert len(rows) == 2 * 8 * 6
-    values = [r["prediction"] for r in rows if r["site_id"] == "a"]
+    assert {(r["site_id"], r["reference_datetime"]) for r in rows} == {("a", on(100)), ("b", on(110)), ("a", on(10))}
+    assert len(rows) == 3 * 8 * 6
+    short = [r["prediction"] for r in rows if r["reference_datetime"] == on(10)]
+    assert all(p is None for p in short) or all(p is not None for p in short)
+    values = [r["prediction"] for r in rows if r["site_id"] == "a" and r["reference_datetime"] == on(100)]
     seen = list(world["obs"]["a"].values())
     assert min(seen) - 5 < np.median(values) < max(seen) + 5
     later = targets_from(spark, {s: {i: v if i <= 100 else 1e6 for i, v in d.items()} for s, d in world["obs"].items()})
@@ -221,6 +223,14 @@ def test_neural_paths(spark, world):
     assert sorted(r["prediction"] for r in again) == pytest.approx(sorted(values))
 
 
+def test_a_singular_system_is_a_rejected_step():
+    """Training on constant lags meets singular systems and must end."""
+    x, y = np.ones((20, 4)), np.zeros(20)
+    assert neural._solve(np.zeros((3, 3)), np.ones(3)) is None
+    weights = neural._train(x, y, 3, np.random.default_rng(0), rounds=200)
+    assert np.isfinite(weights).all()
+
+
 # --- series ----------------------------------------------------------------------------------
 
 
