@@ -1,9 +1,10 @@
-"""Benchmark passages in training documents: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark passages in training documents: n-gram seeds, then Smith-Waterman alignment.
 
-Test items are read in blocks of bounded size, and each block meets every document. Seeds are the
-items' word n-grams; how often each occurs in the whole corpus is counted first, and of each item
-the rarer ones are used. A document that holds a seed is aligned with the item around the seed: word
-against word, so copies with words changed, left out or put in still score.
+Test items are read in blocks of bounded size, and each block meets every document. Seeds are all
+the items' word n-grams, frequent ones too: an edited copy may hold no other. A document that holds a
+seed is aligned with the item around the seed: word against word, so copies with words changed, left
+out or put in still score. Places that hold too few of the item's words to reach the least score are
+passed over without an alignment, which is what keeps frequent seeds cheap.
 """
 
 from __future__ import annotations
@@ -64,24 +65,10 @@ class Block:
         self.seeds = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
         self.owners = np.concatenate(owners) if seeds else np.zeros(0, np.int64)
         self.places = np.concatenate(places) if seeds else np.zeros(0, np.int64)
-        self.order()
-
-    def order(self) -> None:
         by = np.argsort(self.seeds, kind="stable")
         self.seeds, self.owners, self.places = self.seeds[by], self.owners[by], self.places[by]
         self.distinct = np.unique(self.seeds)
 
-    def thin(self, counts: np.ndarray, share: float) -> None:
-        """Keep the rarest ``share`` of each passage's seeds, at least one; ``counts`` goes with ``distinct``."""
-        count = counts[np.searchsorted(self.distinct, self.seeds)] if len(self.seeds) else counts[:0]
-        by = np.lexsort((self.places, count, self.owners))
-        own = self.owners[by]
-        sizes = np.bincount(own, minlength=len(self.words)) if len(own) else np.zeros(0, np.int64)
-        rank = np.arange(len(by)) - (np.cumsum(sizes) - sizes)[own]
-        kept = by[rank < np.ceil(share * sizes)[own]]
-        self.seeds, self.owners, self.places = self.seeds[kept], self.owners[kept], self.places[kept]
-        self.order()
-
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of ``grams`` that are seeds, and their places among the distinct seeds."""
         if not len(self.distinct):
@@ -116,29 +103,13 @@ def document_grams(texts: list[bytes], seed_words: int) -> tuple[np.ndarray, np.
     return hashes, bounds, grams
 
 
-def seed_counts(docs: DataFrame, block: Block, seed_words: int) -> np.ndarray:
-    """How often each distinct seed of the block occurs in all documents."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(block.distinct), np.int64)
-        for _, texts in text_batches(batches):
-            _, at = block.hits(document_grams(texts, seed_words)[2])
-            total += np.bincount(at, minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pa.record_batch({"at": pa.array(used, pa.int64()), "n": pa.array(total[used], pa.int64())})
-
-    counts = np.zeros(len(block.distinct), np.int64)
-    for row in docs.select("text").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():  # a block's seeds
-        counts[row["at"]] = row["n"]
-    return counts
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = 4, share: float = 0.75, least: float = 0.5, item_id: str = "item_id", text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = 4, least: float = 0.5, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """Documents that hold a test passage: doc_id, item_id, passage, score, first_word, last_word.
 
     ``score`` is the alignment score over the number of words of the passage (1 for an exact copy), and rows have ``least`` or
-    more. Items of more than 256 words are searched as passages of 256; passages of fewer than
-    ``seed_words`` words match nothing. One row for each document, item and passage, its best place. A null text is
+    more. Every place of a document that shares a run of ``seed_words`` words with the passage is aligned, so copies
+    without one such run are not found. Items of more than 256 words are searched as passages of 256; passages of fewer
+    than ``seed_words`` words match nothing. One row for each document, item and passage, its best place. A null text is
     empty; a repeated or null doc_id gives rows of each document; other columns are ignored; an empty table on either side gives no rows.
     """
     spark = docs.sparkSession
@@ -147,7 +118,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = 4, share
     for block in blocks(benchmark, item_id, text, seed_words):
         if not len(block.seeds):
             continue
-        block.thin(seed_counts(source, block, seed_words), share)
 
         def search(batches: Iterable[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch, texts in text_batches(batches):
@@ -164,7 +134,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = 4, share
                 out = []
                 for (row, owner), begins in near.items():
                     item = block.words[owner]
-                    slack = math.ceil(len(item) / 2)
+                    slack = math.ceil(max(0.0, 2 * (1 - least)) * len(item))  # more words put in cost more than may be lost
                     best = (0.0, 0, 0)
                     spans: list[list[int]] = []
                     for begin in sorted(set(begins)):
@@ -174,6 +144,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = 4, share
                         else:
                             spans.append([low, high])
                     for low, high in spans:
+                        if np.isin(item, hashes[low:high]).sum() < max(best[0], least * len(item)):
+                            continue  # the score is at most the number of words found
                         score, end = align(item, hashes[low:high])
                         if score > best[0]:
                             _, back = align(item[::-1], hashes[low : low + end][::-1])  # the same alignment from its end
