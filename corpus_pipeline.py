@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tarncast.llm import decontaminate, jaccard_join, line_dedup, packing, toxicity
 from tarncast.llm.catalog import share_of
+from tarncast.llm.setjoin import release
 from tarncast.session import work_path
 
 #: No stage is plain SQL from end to end: scores are learnt and tokens come from a vocabulary.
@@ -27,39 +28,58 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
-def without(docs: DataFrame, dropped: DataFrame, column: str) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not among ``dropped``'s ``column``; a null id stays."""
-    key = free_name(docs, "dropped_id")
-    gone = dropped.select(F.col(column).alias(key)).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
+def without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` whose ``key``, a column that is never null, is not in ``dropped``'s only column."""
+    gone = free_name(docs, "dropped_key")
+    return docs.join(dropped.toDF(gone).distinct(), F.col(key) == F.col(gone), "left_anti").drop(key)
+
+
+def numbered(spark: SparkSession, docs: DataFrame, nulls_last: bool) -> tuple[DataFrame, str]:
+    """``docs``, stored, with a number for each row, and its column's name. Numbers rise by doc_id, then by content hash.
+
+    A doc_id may be null or repeated; equal rows get numbers of their own.
+    """
+    key = free_name(docs, "row_key")
+    doc_id = F.col("doc_id").asc_nulls_last() if nulls_last else F.col("doc_id").asc_nulls_first()
+    order = [doc_id, F.sha2(F.coalesce("text", F.lit("")), 256), F.xxhash64(*[F.col(f"`{name}`") for name in docs.columns]), F.col(key)]
+    path = work_path(spark, "numbered")
+    docs.withColumn(key, F.monotonically_increasing_id()).sort(*order).withColumn(key, F.monotonically_increasing_id()).write.parquet(path)
+    release(spark)
+    return spark.read.parquet(path), key
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; a document without words stays."""
+    """Rows that the classifier rejects go; a document without words stays."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rated = toxicity.score(docs, labels, "toxic", share_of("doc_id", 3, 1))
-    return without(docs, rated.filter("predicted = 1"), "doc_id")
+    rated = toxicity.score(docs, labels, "toxic", share_of("doc_id", 3, 1), passed=docs.columns)
+    return rated.filter("predicted <> 1").select("passed.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line go; every document stays, with n_chars counted anew where lines went."""
-    cleaned = line_dedup.clean_lines(docs, passed=[name for name in docs.columns if name not in ("doc_id", "text")])
-    kept = {"text": F.col("kept")}
+    """Lines that repeat an earlier line go, by doc_id (null first), content hash and line number; every row stays, with n_chars counted anew where lines went."""
+    rows, key = numbered(spark, docs, nulls_last=False)
+    own = free_name(rows, "own_id")
+    rows = rows.withColumnsRenamed({"doc_id": own, key: "doc_id"})
+    cleaned = line_dedup.clean_lines(rows, passed=[own, *[name for name in docs.columns if name not in ("doc_id", "text")]])
+    columns = {"doc_id": F.col("passed").getField(own), "text": F.col("kept")}
     if "n_chars" in docs.columns:
-        kept["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(F.col("passed.n_chars")).cast(docs.schema["n_chars"].dataType)
-    columns = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), **kept}
-    return cleaned.select(*[columns.get(name, F.col("passed").getField(name)).alias(name) for name in docs.columns])
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(F.col("passed.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return cleaned.select(*[columns[name].alias(name) if name in columns else F.col("passed").getField(name).alias(name) for name in docs.columns])
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest doc_id stays, and all documents without words."""
-    groups = jaccard_join.near_duplicates(docs)
-    return without(docs, groups.filter("component_id <> doc_id"), "doc_id")
+    """Of each group of near copies one row stays: of the smallest doc_id that is not null, then of the smallest content hash. All rows without words stay."""
+    rows, key = numbered(spark, docs, nulls_last=True)
+    groups = jaccard_join.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"))
+    return without(rows, groups.filter("component_id <> doc_id").select("doc_id"), key)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    return without(docs, decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "doc_id")
+    """Rows that hold a benchmark passage go. That is told from the text alone, so its hash is the key."""
+    key = free_name(docs, "text_key")
+    rows = docs.withColumn(key, F.sha2(F.coalesce("text", F.lit("")), 256))
+    leaks = decontaminate.find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=key)
+    return without(rows, leaks.select("key"), key)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

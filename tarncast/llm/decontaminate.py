@@ -103,18 +103,20 @@ def document_grams(texts: list[bytes], seed_words: int) -> tuple[np.ndarray, np.
     return hashes, bounds, grams
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = 4, least: float = 0.5, item_id: str = "item_id", text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = 4, least: float = 0.5, item_id: str = "item_id", text: str = "text", key: str | None = None) -> DataFrame:
     """Documents that hold a test passage: doc_id, item_id, passage, score, first_word, last_word.
 
     ``score`` is the alignment score over the number of words of the passage (1 for an exact copy), and rows have ``least`` or
     more. Every place of a document that shares a run of ``seed_words`` words with the passage is aligned, so copies
     without one such run are not found. Items of more than 256 words are searched as passages of 256; passages of fewer
-    than ``seed_words`` words match nothing. One row for each document, item and passage, its best place. A null text is
+    than ``seed_words`` words match nothing. With ``key``, that string column of the document follows as ``key``. One row for each document, item and passage, its best place. A null text is
     empty; a repeated or null doc_id gives rows of each document; other columns are ignored; an empty table on either side gives no rows.
     """
     spark = docs.sparkSession
     path = work_path(spark, "leaks")
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *([F.col(key).cast("string").alias("key")] if key else []))
+    schema = FOUND + (", key string" if key else "")
+    names = [part.split()[0] for part in schema.split(", ")]
     for block in blocks(benchmark, item_id, text, seed_words):
         if not len(block.seeds):
             continue
@@ -126,6 +128,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = 4, least
                 if not len(found):
                     continue
                 ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+                keys = batch.column(batch.schema.get_field_index("key")) if key else None
                 first, last = (np.searchsorted(block.seeds, block.distinct[seeds], side) for side in ("left", "right"))
                 near: dict[tuple[int, int], list[int]] = {}
                 for place, row, a, b in zip(found, np.searchsorted(bounds, found, "right") - 1, first, last, strict=True):
@@ -151,11 +154,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = 4, least
                             _, back = align(item[::-1], hashes[low : low + end][::-1])  # the same alignment from its end
                             best = (score, low + end - back - int(bounds[row]), low + end - int(bounds[row]))
                     if best[0] >= least * len(item):
-                        out.append((ids[row], *block.names[owner], best[0] / len(item), *best[1:]))
+                        out.append((ids[row], *block.names[owner], best[0] / len(item), *best[1:], *([keys[row].as_py()] if key else [])))
                 if out:
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=[part.split()[0] for part in FOUND.split(", ")])
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), *[pa.string()] * bool(key))
+                    yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-        source.mapInArrow(search, FOUND).write.mode("append").parquet(path)
-    spark.createDataFrame([], FOUND).write.mode("append").parquet(path)
-    return spark.read.schema(FOUND).parquet(path)
+        source.mapInArrow(search, schema).write.mode("append").parquet(path)
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
