@@ -56,11 +56,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line go, by doc_id (null first), content hash and line number; every row stays, with n_chars counted anew where lines went."""
+    """Lines that repeat an earlier line go, by doc_id (null first), content hash and line number, short lines too; every row stays, with n_chars counted anew where lines went."""
     rows, key = numbered(spark, docs, nulls_last=False)
     own = free_name(rows, "own_id")
     rows = rows.withColumnsRenamed({"doc_id": own, key: "doc_id"})
-    cleaned = line_dedup.clean_lines(rows, passed=[own, *[name for name in docs.columns if name not in ("doc_id", "text")]])
+    cleaned = line_dedup.clean_lines(rows, passed=[own, *[name for name in docs.columns if name not in ("doc_id", "text")]], short=True)
     columns = {"doc_id": F.col("passed").getField(own), "text": F.col("kept")}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(F.col("passed.n_chars")).cast(docs.schema["n_chars"].dataType)

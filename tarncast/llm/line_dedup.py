@@ -27,14 +27,14 @@ from tarncast.session import durable
 CLEANED = "doc_id bigint, n_lines bigint, n_removed bigint, kept_sha256 string, kept string"
 
 
-def line_items(words: int):
-    """Items of documents: the lines of ``words`` words or more, by their place."""
+def line_items(words: int, short: bool = False):
+    """Items of documents: the lines of ``words`` words or more, with ``short`` of any word, by their place."""
 
     def items(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         lines = [text.split(b"\n") for text in texts]
         counts = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
         parts = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        return *shingles(list(itertools.chain.from_iterable(lines)), words, short=False), np.repeat(np.arange(len(texts)), counts), parts
+        return *shingles(list(itertools.chain.from_iterable(lines)), words, short=short), np.repeat(np.arange(len(texts)), counts), parts
 
     return items
 
@@ -51,10 +51,10 @@ def later_is_open(a: Column, b: Column) -> Column:
     return ~F.when(behind, b["gone"]).otherwise(a["gone"])
 
 
-def removed_lines(docs: DataFrame, words: int = 5, like: Similarity | None = None) -> DataFrame:
+def removed_lines(docs: DataFrame, words: int = 5, like: Similarity | None = None, short: bool = False) -> DataFrame:
     """The lines to remove: id, part (line number from 0), with null ids as the smallest id."""
     like = like or Similarity()
-    items = line_items(words)
+    items = line_items(words, short)
     lists, found = post(docs, items, rarity(docs, items), like, grouped=False)
     classes = durable(found.groupBy("sid").agg(F.min(F.struct("id", "part")).alias("first"), F.first("n").alias("n"), F.first("g").alias("g")))
     placed = durable(lists.join(classes.select("g", "sid", "first"), "g"))
@@ -89,18 +89,19 @@ def removed_lines(docs: DataFrame, words: int = 5, like: Similarity | None = Non
     return of_class.filter(F.col("gone").isNotNull() | repeat).select("id", "part")
 
 
-def clean_lines(docs: DataFrame, words: int = 5, like: Similarity | None = None, passed: list[str] | None = None) -> DataFrame:
+def clean_lines(docs: DataFrame, words: int = 5, like: Similarity | None = None, passed: list[str] | None = None, short: bool = False) -> DataFrame:
     """One row for each row of ``docs`` (``doc_id``, ``text``): doc_id, n_lines, n_removed, kept_sha256, kept.
 
     With ``passed``, those columns of the row follow as a struct ``passed``.
 
     A line (between line feeds) is removed when an earlier line, by doc_id and line number, has a Jaccard similarity of 0.75 or more
     to it; similarity is judged on the input, so a removed line still removes later ones. Lines of fewer
-    than ``words`` words are never removed. ``kept`` is the text without those lines. A null text is empty (one
+    than ``words`` words are never removed, or, with ``short``, where an earlier line has the same words (a line without
+    words always stays). ``kept`` is the text without those lines. A null text is empty (one
     empty line), a null doc_id counts as the smallest; rows that repeat a doc_id lose a line where any of them does; other columns are
     ignored; an empty table gives no rows.
     """
-    lines = removed_lines(docs, words, like)
+    lines = removed_lines(docs, words, like, short)
     release(docs.sparkSession)
     lost = durable(lines.groupBy("id").agg(F.collect_set("part").alias("lost")))  # at most the lines of a document
 

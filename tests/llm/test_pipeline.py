@@ -17,7 +17,7 @@ from tarncast.llm.words import word_hashes
 COPY, LINE, ITEM = invented(60, 1), invented(9, 2), invented(30, 3)
 DOCS = [
     (None, COPY, "a"), (4, COPY, "b"), (5, f"{COPY} tail", "c"), (None, f"{COPY} end", "d"), (4, f"{COPY} more", "e"), (4, COPY, "b"),
-    (7, f"{invented(40, 10)}\n{LINE}", "f"), (7, f"{invented(40, 11)}\n{invented(12, 12)}", "g"), (None, f"{invented(40, 13)}\n{LINE}", "h"), (2, f"{invented(40, 14)}\n{LINE}", "i"),
+    (7, f"{invented(40, 10)}\n{LINE}", "f"), (7, f"{invented(40, 11)}\n{invented(12, 12)}", "g"), (None, f"{invented(40, 13)}\n{LINE}\nAll rights reserved.", "h"), (2, f"{invented(40, 14)}\n{LINE}\n\nall rights  reserved.\n\nrights reserved.", "i"),
     (8, f"{invented(40, 15)} {ITEM}", "j"), (8, invented(40, 16), "k"), (None, f"{invented(40, 17)} {ITEM}", "l"), (None, invented(40, 18), "m"),
     (None, invented(50, 19), "n"), (None, invented(50, 19), "o"),
     (9, "", "p"), (9, None, "q"), (None, " \n ", "r"),
@@ -57,7 +57,7 @@ def digest(text):
 
 def lines_brute(rows):
     order = sorted(rows, key=lambda row: (row[0] is not None, row[0] or 0, digest(row[1])))
-    lines = [[shingles(line) if len(line.split()) >= 5 else set() for line in (row[1] or "").split("\n")] for row in order]
+    lines = [[shingles(line) for line in (row[1] or "").split("\n")] for row in order]
     seen, out = [], []
     for row, own in zip(order, lines, strict=True):
         kept = []
