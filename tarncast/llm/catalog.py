@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarncast.llm import chat, decontaminate, exact_dedup, jaccard_join, line_dedup, packing, quality, records, suffix_dedup, toxicity
+from tarncast.llm import alignment, chat, decontaminate, exact_dedup, jaccard_join, line_dedup, packing, quality, records, resampling, secrets, suffix_dedup, toxicity
 from tarncast.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,57 @@ def op8_quality(spark, folder):
 @query()
 def op9_suffix_dedup(spark, folder):
     return suffix_dedup.repeated_passages(documents(spark, folder)).drop("kept")
+
+
+@query()
+def op11_tokenizer_alignment(spark, folder):
+    return alignment.align(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query()
+def op12_secret_scan(spark, folder):
+    found = secrets.find_secrets(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    spans = F.col("spans")
+    counts = [F.size(secrets.of_kind(spans, kind)).cast("bigint").alias(f"n_{kind}") for kind in secrets.KINDS]
+    base = F.sha2(secrets.joined(secrets.of_kind(spans, *secrets.KINDS[:3])), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), secrets.joined(spans).alias("spans"))
+
+
+def runs(name: str, key: str, table: str) -> str:
+    """Words and features of a table of texts, in the oracle's SQL."""
+    return f"""
+    {name}_w as (select {key} as doc, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from {table}),
+    {name}_f as (
+        select doc, unnest(ws) as f from {name}_w union all
+        select doc, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i+1])) as f from {name}_w
+    )"""
+
+
+@query(
+    f"""
+    with {runs("d", "doc_id", "documents")}, {runs("b", "item_id", "benchmark")},
+    steps as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i::bigint)) as table256),
+    texts as (select f, hex(encode(f)) as h from (select f from d_f union select f from b_f)),
+    hashed as (
+        select f, xor(list_reduce(list_transform(range(0, length(h) // 2), lambda i: ('0x' || h[2*i+1:2*i+2])::bigint), lambda c, x: xor(c >> 8, table256[(xor(c, x) & 255) + 1]), 4294967295::bigint), 4294967295) % 10000 as bucket
+        from texts, steps
+    ),
+    s as (select bucket, count(*) as s from d_f join hashed using (f) group by 1),
+    t as (select bucket, count(*) as t from b_f join hashed using (f) group by 1),
+    sums as (select (select coalesce(sum(s), 0) from s) as all_s, (select coalesce(sum(t), 0) from t) as all_t),
+    gains as (
+        select bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::double) * (all_s + 10000) / ((s + 1.0::double) * (all_t + 10000))))::bigint as gain
+        from s left join t using (bucket), sums
+    ),
+    rated as (select doc, count(*) as n_features, floor(sum(gain) / count(*))::bigint as weight from d_f join hashed using (f) join gains using (bucket) group by 1),
+    scored as (
+        select w.doc as doc_id, len(ws) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+               coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || sha256('7:' || w.doc)[1:8])::bigint + 0.5::double) / 4294967296)))::bigint as score
+        from d_w w left join rated r on r.doc = w.doc
+    ),
+    ranked as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as place, count(*) over (partition by n_words >= 20) as able from scored)
+    select doc_id, n_features, weight, score, case when n_words >= 20 and place <= 25 * able // 100 then place end as rank from ranked
+    """
+)
+def op13_importance_resampling(spark, folder):
+    return resampling.resample(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet")).drop("n_words")
