@@ -113,7 +113,7 @@ def ensemble_daily(spark, folder):
     {r('avg(shortwave)', 'surface_downwelling_shortwave_flux_in_air')}, {r('avg(water_temp)', 'temperature')}
     from drivers where datetime = reference_datetime group by 1, 2"""))
 def ensemble_collapse(spark, folder):
-    drivers = fx.driver_ensemble(spark, folder, fx.monthly_refs(spark, folder))
+    drivers = fx.driver_ensemble(spark, folder, fx.daily_refs(spark, folder))
     return daily.issue_day_history(drivers, list(fx.DRIVER_NAMES.values()))
 
 

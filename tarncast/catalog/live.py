@@ -52,7 +52,7 @@ def stream_latest(spark, folder):
 
 def published_forecasts(spark, folder):
     """Both baselines in the shared long table, each published on its day of issue."""
-    targets, refs = fx.targets(spark, folder), fx.monthly_refs(spark, folder)
+    targets, refs = fx.targets(spark, folder), fx.daily_refs(spark, folder)
 
     def rows(model, forecast):
         return standard_format(baselines.normal_rows(forecast), model, "normal", fx.VARIABLE)
@@ -65,7 +65,7 @@ def published_forecasts(spark, folder):
 
 AS_OF, LOOK_BACK = "2001-12-31", 10000
 
-INCREMENTAL = persistence_ctes("refs_month") + climatology_ctes("refs_month") + [
+INCREMENTAL = persistence_ctes("refs_day") + climatology_ctes("refs_day") + [
     (
         "forecast_days",
         """select 'Persistence' as model_id, site_id, reference_datetime, datetime, mu from persistence
@@ -84,7 +84,7 @@ INCREMENTAL = persistence_ctes("refs_month") + climatology_ctes("refs_month") +
 ]
 
 
-@query(with_("refs_month targets", """select model_id, forecasts, observed, (select count(*) from groups_ x where x.model_id = r.model_id) as groups,
+@query(with_("refs_day targets", """select model_id, forecasts, observed, (select count(*) from groups_ x where x.model_id = r.model_id) as groups,
     0::bigint as second_run from rows_ r""", INCREMENTAL))
 def incremental_score(spark, folder):
     """Score everything once; a second run over the same tables must find nothing to do."""
@@ -107,7 +107,7 @@ def incremental_score(spark, folder):
     return scored.join(groups, "model_id").withColumn("second_run", F.lit(second).cast("long"))
 
 
-@query(with_("refs_month targets", "select model_id, forecasts, observed from rows_", INCREMENTAL))
+@query(with_("refs_day targets", "select model_id, forecasts, observed from rows_", INCREMENTAL))
 def stream_scores(spark, folder):
     """Forecasts scored as they arrive, in micro-batches of files."""
     scores_path, log_path, state = (work_path(spark, n) for n in ("scores", "log", "scoring-state"))

@@ -10,9 +10,11 @@ from tarncast.catalog.roles import (
     RAIN,
     SITE_FRAME,
     ar_ctes,
+    big,
     climatology_ctes,
     draw,
     fit_ctes,
+    members_of,
     persistence_ctes,
     r,
     rs,
@@ -58,14 +60,13 @@ def estimate_rho(spark, folder):
 
 @query(with_("frame refs_day", f"""select site_id, reference_datetime, n, {r('slope')}, {r('intercept')}, {r('sigma')}
     from (select site_id, reference_datetime, cast(n as bigint) as n, slope, my - slope * mx as intercept,
-          sqrt(greatest(vy - slope * cxy, 0)) as sigma, vx from (
+          case when vy is not null then sqrt(greatest(vy - slope * cxy, 0)) end as sigma from (select * replace (case when n > 2 then slope end as slope, case when n > 2 then vy end as vy) from (
         select site_id, datetime as reference_datetime, count(x) over w as n, avg(x) over w as mx, avg(y) over w as my,
           covar_samp(x, y) over w as cxy, var_samp(x) over w as vx, var_samp(y) over w as vy,
           covar_samp(x, y) over w / var_samp(x) over w as slope from (
             select site_id, datetime, case when observation is not null then observation_lag1 end as x,
               case when observation_lag1 is not null then observation end as y from frame)
-        window w as (partition by site_id order by datetime rows between unbounded preceding and 1 preceding))
-    where n > 2)"""))
+        window w as (partition by site_id order by datetime rows between unbounded preceding and 1 preceding))))"""))
 def expanding_ols(spark, folder):
     fits = regressions.fits_for(calibration(spark, folder), fx.daily_refs(spark, folder), ["observation_lag1"])
     return fits.select(
@@ -77,20 +78,34 @@ def coefficient_columns(k: int):
     return [F.col("beta")[j].alias(f"b{j}") for j in range(k + 1)] + [F.col("se")[j].alias(f"se{j}") for j in range(k + 1)]
 
 
-@query(with_("frame refs_month", f"""select site_id, reference_datetime, n, {rs('b0 b1 b2 b3 b4 b5 se0 se1 se2 se3 se4 se5 sigma r2')}
-    from fit""", fit_ctes(AR_XS)))
+def fit_columns(k: int) -> str:
+    names = [f"b{j}" for j in range(k + 1)] + [f"se{j}" for j in range(k + 1)] + ["sigma"]
+    return "site_id, reference_datetime, n, status, " + ", ".join(big(name, name, 6) for name in names)
+
+
+@query(with_("frame refs_day", f"select {fit_columns(5)}, {r('r2')} from fit", fit_ctes(AR_XS)), large=True)
 def multiple_ols(spark, folder):
-    fits = regressions.fits_for(calibration(spark, folder), fx.monthly_refs(spark, folder), regressions.AR_PREDICTORS)
-    return fits.select("site_id", "reference_datetime", "n", *coefficient_columns(5), "sigma", "r2")
+    fits = regressions.fits_for(calibration(spark, folder), fx.daily_refs(spark, folder), regressions.AR_PREDICTORS)
+    return fits.select("site_id", "reference_datetime", "n", "status", *coefficient_columns(5), "sigma", "r2")
 
 
-@query(with_("frame refs_month", f"""select site_id, reference_datetime, n, {rs('b0 b1 b2 se0 se1 se2 sigma')} from fit""",
-    fit_ctes(["observation_lag1", "shortwave"], days=30)))
+@query(with_("frame refs_day", f"select {fit_columns(2)} from fit", fit_ctes(["observation_lag1", "shortwave"], days=30)), large=True)
 def trailing_ols(spark, folder):
     fits = regressions.fits_for(
-        calibration(spark, folder), fx.monthly_refs(spark, folder), ["observation_lag1", "shortwave"], trailing_days=30
+        calibration(spark, folder), fx.daily_refs(spark, folder), ["observation_lag1", "shortwave"], trailing_days=30
     )
-    return fits.select("site_id", "reference_datetime", "n", *coefficient_columns(2), "sigma")
+    return fits.select("site_id", "reference_datetime", "n", "status", *coefficient_columns(2), "sigma")
+
+
+COLLINEAR_XS = ["shortwave", "shortwave_twice", "rain"]
+
+
+@query(with_("frame refs_day", f"select {fit_columns(3)}, rank from fit", [("twice", "select *, 2 * shortwave + 1 as shortwave_twice from frame")] + fit_ctes(COLLINEAR_XS, frame="twice")), large=True)
+def collinear_ols(spark, folder):
+    """One predictor repeats another: it has no coefficient and the fit goes on without it."""
+    frame = calibration(spark, folder).withColumn("shortwave_twice", 2 * F.col("shortwave") + 1)
+    fits = regressions.fits_for(frame, fx.daily_refs(spark, folder), COLLINEAR_XS)
+    return fits.select("site_id", "reference_datetime", "n", "status", *coefficient_columns(3), "sigma", "rank")
 
 
 @query(with_("frame", f"""select f.site_id, cast(count(*) as bigint) as n, {r('any_value(s.slope)', 'slope')}, {r('any_value(s.intercept)', 'intercept')},
@@ -122,11 +137,11 @@ def fitted_values(spark, folder):
 MEMBER_ROWS = "(select f.*, cast(m.member as int) as member from fit f, (select unnest(range(1, 32)) as member) m)"
 
 
-@query(with_("frame refs_month", f"""select x.site_id, x.reference_datetime, x.member, {r(draw(0).replace('f.', 'x.'), 'd0', 4)},
-    {r(draw(1).replace('f.', 'x.'), 'd1', 4)} from {MEMBER_ROWS} x""", fit_ctes(["rain_10"])), digits=4)
+@query(with_("frame refs_day", f"""select x.site_id, x.reference_datetime, x.member, {big(draw(0).replace('f.', 'x.'), 'd0', 4)},
+    {big(draw(1).replace('f.', 'x.'), 'd1', 4)} from {MEMBER_ROWS} x""", fit_ctes(["rain_10"])), digits=4, large=True)
 def param_ensemble(spark, folder):
     fits = regressions.fits_for(
-        calibration(spark, folder), fx.monthly_refs(spark, folder), ["rain_10"]
+        calibration(spark, folder), fx.daily_refs(spark, folder), ["rain_10"]
     )
     out = common.param_ensemble(fits, 2)
     return out.select("site_id", "reference_datetime", "member", F.col("draw")[0].alias("d0"), F.col("draw")[1].alias("d1"))
@@ -210,7 +225,7 @@ def persistence_bootstrap(spark, folder):
 
 
 def model_inputs(spark, folder):
-    refs = fx.monthly_refs(spark, folder)
+    refs = fx.daily_refs(spark, folder)
     return (
         fx.targets(spark, folder),
         fx.driver_history(spark, folder),
@@ -220,57 +235,63 @@ def model_inputs(spark, folder):
     )
 
 
-@query(with_("frame drivers", f"select site_id, reference_datetime, datetime, parameter, {r('prediction', digits=3)} from met", MET), digits=3)
+def by_case(forecast):
+    """The members of each case: counted, known, lowest, the one in the middle, highest."""
+    middle = F.max(F.when(F.col("parameter") == str(common.MEMBERS // 2 + 1), F.col("prediction")))
+    return forecast.groupBy("site_id", "reference_datetime", "datetime").agg(
+        F.count(F.lit(1)).alias("members"), F.count("prediction").alias("known"),
+        F.min("prediction").alias("low"), middle.alias("middle"), F.max("prediction").alias("high"),
+    )
+
+
+@query(with_("frame drivers", members_of("met"), MET), digits=3, large=True)
 def met_regression(spark, folder):
     targets, history, weather, _, refs = model_inputs(spark, folder)
-    return regressions.met_regression(targets, history, weather, refs)
+    return by_case(regressions.met_regression(targets, history, weather, refs))
 
 
-@query(with_("frame drivers", f"select site_id, reference_datetime, datetime, parameter, {r('prediction', digits=3)} from rain", RAIN), digits=3)
+@query(with_("frame drivers", members_of("rain"), RAIN), digits=3, large=True)
 def rain_lag(spark, folder):
     targets, history, weather, _, refs = model_inputs(spark, folder)
-    return regressions.rain_lag(targets, history, weather, refs)
+    return by_case(regressions.rain_lag(targets, history, weather, refs))
 
 
-@query(with_("frame drivers", f"select site_id, reference_datetime, datetime, parameter, {r('prediction', digits=3)} from ar",
-    ar_ctes(True), recursive=True), digits=3)
+@query(with_("frame drivers", members_of("ar"), ar_ctes(True)), digits=3, large=True)
 def ar_full(spark, folder):
-    return regressions.ar_forecast(*model_inputs(spark, folder))
+    return by_case(regressions.ar_forecast(*model_inputs(spark, folder)))
 
 
-@query(with_("frame drivers", f"select site_id, reference_datetime, datetime, parameter, {r('prediction', digits=3)} from ar",
-    ar_ctes(False), recursive=True), digits=3)
+@query(with_("frame drivers", members_of("ar"), ar_ctes(False)), digits=3, large=True)
 def ar_driver_only(spark, folder):
-    return regressions.ar_driver_only(*model_inputs(spark, folder))
+    return by_case(regressions.ar_driver_only(*model_inputs(spark, folder)))
 
 
-@query(with_("frame drivers", f"select site_id, reference_datetime, datetime, parameter, {r('prediction', digits=3)} from ar",
-    SITE_FRAME + ar_ctes(True, "site_frame"), recursive=True), digits=3)
+@query(with_("frame drivers", members_of("ar"), SITE_FRAME + ar_ctes(True, "site_frame")), digits=3, large=True)
 def ar_site_history(spark, folder):
     """The autoregression on each site's own history, taken from the ensemble issued on every day."""
     targets, _, weather, water, refs = model_inputs(spark, folder)
     issued = fx.driver_ensemble(spark, folder, fx.daily_refs(spark, folder), horizon=0)
     history = daily.issue_day_history(issued, list(fx.DRIVER_NAMES.values())).withColumnsRenamed({v: k for k, v in fx.DRIVER_NAMES.items()})
-    return regressions.ar_forecast(targets, history, weather, water, refs)
+    return by_case(regressions.ar_forecast(targets, history, weather, water, refs))
 
 
 CHLA_XS = [*AR_XS, "chla_lag1"]
 
 
 @query(with_("frame drivers", f"""select x.site_id, x.reference_datetime, x.datetime, cast(x.member as varchar) as parameter,
-    {r(f'''{draw(0)} + {draw(1)} * (t.observation + 0.07 * {zkey('x.site_id', 'x.reference_datetime', 'x.member', chr(39) + 'ic' + chr(39))})
+    {big(f'''{draw(0)} + {draw(1)} * (t.observation + 0.07 * {zkey('x.site_id', 'x.reference_datetime', 'x.member', chr(39) + 'ic' + chr(39))})
       + {draw(2)} * x.shortwave + {draw(3)} * x.rain + {draw(4)} * x.rain_lag1 + {draw(5)} * x.water_temp + {draw(6)} * c.chla
-      + f.sigma * {zkey('x.site_id', 'x.reference_datetime', 'x.member', chr(39) + 'proc' + chr(39), 'x.horizon')}''', 'prediction', 3)}
+      + f.sigma * {zkey('x.site_id', 'x.reference_datetime', 'x.member', chr(39) + 'proc' + chr(39), 'x.horizon')}''', 'prediction')}
     from (select *, lag(rain) over (partition by site_id, reference_datetime, member order by horizon) as rain_lag1 from drivers) x
     join fit f on f.site_id = x.site_id and f.reference_datetime = x.reference_datetime
-    join targets t on t.site_id = x.site_id and t.datetime = x.reference_datetime
-    join chla c on c.site_id = x.site_id and c.datetime = x.reference_datetime
+    left join targets t on t.site_id = x.site_id and t.datetime = x.reference_datetime
+    left join chla c on c.site_id = x.site_id and c.datetime = x.reference_datetime
     where x.horizon = 1""",
     [("chla", """select o_orderpriority as site_id, cast(o_orderdate as date) as datetime, avg(o_custkey) / 100 as chla
         from orders group by 1, 2"""),
      ("chla_frame", """select f.*, lag(c.chla) over (partition by f.site_id order by f.datetime) as chla_lag1
         from frame f left join chla c on c.site_id = f.site_id and c.datetime = f.datetime""")]
-    + fit_ctes(CHLA_XS, frame="chla_frame")), digits=3)
+    + fit_ctes(CHLA_XS, frame="chla_frame")), digits=3, large=True)
 def ar_chlorophyll(spark, folder):
     targets, history, weather, water, refs = model_inputs(spark, folder)
     chla = (
@@ -281,14 +302,14 @@ def ar_chlorophyll(spark, folder):
     return regressions.ar_next_day_with(targets, history, weather, water, refs, chla, "chla")
 
 
-@query(with_("targets drivers", f"""select d.site_id, d.reference_datetime, d.datetime, cast(d.member as varchar) as parameter,
-    {r('f.intercept + f.slope * (d.shortwave - 273.15)', 'prediction', 3)} from drivers d join (
+@query(with_("targets drivers", members_of("line"), [("line", """select d.site_id, d.reference_datetime, d.datetime, cast(d.member as varchar) as parameter,
+    f.intercept + f.slope * (d.shortwave - 273.15) as prediction from drivers d join (
       select t.site_id, regr_slope(t.observation, h.shortwave - 273.15) as slope, regr_intercept(t.observation, h.shortwave - 273.15) as intercept
-      from targets t join history h on h.datetime = t.datetime group by 1) f on f.site_id = d.site_id"""), digits=3)
+      from targets t join history h on h.datetime = t.datetime group by 1) f on f.site_id = d.site_id""")]), digits=3, large=True)
 def linear_forecast(spark, folder):
     targets = fx.targets(spark, folder)
     history = fx.driver_history(spark, folder).select("datetime", (F.col("shortwave") - 273.15).alias("celsius"))
-    future = fx.driver_ensemble(spark, folder, fx.monthly_refs(spark, folder), ("shortwave",)).select(
+    future = fx.driver_ensemble(spark, folder, fx.daily_refs(spark, folder), ("shortwave",)).select(
         "site_id",
         "reference_datetime",
         "datetime",
@@ -296,11 +317,13 @@ def linear_forecast(spark, folder):
         (F.col("prediction") - 273.15).alias("celsius"),
     )
     out = regressions.linear_forecast(targets, history, future, "celsius", on=("datetime",))
-    return out.drop("celsius", "beta")
+    return by_case(out)
 
 
 @query()
 def neural_ar(spark, folder):
-    """Rows only: the network's training has no SQL twin."""
-    return neural.neural_ar(fx.targets(spark, folder), fx.monthly_refs(spark, folder))
+    """Every day an issue. Rows only: the network's training has no SQL twin."""
+    out = neural.neural_ar(fx.targets(spark, folder), fx.daily_refs(spark, folder), flags=True)
+    flags = out.groupBy("site_id", "reference_datetime").agg(F.max("order").alias("lags"), F.max("converged").alias("converged"))
+    return by_case(out).join(flags, ["site_id", "reference_datetime"])
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from tarncast.catalog.registry import BEYOND, LARGE
+from tarncast.functions.noise import PRIME
 from tarncast.functions.special import (
     SQRT_2PI,
     TAIL_DENOMINATOR,
@@ -12,6 +14,8 @@ from tarncast.functions.special import (
 )
 
 MEMBERS = 31
+#: As in ``operators.regress``.
+SINGULAR = 1e-12
 
 
 def r(expr: str, name: str | None = None, digits: int = 6) -> str:
@@ -19,6 +23,13 @@ def r(expr: str, name: str | None = None, digits: int = 6) -> str:
     return f"round(({expr}) + 1e-9, {digits}) + 0.0 as {name or expr}"
 
 
+def big(expr: str, name: str, digits: int = 3) -> str:
+    """Settled float that may be very large, see ``registry.settle``."""
+    v = f"greatest(least({expr}, {BEYOND!r}), {-BEYOND!r})"
+    scale = f"(case when abs({v}) < {LARGE!r} then 1.0::double else pow(10.0::double, floor(log10(abs({v}))) - 2) end)"
+    return f"case when ({expr}) is not null then round({v} / {scale} + 1e-9, {digits}) * {scale} + 0.0 end as {name}"
+
+
 def rs(names: str, digits: int = 6) -> str:
     return ", ".join(r(n, n, digits) for n in names.split())
 
@@ -98,31 +109,29 @@ CTES: dict[str, str] = {
 }
 
 
-def _driver(column: str) -> str:
-    key = zkey("g.site_id", "g.reference_datetime", "g.member", f"'{column}'", "g.horizon")
-    return f"coalesce(h.{column}, a.{column}) + 0.01 * g.horizon * {key} as {column}"
+def _driver(column: str, number: int) -> str:
+    key = f"((((g.reference_datetime - date '1970-01-01') * 31 + g.member) * 37 + g.horizon) * 7 + {number} + ascii(g.site_id)::bigint * 1000003)"
+    for _ in range(2):
+        key = f"(({key} % {PRIME} * ({key} % {PRIME} + 12345)) % {PRIME})"
+    return f"coalesce(h.{column}, a.{column}) + 0.01 * g.horizon * ({key} / {PRIME} - 0.5) * {math.sqrt(12)!r} as {column}"
 
 
-def driver_cte(refs: str) -> str:
-    return f"""select g.site_id, g.reference_datetime, g.member, g.horizon, g.datetime,
-        {_driver('rain')}, {_driver('shortwave')}, {_driver('water_temp')}
+CTES["drivers"] = f"""select g.site_id, g.reference_datetime, g.member, g.horizon, g.datetime,
+        {_driver('rain', 0)}, {_driver('shortwave', 1)}, {_driver('water_temp', 2)}
         from (select r.site_id, r.reference_datetime, m.member, k.horizon,
                      r.reference_datetime + cast(k.horizon as int) as datetime
-              from {refs} r, (select unnest(range(1, {MEMBERS + 1})) as member) m,
+              from refs_day r, (select unnest(range(1, {MEMBERS + 1})) as member) m,
                    (select unnest(range(0, 36)) as horizon) k) g
         left join history h on h.datetime = g.datetime,
         (select avg(rain) as rain, avg(shortwave) as shortwave, avg(water_temp) as water_temp from history) a"""
 
-
-CTES["drivers"] = driver_cte("refs_month")
-
 NEEDS = {
     "span": ["targets"],
     "refs_day": ["span"],
     "refs_month": ["span"],
     "scaffold": ["refs_day"],
     "frame": ["scaffold", "history"],
-    "drivers": ["refs_month", "history"],
+    "drivers": ["refs_day", "history"],
 }
 
 
@@ -142,9 +151,12 @@ def with_(names: str, final: str, extra: list[tuple[str, str]] = (), recursive:
     return f"with {'recursive ' if recursive else ''}{', '.join(parts)} {final}" if parts else final
 
 
-def fit_ctes(xs: list[str], refs: str = "refs_month", frame: str = "frame", name: str = "fit", days: int | None = None,
+def fit_ctes(xs: list[str], refs: str = "refs_day", frame: str = "frame", name: str = "fit", days: int | None = None,
              min_rows: int | None = None):
-    """One regression for each (site, reference date) of enough rows, by sweeping the covariance matrix."""
+    """One regression for each (site, reference date), by sweeping the covariance matrix.
+
+    A predictor of which the ones before leave nothing has no coefficient; with too few rows there are none.
+    """
     k = len(xs)
     min_rows = min_rows or k + 2
     variables = [*xs, "observation"]
@@ -156,47 +168,47 @@ def fit_ctes(xs: list[str], refs: str = "refs_month", frame: str = "frame", name
     steps = [
         (
             f"{name}_0",
-            f"""select r.site_id, r.reference_datetime, count(*) as n, {', '.join(moments)}
-            from {refs} r join {frame} f on f.site_id = r.site_id and f.datetime < r.reference_datetime {limit}
-            where {complete} group by r.site_id, r.reference_datetime having count(*) >= {min_rows}""",
+            f"""select r.site_id, r.reference_datetime, count(f.observation) as n, {', '.join(moments)}
+            from {refs} r left join {frame} f on f.site_id = r.site_id and f.datetime < r.reference_datetime {limit}
+            and {complete} group by r.site_id, r.reference_datetime""",
         )
     ]
     keep = ", ".join(f"m{i}" for i in range(k + 1))
+    own = ", ".join(f"v{i}" for i in range(k + 1))
 
     def a(i, j):
         return f"a{min(i, j)}_{max(i, j)}"
 
     for p in range(k):
         d = a(p, p)
+        used = f"coalesce({d} > {SINGULAR!r} * {f'v{p}' if p else d}, false)"
         cells = []
         for i, j in pairs:
             if (i, j) == (p, p):
-                cells.append(f"-1 / {d} as {a(i, j)}")
+                swept = f"-1 / {d}"
             elif p in (i, j):
-                cells.append(f"{a(i, j)} / {d} as {a(i, j)}")
+                swept = f"{a(i, j)} / {d}"
             else:
-                cells.append(f"{a(i, j)} - {a(i, p)} * {a(j, p)} / {d} as {a(i, j)}")
-        steps.append(
-            (
-                f"{name}_{p + 1}",
-                f"select site_id, reference_datetime, n, v, {keep}, {', '.join(cells)} from {name}_{p}"
-                if p
-                else f"select site_id, reference_datetime, n, a{k}_{k} as v, {keep}, {', '.join(cells)} from {name}_0",
-            )
-        )
-    rss = a(k, k)
-    slopes = [a(j, k) for j in range(k)]
-    intercept = f"m{k} - ({' + '.join(f'{b} * m{j}' for j, b in enumerate(slopes))})"
-    lever = " + ".join(f"m{i} * (-{a(i, j)}) * m{j}" for i in range(k) for j in range(k))
-    s2 = f"({rss} * (n - 1) / (n - {k + 1}))"
-    ses = [f"sqrt({s2} * (1.0 / n + ({lever}) / (n - 1))) as se0"]
-    ses += [f"sqrt({s2} * (-{a(j, j)}) / (n - 1)) as se{j + 1}" for j in range(k)]
-    betas = [f"{intercept} as b0", *[f"{b} as b{j + 1}" for j, b in enumerate(slopes)]]
+                swept = f"{a(i, j)} - {a(i, p)} * {a(j, p)} / {d}"
+            cells.append(f"case when {used} then {swept} else {a(i, j)} end as {a(i, j)}")
+        before = [f"u{i}" for i in range(p)] + [own if p else ", ".join(f"{a(i, i)} as v{i}" for i in range(k + 1))]
+        steps.append((f"{name}_{p + 1}", f"select site_id, reference_datetime, n, {keep}, {', '.join(before)}, {used} as u{p}, {', '.join(cells)} from {name}_{p}"))
+    rss = f"greatest({a(k, k)}, 0)"
+    long = f"n >= {min_rows}"
+    rank = " + ".join(f"u{j}::int" for j in range(k))
+    intercept = f"m{k} - ({' + '.join(f'case when u{j} then {a(j, k)} * m{j} else 0 end' for j in range(k))})"
+    lever = " + ".join(f"case when u{i} and u{j} then m{i} * (-{a(i, j)}) * m{j} else 0 end" for i in range(k) for j in range(k))
+    s2 = f"({rss} * (n - 1) / (n - ({rank}) - 1))"
+    ses = [f"case when {long} then sqrt({s2} * (1.0 / n + ({lever}) / (n - 1))) end as se0"]
+    ses += [f"case when {long} and u{j} then sqrt({s2} * (-{a(j, j)}) / (n - 1)) end as se{j + 1}" for j in range(k)]
+    betas = [f"case when {long} then {intercept} end as b0", *[f"case when {long} and u{j} then {a(j, k)} end as b{j + 1}" for j in range(k)]]
     steps.append(
         (
             name,
             f"""select site_id, reference_datetime, n, {', '.join(betas)}, {', '.join(ses)},
-            sqrt({rss}) as sigma, {rss} * (n - 1) as rss, 1 - {rss} / v as r2 from {name}_{k}""",
+            case when {long} then sqrt({rss}) end as sigma, case when {long} then {rss} * (n - 1) end as rss,
+            case when {long} then 1 - {rss} / v{k} end as r2, case when {long} then {rank} end as rank,
+            case when n < {min_rows} then 'short' when {rank} < {k} then 'collinear' else 'ok' end as status from {name}_{k}""",
         )
     )
     return steps
@@ -204,7 +216,22 @@ def fit_ctes(xs: list[str], refs: str = "refs_month", frame: str = "frame", name
 
 def draw(j: int) -> str:
     key = zkey("x.site_id", "x.reference_datetime", "x.member", f"'p{j}'")
-    return f"(f.b{j} + f.se{j} * {key})"
+    return f"(case when f.status <> 'short' then coalesce(f.b{j} + f.se{j} * {key}, 0) end)"
+
+
+def members_of(source: str) -> str:
+    """What the queries show of an ensemble: all members counted, the known ones, the outer ones and the one in the middle."""
+    middle = f"any_value(case when parameter = '{MEMBERS // 2 + 1}' then prediction end)"
+    shown = ", ".join(big(expr, name) for expr, name in (("low", "low"), ("middle", "middle"), ("high", "high")))
+    return f"""select site_id, reference_datetime, datetime, members, known, {shown} from (
+        select site_id, reference_datetime, datetime, count(*) as members, count(prediction) as known, min(prediction) as low,
+        {middle} as middle, max(prediction) as high from {source} group by 1, 2, 3)"""
+
+
+def quantile(q: float) -> str:
+    """Linear quantile of a sorted list ``p``."""
+    at = f"({q!r} * (len(p) - 1))"
+    return f"(p[floor({at})::bigint + 1] + ({at} - floor({at})) * (p[ceil({at})::bigint + 1] - p[floor({at})::bigint + 1]))"
 
 
 def noise() -> str:
@@ -229,7 +256,7 @@ RAIN = fit_ctes(["rain_10"], name="fit_rain") + [
         f"""select site_id, reference_datetime, member, horizon, datetime, rain from drivers
         union all
         select r.site_id, r.reference_datetime, m.member, -k.back, r.reference_datetime - cast(k.back as int), h.rain
-        from refs_month r, (select unnest(range(1, {MEMBERS + 1})) as member) m,
+        from refs_day r, (select unnest(range(1, {MEMBERS + 1})) as member) m,
         (select unnest(range(1, 11)) as back) k
         left join history h on h.datetime = r.reference_datetime - cast(k.back as int)""",
     ),
@@ -265,7 +292,7 @@ AR_XS = ["observation_lag1", "shortwave", "rain", "rain_lag1", "water_temp"]
 
 
 def ar_ctes(full: bool = True, frame: str = "frame"):
-    b = [draw(j) if full else f"f.b{j}" for j in range(6)]
+    b = [draw(j) if full else f"(case when f.status <> 'short' then coalesce(f.b{j}, 0) end)" for j in range(6)]
     eps = f" + {noise()}" if full else ""
     state = "t.observation"
     if full:
@@ -284,16 +311,15 @@ def ar_ctes(full: bool = True, frame: str = "frame"):
         ),
         (
             "walk",
-            f"""select p.site_id, p.reference_datetime, p.member, 0 as horizon, {state} as y, p.slope, p.f
-            from forcing p join targets t on t.site_id = p.site_id and t.datetime = p.reference_datetime
-            union all
-            select site_id, reference_datetime, member, horizon + 1, f[horizon + 1] + slope * y, slope, f
-            from walk where horizon < 34""",
+            f"""select p.site_id, p.reference_datetime, p.member, list_reduce(list_transform(p.f, lambda x: [x]),
+                lambda track, x: list_append(track, x[1] + p.slope * track[len(track)]), [{state}]) as track
+            from forcing p left join targets t on t.site_id = p.site_id and t.datetime = p.reference_datetime""",
         ),
         (
             "ar",
             """select site_id, reference_datetime, reference_datetime + cast(horizon as int) as datetime,
-            cast(member as varchar) as parameter, y as prediction from walk""",
+            cast(member as varchar) as parameter, track[horizon + 1] as prediction
+            from (select *, unnest(range(0, 35)) as horizon from walk)""",
         ),
     ]
 

@@ -1,5 +1,7 @@
 """Scores of single forecasts and the one-pass scorer."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from tarncast import fixtures as fx
@@ -9,11 +11,13 @@ from tarncast.catalog.roles import (
     MET,
     RAIN,
     ar_ctes,
+    big,
     climatology_ctes,
     crps_normal as crps_normal_sql,
     logs_normal as logs_normal_sql,
     normal_scores,
     persistence_ctes,
+    quantile,
     r,
     rs,
     sample_ctes,
@@ -22,8 +26,9 @@ from tarncast.catalog.roles import (
 from tarncast.functions import scores
 from tarncast.operators.ranks import ranked
 from tarncast.plans import baselines, scoring
-from tarncast.plans.campaign import BASELINE_MODELS, DRIVER_MODELS, forecast_all
+from tarncast.plans.campaign import BASELINE_MODELS, DRIVER_MODELS, campaign_sums, forecast_all, open_slices, run_slices
 from tarncast.plans.common import standard_format
+from tarncast.session import work_path
 
 NORMAL = """(select l_orderkey, l_linenumber, l_quantity as mu, 1 + 100 * l_tax as sigma,
     l_quantity + 100 * (l_discount - 0.05) as observation from lineitem)"""
@@ -227,13 +232,11 @@ def crps_special_families(spark, folder):
 
 
 def all_forecasts(spark, folder):
-    """Both baselines and the three driver models in the shared long table, issued monthly."""
-    return forecast_all(
-        *model_inputs(spark, folder), fx.VARIABLE, (*BASELINE_MODELS, *DRIVER_MODELS)
-    )
+    """Both baselines and the three driver models in the shared long table, issued every day."""
+    return forecast_all(*model_inputs(spark, folder), fx.VARIABLE, (*BASELINE_MODELS, *DRIVER_MODELS))
 
 
-ALL_MODELS = persistence_ctes("refs_month") + climatology_ctes("refs_month") + MET + RAIN + ar_ctes(True) + [
+ALL_MODELS = persistence_ctes() + climatology_ctes() + MET + RAIN + ar_ctes(True) + [
     (
         "normals",
         """select p.*, t.observation from (select 'Persistence' as model_id, site_id, reference_datetime, datetime, mu, sigma from persistence
@@ -249,36 +252,112 @@ ALL_MODELS = persistence_ctes("refs_month") + climatology_ctes("refs_month") + M
         union all select 'TS_AR', site_id, reference_datetime, datetime, prediction from ar) p
         left join targets t on t.site_id = p.site_id and t.datetime = p.datetime""",
     ),
-] + sample_ctes("ensembles", "model_id, site_id, reference_datetime, datetime")
+    # An ensemble is one sorted list; its scores are folds over the list.
+    (
+        "lists",
+        """select model_id, site_id, reference_datetime, datetime, any_value(observation) as observation,
+        count(*) = count(prediction) as whole, list(prediction order by prediction) as p
+        from ensembles group by all""",
+    ),
+    (
+        "listed",
+        f"""select *, list_avg(p) as mean, sqrt(list_var_samp(p)) as sd, {quantile(0.5)} as median,
+        {quantile(0.025)} as quantile02_5, {quantile(0.975)} as quantile97_5, {quantile(0.25)} as lower, {quantile(0.75)} as upper,
+        list_min(list_transform(p, lambda x: abs(x - observation))) as nearest,
+        2 * (len(p) * list_sum(list_transform(p, lambda x: greatest(x - observation, 0)))
+             - list_sum(list_transform(p, lambda x, i: (x - observation) * (i - 0.5)))) / len(p) / len(p) as crps
+        from lists where whole""",
+    ),
+    ("banded", "select *, nullif(1.06 * least(sd, (upper - lower) / 1.34) * len(p) ^ (-0.2), 0) as width from listed"),
+    (
+        "sampled",
+        f"""select *, (nearest / width) ^ 2 / 2 + ln(width) + {0.5 * math.log(2 * math.pi)!r}
+        - ln(list_sum(list_transform(p, lambda x: exp((nearest ^ 2 - (x - observation) ^ 2) / (2 * width ^ 2)))) / len(p)) as logs
+        from banded""",
+    ),
+    (
+        "all_scored",
+        """select model_id, site_id, reference_datetime, datetime, observation, true as whole, crps, logs, mean, median, sd, quantile97_5, quantile02_5
+        from scored_normals
+        union all select model_id, site_id, reference_datetime, datetime, observation, true, crps, logs, mean, median, sd, quantile97_5, quantile02_5 from sampled
+        union all select model_id, site_id, reference_datetime, datetime, observation, false, null, null, null, null, null, null, null from lists where not whole""",
+    ),
+]
+
+CASE = ["model_id", "site_id", "reference_datetime", "datetime"]
+#: A score beyond this bound counts as the bound in the sums: one diverging ensemble would otherwise hide all others.
+MOST = 1e6
+
 
-SCORE_COLUMNS = f"observation crps logs {SUMMARY}"
+def clipped(name: str) -> str:
+    return f"sum(greatest(least({name}, {MOST!r}), {-MOST!r}))"
 
 
-@query(with_("frame drivers targets", f"""select model_id, site_id, reference_datetime, datetime, family, {rs(SCORE_COLUMNS, 3)} from (
-    select model_id, site_id, reference_datetime, datetime, 'normal' as family, {SCORE_COLUMNS.replace(' ', ', ')} from scored_normals
-    union all select model_id, site_id, reference_datetime, datetime, 'sample', {SCORE_COLUMNS.replace(' ', ', ')} from sampled)""",
-    ALL_MODELS, recursive=True), digits=3)
+def sums(names: list[str]) -> str:
+    counts = ", ".join(f"count({name}) as {name}_known" for name in names)
+    added = ", ".join(f"{clipped(name)} as {name}_sum" for name in names)
+    shown = ", ".join(big(f"{name}_sum", f"{name}_sum") for name in names)
+    known = ", ".join(f"{name}_known" for name in names)
+    return f"""select model_id, site_id, horizon, cases, {known}, {shown} from (
+        select model_id, site_id, datetime - reference_datetime as horizon, count(*) as cases, {counts}, {added} from all_scored group by 1, 2, 3)"""
+
+
+def summed(scores, names: list[str]):
+    """Cases, known values and their sums for each model, site and horizon."""
+    within = lambda name: F.greatest(F.least(F.col(name), F.lit(MOST)), F.lit(-MOST))
+    return scores.groupBy("model_id", "site_id", F.datediff("datetime", "reference_datetime").cast("bigint").alias("horizon")).agg(
+        F.count(F.lit(1)).alias("cases"),
+        *[F.count(name).alias(f"{name}_known") for name in names],
+        *[F.sum(within(name)).alias(f"{name}_sum") for name in names],
+    )
+
+
+SCORED = ["observation", "crps", "logs"]
+SUMMARIZED = ["mean", "median", "sd", "quantile97_5", "quantile02_5"]
+
+
+@query(with_("frame drivers targets", sums(SCORED), ALL_MODELS), digits=3, large=True)
 def score_all(spark, folder):
+    """Five models, every day of every site's record an issue: the scores of all cases, added for each horizon."""
     # The members of these models are numbered 1 to 31, so no group can be hot.
-    out = scoring.score(all_forecasts(spark, folder), fx.targets(spark, folder), families=["normal"], bounded=True)
-    return out.select("model_id", "site_id", "reference_datetime", "datetime", "family", *SCORE_COLUMNS.split())
+    return summed(scoring.score(all_forecasts(spark, folder), fx.targets(spark, folder), families=["normal"], bounded=True), SCORED)
 
 
-@query(with_("frame drivers targets", f"""select model_id, site_id, reference_datetime, datetime, family, {rs(SUMMARY, 3)} from (
-    select model_id, site_id, reference_datetime, datetime, 'normal' as family, {SUMMARY.replace(' ', ', ')} from scored_normals
-    union all select model_id, site_id, reference_datetime, datetime, 'sample', {SUMMARY.replace(' ', ', ')} from sampled)""",
-    ALL_MODELS, recursive=True), digits=3)
+@query(with_("frame drivers targets", sums(SUMMARIZED), ALL_MODELS), digits=3, large=True)
 def forecast_summary(spark, folder):
-    out = scoring.summarize(all_forecasts(spark, folder), families=["normal"], bounded=True)
-    return out.select("model_id", "site_id", "reference_datetime", "datetime", "family", *SUMMARY.split())
+    return summed(scoring.summarize(all_forecasts(spark, folder), families=["normal"], bounded=True), SUMMARIZED)
+
+
+@query(with_("targets refs_day", f"""select model_id, site_id, datetime - reference_datetime as horizon, count(*) as cases, count(crps) as scored,
+    {big('sum(crps)', 'crps_sum')}, {big('sum(logs)', 'logs_sum')}, 0::bigint as left_over from scored_normals group by 1, 2, 3""",
+    [step for step in ALL_MODELS if step[0] in {name for name, _ in persistence_ctes() + climatology_ctes()} | {"normals", "scored_normals"}]), digits=3, large=True)
+def campaign_resumed(spark, folder):
+    """Both baselines for every issue day in slices of a month, killed after some slices and run again."""
+    targets, refs, root = fx.targets(spark, folder), fx.daily_refs(spark, folder), work_path(spark, "campaign")
+
+    def forecast(issues):
+        return forecast_all(targets, None, None, None, issues, fx.VARIABLE, BASELINE_MODELS)
+
+    def kill(step, slices):
+        if step == "scores" and done:
+            raise InterruptedError
+        done.extend(slices)
+
+    done = []
+    try:
+        run_slices(forecast, targets, refs, root, at_once=24, after_store=kill)
+    except InterruptedError:
+        pass
+    run_slices(forecast, targets, refs, root, at_once=24)
+    return campaign_sums(spark, root).withColumn("left_over", F.lit(open_slices(refs, root).count()).cast("bigint"))
 
 
-@query(with_("targets refs_month", f"""select site_id, depth_m, reference_datetime, datetime, {r('crps', digits=4)} from (select * from scored_normals)""",
-    persistence_ctes("refs_month") + [("normals", """select p.*, t.observation, t.depth_m from (select p.*, case when site_id = '1-URGENT' then 1.6::double
+@query(with_("targets refs_day", f"""select site_id, depth_m, reference_datetime, datetime, {r('crps', digits=4)} from (select * from scored_normals)""",
+    persistence_ctes() + [("normals", """select p.*, t.observation, t.depth_m from (select p.*, case when site_id = '1-URGENT' then 1.6::double
         else 1.5::double end as d from persistence p) p left join targets t on t.site_id = p.site_id and t.datetime = p.datetime and t.depth_m = p.d"""),
      ("scored_normals", normal_scores("(select * exclude (depth_m), d as depth_m from normals)"))]), digits=4)
 def score_by_depth(spark, folder):
-    targets, refs = fx.targets(spark, folder), fx.monthly_refs(spark, folder)
+    targets, refs = fx.targets(spark, folder), fx.daily_refs(spark, folder)
     walk = baselines.persistence(targets, refs)
     depth = fx.default_depth(F.col("site_id"), fx.FOCAL_DEPTHS, fx.OTHER_DEPTH)
     rows = standard_format(baselines.normal_rows(walk), "Persistence", "normal", fx.VARIABLE, depth)

@@ -178,12 +178,13 @@ def ic_lookup(spark, folder):
     return lookup.value_at(fx.targets(spark, folder), fx.daily_refs(spark, folder), ["site_id"], "observation")
 
 
-@query(with_("refs_month", """select site_id, reference_datetime, cast(member as int) as member, cast(horizon as int) as horizon,
-    reference_datetime + cast(horizon as int) as datetime
-    from refs_month, (select unnest(range(1, 32)) as member) m, (select unnest(range(0, 36)) as horizon) h"""))
+@query(with_("refs_day", """select site_id, reference_datetime, cast(horizon as int) as horizon, reference_datetime + cast(horizon as int) as datetime,
+    count(*) as members, cast(sum(member) as bigint) as numbers
+    from refs_day, (select unnest(range(1, 32)) as member) m, (select unnest(range(0, 36)) as horizon) h group by 1, 2, 3, 4"""))
 def forecast_grid(spark, folder):
-    days = grid.each_horizon(fx.monthly_refs(spark, folder), 0, 35)
-    return grid.each_member(days, 31)
+    """Every issue day's grid of days and members, the members of a day counted and their numbers added."""
+    rows = grid.each_member(grid.each_horizon(fx.daily_refs(spark, folder), 0, 35), 31)
+    return rows.groupBy("site_id", "reference_datetime", "horizon", "datetime").agg(F.count("member").alias("members"), F.sum("member").alias("numbers"))
 
 
 @query(with_("drivers", f"""select site_id, reference_datetime, horizon, {r('avg(rain_lag1)', 'rain_lag1')}, count(rain_lag1) as members
@@ -192,7 +193,7 @@ def forecast_grid(spark, folder):
 def lagged_driver(spark, folder):
     from tarncast.plans.common import driver_rows
 
-    drivers = fx.driver_ensemble(spark, folder, fx.monthly_refs(spark, folder), ("rain",))
+    drivers = fx.driver_ensemble(spark, folder, fx.daily_refs(spark, folder), ("rain",))
     path = W.partitionBy("site_id", "reference_datetime", "member").orderBy("horizon")
     rows = driver_rows(drivers, {"rain": fx.DRIVER_NAMES["rain"]}).withColumn("rain_lag1", F.lag("rain").over(path))
     return rows.groupBy("site_id", "reference_datetime", F.col("horizon").cast("long").alias("horizon")).agg(

@@ -47,55 +47,61 @@ def _moments(variables: int, over: str = "") -> list[Column]:
 
 
 def solve(moments: DataFrame, k: int, min_rows: int | None = None) -> DataFrame:
-    """Add ``beta`` and ``se`` (intercept first), ``sigma``, ``rss`` and ``r2`` to rows of moments.
+    """Add ``beta`` and ``se`` (intercept first), ``sigma``, ``rss``, ``r2``, ``rank`` and ``status`` to rows of moments.
 
     The covariance matrix of predictors and response, one flat array, is swept on each predictor:
     what remains is the inverse, the slopes and the residual variance. One fold over an array
-    keeps the plan as small for twenty predictors as for two. Groups with fewer than ``min_rows``
-    rows (at least two more than predictors), or with collinear predictors, are left out.
+    keeps the plan as small for twenty predictors as for two. Predictors are taken in order; one of which the
+    earlier ones leave no more than ``SINGULAR`` of its variance is passed over: its entries of ``beta`` and ``se``
+    are NULL, ``rank`` does not count it, and the fit goes on (status ``collinear``). Every group keeps its row: one of
+    fewer than ``min_rows`` rows (at least two more than predictors) has status ``short`` and no fit.
     """
     keep = [c for c in moments.columns if c != "n" and not _is_moment(c)]
     m = k + 1
     flat = F.array(*[F.col(f"c{min(i, j)}_{max(i, j)}") for i in range(m) for j in range(m)])
     means = F.array(*[F.col(f"m{i}") for i in range(m)])
-    row, col = f"cast(t div {m} as int)", f"cast(t % {m} as int)"
-    pivot = f"nullif(greatest(a[p * {m} + p], {SINGULAR} * cov[p * {m} + p]), {SINGULAR} * cov[p * {m} + p])"
+    row, col, pivot = f"cast(t div {m} as int)", f"cast(t % {m} as int)", f"s.a[p * {m} + p]"
     sweep = f"""
-        aggregate(sequence(0, {k - 1}), cov, (a, p) -> transform(a, (v, t) ->
-            case when {row} = p and {col} = p then 1 / {pivot}
-                 when {row} = p then v / {pivot}
-                 when {col} = p then -v / {pivot}
-                 else v - a[{row} * {m} + p] * a[p * {m} + {col}] / {pivot} end))"""
-    swept = (
-        moments.filter(F.col("n") >= max(min_rows or 0, k + 2))
-        .select(*keep, "n", means.alias("mean"), flat.alias("cov"))
-        .withColumn("s", F.expr(sweep))
-    )
-    n = F.col("n")
+        aggregate(sequence(0, {k - 1}), named_struct('a', cov, 'used', cast(array() as array<boolean>)), (s, p) ->
+            if(coalesce({pivot} > {SINGULAR} * cov[p * {m} + p], false),
+               named_struct('a', transform(s.a, (v, t) ->
+                    case when {row} = p and {col} = p then 1 / {pivot}
+                         when {row} = p then v / {pivot}
+                         when {col} = p then -v / {pivot}
+                         else v - s.a[{row} * {m} + p] * s.a[p * {m} + {col}] / {pivot} end),
+                    'used', concat(s.used, array(true))),
+               named_struct('a', s.a, 'used', concat(s.used, array(false)))))"""
+    swept = moments.select(*keep, "n", means.alias("mean"), flat.alias("cov")).withColumn("s", F.expr(sweep))
+    n, rank = F.col("n"), F.size(F.filter(F.col("s.used"), lambda u: u))
+    long = n >= max(min_rows or 0, k + 2)
 
     def s(i, j):
-        return F.col("s")[i * m + j]
+        return F.col("s.a")[i * m + j]
 
     def mean(i):
         return F.col("mean")[i]
 
+    def used(*js):
+        return reduce(lambda a, b: a & b, [F.col("s.used")[j] for j in js])
+
     def total(terms):
         return reduce(lambda a, b: a + b, terms)
 
     spread = F.greatest(s(k, k), F.lit(0.0))
-    intercept = mean(k) - total([s(j, k) * mean(j) for j in range(k)])
-    lever = total([mean(i) * s(i, j) * mean(j) for i in range(k) for j in range(k)])
-    s2 = spread * (n - 1) / (n - k - 1)
-    errors = [F.sqrt(s2 * (1 / n + lever / (n - 1))), *[F.sqrt(s2 * s(j, j) / (n - 1)) for j in range(k)]]
-    solved = swept.filter(s(k, k).isNotNull())
-    return solved.select(
+    intercept = mean(k) - total([F.when(used(j), s(j, k) * mean(j)).otherwise(0.0) for j in range(k)])
+    lever = total([F.when(used(i, j), mean(i) * s(i, j) * mean(j)).otherwise(0.0) for i in range(k) for j in range(k)])
+    s2 = spread * (n - 1) / (n - rank - 1)
+    errors = [F.sqrt(s2 * (1 / n + lever / (n - 1))), *[F.when(used(j), F.sqrt(s2 * s(j, j) / (n - 1))) for j in range(k)]]
+    return swept.select(
         *keep,
         "n",
-        F.array(intercept, *[s(j, k) for j in range(k)]).alias("beta"),
-        F.array(*errors).alias("se"),
-        F.sqrt(spread).alias("sigma"),
-        (spread * (n - 1)).alias("rss"),
-        (1 - spread / F.col("cov")[m * m - 1]).alias("r2"),
+        F.when(long, F.array(intercept, *[F.when(used(j), s(j, k)) for j in range(k)])).alias("beta"),
+        F.when(long, F.array(*errors)).alias("se"),
+        F.when(long, F.sqrt(spread)).alias("sigma"),
+        F.when(long, spread * (n - 1)).alias("rss"),
+        F.when(long, 1 - spread / F.col("cov")[m * m - 1]).alias("r2"),
+        F.when(long, rank).alias("rank"),
+        F.when(~long, "short").when(rank < k, "collinear").otherwise("ok").alias("status"),
     )
 
 
@@ -115,7 +121,7 @@ def fit_before(
     daily: DataFrame, refs: DataFrame, keys: list[str], y: str, xs: list[str], trailing_days: int | None = None,
     min_rows: int | None = None,
 ) -> DataFrame:
-    """One regression for each (series, reference date) on the days strictly before it.
+    """One regression for each (series, reference date) on the days strictly before it; every reference date keeps its row.
 
     A single ordered pass over days and reference dates of a series gives the moments of all its
     fits: the record is never re-filtered for each date. With ``trailing_days`` only that many
@@ -139,7 +145,7 @@ def fit_before(
 
 
 def predict(beta: Column, xs: list[Column]) -> Column:
-    """Fitted value from a coefficient array, intercept first."""
+    """Fitted value from a coefficient array, intercept first; a coefficient that was passed over adds nothing."""
     return reduce(
-        lambda a, item: a + F.element_at(beta, item[0] + 2) * item[1], enumerate(xs), F.element_at(beta, 1)
+        lambda a, item: a + F.coalesce(F.element_at(beta, item[0] + 2), F.lit(0.0)) * item[1], enumerate(xs), F.element_at(beta, 1)
     )

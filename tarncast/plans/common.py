@@ -78,9 +78,10 @@ def default_depth(site: Column, focal: dict[str, float], otherwise: float | None
 
 
 def param_draw(j: int, site="site_id", ref="reference_datetime", member="member", seed="p") -> Column:
-    """One draw of coefficient ``j``: independent normals around the estimate with its standard error."""
+    """One draw of coefficient ``j``: independent normals around the estimate with its standard error, 0 where it was passed over, NULL without a fit."""
     noise = standard_normal(draw_key(F.col(site), F.col(ref), F.col(member), F.lit(f"{seed}{j}")))
-    return F.element_at("beta", j + 1) + F.element_at("se", j + 1) * noise
+    drawn = F.element_at("beta", j + 1) + F.element_at("se", j + 1) * noise
+    return F.when(F.col("beta").isNotNull(), F.coalesce(drawn, F.lit(0.0)))
 
 
 def param_ensemble(fits: DataFrame, coefficients: int, members: int = MEMBERS) -> DataFrame:

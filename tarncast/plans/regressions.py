@@ -60,7 +60,7 @@ def calibration_frame(targets: DataFrame, history: DataFrame, start=None, on=Non
 def fits_for(
     frame: DataFrame, refs: DataFrame, xs: list[str], trailing_days: int | None = None, min_rows: int | None = None
 ) -> DataFrame:
-    """One fit for each (site, reference date) that has enough earlier rows."""
+    """One fit for each (site, reference date); those of too few earlier rows have status ``short``."""
     return fit_before(frame, refs.select(*SITE_REF), ["site_id"], "observation", xs, trailing_days, min_rows)
 
 
@@ -86,7 +86,7 @@ MET_PREDICTORS = ["shortwave", "rain", "rain_lag1"]
 def met_regression(
     targets, history, drivers, refs, start=None, horizon: int = 35, members: int = MEMBERS, min_rows: int | None = None
 ) -> DataFrame:
-    """Observation on shortwave, rain and yesterday's rain; no value on the day of issue."""
+    """Observation on shortwave, rain and yesterday's rain; no row on the day of issue, NULL predictions without a fit."""
     fits = fits_for(calibration_frame(targets, history, start), refs, MET_PREDICTORS, min_rows=min_rows)
     names = {k: DRIVER_COLUMNS[k] for k in ("shortwave", "rain")}
     path = W.partitionBy(*TRAJECTORY).orderBy("horizon")
@@ -111,7 +111,7 @@ def spliced_rain(history: DataFrame, rows: DataFrame, refs: DataFrame, members:
 def rain_lag(
     targets, history, drivers, refs, start=None, horizon: int = 35, members: int = MEMBERS, min_rows: int | None = None
 ) -> DataFrame:
-    """Observation on the rain of the last ten days, across the issue date."""
+    """Observation on the rain of the last ten days, across the issue date; NULL predictions without a fit."""
     fits = fits_for(calibration_frame(targets, history, start), refs, ["rain_10"], min_rows=min_rows)
     rows = driver_rows(drivers, {"rain": DRIVER_COLUMNS["rain"]})
     window = W.partitionBy(*TRAJECTORY).orderBy("horizon").rangeBetween(-9, 0)
@@ -145,7 +145,8 @@ def ar_forecast(
     y[h] = b0 + b1 y[h-1] + b2 shortwave[h] + b3 rain[h] + b4 rain[h-1] + b5 water temperature[h]
     + noise. Each trajectory becomes one row holding its drivers in date order (at most
     ``horizon + 1`` of them, by construction) and a fold over that array walks the recursion, so
-    dates, sites and members all run in parallel. A missing driver day makes the rest NULL.
+    dates, sites and members all run in parallel. A missing driver day makes the rest NULL. An issue
+    without a fit, or without an observation on its day, keeps its rows with NULL predictions.
     """
     fits = fits_for(calibration_frame(targets, history, start), refs, AR_PREDICTORS, min_rows=min_rows)
     extra = [water_temp] if water_temp is not None else []
@@ -154,9 +155,7 @@ def ar_forecast(
         "horizon", "shortwave", "rain", "water_temp", process_noise(F.lit(1.0)).alias("noise")
     )
     paths = rows.groupBy(*TRAJECTORY).agg(F.sort_array(F.collect_list(step)).alias("found"))
-    initial = refs.select(*SITE_REF).join(
-        targets.select("site_id", F.col("datetime").alias("reference_datetime"), "observation"), SITE_REF
-    )
+    initial = targets.select("site_id", F.col("datetime").alias("reference_datetime"), "observation")
     by_day = F.map_from_entries(F.transform("found", lambda s: F.struct(s["horizon"], s)))
     complete = F.size("found") == horizon + 1
     filled = F.transform(F.sequence(F.lit(0), F.lit(horizon)), lambda h: F.try_element_at(by_day, h))
@@ -165,9 +164,10 @@ def ar_forecast(
     if "parameter" in uncertainty:
         drawn = _with_draws(paths, fits, 6, members)
     else:
-        drawn = paths.join(fits.select(*SITE_REF, F.col("beta").alias("draw"), "sigma"), SITE_REF)
+        fixed = F.transform("beta", lambda b: F.coalesce(b, F.lit(0.0))).alias("draw")
+        drawn = paths.join(fits.select(*SITE_REF, fixed, "sigma"), SITE_REF)
     ready = (
-        drawn.join(initial.filter(F.col("observation").isNotNull()), SITE_REF)
+        drawn.join(initial, SITE_REF, "left")
         .withColumn("steps", F.when(complete, F.col("found")).otherwise(filled))
         .withColumn("state", state)
         .withColumn("scale", noise_scale)
@@ -208,7 +208,7 @@ def ar_next_day_with(
     """Autoregression with one more lagged daily variable, for the first day ahead only.
 
     ``extra`` holds (site_id, datetime, ``name``). Its value is known on the day of issue and not
-    after, which is why the forecast stops at one day.
+    after, which is why the forecast stops at one day. A value that is missing makes the prediction NULL.
     """
     lagged = f"{name}_lag1"
     frame = calibration_frame(targets, history, start).join(extra, ["site_id", "datetime"], "left")
@@ -221,7 +221,6 @@ def ar_next_day_with(
         .filter(F.col("horizon").between(0, 1))
         .withColumn("rain_lag1", F.lag("rain").over(path))
         .filter(F.col("horizon") == 1)
-        .dropna(subset=["shortwave", "rain", "rain_lag1", "water_temp"])
     )
     state = targets.select("site_id", F.col("datetime").alias("reference_datetime"), "observation")
     seen = extra.select("site_id", F.col("datetime").alias("reference_datetime"), F.col(name).alias(lagged))
@@ -229,8 +228,8 @@ def ar_next_day_with(
     value = predict(F.col("draw"), [F.col(t) for t in terms]) + process_noise(F.col("sigma"))
     ready = (
         _with_draws(rows, fits, 7, members)
-        .join(state.dropna(), SITE_REF)
-        .join(seen.dropna(), SITE_REF)
+        .join(state, SITE_REF, "left")
+        .join(seen, SITE_REF, "left")
         .withColumn("start_value", initial_draw(F.col("observation"), initial_sd))
     )
     return _members(ready.withColumn("prediction", value))

@@ -57,6 +57,8 @@ def test_fit_before_uses_only_earlier_days(spark, data, days):
     refs = spark.createDataFrame([("x", "2024-02-01"), ("y", "2024-02-10"), ("x", "2024-01-03")], "site_id string, d string")
     refs = refs.select("site_id", F.to_date("d").alias("reference_datetime"))
     got = {(r["site_id"], str(r["reference_datetime"])): r for r in regress.fit_before(data, refs, ["site_id"], "y", XS, days).collect()}
+    short = got.pop(("x", "2024-01-03"))
+    assert short["n"] == 2 and short["status"] == "short" and short["beta"] is None
     assert set(got) == {("x", "2024-02-01"), ("y", "2024-02-10")}
     pdf = data.toPandas()
     for (site, ref), row in got.items():
@@ -67,11 +69,29 @@ def test_fit_before_uses_only_earlier_days(spark, data, days):
         assert row["beta"] == pytest.approx(list(least_squares(part)[0]), rel=1e-6)
 
 
-def test_collinear_and_short_groups_have_no_fit(spark, data):
+def test_a_collinear_predictor_is_passed_over(spark, data):
+    """The later one of two collinear predictors has no coefficient, and the others are those of the fit without it."""
     twin = data.withColumn("b", 2 * F.col("a") + 1)
-    assert regress.fit(twin, ["site_id"], "y", XS).count() == 0
-    assert regress.fit(data.filter("i < 4"), ["site_id"], "y", XS).count() == 0
-    assert regress.fit(data, ["site_id"], "y", XS).count() == 2
+    got = {r["site_id"]: r for r in regress.fit(twin, ["site_id"], "y", XS).collect()}
+    without = {r["site_id"]: r for r in regress.fit(data, ["site_id"], "y", ["a", "c"]).collect()}
+    assert set(got) == {"x", "y"}
+    for site, row in got.items():
+        want = without[site]
+        assert row["status"] == "collinear" and row["rank"] == 2 and row["beta"][2] is None and row["se"][2] is None
+        for name in ("beta", "se"):
+            assert [v for v in row[name] if v is not None] == pytest.approx(want[name], rel=1e-6)
+        assert (row["sigma"], row["rss"], row["r2"]) == pytest.approx((want["sigma"], want["rss"], want["r2"]), rel=1e-9)
+    constant = regress.fit(data.withColumn("a", F.lit(3.0)), ["site_id"], "y", XS).first()
+    assert constant["status"] == "collinear" and constant["beta"][1] is None and constant["beta"][2] is not None
+
+
+def test_short_groups_keep_their_row(spark, data):
+    rows = regress.fit(data.filter("i < 4"), ["site_id"], "y", XS).collect()
+    assert [(r["n"], r["status"], r["beta"], r["rank"]) for r in rows] == [(4, "short", None, None)] * 2
+    assert {r["status"] for r in regress.fit(data, ["site_id"], "y", XS).collect()} == {"ok"}
+    value = regress.predict(F.col("beta"), [F.col(x) for x in XS])
+    twin = regress.fit(data.withColumn("b", 2 * F.col("a") + 1), ["site_id"], "y", XS).select("beta", F.lit(1.0).alias("a"), F.lit(3.0).alias("b"), F.lit(2.0).alias("c"))
+    assert all(r["v"] is not None for r in twin.select(value.alias("v")).collect())
 
 
 def test_incomplete_rows_are_left_out(spark, data):

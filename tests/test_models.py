@@ -175,6 +175,19 @@ def test_forecasts_do_not_depend_on_partitioning(spark, world):
     assert all(second[k] == pytest.approx(v, rel=1e-9) for k, v in first.items())
 
 
+def test_no_issue_is_left_out(spark, world):
+    """Issues without a fit, or without an observation on their day, keep every row of every member."""
+    refs = refs_at(spark, [("a", 100), ("b", 110)])
+    early = world["targets"].filter("site_id <> 'a' or datetime < '" + str(on(4)) + "'")
+    late = world["targets"].filter(F.col("datetime") != on(110))
+    for targets, empty in ((early, "a"), (late, "b")):
+        out = regressions.ar_forecast(targets, world["history"], world["drivers"], None, refs, horizon=12, members=3)
+        counts = {r["site_id"]: (r["rows"], r["known"]) for r in out.groupBy("site_id").agg(F.count("*").alias("rows"), F.count("prediction").alias("known")).collect()}
+        assert counts[empty] == (39, 0) and counts[{"a": "b", "b": "a"}[empty]] == (39, 39)
+    for out in (regressions.met_regression(early, world["history"], world["drivers"], refs, horizon=12, members=3), regressions.rain_lag(early, world["history"], world["drivers"], refs, horizon=12, members=3)):
+        assert out.filter("site_id = 'a' and prediction is null").count() == 36 and out.filter("site_id = 'b' and prediction is not null").count() == 36
+
+
 def test_rain_lag_sums_across_the_issue_date(spark, world):
     rows = regressions.driver_rows(world["drivers"], {"rain": "precipitation_flux"})
     spliced = regressions.spliced_rain(world["history"], rows, world["refs"], 3).collect()
@@ -225,12 +238,78 @@ def test_neural_paths(spark, world):
 
 def test_a_singular_system_is_a_rejected_step():
     """Training on constant lags meets singular systems and must end."""
-    x, y = np.ones((20, 4)), np.zeros(20)
-    assert neural._solve(np.zeros((3, 3)), np.ones(3)) is None
-    weights = neural._train(x, y, 3, np.random.default_rng(0), rounds=200)
+    steps = neural._solve(np.stack([np.zeros((3, 3)), np.eye(3)]), np.ones((2, 3)))
+    assert np.isnan(steps[0]).all() and steps[1].tolist() == [1, 1, 1]
+    x, y = np.ones((2, 4, 20)), np.zeros((2, 20))
+    weights, _ = neural.train(x, y, np.ones((2, 20), dtype=bool), np.random.default_rng(0).uniform(-0.7, 0.7, (2, 19)), 3, rounds=200)
     assert np.isfinite(weights).all()
 
 
+def record(n, seed=3):
+    """An autoregression of order two around 10."""
+    rng, y = np.random.default_rng(seed), [0.0, 0.0]
+    for _ in range(n + 50):
+        y.append(1.1 * y[-1] - 0.5 * y[-2] + rng.normal(0, 0.1))
+    return 10 * np.exp(np.array(y[-n:]))
+
+
+@pytest.mark.parametrize("lags", [None, (1, 2, 3, 7)])
+def test_networks_do_not_depend_on_what_they_are_trained_beside(lags):
+    def issues():
+        return [neural.Issue(record(300)[:n], n, lags, 10) for n in (12, 60, 150, 151, 152, 180, 299, 300)]
+
+    alone, together = ([one.paths(w, 20, 9) for one, (w, _) in zip(own, neural.train_issues(own, 3, cells), strict=True)] for cells, own in ((1, issues()), (1 << 22, issues())))
+    assert all((a == b).all() and np.isfinite(a).all() for a, b in zip(alone, together, strict=True))
+    mixed = issues()[::-1]
+    again = [one.paths(w, 20, 9) for one, (w, _) in zip(mixed, neural.train_issues(mixed, 3), strict=True)][::-1]
+    assert all((a == b).all() for a, b in zip(alone, again, strict=True))
+
+
+def test_training_fits_and_says_whether_it_converged():
+    one = neural.Issue(record(400), 1, None, 10)
+    (weights, converged), = neural.train_issues([one], 4)
+    x, y = neural.lag_matrix(one.y, one.lags), one.y[max(one.lags) :]
+    lines = np.column_stack([np.ones(len(y)), x])
+    linear = ((y - lines @ np.linalg.lstsq(lines, y, rcond=None)[0]) ** 2).sum()
+    losses = [((neural._forward(x.T[None], w[None], one.hidden)[1][0] - y) ** 2).sum() for w in weights]
+    assert converged == 4 and max(losses) < 1.05 * linear
+    start = neural.Issue(record(400), 1, None, 10).starts(1)
+    _, done = neural.train(x.T[None], y[None], np.ones((1, len(y)), dtype=bool), start, one.hidden, rounds=1)
+    assert not done.any()
+
+
+def test_gradient_of_the_network_by_differences():
+    """One damped step is the solution of the system built from numerical derivatives."""
+    rng = np.random.default_rng(2)
+    x, w, hidden = rng.normal(size=(1, 2, 30)), rng.uniform(-0.7, 0.7, (1, 13)), 3
+    y = neural._forward(x, w + rng.normal(0, 0.02, (1, 13)), hidden)[1]  # near enough for the first step to be taken
+    base = neural._forward(x, w, hidden)[1][0]
+    slopes = np.column_stack([(neural._forward(x, w + 1e-6 * np.eye(13)[at], hidden)[1][0] - base) / 1e-6 for at in range(13)])
+    square, gradient = slopes.T @ slopes, slopes.T @ (base - y[0])
+    want = w[0] - np.linalg.solve(square + 1e-2 * np.diag(np.diag(square)), gradient)
+    got, _ = neural.train(x, y, np.ones((1, 30), dtype=bool), w, hidden, rounds=1)
+    assert got[0] == pytest.approx(want, rel=1e-3, abs=1e-4)
+
+
+def test_order_by_yule_walker_is_the_best_by_aic():
+    y = np.log(record(500))
+    centered, scores = y - y.mean(), []
+    moments = np.array([centered[: 500 - lag] @ centered[lag:] / 500 for lag in range(9)])
+    for order in range(1, 9):
+        system = np.array([[moments[abs(i - j)] for j in range(order)] for i in range(order)])
+        phi = np.linalg.solve(system, moments[1 : order + 1])
+        scores.append(500 * np.log(moments[0] - phi @ moments[1 : order + 1]) + 2 * (order + 1))
+    assert neural.yule_walker_order(y, 8) == int(np.argmin(scores)) + 1 >= 2
+    assert neural.yule_walker_order(np.ones(20), 8) == 1 and neural.yule_walker_order(np.arange(3.0), 8) == 1
+
+
+def test_neural_flags(spark, world):
+    out = neural.neural_ar(world["targets"], refs_at(spark, [("a", 100), ("a", 1)]), horizon=3, members=2, networks=2, flags=True)
+    rows = {r["reference_datetime"]: r for r in out.collect()}
+    assert rows[on(1)]["order"] is None and rows[on(1)]["converged"] is None and rows[on(1)]["prediction"] is None
+    assert rows[on(100)]["order"] >= 1 and rows[on(100)]["converged"] is not None
+
+
 # --- series ----------------------------------------------------------------------------------
 
 
