@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import os
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -28,7 +30,14 @@ from tarncast.llm.tokens import byte_letters
 from tarncast.llm.words import text_batches
 from tarncast.session import work_path
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Parts of texts that are remembered, and the characters from which one is not.
+CACHE_PARTS = 400_000
+LONG_PART = 100
+#: The pre-tokenizer of byte-level files whose pattern begins every piece at such a space.
+PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+CUT = re.compile(r"(?<=\S) (?=\S)")
+BESIDE_SPACE = re.compile(r"^\s|\s | \s|\s\Z")
 #: A group of more links than this is linked by distinct ids with their numbers, so that one long group stays small.
 WIDE_LINKS = 1 << 12
 #: Ids of both sides are packed into 32 bits.
@@ -43,7 +52,12 @@ ALIGNED = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigin
 
 
 class Sides:
-    """Both tokenizers, and the bytes that each of their ids stands for."""
+    """Both tokenizers, the bytes that each of their ids stands for, and the ids of parts of texts, remembered.
+
+    A text is cut at every space between two characters that are not white space. Neither side has a token across
+    such a place, so the ids of a text are those of its parts in order; where a file gives no such promise, a
+    text is one part. Every part goes through the libraries' own encoders, once while it is remembered.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -51,11 +65,12 @@ class Sides:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         letters = {letter: byte for byte, letter in enumerate(byte_letters())}
-        added = {token.content for token in self.a.get_added_tokens_decoder().values()}
+        added = self.a.get_added_tokens_decoder().values()
+        names = {token.content for token in added}
         entries = self.a.get_vocab()
         self.a_bytes = [b""] * (max(entries.values()) + 1)
         for entry, at in entries.items():
-            self.a_bytes[at] = entry.encode() if entry in added else bytes(letters[letter] for letter in entry)
+            self.a_bytes[at] = entry.encode() if entry in names else bytes(letters[letter] for letter in entry)
         pieces = [self.b.id_to_piece(at) for at in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(piece[3:5], 16)]) if self.b.is_byte(at) else piece.replace("▁", " ").encode() for at, piece in enumerate(pieces)]
         if max(len(self.a_bytes), len(self.b_bytes)) > MOST_IDS:
@@ -64,17 +79,64 @@ class Sides:
         self.b_size = np.array([len(own) for own in self.b_bytes], dtype=np.int64)
         #: Every id as text with the sign that may follow it: in a group, before the other side, and at the end of a group.
         self.shown = [str(at).encode() + sign for sign in (b",", b"|", b";") for at in range(MOST_IDS)]
-
-    def encode(self, texts: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of every text by both sides; none where a side's bytes are not those of a space and the text."""
-        plain = [text.decode("utf-8", "replace") for text in texts]
-        a = [found.ids for found in self.a.encode_batch_fast([" " + text for text in plain], add_special_tokens=False)]
-        b = self.b.encode(plain, num_threads=1)
-        for at, text in enumerate(texts):
-            whole = b" " + text
-            if not text or b"".join(map(self.a_bytes.__getitem__, a[at])) != whole or b"".join(map(self.b_bytes.__getitem__, b[at])) != whole:
-                a[at], b[at] = [], []
-        return a, b
+        stated = json.loads(self.a.to_str())
+        plain = stated["normalizer"] is None and stated["pre_tokenizer"] == PRE_TOKENIZER and all(token.special for token in added)
+        same = "".join(self.b.encode("a  ﬁ b ", out_type=str)) == "▁a▁▁ﬁ▁b▁"  # no normalising, no white space dropped
+        self.cuts = plain and same and not any(re.search("[^▁]▁", piece) for piece in pieces)
+        self.a_known: dict[str, bytes] = {}
+        self.b_known: dict[str, bytes] = {}
+        self.inexact: set[str] = set()
+
+    def parts(self, text: str) -> list[str]:
+        """The parts of a text, each without the space before it."""
+        if not text or not self.cuts:
+            return [text] if text else []
+        if BESIDE_SPACE.search(text) is None:
+            return text.split(" ")
+        first, *rest = CUT.split(" " + text)
+        return [first[1:], *rest]
+
+    def learn(self, parts: list[str]) -> None:
+        """Encode parts and remember their ids, packed, and which parts a side does not give back byte for byte."""
+        whole = [f" {part}".encode() for part in parts]
+        size = np.fromiter(map(len, whole), np.int64, len(whole))
+        found = [[own.ids for own in self.a.encode_batch_fast([" " + part for part in parts], add_special_tokens=False)], self.b.encode(parts, num_threads=1)]
+        for ids, known, tokens, sizes in zip(found, (self.a_known, self.b_known), (self.a_bytes, self.b_bytes), (self.a_size, self.b_size), strict=True):
+            ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64)
+            at = np.concatenate([[0], np.cumsum(sizes[flat])])
+            spelled = b"".join(map(tokens.__getitem__, flat.tolist()))
+            if spelled != b"".join(whole) or (np.diff(at[ends], prepend=0) != size).any():
+                cuts = [0, *at[ends].tolist()]
+                self.inexact.update(part for part, own, first, last in zip(parts, whole, cuts, cuts[1:], strict=False) if spelled[first:last] != own)
+            packed, cuts = flat.astype("<u2").tobytes(), [0, *(2 * ends).tolist()]
+            known.update(zip(parts, [packed[first:last] for first, last in itertools.pairwise(cuts)], strict=True))
+
+    def forget(self, slice_parts: set[str]) -> None:
+        """Long parts are not remembered; the memory is emptied when full."""
+        if len(self.a_known) > CACHE_PARTS:
+            slice_parts = set(self.a_known)
+        for part in [part for part in slice_parts if len(part) > LONG_PART or len(self.a_known) > CACHE_PARTS]:
+            del self.a_known[part], self.b_known[part]
+            self.inexact.discard(part)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of A and how many each text has, the same of B; a text has none where a side's bytes are not those of a space and the text."""
+        parts = [self.parts(text.decode("utf-8", "replace")) for text in texts]
+        needed = set(itertools.chain.from_iterable(parts))
+        self.learn([part for part in needed if part not in self.a_known])
+        a = [b"".join(map(self.a_known.__getitem__, own)) for own in parts]
+        b = [b"".join(map(self.b_known.__getitem__, own)) for own in parts]
+        if self.inexact & needed:
+            for at, text in enumerate(texts):
+                if not self.inexact.isdisjoint(parts[at]):
+                    for ids, tokens in ((a[at], self.a_bytes), (b[at], self.b_bytes)):
+                        if b"".join([tokens[token] for token in np.frombuffer(ids, "<u2").tolist()]) != b" " + text:
+                            a[at] = b[at] = b""
+        self.forget(needed)
+        ids = [np.frombuffer(b"".join(side), "<u2").astype(np.int64) for side in (a, b)]
+        counts = [np.fromiter(map(len, side), np.int64, len(texts)) // 2 for side in (a, b)]
+        return ids[0], counts[0], ids[1], counts[1]
 
 
 @dataclass
@@ -99,10 +161,8 @@ def coalesce(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.nda
     return order, np.cumsum(breaks)
 
 
-def group_tokens(a: list[list[int]], b: list[list[int]], sides: Sides) -> Groups:
-    a_ids = np.fromiter(itertools.chain.from_iterable(a), np.int64)
-    b_ids = np.fromiter(itertools.chain.from_iterable(b), np.int64)
-    a_owner = np.repeat(np.arange(len(a)), [len(own) for own in a])
+def group_tokens(a_ids: np.ndarray, n_a: np.ndarray, b_ids: np.ndarray, sides: Sides) -> Groups:
+    a_owner = np.repeat(np.arange(len(n_a)), n_a)
     order, group = coalesce(np.cumsum(sides.a_size[a_ids]), np.cumsum(sides.b_size[b_ids]))
     side = (order >= len(a_ids)).astype(np.int8)
     by = np.argsort(2 * group + side, kind="stable")
@@ -160,9 +220,8 @@ def linked_pairs(groups: Groups) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 def align_slice(texts: list[bytes], sides: Sides) -> dict[str, np.ndarray | list]:
     """What a slice keeps: figures of each document, its links as places among the slice's distinct pairs, and how many documents hold each pair."""
-    a, b = sides.encode(texts)
-    n_a, n_b = (np.array([len(own) for own in part], dtype=np.int64) for part in (a, b))
-    groups = group_tokens(a, b, sides)
+    a_ids, n_a, b_ids, n_b = sides.encode(texts)
+    groups = group_tokens(a_ids, n_a, b_ids, sides)
     doc, pair, times, links = linked_pairs(groups)
     pairs, at = np.unique(pair, return_inverse=True)
     n_links = np.zeros(len(texts), np.int64)

@@ -23,7 +23,7 @@ from tarncast.llm.catalog import op12_secret_scan
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-ODD = ["▁ low line", "<s> plain </s> <|endoftext|> <unk>", "\x00 nul", "日本語のテキスト " * 30, "🙂🙃" * 200, "a" * 3000, "= " * 500, " \n\n   \t", "ﬁ ligature ², ½", "العربية", "<0x41> A"]
+ODD = ["▁ low line", "<s> plain </s> <|endoftext|> <unk>", "\x00 nul", "日本語のテキスト " * 30, "🙂🙃" * 200, "a" * 3000, "= " * 500, " \n\n   \t", "ﬁ ligature ², ½", "العربية", "<0x41> A", "a \u00a0 b\u3000 c \x1c d", " a", "a ", "it's  don't 'll x 12 3 $ %"]
 
 
 @pytest.fixture(scope="session")
@@ -78,6 +78,7 @@ def test_alignment_of_tokenizers(texts, nothing, monkeypatch, small):
     if small:
         monkeypatch.setattr(alignment, "SLICE_BYTES", 2000)
         monkeypatch.setattr(alignment, "WIDE_LINKS", 1)
+        monkeypatch.setattr(alignment, "CACHE_PARTS", 50)
     rows = [(row.doc_id, row.text) for row in texts.select("doc_id", "text").collect()]
     got = alignment.align(texts, A, B)
     assert [column.split()[0] for column in alignment.ALIGNED.split(", ")] == got.columns
@@ -92,6 +93,19 @@ def test_only_empty_texts(spark):
     assert sorted(str(tuple(row)) for row in alignment.align(frame, A, B).collect()) == sorted(str((doc_id, 0, 0, 0, 0, 0, 0, "")) for doc_id in (1, 1, None))
 
 
+SIDES = alignment.Sides(A, B)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("a Bé' \u00a0\n\t▁.1-")), max_size=50))
+def test_parts_have_the_ids_of_the_text(text):
+    a, n_a, b, n_b = SIDES.encode([text.encode(), text.encode()])
+    ids, other = SIDES.a.encode(f" {text}", add_special_tokens=False).ids, SIDES.b.encode(text)
+    if not text or not b"".join(SIDES.a_bytes[i] for i in ids) == b"".join(SIDES.b_bytes[i] for i in other) == f" {text}".encode():
+        ids = other = []
+    assert SIDES.cuts and a.tolist() == ids * 2 and b.tolist() == other * 2 and n_a.tolist() == [len(ids)] * 2 and n_b.tolist() == [len(other)] * 2
+
+
 @given(st.lists(st.integers(1, 4), min_size=1, max_size=20), st.lists(st.integers(1, 4), min_size=1, max_size=20))
 def test_groups_end_where_both_end(a, b):
     short = sum(b) - sum(a)
