@@ -6,7 +6,8 @@ members and verified on the full sets.
 
 Only connectivity is asked for, so a list is first tested as a star around its smallest group; lists whose
 members are then in one component are done. What still spans components is tested block against
-block, so that a group of near copies of any size is never written out as pairs.
+block, so that a group of near copies of any size is never written out as pairs. Before tokens are
+fetched, a pair must pass a bound from the parities that every set carries.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarncast.llm.components import components
-from tarncast.llm.setjoin import NULL_ID, Similarity, fetch, post, rarity, settle, verify_pairs
+from tarncast.llm.setjoin import NULL_ID, Similarity, fetch, likely, post, rarity, settle, verify_pairs
 from tarncast.llm.words import shingles
 from tarncast.session import durable
 
@@ -46,7 +47,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, like: Similarity | None = N
     like = like or Similarity()
     items = document_items(words)
     lists, found = post(docs, items, rarity(docs, items), like, grouped=True)
-    sets = durable(found.groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("g").alias("g")))
+    sets = durable(found.groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("bits").alias("bits")))
 
     # Pairs of groups: every member of a list beside the list's smallest group.
     centre = lists.groupBy("tok").agg(F.min(F.struct("g", "n", "rem")).alias("c"))
@@ -57,30 +58,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, like: Similarity | None = N
         .select(F.col("c.g").alias("g_a"), F.col("g").alias("g_b"))
         .distinct()
     )
-    a = sets.select(F.col("g").alias("g_a"), F.col("sid").alias("a"), F.col("n").alias("n_a"))
-    b = sets.select(F.col("g").alias("g_b"), F.col("sid").alias("b"), F.col("n").alias("n_b"))
-    crowd = sets.groupBy("g").agg(F.min(F.struct("sid", "n")).alias("c"), F.count("*").alias("size")).filter("size > 1")
+    a = sets.select(F.col("g").alias("g_a"), F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    b = sets.select(F.col("g").alias("g_b"), F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    crowd = sets.groupBy("g").agg(F.min(F.struct("sid", "n", "bits")).alias("c"), F.count("*").alias("size")).filter("size > 1")
     inside = sets.join(crowd, "g").filter(F.col("sid") != F.col("c.sid"))
-    inside = inside.select(F.col("c.sid").alias("a"), F.col("c.n").alias("n_a"), F.col("sid").alias("b"), F.col("n").alias("n_b"))
-    star = durable(pairs.join(a, "g_a").join(b, "g_b").select("a", "n_a", "b", "n_b").unionByName(inside))
+    inside = inside.select(F.col("c.sid").alias("a"), F.col("c.n").alias("n_a"), F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("c.bits").alias("bits_a"), F.col("bits").alias("bits_b"))
+    star = durable(likely(pairs.join(a, "g_a").join(b, "g_b").select("a", "n_a", "b", "n_b", "bits_a", "bits_b").unionByName(inside), like))
 
-    # Every set of a list, or of a group of several sets, may have to be verified.
+    def fetched(wanted):
+        return fetch(docs, items, sets.join(wanted, "sid").select("id", "sid"))
+
+    links = durable(verify_pairs(star, fetched(star.select(F.explode(F.array("a", "b")).alias("sid")).distinct()), like))
+    labels = components(links)
+
+    # Every set of a list, or of a group of several sets, may be linked with any other of it.
     spread = (
         lists.select("tok", "g", "rem")
         .unionByName(crowd.select((-F.abs(F.xxhash64("g"))).alias("tok"), "g", F.lit(None).cast("int").alias("rem")))
         .join(sets, "g")
-        .select("tok", "sid", "n", F.coalesce("rem", "n").alias("rem"), "id")
+        .select("tok", "sid", "n", F.coalesce("rem", "n").alias("rem"))
     )
-    spread = durable(spread)
-    arrays = fetch(docs, items, spread.select("id", "sid").distinct())
-    links = durable(verify_pairs(star, arrays, like))
-    labels = components(links)
 
     # What still spans components.
     placed = spread.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    open_lists = placed.groupBy("tok").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("sid").alias("centre")).filter("low <> high")
-    rest = placed.join(open_lists.select("tok", "centre"), "tok").select("tok", "sid", "n", "rem", "centre", F.col("label").alias("note"))
-    more = durable(settle(rest, arrays, like, lambda a, b: a != b, differing))
+    open_lists = placed.groupBy("tok").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    rest = placed.join(open_lists.select("tok"), "tok").select("tok", "sid", "n", "rem", F.col("label").alias("note"))
+    more = durable(settle(rest, sets.select("sid", "bits"), fetched, like, differing))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 

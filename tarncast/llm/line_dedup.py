@@ -17,12 +17,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarncast.llm.setjoin import NULL_ID, Similarity, fetch, post, rarity, release, settle, verify_pairs
+from tarncast.llm.setjoin import NULL_ID, Similarity, fetch, likely, post, rarity, release, settle, verify_pairs
 from tarncast.llm.words import shingles, text_batches
-from tarncast.session import durable
+from tarncast.session import durable, work_path
 
 CLEANED = "doc_id bigint, n_lines bigint, n_removed bigint, kept_sha256 string, kept string"
 
@@ -46,24 +46,24 @@ def still_open(notes: np.ndarray, at: int) -> np.ndarray:
     return later_open
 
 
-def later_is_open(a: Column, b: Column) -> Column:
-    behind = F.struct(b["id"], b["part"]) > F.struct(a["id"], a["part"])
-    return ~F.when(behind, b["gone"]).otherwise(a["gone"])
-
-
 def removed_lines(docs: DataFrame, words: int = 5, like: Similarity | None = None, short: bool = False) -> DataFrame:
     """The lines to remove: id, part (line number from 0), with null ids as the smallest id."""
     like = like or Similarity()
     items = line_items(words, short)
     lists, found = post(docs, items, rarity(docs, items), like, grouped=False)
-    classes = durable(found.groupBy("sid").agg(F.min(F.struct("id", "part")).alias("first"), F.first("n").alias("n"), F.first("g").alias("g")))
+    classes = durable(found.groupBy("sid").agg(F.min(F.struct("id", "part")).alias("first"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("bits").alias("bits")))
     placed = durable(lists.join(classes.select("g", "sid", "first"), "g"))
 
     centre = placed.groupBy("tok").agg(F.min(F.struct("first", "sid", "n", "rem")).alias("c"))
     star = placed.join(centre, "tok").filter(F.col("sid") != F.col("c.sid")).filter(like.pair(F.col("n"), F.col("rem"), F.col("c.n"), F.col("c.rem")))
-    star = durable(star.select(F.col("c.sid").alias("a"), F.col("c.n").alias("n_a"), F.col("sid").alias("b"), F.col("n").alias("n_b")).distinct())
-    wanted = placed.select("sid", F.col("first.id").alias("id")).distinct()
-    arrays = fetch(docs, items, wanted)
+    star = star.select(F.col("c.sid").alias("a"), F.col("c.n").alias("n_a"), F.col("sid").alias("b"), F.col("n").alias("n_b")).distinct()
+    bits = classes.select("sid", "bits")
+    star = durable(likely(star.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b"), like))
+
+    def fetched(wanted: DataFrame) -> DataFrame:
+        return fetch(docs, items, classes.join(wanted, "sid").select("sid", F.col("first.id").alias("id")))
+
+    arrays = fetched(star.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
     gone = durable(verify_pairs(star, arrays, like).select(F.col("b").alias("sid")).distinct())  # b is always the later one
 
     # Lists that hold an open class behind the first: those classes and all before them.
@@ -73,9 +73,9 @@ def removed_lines(docs: DataFrame, words: int = 5, like: Similarity | None = Non
     )
     open_lists = open_lists.filter((F.col("size") > 2) & F.col("open").isNotNull() & (F.col("open.sid") != F.col("c.sid")))
     note = F.struct(F.col("first.id").alias("id"), F.col("first.part").alias("part"), "gone")
-    rest = marked.join(open_lists.select("tok", F.col("c.sid").alias("centre"), F.col("open.first").alias("until")), "tok").filter(F.col("first") <= F.col("until"))
-    rest = rest.select("tok", "sid", "n", "rem", "centre", note.alias("note"))
-    more = settle(rest, arrays, like, later_is_open, still_open)
+    rest = marked.join(open_lists.select("tok", F.col("open.first").alias("until")), "tok").filter(F.col("first") <= F.col("until"))
+    rest = rest.select("tok", "sid", "n", "rem", note.alias("note"))
+    more = settle(rest, bits, fetched, like, still_open)
     order = classes.select("sid", "first")
     later = (
         more.join(order.select(F.col("sid").alias("a"), F.col("first").alias("first_a")), "a")
@@ -98,10 +98,19 @@ def clean_lines(docs: DataFrame, words: int = 5, like: Similarity | None = None,
     to it; similarity is judged on the input, so a removed line still removes later ones. Lines of fewer
     than ``words`` words are never removed, or, with ``short``, where an earlier line has the same words (a line without
     words always stays). ``kept`` is the text without those lines. A null text is empty (one
-    empty line), a null doc_id counts as the smallest; rows that repeat a doc_id lose a line where any of them does; other columns are
-    ignored; an empty table gives no rows.
+    empty line), a null doc_id counts as the smallest; rows that repeat a doc_id go by the hash of their text, equal ones in any order, and
+    each loses its own lines; other columns are ignored; an empty table gives no rows.
     """
-    lines = removed_lines(docs, words, like, short)
+    beside = [F.struct(*[F.col(f"`{name}`") for name in passed]).alias("passed")] if passed else []
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *beside)
+    repeated = not keyed.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    if repeated:  # then a row goes by its number in that order
+        path = work_path(docs.sparkSession, "numbered")
+        order = [F.col("doc_id").asc_nulls_first(), F.sha2(F.coalesce("text", F.lit("")), 256), F.monotonically_increasing_id()]
+        keyed.sort(*order).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
+        keyed = docs.sparkSession.read.parquet(path)
+    key = "row" if repeated else "doc_id"
+    lines = removed_lines(keyed.select(F.col(key).alias("doc_id"), "text"), words, like, short)
     release(docs.sparkSession)
     lost = durable(lines.groupBy("id").agg(F.collect_set("part").alias("lost")))  # at most the lines of a document
 
@@ -118,8 +127,6 @@ def clean_lines(docs: DataFrame, words: int = 5, like: Similarity | None = None,
             beside = [batch.column(3)] if passed else []
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *beside], names=[*(part.split()[0] for part in CLEANED.split(", ")), *["passed"] * len(beside)])
 
-    beside = [F.struct(*[F.col(f"`{name}`") for name in passed]).alias("passed")] if passed else []
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *beside)
-    joined = keyed.join(lost, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("id"), "left")
+    joined = keyed.join(lost, F.coalesce(key, F.lit(NULL_ID)) == F.col("id"), "left")
     schema = CLEANED + (f", passed {keyed.schema['passed'].dataType.simpleString()}" if passed else "")
     return joined.select("doc_id", "text", "lost", *["passed"] * len(beside)).mapInArrow(run, schema)

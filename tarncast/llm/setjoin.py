@@ -28,7 +28,8 @@ BUCKET_POSTINGS = 1 << 20
 SHIFTS = 48
 UNIT_SETS = 4_000
 UNIT_TOKENS = 1 << 20
-SHORT_LIST = 32
+#: Rows of whole lists that are tested in one task's call.
+UNIT_ROWS = 1 << 17
 
 #: From the texts of a slice: token hashes with repeats, the item of each (ascending), and each item's row and part of the row.
 Items = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
@@ -105,6 +106,20 @@ class Sets:
         bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(used)))]).astype(np.int64)
         return Sets(tokens, bounds, set_names(tokens, bounds), rows[used], parts[used])
 
+    def parities(self) -> list[bytes]:
+        """A bit array for each set, of a power of two of bits, twice its size or more: whether an odd number of its tokens fall on a bit.
+
+        Two arrays differ in no more bits than the sets differ in tokens. An array of half the size is the exclusive or of its halves.
+        """
+        sizes = np.diff(self.bounds)
+        bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
+        ends = np.cumsum(bits)
+        first = ends - bits
+        place = np.repeat(first, sizes) + (self.tokens & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64)
+        odd = np.bincount(place, minlength=int(bits.sum())).astype(np.uint8) & 1
+        blob = np.packbits(odd, bitorder="little").tobytes()
+        return [blob[at // 8 : end // 8] for at, end in zip(first.tolist(), ends.tolist(), strict=True)]
+
     def sids(self) -> list[bytes]:
         blob = self.names.astype(">u8").tobytes()
         return [blob[at : at + 16] for at in range(0, len(blob), 16)]
@@ -129,6 +144,53 @@ def set_names(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.stack([one, two ^ np.diff(bounds).astype(np.uint64)], axis=1)
 
 
+class Parities:
+    """The bit arrays of many sets, by size, folded to smaller sizes when first asked for."""
+
+    def __init__(self, arrays: list[bytes]):
+        self.arrays = [np.frombuffer(own, dtype=np.uint64) for own in arrays]
+        self.width = np.array([len(own) for own in self.arrays], dtype=np.int64)
+        self.folded: dict[tuple[int, int], np.ndarray] = {}
+        self.places = {int(width): np.flatnonzero(self.width == width) for width in np.unique(self.width)}
+        self.row = np.zeros(len(arrays), np.int64)
+        for own in self.places.values():
+            self.row[own] = np.arange(len(own))
+
+    def of_width(self, width: int, to: int) -> np.ndarray:
+        if (width, to) not in self.folded:
+            whole = np.stack([self.arrays[at] for at in self.places[width]])
+            self.folded[width, to] = np.bitwise_xor.reduce(whole.reshape(len(whole), -1, to), axis=1)
+        return self.folded[width, to]
+
+    def differ(self, at: int, others: np.ndarray) -> np.ndarray:
+        """A number of tokens that set ``at`` differs in from each of ``others`` at least."""
+        out = np.zeros(len(others), np.int64)
+        for width, _ in self.places.items():
+            chosen = np.flatnonzero(self.width[others] == width)
+            if len(chosen):
+                to = min(width, int(self.width[at]))
+                own = np.bitwise_xor.reduce(self.arrays[at].reshape(-1, to), axis=0)
+                out[chosen] = np.bitwise_count(self.of_width(width, to)[self.row[others[chosen]]] ^ own).sum(axis=1)
+        return out
+
+
+def likely(pairs: DataFrame, like: Similarity) -> DataFrame:
+    """The pairs (a, n_a, bits_a, b, n_b, bits_b) whose bit arrays leave room for the threshold, without the arrays."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = (batch.column(name).to_numpy().astype(np.int64) for name in ("n_a", "n_b"))
+            differ = np.zeros(len(batch), np.int64)
+            for at, pair in enumerate(zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), strict=True)):
+                one, two = (np.frombuffer(own, dtype=np.uint64) for own in pair)
+                to = min(len(one), len(two))
+                differ[at] = np.bitwise_count(np.bitwise_xor.reduce(one.reshape(-1, to), axis=0) ^ np.bitwise_xor.reduce(two.reshape(-1, to), axis=0)).sum()
+            kept = np.flatnonzero(like.possible((n_a + n_b - differ) // 2, n_a, n_b))
+            yield pa.RecordBatch.from_arrays([batch.column(name) for name in ("a", "n_a", "b", "n_b")], names=["a", "n_a", "b", "n_b"]).take(pa.array(kept))
+
+    return pairs.select("a", "n_a", "b", "n_b", "bits_a", "bits_b").mapInArrow(run, "a binary, n_a int, b binary, n_b int")
+
+
 def rank_of(sketch: np.ndarray) -> np.ndarray:
     """The sketch's counts on a fine logarithmic scale of 16 bits: the order of tokens."""
     return np.minimum(np.log2(sketch + 1) * 1000, 65535).astype(np.uint16)
@@ -154,14 +216,14 @@ def post(docs: DataFrame, items: Items, order: tuple[np.ndarray, int], like: Sim
 
     Lists: tok, g, n, rem. ``tok`` names all tokens that have the same groups, with the largest ``rem`` of each.
     Items: id, part, n, sid (128-bit name of the set), g (64-bit name of its
-    group). A group is the items of one size and one prefix if ``grouped``, else of one set. Two
+    group), bits (its parities). A group is the items of one size and one prefix if ``grouped``, else of one set. Two
     groups under one g only bring more candidates. Both tables are stored in the shared folder.
     """
     sketch, total = order
     buckets = max(8, math.ceil(total * (1 - like.over / like.under) / BUCKET_POSTINGS))
 
     rank = rank_of(sketch)
-    entry = pa.struct([("id", pa.int64()), ("part", pa.int32()), ("n", pa.int32()), ("sid", pa.binary()), ("g", pa.int64())])
+    entry = pa.struct([("id", pa.int64()), ("part", pa.int32()), ("n", pa.int32()), ("sid", pa.binary()), ("g", pa.int64()), ("bits", pa.binary())])
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
@@ -178,7 +240,7 @@ def post(docs: DataFrame, items: Items, order: tuple[np.ndarray, int], like: Sim
                 named = sets.names[:, 0]
             group = mix(named).view(np.int64)
             light = pa.StructArray.from_arrays(
-                [pa.array(ids[sets.rows]), pa.array(sets.parts.astype(np.int32)), pa.array(sizes), pa.array(sets.sids(), pa.binary()), pa.array(group)], fields=list(entry)
+                [pa.array(ids[sets.rows]), pa.array(sets.parts.astype(np.int32)), pa.array(sizes), pa.array(sets.sids(), pa.binary()), pa.array(group), pa.array(sets.parities(), pa.binary())], fields=list(entry)
             )
             _, once = np.unique(group, return_index=True)  # a slice's copies post once
             posts = np.zeros(len(sizes), dtype=bool)
@@ -234,7 +296,7 @@ def post(docs: DataFrame, items: Items, order: tuple[np.ndarray, int], like: Sim
         empty = [pa.nulls(len(packed), kind) for kind in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
         return pa.concat_tables([found, pa.table([*empty, packed], schema=found.schema)])
 
-    item = "array<struct<id: bigint, part: int, n: int, sid: binary, g: bigint>>"
+    item = "array<struct<id: bigint, part: int, n: int, sid: binary, g: bigint, bits: binary>>"
     posted = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").mapInArrow(emit, f"bucket int, blob binary, items {item}")
     path = work_path(docs.sparkSession, "lists")
     posted.groupBy("bucket").applyInArrow(lists, f"tok bigint, g bigint, n int, rem int, items {item}").write.parquet(path)
@@ -306,22 +368,72 @@ def verify_pairs(pairs: DataFrame, arrays: DataFrame, like: Similarity) -> DataF
     return rows.groupBy("unit").applyInArrow(test, "a binary, b binary")
 
 
-def settle(rest: DataFrame, arrays: DataFrame, like: Similarity, differ: Callable[[Column, Column], Column], ask: Callable) -> DataFrame:
-    """Verify every pair of a list whose notes ``differ``: links a, b.
+def settle(rest: DataFrame, bits: DataFrame, fetched: Callable[[DataFrame], DataFrame], like: Similarity, ask: Callable) -> DataFrame:
+    """Verify every pair of a list that ``ask`` wants: links a, b.
 
-    ``rest``: tok, sid, n, rem, centre (one member of the list), note. Sets are clustered: by the pairs of short lists that pass
-    the length and positional filters, and by all members of longer lists. A cluster is tested whole, see ``verify_clusters``.
+    ``rest``: tok, sid, n, rem, note; ``bits``: sid, bits. Pairs of a list that pass the length and positional filters and whose bit arrays leave room for
+    the threshold are candidates. A list gives a spanning forest of them, so at most its members less one as rows; what
+    they connect is a cluster, and a cluster is tested whole, see ``verify_clusters``, on the tokens that ``fetched`` brings for its sets (sid).
     """
-    size = rest.groupBy("tok").agg(F.count("*").alias("m"))
-    rest = durable(rest.join(size, "tok"))
-    short = rest.filter(F.col("m") <= SHORT_LIST)
-    a, b = ([F.col(name).alias(f"{name}_{side}") for name in ("sid", "n", "rem", "note")] for side in "ab")
-    both = short.select("tok", *a).join(short.select("tok", *b), "tok").filter((F.col("sid_a") < F.col("sid_b")) & differ(F.col("note_a"), F.col("note_b")))
-    near = both.filter(like.pair(F.col("n_a"), F.col("rem_a"), F.col("n_b"), F.col("rem_b"))).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
-    far = rest.filter(F.col("m") > SHORT_LIST).select(F.col("sid").alias("a"), F.col("centre").alias("b"))
-    clusters = components(near.unionByName(far).distinct()).select(F.col("node").alias("sid"), F.col("label").alias("cluster"))
-    members = rest.select("sid", "n", "note").distinct().join(clusters, "sid")
-    return verify_clusters(members, arrays, like, ask)
+    rest = durable(rest)
+    clusters = components(candidates(rest, bits, like, ask)).select(F.col("node").alias("sid"), F.col("label").alias("cluster"))
+    members = durable(rest.select("sid", "n", "note").distinct().join(clusters, "sid"))
+    return verify_clusters(members, fetched(members.select("sid").distinct()), like, ask)
+
+
+def candidates(rest: DataFrame, bits: DataFrame, like: Similarity, ask: Callable) -> DataFrame:
+    """For each list a spanning forest (a, b) of its candidate pairs. A list of over ``UNIT_SETS`` members is dealt into blocks, tested two at a time."""
+    size = rest.groupBy("tok").agg(F.count("*").alias("rows"), F.ceil(F.count("*") / F.lit(UNIT_SETS)).cast("int").alias("blocks"))
+    size = durable(size.filter("rows > 1"))
+    packs = max(1, math.ceil((size.filter("blocks = 1").agg(F.sum("rows")).first()[0] or 0) / UNIT_ROWS))
+    placed = rest.join(size, "tok").join(bits, "sid").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    whole = F.col("blocks") == 1
+    units = dealt.select(
+        F.when(whole, F.pmod(F.xxhash64("tok"), F.lit(packs))).otherwise(F.col("tok")).alias("unit"),
+        F.when(whole, -1).otherwise(F.least("block", "other")).alias("i"),
+        F.when(whole, -1).otherwise(F.greatest("block", "other")).alias("j"),
+        *("tok", "block", "sid", "n", "rem", "bits", "note"),
+    )
+
+    def forest(rows: list[tuple], i: int, j: int) -> list[tuple[bytes, bytes]]:
+        rows.sort(key=lambda row: (row[0], row[1]))
+        block, _, n, rem, bits, note = zip(*rows, strict=True)
+        blocks, n, rem = np.array(block), np.array(n, dtype=np.int64), np.array(rem, dtype=np.int64)
+        notes, parities = np.array([*note, None], dtype=object)[:-1], Parities(list(bits))
+        root = list(range(len(rows)))
+
+        def top(at: int) -> int:
+            while root[at] != at:
+                root[at] = at = root[root[at]]
+            return at
+
+        found = []
+        for at in range(len(rows) if i == j else int((blocks == i).sum())):
+            todo = like.lengths(n, n[at]) & like.possible(np.minimum(rem, rem[at]), n, n[at])
+            todo[: at + 1] = False
+            if i != j:
+                todo &= blocks == j
+            if not todo.any():
+                continue
+            others = np.flatnonzero(todo & ask(notes, at))
+            others = others[like.possible((n[others] + n[at] - parities.differ(at, others)) // 2, n[others], n[at])]
+            for other in others.tolist():
+                one, two = top(at), top(other)
+                if one != two:
+                    root[two] = one
+                    found.append((rows[at][1], rows[other][1]))
+        return found
+
+    def test(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        lists: dict[int, list[tuple]] = {}
+        for tok, *row in zip(*(table.column(name).to_pylist() for name in ("tok", "block", "sid", "n", "rem", "bits", "note")), strict=True):
+            lists.setdefault(tok, []).append(tuple(row))
+        found = list({pair for own in lists.values() for pair in forest(own, i, j)})
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+    return units.groupBy("unit", "i", "j").applyInArrow(test, "a binary, b binary").distinct()
 
 
 def verify_clusters(members: DataFrame, arrays: DataFrame, like: Similarity, ask: Callable) -> DataFrame:

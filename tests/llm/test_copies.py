@@ -75,14 +75,14 @@ def test_near_copies(docs, monkeypatch, small):
     if small:
         monkeypatch.setattr(setjoin, "UNIT_SETS", 3)
         monkeypatch.setattr(setjoin, "SHIFTS", 2)
-        monkeypatch.setattr(setjoin, "SHORT_LIST", 3)
+        monkeypatch.setattr(setjoin, "UNIT_ROWS", 20)
         monkeypatch.setattr(setjoin, "UNIT_TOKENS", 500)
     got = jaccard_join.near_duplicates(docs).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == near_brute(pairs_of(docs))
 
 
 def lines_brute(docs):
-    lines = [(doc_id if doc_id is not None else -1, number, shingles(line) if len(lower(line).split()) >= 5 else set()) for doc_id, text in docs for number, line in enumerate(text.split("\n"))]
+    lines = [(doc_id, number, shingles(line) if len(lower(line).split()) >= 5 else set()) for doc_id, text in docs for number, line in enumerate(text.split("\n"))]
     return {(d, n) for d, n, s in lines if any((e, m) < (d, n) and linked(s, t) for e, m, t in lines)}
 
 
@@ -91,20 +91,52 @@ def test_lines(docs, monkeypatch, small):
     if small:
         monkeypatch.setattr(setjoin, "UNIT_SETS", 3)
         monkeypatch.setattr(setjoin, "SHIFTS", 2)
-        monkeypatch.setattr(setjoin, "SHORT_LIST", 3)
+        monkeypatch.setattr(setjoin, "UNIT_ROWS", 20)
         monkeypatch.setattr(setjoin, "UNIT_TOKENS", 300)
-    texts = pairs_of(docs)
-    gone = lines_brute(texts)
+    texts = sorted(pairs_of(docs), key=lambda row: (row[0] is not None, row[0] or 0, hashlib.sha256(row[1].encode()).hexdigest()))
+    gone = lines_brute([(place, text) for place, (_, text) in enumerate(texts)])
     want = []
-    for doc_id, text in texts:
+    for place, (doc_id, text) in enumerate(texts):
         own = text.split("\n")
-        kept = "\n".join(line for number, line in enumerate(own) if (-1 if doc_id is None else doc_id, number) not in gone)
+        kept = "\n".join(line for number, line in enumerate(own) if (place, number) not in gone)
         want.append((str(doc_id), len(own), text, kept))
     got = line_dedup.clean_lines(docs, passed=["text", "lang"]).collect()
     assert sorted((str(r.doc_id), r.n_lines, r.passed.text or "", r.kept) for r in got) == sorted(want)
     assert all(r.kept_sha256 == hashlib.sha256(r.kept.encode()).hexdigest() for r in got) and sum(r.n_removed for r in got) > 5
 
 
+def test_lines_of_rows_under_one_id(spark):
+    """A line that only one of the rows under an id holds stays in it, whatever the others lose."""
+    one, two, three = ("alpha beta gamma delta epsilon", "one two three four five six", "red green blue black white grey")
+    texts = [(1, one), (2, f"{two}\n{one}"), (2, f"{one}\n{three}"), (2, f"{one}\n{three}"), (None, f"{two}\n{two}"), (None, three), (None, None)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    order = sorted(texts, key=lambda row: (row[0] is not None, row[0] or 0, hashlib.sha256((row[1] or "").encode()).hexdigest()))
+    seen, want = set(), []
+    for doc_id, text in order:
+        kept = []
+        for line in (text or "").split("\n"):
+            if line not in seen:
+                kept.append(line)
+            seen |= {line} - {""}
+        want.append((str(doc_id), "\n".join(kept)))
+    assert sorted((str(row.doc_id), row.kept) for row in line_dedup.clean_lines(docs).collect()) == sorted(want)
+
+
+def test_parities_never_say_more_than_the_sets():
+    random = np.random.Generator(np.random.PCG64(4))
+    for _ in range(200):
+        shared, one, two = (random.integers(0, 1 << 63, random.integers(0, most), dtype=np.uint64) for most in (300, 40, 400))
+        own = [np.unique(np.concatenate([shared, part])) for part in (one, two)]
+        if not all(map(len, own)):
+            continue
+        sets = setjoin.Sets(np.concatenate(own), np.cumsum([0, len(own[0]), len(own[1])]), np.zeros((2, 2), np.uint64), np.arange(2), np.zeros(2))
+        bits = sets.parities()
+        assert all(len(part) * 8 >= 2 * len(tokens) for part, tokens in zip(bits, own, strict=True))
+        least = setjoin.Parities(bits).differ(0, np.array([1]))[0]
+        assert least <= len(np.setxor1d(*own)) and setjoin.Parities(bits).differ(1, np.array([0]))[0] == least
+        assert setjoin.Parities([bits[0]] * 2).differ(0, np.array([1]))[0] == 0
+
+
 def passages_brute(docs, length):
     texts = [text.encode() for _, text in docs]
     count = Counter(text[i : i + length] for text in texts for i in range(len(text) - length + 1))
