@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from tarncast.streaming.archive import merge_batch
+
 
 def read_feed(spark: SparkSession, path: str, schema: StructType, pattern: str = "*.parquet", files: int | None = None):
     """Appended Parquet files as a stream."""
@@ -84,18 +86,15 @@ def score_arrivals(
 ) -> StreamingQuery:
     """Run the incremental scorer on every batch of newly arrived forecasts.
 
-    A batch is stored in the archive under its number, so a repeated batch replaces itself. The scorer
-    replaces the stored scores of a group (model and ``unit`` of forecast dates), so it is given all archived forecasts of the
-    groups that the batch touches: a group may arrive in any number of batches.
+    The scorer replaces the stored scores of a group (model and ``unit`` of forecast dates), so it is given all archived
+    forecasts of the groups that the batch touches: a group may arrive in any number of batches. Only the folders of
+    these groups are read and rewritten; see ``archive``.
     """
 
     def on_batch(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{archive}/batch={number}")
-        stored = batch.sparkSession.read.parquet(archive)
-        group = F.to_date(F.date_trunc(unit, "datetime"))
-        touched = stored.filter(F.col("batch") == number).select(F.col("model_id").alias("of_model"), group.alias("of_group")).distinct()
-        due = stored.join(touched, (F.col("model_id") == F.col("of_model")) & (group == F.col("of_group")), "left_semi")
-        score_batch(due.drop("batch"))
+        due = merge_batch(batch, number, archive, unit)
+        if due is not None:
+            score_batch(due)
 
     return (
         arrivals.writeStream.foreachBatch(on_batch)
