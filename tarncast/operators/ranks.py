@@ -23,9 +23,14 @@ def ranked(df: DataFrame, keys: list[str], value: str, carry: list[str] = ()) ->
     return rank_in_slices(df.select(*keys, *carry, value), keys, value, list(carry))
 
 
-def rank_in_slices(rows: DataFrame, keys: list[str], value: str, carry: list[str]) -> DataFrame:
-    """Ranks over slices of the groups; see ``ranked``."""
-    rows = rows.filter(F.col(value).isNotNull())
+def rank_in_slices(rows: DataFrame, keys: list[str], value: str, carry: list[str], gaps: bool = False) -> DataFrame:
+    """Ranks over slices of the groups; see ``ranked``.
+
+    With ``gaps``, missing values stay, as one row of a group, and ``missing`` counts them in each row of the
+    group; where there are any, the group's other figures mean nothing.
+    """
+    if not gaps:
+        rows = rows.filter(F.col(value).isNotNull())
     # Equal values collapse first, so a heavily repeated value is one row, not one long slice.
     values = rows.groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("copies"), *[F.max(c).alias(c) for c in carry]
@@ -36,7 +41,9 @@ def rank_in_slices(rows: DataFrame, keys: list[str], value: str, carry: list[str
         values.repartitionByRange(slices, *keys, value).withColumn("slice", F.spark_partition_id())
     )
     per_slice = cut.groupBy(*keys, "slice").agg(
-        F.sum("copies").alias("slice_rows"), F.sum(F.col(value) * F.col("copies")).alias("slice_sum")
+        F.sum("copies").alias("slice_rows"),
+        F.sum(F.col(value) * F.col("copies")).alias("slice_sum"),
+        F.sum(F.when(F.col(value).isNull(), F.col("copies")).otherwise(0)).alias("slice_missing"),
     )
     group = W.partitionBy(*keys)
     below = group.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
@@ -45,6 +52,7 @@ def rank_in_slices(rows: DataFrame, keys: list[str], value: str, carry: list[str
         F.col("slice").alias("cut_slice"),
         F.coalesce(F.sum("slice_rows").over(below), F.lit(0)).alias("below"),
         F.sum("slice_rows").over(group).alias("n"),
+        F.sum("slice_missing").over(group).alias("missing"),
         (F.sum("slice_sum").over(group) / F.sum("slice_rows").over(group)).alias("center"),
     )
     same = [F.col(k).eqNullSafe(F.col(f"cut_{k}")) for k in keys] + [F.col("slice") == F.col("cut_slice")]
@@ -53,7 +61,7 @@ def rank_in_slices(rows: DataFrame, keys: list[str], value: str, carry: list[str
         cut.join(offsets, same)
         .withColumn("rank_hi", F.col("below") + F.sum("copies").over(running))
         .withColumn("rank_lo", F.col("rank_hi") - F.col("copies") + 1)
-        .select(*keys, *carry, value, "copies", "rank_lo", "n", "rank_hi", "center")
+        .select(*keys, *carry, value, "copies", "rank_lo", "n", "rank_hi", "center", *(["missing"] if gaps else []))
     )
 
 

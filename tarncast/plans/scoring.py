@@ -162,7 +162,7 @@ def _slice_sd(value: str) -> Column:
 
 
 def _score_slices(ranked: DataFrame, keys: list[str], value: str, y: str | None, summaries: bool, logs: bool) -> DataFrame:
-    columns = [weighted_mean(value).alias("mean"), _slice_sd(value).alias("sd"), F.max("n").alias("n")]
+    columns = [weighted_mean(value).alias("mean"), _slice_sd(value).alias("sd"), F.max("n").alias("n"), F.max("missing").alias("missing")]
     columns += [quantile(value, p).alias(name) for name, p in LEVELS.items()]
     columns.append((quantile(value, 0.75) - quantile(value, 0.25)).alias("iqr"))
     if y:
@@ -172,7 +172,7 @@ def _score_slices(ranked: DataFrame, keys: list[str], value: str, y: str | None,
             F.min(F.abs(F.col(value) - F.col(y))).alias("near"),
         ]
     stats = ranked.groupBy(*keys).agg(*columns)
-    out = [*keys, *([y, "crps"] if y else [])]
+    scores = ["crps"] if y else []
     if logs:
         stats = stats.withColumn("width", _bandwidth(F.col("sd"), F.col("iqr"), F.col("n")))
         kernels = _slice_kernels(ranked, stats, keys, value, y)
@@ -180,8 +180,9 @@ def _score_slices(ranked: DataFrame, keys: list[str], value: str, y: str | None,
         stats = stats.join(kernels, same, "left").withColumn(
             "logs", _kernel_score(F.col("near"), F.col("kernels"), F.col("width"), F.col("n"))
         )
-        out.append("logs")
-    return stats.select(*out, *(SUMMARIES if summaries else []))
+        scores.append("logs")
+    whole = [F.when(F.col("missing") == 0, F.col(c)).alias(c) for c in [*scores, *(SUMMARIES if summaries else [])]]
+    return stats.select(*keys, *([y] if y else []), *whole)
 
 
 def _slice_kernels(ranked: DataFrame, stats: DataFrame, keys: list[str], value: str, y: str) -> DataFrame:
@@ -222,20 +223,8 @@ def score_samples(
         packed = _pack(used, keys, value, carried)
         return _score_packed(attach(packed) if attach else packed, keys, y, summaries, logs)
     rows = attach(used) if attach else used
-    sliced = _score_slices(rank_in_slices(rows, keys, value, [y] if y else []), keys, value, y, summaries, logs)
-    return _only_whole(sliced, rows, keys, value, y)
-
-
-def _only_whole(scored: DataFrame, rows: DataFrame, keys: list[str], value: str, y: str | None) -> DataFrame:
-    """Scores of ensembles with a missing member set to NULL."""
-    observed = [F.max(y).alias("g_y")] if y else []
-    gaps = rows.groupBy(*[F.col(k).alias(f"g_{k}") for k in keys]).agg(
-        (F.count(value) == F.count(F.lit(1))).alias("whole"), *observed
-    )
-    same = [F.col(k).eqNullSafe(F.col(f"g_{k}")) for k in keys]
-    kept = [F.col(f"g_{k}").alias(k) for k in keys] + ([F.col("g_y").alias(y)] if y else [])
-    results = [F.when(F.col("whole"), F.col(c)).alias(c) for c in scored.columns if c not in (*keys, y)]
-    return gaps.join(scored, same, "left").select(*kept, *results)
+    ranks = rank_in_slices(rows, keys, value, [y] if y else [], gaps=True)
+    return _score_slices(ranks, keys, value, y, summaries, logs)
 
 
 # --- parametric families ---------------------------------------------------------------------
