@@ -95,8 +95,8 @@ def crps_skill_sql(baseline: str) -> str:
     return skill_union(sites_and_pooled("horizon", ratios, skill_cases()))
 
 
-def rmse_skill_sql(baseline: str, keys: str = "") -> str:
-    table = sites_and_pooled(f"model_id, horizon{keys}", "sqrt(avg((mean - observation) ^ 2)) as rmse")
+def rmse_skill_sql(baseline: str, keys: str = "", error: str = "sqrt(avg((mean - observation) ^ 2))") -> str:
+    table = sites_and_pooled(f"model_id, horizon{keys}", f"{error} as rmse")
     models = ", ".join(f"max(case when model_id = '{m}' then rmse end) as \"{m}\"" for m in fx.MODELS)
     ratios = ", ".join(f"1 - \"{m}\" / nullif(\"{baseline}\", 0) as \"{m}\"" for m in CHALLENGERS)
     wide = f"(select site_id, horizon{keys}, {models} from {table} group by site_id, horizon{keys})"
@@ -137,6 +137,15 @@ def skill_table(spark, folder):
     return wide_horizon(evaluation.skill_table(scored, CHALLENGERS, fx.BASELINES)).drop("label")
 
 
+ROUNDED_RMSE = "round(sqrt(avg((mean - observation) ^ 2)), 2)"
+
+
+@query(on_models(f"select site_id, horizon, model_id, {r('skill')} from ({rmse_skill_sql('Persistence', error=ROUNDED_RMSE)})"))
+def rmse_skill_rounded(spark, folder):
+    """Skill from errors rounded to two places, as published tables have it."""
+    return wide_horizon(evaluation.rmse_skill(fx.scored_models(spark, folder), CHALLENGERS, "Persistence", digits=2))
+
+
 def seasonal_sql(season: str) -> str:
     source = f"(select *, {season} as season from scored)"
     return sites_and_pooled("model_id, horizon, season", "sqrt(avg((mean - observation) ^ 2)) as rmse", source)

@@ -129,19 +129,38 @@ def rmse_skill(scored: DataFrame, models: list[str], baseline: str, digits: int
     return lengthen(ratios, ["site_id", "horizon", *extra], models, "model_id", "skill")
 
 
-def skill_table(scored: DataFrame, models: list[str], baselines: dict[str, str], digits: int | None = None) -> DataFrame:
-    """Both skill measures against every baseline, labelled skill_model_metric_null and split again."""
-    parts = []
-    for short, baseline in baselines.items():
-        for metric, table in (
-            ("crps", crps_skill(scored, models, baseline)),
-            ("rmse", rmse_skill(scored, models, baseline, digits)),
+def skill_table(
+    scored: DataFrame, models: list[str], baselines: dict[str, str], digits: int | None = None, extra=()
+) -> DataFrame:
+    """Both skill measures against every baseline, labelled skill_model_metric_null and split again.
+
+    One pass: a case carries the crps and the squared errors of every model, one aggregate with two grouping sets
+    gives the mean ratios to every baseline and every RMSE, and each of its rows opens into its skills.
+    """
+    known = list(dict.fromkeys([*models, *baselines.values()]))
+    error = F.col("mean") - F.col("observation")
+    of = lambda m, value: F.when(F.col("model_id") == m, value)
+    cases = scored.groupBy(*CASE, *extra).agg(
+        *[F.max(of(m, F.col("crps"))).alias(f"crps_{m}") for m in known],
+        *[F.sum(of(m, error * error)).alias(f"squares_{m}") for m in known],
+        *[F.count(of(m, error)).alias(f"errors_{m}") for m in known],
+    )
+    pairs = [(m, short, baseline) for short, baseline in baselines.items() for m in models]
+    gain = lambda value, base: 1 - value / F.when(base != 0, base)
+    ratios = [
+        F.avg(gain(F.col(f"crps_{m}"), F.col(f"crps_{baseline}"))).alias(f"crps_{m}_{short}") for m, short, baseline in pairs
+    ]
+    errors = {m: (F.sum(f"squares_{m}"), F.sum(f"errors_{m}")) for m in known}
+    roots = [_rounded(F.sqrt(squares / F.when(n != 0, n)), digits).alias(f"rmse_{m}") for m, (squares, n) in errors.items()]
+    table = per_site_and_pooled(cases, ["horizon", *extra], [*ratios, *roots])
+    skills = []
+    for m, short, baseline in pairs:
+        for metric, skill in (
+            ("crps", F.col(f"crps_{m}_{short}")),
+            ("rmse", gain(F.col(f"rmse_{m}"), F.col(f"rmse_{baseline}"))),
         ):
-            label = F.concat_ws("_", F.lit("Skill"), F.col("model_id"), F.lit(metric), F.lit(short))
-            parts.append(table.select("site_id", "horizon", label.alias("label"), "skill"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+            skills.append(F.struct(F.lit(f"Skill_{m}_{metric}_{short}").alias("label"), skill.alias("skill")))
+    out = table.select("site_id", "horizon", *extra, F.inline(F.array(*skills)))
     split = split_label(out, "label", ["kind", "model_id", "metric", "null_model"], "_")
     return split.withColumn("null_model", recode(F.col("null_model"), baselines)).drop("kind")
 
