@@ -338,6 +338,19 @@ def source_profile(spark, folder):
     return scan.profile(fx.sensor(spark, folder), ["fdom", "temp_c"])
 
 
+@query()
+def source_summary(spark, folder):
+    """Quartiles and distinct counts of the readings of each site and of all, the latter merged from the former."""
+    sites = scan.sketch(fx.sensor(spark, folder), ["fdom", "temp_c", "datetime"], ["site_id"])
+    whole = scan.merge_sketches(sites).withColumn("site_id", F.lit("all"))
+    return scan.read_sketches(sites.unionByName(whole))
+
+
+@query(with_("targets", f"select site_id, datetime, {r('observation')} from (select * from targets order by datetime, site_id limit 6)"))
+def preview_targets(spark, folder):
+    return scan.preview(fx.targets(spark, folder).select("site_id", "datetime", "observation"), ["datetime", "site_id"])
+
+
 @query("select distinct event_type as site_id, cast(ts as date) as datetime from events")
 def distinct_site_days(spark, folder):
     rows = fx.sensor(spark, folder).withColumn("datetime", F.to_date("datetime"))
