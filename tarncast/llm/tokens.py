@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import itertools
 import re
+import sys
+from array import array
+from collections.abc import Iterable
 from unicodedata import category
 
 import numpy as np
@@ -24,6 +27,18 @@ def byte_letters() -> list[str]:
     return [chr(byte) if byte in printable else chr(next(rest)) for byte in range(256)]
 
 
+#: Letters below this one never compose with each other, and each has one lower-case form.
+COMPOSED = "\u0100"
+
+
+def packed(ids: Iterable[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    values = array("I", ids)
+    if sys.byteorder == "big":
+        values.byteswap()
+    return values.tobytes()
+
+
 class WordIds(dict):
     """Ids of a word (a run without ASCII white space) as little-endian unsigned 32-bit integers, remembered; the memory is emptied when full.
 
@@ -52,8 +67,13 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        plain = word if word.isascii() else self.normalizer.normalize_str(word)
-        if not plain.isascii() and any(category(letter) == "Cn" for letter in plain):
+        if word.isascii():
+            plain = word
+        elif max(word) < COMPOSED:  # such letters are known and composed: normalising is lower case
+            plain = word.lower()
+        else:
+            plain = self.normalizer.normalize_str(word)
+        if not plain.isascii() and max(plain) >= COMPOSED and any(category(letter) == "Cn" for letter in plain):
             # A character that this Python does not know may be a letter to the library.
             value = self[word] = np.array(self.whole.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
             return value
@@ -62,7 +82,7 @@ class WordIds(dict):
             ids = [token.id for token in self.model.tokenize(text)]
         else:
             ids = itertools.chain.from_iterable(map(self.piece, PIECES.findall(plain)))
-        value = self[word] = np.fromiter(ids, dtype="<u4").tobytes()
+        value = self[word] = packed(ids)
         return value
 
     def encode(self, text: str) -> np.ndarray:

@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tarncast.llm import alignment, resampling, secrets
+from tarncast.llm import alignment, resampling, secrets, tokens
 from tarncast.llm.catalog import op12_secret_scan
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -259,3 +259,12 @@ def test_resampling(texts, nothing, percent):
     assert sorted(str(list(row)) for row in got.collect()) == resampled_brute(rows, target, percent)
     assert resampling.resample(nothing, table).count() == 0
     assert sorted(str(list(row)) for row in resampling.resample(texts, table.limit(0), percent).collect()) == resampled_brute(rows, [], percent)
+
+
+def test_words_of_every_low_letter():
+    """Letters below U+0180, alone and inside words, before marks that compose: the library's ids."""
+    words = tokens.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [f"{chr(code)} a{chr(code)}b {chr(code)}́ X{chr(code)}{chr(code)}." for code in range(32, 0x180)]
+    texts += ["ÀÉÎÕÜ ÿŸ ßẞ İı Σς µΜ ªº ½²", "éÉ ＡB ﬁ Ω K Å", "naïve Œuvre\u0085ÇA"]
+    for text in texts:
+        assert words.encode(text).tolist() == words.whole.encode(text, add_special_tokens=False).ids, text
