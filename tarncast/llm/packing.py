@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarncast.llm.tokens import WordIds
+from tarncast.llm.tokens import word_ids
 from tarncast.llm.words import text_batches
 from tarncast.session import work_path
 
@@ -34,7 +34,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> D
     """Pieces of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32."""
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         for batch, texts in text_batches(batches):
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             out = []

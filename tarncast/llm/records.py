@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarncast.llm.tokens import WordIds
+from tarncast.llm.tokens import word_ids
 from tarncast.llm.words import text_batches
 
 SHARD_BYTES = 16 << 20
@@ -70,7 +70,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, s
     size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         for batch, texts in text_batches(batches):
             doc_ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             frames = [frame(doc_id, np.append(words.encode(text.decode("utf-8", "replace")), np.uint32(end_id)))[:-1] for doc_id, text in zip(doc_ids, texts, strict=True)]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
+import json
 import re
 import sys
 from array import array
@@ -19,6 +21,16 @@ END_MARK = re.compile(r"([a-z])([.,])(?=[ \n]|$)")
 #: The pattern that the vocabulary file itself states for its pieces.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
+#: The normaliser and the pre-tokenizer that the vocabulary file states and that ``WordIds`` follows word by word.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PIECES.pattern}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 
 def byte_letters() -> list[str]:
     """The letter that byte-level vocabularies write for each byte: itself where printable, else the next one from 256 on."""
@@ -44,12 +56,15 @@ class WordIds(dict):
 
     The vocabulary's normaliser and pre-tokenizer never join across white space, so the ids of a text
     are those of its words in order. A word is cut into pieces by the file's pattern and each piece
-    goes to the library's model once.
+    goes to the library's model once. Of a file that states another normaliser or pre-tokenizer, every
+    text goes to the library whole.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.whole = Tokenizer.from_file(path)
+        stated = json.loads(self.whole.to_str())
+        self.by_word = stated["normalizer"] == NORMALIZER and stated["pre_tokenizer"] == PRE_TOKENIZER
         self.model, self.normalizer = self.whole.model, self.whole.normalizer
         self.special = [token.content for token in self.whole.get_added_tokens_decoder().values()]
         self.letters = byte_letters()
@@ -87,13 +102,19 @@ class WordIds(dict):
 
     def encode(self, text: str) -> np.ndarray:
         """What the library's ``encode(text, add_special_tokens=False).ids`` gives, as unsigned 32-bit integers."""
-        if any(token in text for token in self.special) or not usual_space(text):
+        if not self.by_word or any(token in text for token in self.special) or not usual_space(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
         plain = text.encode().lower().decode()  # A-Z only, as the normaliser does too
         words = END_MARK.sub(r"\1 \2", plain).split()
         return np.frombuffer(b"".join(map(self.__getitem__, words)), dtype="<u4")
 
 
+@functools.lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """The ids of a file, with the words that this process has met in earlier tasks."""
+    return WordIds(path)
+
+
 #: Characters at which Python's split cuts although the pattern's white space leaves them in a piece.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 

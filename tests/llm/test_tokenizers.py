@@ -268,3 +268,11 @@ def test_words_of_every_low_letter():
     texts += ["ÀÉÎÕÜ ÿŸ ßẞ İı Σς µΜ ªº ½²", "éÉ ＡB ﬁ Ω K Å", "naïve Œuvre\u0085ÇA"]
     for text in texts:
         assert words.encode(text).tolist() == words.whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_another_vocabulary_file():
+    """A file with another pre-tokenizer and no normaliser: the library's ids."""
+    words = tokens.word_ids(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not words.by_word and tokens.word_ids(public_tokenizers.path("word_bpe_49k.json")).by_word
+    for text in ["", "Two  words, don't\n", "ÀÉ naïve \x1c ＡB 12 345", "<|endoftext|> x"]:
+        assert words.encode(text).tolist() == words.whole.encode(text, add_special_tokens=False).ids, text
