@@ -52,7 +52,7 @@ def packed(ids: Iterable[int]) -> bytes:
 
 
 class WordIds(dict):
-    """Ids of a word (a run without ASCII white space) as little-endian unsigned 32-bit integers, remembered; the memory is emptied when full.
+    """Ids of a word (a run without ASCII white space) as little-endian unsigned 32-bit integers, remembered; words not met for long are forgotten.
 
     The vocabulary's normaliser and pre-tokenizer never join across white space, so the ids of a text
     are those of its words in order. A word is cut into pieces by the file's pattern and each piece
@@ -68,6 +68,7 @@ class WordIds(dict):
         self.model, self.normalizer = self.whole.model, self.whole.normalizer
         self.special = [token.content for token in self.whole.get_added_tokens_decoder().values()]
         self.letters = byte_letters()
+        self.older: dict[str, bytes] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
 
     def piece(self, piece: str) -> tuple[int, ...]:
@@ -80,8 +81,13 @@ class WordIds(dict):
         return found
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= CACHE_WORDS // 2:  # words met since the last time stay for one more turn
+            self.older = dict(self)
             self.clear()
+        known = self.older.get(word)
+        if known is not None:
+            self[word] = known
+            return known
         if word.isascii():
             plain = word
         elif max(word) < COMPOSED:  # such letters are known and composed: normalising is lower case
