@@ -21,7 +21,7 @@ from tarncast.catalog.roles import (
     with_,
     zkey,
 )
-from tarncast.operators import daily, regress
+from tarncast.operators import daily, records, regress
 from tarncast.plans import baselines, common, neural, regressions
 
 
@@ -58,6 +58,14 @@ def estimate_rho(spark, folder):
     return subsets.groupBy("site_id", "subset").agg((F.regr_slope("fdom", "temp_c") / F.avg("fdom")).alias("rho"))
 
 
+@query(with_("sensor", f"""select site_id, count(*) as readings, {r('regr_slope(fdom, temp_c) / avg(fdom)', 'rho')} from (
+    select *, row_number() over (partition by site_id order by datetime, event_id) as row from sensor) where row between 20 and 200 group by 1"""))
+def estimate_rho_of_slice(spark, folder):
+    """The temperature coefficient from rows 20 to 200 of each site's whole record."""
+    rows = records.record_slice(fx.sensor(spark, folder), ["site_id"], ["datetime", "event_id"], 20, 200)
+    return rows.groupBy("site_id").agg(F.count(F.lit(1)).alias("readings"), (F.regr_slope("fdom", "temp_c") / F.avg("fdom")).alias("rho"))
+
+
 @query(with_("frame refs_day", f"""select site_id, reference_datetime, n, {r('slope')}, {r('intercept')}, {r('sigma')}
     from (select site_id, reference_datetime, cast(n as bigint) as n, slope, my - slope * mx as intercept,
           case when vy is not null then sqrt(greatest(vy - slope * cxy, 0)) end as sigma from (select * replace (case when n > 2 then slope end as slope, case when n > 2 then vy end as vy) from (

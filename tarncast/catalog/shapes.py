@@ -7,7 +7,7 @@ from tarncast import fixtures as fx
 from tarncast.catalog.registry import query
 from tarncast.catalog.roles import r, rs, with_
 from tarncast.functions import optics, seasons
-from tarncast.operators import daily, grid, lookup, reshape, series
+from tarncast.operators import daily, grid, lookup, records, reshape, series
 from tarncast.plans import evaluation, provenance
 
 NOISE_FREE = ["rain", "shortwave", "water_temp"]
@@ -287,6 +287,14 @@ def row_slice(spark, folder):
     return rows.select("site_id", "event_id", "row", F.col("fdom").alias("reading"))
 
 
+@query(with_("sensor", f"""select site_id, event_id, row, fdom as reading from (select *, row_number()
+    over (partition by site_id order by datetime, event_id) as row from sensor) where row between 20 and 200"""))
+def record_slice(spark, folder):
+    """Rows 20 to 200 of each site's whole record."""
+    rows = records.record_slice(fx.sensor(spark, folder), ["site_id"], ["datetime", "event_id"], 20, 200)
+    return rows.select("site_id", "event_id", "row", F.col("fdom").alias("reading"))
+
+
 @query(with_("sensor", f"""select date '2024-01-15' as event_date, site_id, {r('max(case when k = -1 then fdom end)', 'before')},
     {r('max(case when k = 10 then fdom end)', 'after')}, {r('max(fdom)', 'highest')}, {r('min(fdom)', 'lowest')},
     {r('max(case when k = 10 then fdom end) - max(case when k = -1 then fdom end)', 'change')}
