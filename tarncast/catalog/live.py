@@ -9,7 +9,7 @@ from tarncast.plans import baselines, provenance
 from tarncast.plans.common import standard_format
 from tarncast.session import work_path
 from tarncast.sources.sinks import write_table
-from tarncast.streaming import feeds
+from tarncast.streaming import feeds, walks
 
 
 def sensor_feed(spark, folder):
@@ -50,6 +50,22 @@ def stream_latest(spark, folder):
     return latest.withColumn("last_time", F.col("last_time").cast("timestamp_ntz"))
 
 
+@query(with_("sensor", f"""select site_id, datetime, {r('fdom', 'mu')}, {r('avg(change * change) over w', 'step_variance')}, count(change) over w as changes, false as ended
+    from (select *, case when datetime - lag(datetime) over (partition by site_id order by datetime) = 1
+          then fdom - lag(fdom) over (partition by site_id order by datetime) end as change
+        from (select site_id, cast(datetime as date) as datetime, avg(fdom) as fdom from sensor
+          where cast(datetime as date) + interval 1 day <= (select max(ts) - interval 1 day from events)
+          group by 1, 2 having avg(fdom) is not null))
+    window w as (partition by site_id order by datetime)"""))
+def stream_walk(spark, folder):
+    """The random walk of each site after every day that the watermark has closed, from keyed state."""
+    closed, table = work_path(spark, "closed"), work_path(spark, "walk")
+    feeds.run_append(feeds.daily_stream(sensor_feed(spark, folder), "fdom"), closed, work_path(spark, "closed-state")).awaitTermination()
+    days = feeds.read_feed(spark, closed, spark.read.parquet(closed).schema)
+    feeds.run_append(walks.walk_stream(days, "fdom"), table, work_path(spark, "walk-state")).awaitTermination()
+    return spark.read.parquet(table)
+
+
 def published_forecasts(spark, folder):
     """Both baselines in the shared long table, each published on its day of issue."""
     targets, refs = fx.targets(spark, folder), fx.daily_refs(spark, folder)
