@@ -19,12 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarncast.llm.components import components
-from tarncast.llm.words import mix, text_batches
+from tarncast.llm.words import give_back, mix, text_batches
 from tarncast.session import durable, work_path
 
 NULL_ID = -(1 << 63)
 SKETCH_BITS = 16
-BUCKET_POSTINGS = 1 << 20
+BUCKET_POSTINGS = 1 << 19
 SHIFTS = 48
 UNIT_SETS = 4_000
 UNIT_TOKENS = 1 << 20
@@ -73,6 +73,7 @@ def rarity(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
             total += np.bincount((items(texts)[0] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=cells)
         used = np.flatnonzero(total)
         yield pa.record_batch({"cells": pa.array([used.tolist()], pa.list_(pa.int32())), "counts": pa.array([total[used].tolist()], pa.list_(pa.int64()))})
+        give_back()
 
     rows = docs.select("text").mapInArrow(count, "cells array<int>, counts array<bigint>")
     each = rows.select(F.explode(F.arrays_zip("cells", "counts")).alias("x")).groupBy(F.col("x.cells").alias("cell")).agg(F.sum("x.counts").alias("n"))
@@ -258,10 +259,12 @@ def post(docs: DataFrame, items: Items, order: tuple[np.ndarray, int], like: Sim
             blobs.append(None)
             listed = pa.ListArray.from_arrays(pa.array([*[None] * (len(names) - 1), 0, len(light)], pa.int32()), light)
             yield pa.record_batch({"bucket": pa.array(names, pa.int32()), "blob": pa.array(blobs, pa.binary()), "items": listed})
+        give_back()
 
     kinds = ("<u4", "<i8", "<i4", "<i4")
 
     def lists(table: pa.Table) -> pa.Table:
+        give_back()
         blobs = [value for value in table.column("blob").to_pylist() if value is not None]
         tok, g, n, rem = _unpack(blobs, *kinds) if blobs else [np.zeros(0, dtype=kind) for kind in kinds]
         by = np.lexsort((g, n, tok))
@@ -331,6 +334,7 @@ def fetch(docs: DataFrame, items: Items, wanted: DataFrame) -> DataFrame:
                     sids.append(sid)
                     blobs.append(sets.tokens[first:last].tobytes())
             yield pa.record_batch({"sid": pa.array(sids, pa.binary()), "tokens": pa.array(blobs, pa.binary())})
+        give_back()
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("id"), "text").join(asked, "id").select("text", "sids")
     path = work_path(docs.sparkSession, "arrays")
