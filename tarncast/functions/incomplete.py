@@ -16,6 +16,8 @@ from tarncast.functions.special import LANCZOS, LANCZOS_G
 
 STEPS = 500
 TINY = 1e-300
+#: A continued fraction whose last term still moved it by more than this share has no value: the score is NULL.
+SETTLED = 1e-12
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -26,9 +28,10 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
 
 
 def _continued_fraction(b0, terms):
-    """Modified Lentz evaluation of b0 + a1/(b1 + a2/(b2 + ...)) for arrays."""
+    """Modified Lentz evaluation of b0 + a1/(b1 + a2/(b2 + ...)) for arrays; NaN where the terms end before it settles."""
     f = np.where(b0 == 0, TINY, b0)
     c, d = f.copy(), np.zeros_like(f)
+    moved = np.full(f.shape, np.inf)
     for a, b in terms:
         d = b + a * d
         d = 1 / np.where(d == 0, TINY, d)
@@ -36,9 +39,10 @@ def _continued_fraction(b0, terms):
         c = np.where(c == 0, TINY, c)
         step = c * d
         f = f * step
-        if np.all(np.abs(step - 1) < 1e-15):
+        moved = np.abs(step - 1)
+        if np.all(moved < 1e-15):
             break
-    return f
+    return np.where(moved < SETTLED, f, np.nan)
 
 
 def gamma_cdf(shape: np.ndarray, x: np.ndarray) -> np.ndarray:

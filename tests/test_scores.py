@@ -94,6 +94,15 @@ def test_special_families_by_integration(spark):
             assert r["crps"] is None and r["logs"] is None
 
 
+def test_unsettled_fractions_have_no_value():
+    """A fraction whose terms end too early is NaN, so its score is NULL; the settled ones beside it keep their value."""
+    parts = np.array([1.0, 1e9])
+    got = incomplete._continued_fraction(parts, ((np.ones(2), parts) for _ in range(8)))
+    assert np.isnan(got[0]) and got[1] == pytest.approx(1e9)
+    got = incomplete._continued_fraction(parts, ((np.ones(2), parts) for _ in range(80)))
+    assert got == pytest.approx([(1 + math.sqrt(5)) / 2, 1e9], rel=1e-14)
+
+
 def test_poisson_by_summation(spark):
     rows = [("poisson", y, lam) for y in (0.0, 3.0, 20.0) for lam in (0.5, 4.0, 150.0)]
     got = scoring.score_parametric(spark.createDataFrame(rows, "family string, observation double, `lambda` double"))
