@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tarncast import fixtures as fx
 from tarncast.catalog.registry import query
 from tarncast.catalog.roles import climatology_ctes, persistence_ctes, r, with_
+from tarncast.operators.grid import issue_dates
 from tarncast.plans import baselines, provenance
 from tarncast.plans.common import standard_format
 from tarncast.session import work_path
@@ -66,9 +67,16 @@ def stream_walk(spark, folder):
     return spark.read.parquet(table)
 
 
-def published_forecasts(spark, folder):
+def stored_targets(spark, folder):
+    """The targets as a file. An average that is computed anew may differ in its last bits, and then so does its fingerprint."""
+    path = work_path(spark, "targets")
+    write_table(fx.targets(spark, folder), path)
+    return spark.read.parquet(path)
+
+
+def published_forecasts(targets):
     """Both baselines in the shared long table, each published on its day of issue."""
-    targets, refs = fx.targets(spark, folder), fx.daily_refs(spark, folder)
+    refs = issue_dates(targets, "day")
 
     def rows(model, forecast):
         return standard_format(baselines.normal_rows(forecast), model, "normal", fx.VARIABLE)
@@ -106,8 +114,9 @@ def incremental_score(spark, folder):
     """Score everything once; a second run over the same tables must find nothing to do."""
     scores_path, log_path = work_path(spark, "scores"), work_path(spark, "log")
     stored = work_path(spark, "published")
-    write_table(published_forecasts(spark, folder), stored)
-    forecasts, targets = spark.read.parquet(stored), fx.targets(spark, folder)
+    targets = stored_targets(spark, folder)
+    write_table(published_forecasts(targets), stored)
+    forecasts = spark.read.parquet(stored)
 
     def run():
         return provenance.incremental_score(
@@ -128,12 +137,12 @@ def stream_scores(spark, folder):
     """Forecasts scored as they arrive, in micro-batches of files."""
     scores_path, log_path, state = (work_path(spark, n) for n in ("scores", "log", "scoring-state"))
     arrived = work_path(spark, "arrivals")
+    targets = stored_targets(spark, folder)
     # One file for each model, site and parameter: the sites and parameters of a group come in different batches.
-    published = published_forecasts(spark, folder).withColumns({"from_site": F.col("site_id"), "part": F.col("parameter")})
+    published = published_forecasts(targets).withColumns({"from_site": F.col("site_id"), "part": F.col("parameter")})
     published.repartition("model_id", "from_site", "part").write.partitionBy("model_id", "from_site", "part").parquet(arrived)
     schema = spark.read.parquet(arrived).schema
     stream = feeds.read_feed(spark, arrived, schema, files=8).drop("from_site", "part")
-    targets = fx.targets(spark, folder)
 
     def score_batch(batch):
         provenance.incremental_score(

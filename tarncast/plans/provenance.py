@@ -94,7 +94,8 @@ def incremental_score(
 
     Scores replace whole (model, date) partitions and the log is appended after them, so a run
     that dies in between is repeated without harm. The new groups are written before they are
-    used, so scores and log describe the same set.
+    used, so scores and log describe the same set. Ids tell contents apart to the last bit: hand in
+    stored forecasts and targets, not averages that every run computes anew in another order.
     """
     spark = forecasts.sparkSession
     today = F.lit(as_of).cast("date")
