@@ -148,20 +148,21 @@ def family_cases(spark, folder):
         (50 + 100 * F.col("l_tax")).alias("top"),
     )
 
-    def case(family, observation, **parameters):
-        names = ["mu", "sigma", "location", "scale", "rate", "min", "max", "prob"]
-        values = [parameters.get(n, F.lit(None)).cast("double").alias(n) for n in names]
-        return F.struct(F.lit(family).alias("family"), observation.alias("observation"), *values)
-
-    y = F.col("y")
-    cases = F.array(
-        case("lognormal", y, mu=F.lit(3.0), sigma=F.col("spread")),
-        case("logistic", y, location=F.lit(25.0), scale=F.col("width")),
-        case("exponential", y, rate=F.col("hazard")),
-        case("uniform", y, min=F.lit(0.0), max=F.col("top")),
-        case("bernoulli", F.col("hit"), prob=F.col("chance")),
-    )
-    return lines.select("l_suppkey", F.explode(cases).alias("c")).select("l_suppkey", "c.*")
+    parameters = {
+        "mu": ("lognormal", F.lit(3.0)),
+        "sigma": ("lognormal", F.col("spread")),
+        "location": ("logistic", F.lit(25.0)),
+        "scale": ("logistic", F.col("width")),
+        "rate": ("exponential", F.col("hazard")),
+        "min": ("uniform", F.lit(0.0)),
+        "max": ("uniform", F.col("top")),
+        "prob": ("bernoulli", F.col("chance")),
+    }
+    families = ["lognormal", "logistic", "exponential", "uniform", "bernoulli"]
+    cases = lines.withColumn("family", F.explode(F.array(*[F.lit(family) for family in families])))
+    observation = F.when(F.col("family") == "bernoulli", F.col("hit")).otherwise(F.col("y"))
+    own = [F.when(F.col("family") == family, value).alias(name) for name, (family, value) in parameters.items()]
+    return cases.select("l_suppkey", "family", observation.alias("observation"), *own)
 
 
 @query(f"select l_suppkey, family, {r('avg(crps)', 'crps')}, {r('avg(logs)', 'logs')} from ({FAMILY_SQL}) group by 1, 2")

@@ -2,6 +2,9 @@
 
 Every builder takes the observation and the parameters as columns. Parameters outside their
 range give NULL: a forecast that cannot be scored is kept, unscored.
+
+What a score repeats many times may be handed in as columns of their own (``z``, never NULL, and normal
+probabilities): written out in full it makes methods that the JVM does not compile.
 """
 
 from __future__ import annotations
@@ -16,37 +19,42 @@ from tarncast.functions.special import log_beta, log_gamma, normal_cdf, normal_p
 INFINITY = float("inf")
 
 
-def crps_normal(y: Column, mu: Column, sigma: Column) -> Column:
-    z = (y - mu) / sigma
-    value = sigma * (z * (2 * normal_cdf(z) - 1) + 2 * normal_pdf(z) - 1 / math.sqrt(math.pi))
-    return F.when(sigma > 0, value)
+def crps_normal(y: Column, mu: Column, sigma: Column, z: Column | None = None, below: Column | None = None) -> Column:
+    z = (y - mu) / sigma if z is None else z
+    below = normal_cdf(z) if below is None else below
+    value = sigma * (z * (2 * below - 1) + 2 * normal_pdf(z) - 1 / math.sqrt(math.pi))
+    return F.when((sigma > 0) & y.isNotNull() & mu.isNotNull(), value)
 
 
-def logs_normal(y: Column, mu: Column, sigma: Column) -> Column:
-    z = (y - mu) / sigma
-    return F.when(sigma > 0, F.ln(sigma) + 0.5 * math.log(2 * math.pi) + z * z / 2)
+def logs_normal(y: Column, mu: Column, sigma: Column, z: Column | None = None) -> Column:
+    z = (y - mu) / sigma if z is None else z
+    value = F.ln(sigma) + 0.5 * math.log(2 * math.pi) + z * z / 2
+    return F.when((sigma > 0) & y.isNotNull() & mu.isNotNull(), value)
 
 
-def crps_lognormal(y: Column, mu: Column, sigma: Column) -> Column:
+def crps_lognormal(
+    y: Column, mu: Column, sigma: Column, below: Column | None = None, shifted: Column | None = None, half: Column | None = None
+) -> Column:
     z = (F.ln(y) - mu) / sigma
-    below = F.when(y > 0, normal_cdf(z)).otherwise(0.0)
-    shifted = F.when(y > 0, normal_cdf(z - sigma)).otherwise(0.0)
-    spread = shifted + normal_cdf(sigma / math.sqrt(2)) - 1
-    return F.when(sigma > 0, y * (2 * below - 1) - 2 * F.exp(mu + sigma * sigma / 2) * spread)
+    below = normal_cdf(z) if below is None else below
+    shifted = normal_cdf(z - sigma) if shifted is None else shifted
+    half = normal_cdf(sigma / math.sqrt(2)) if half is None else half
+    spread = F.when(y > 0, shifted).otherwise(0.0) + half - 1
+    return F.when(sigma > 0, y * (2 * F.when(y > 0, below).otherwise(0.0) - 1) - 2 * F.exp(mu + sigma * sigma / 2) * spread)
 
 
-def logs_lognormal(y: Column, mu: Column, sigma: Column) -> Column:
-    return F.when(sigma > 0, F.when(y > 0, logs_normal(F.ln(y), mu, sigma) + F.ln(y)).otherwise(INFINITY))
+def logs_lognormal(y: Column, mu: Column, sigma: Column, z: Column | None = None) -> Column:
+    return F.when(sigma > 0, F.when(y > 0, logs_normal(F.ln(y), mu, sigma, z) + F.ln(y)).otherwise(INFINITY))
 
 
-def crps_logistic(y: Column, location: Column, scale: Column) -> Column:
-    a = F.abs((y - location) / scale)
-    return F.when(scale > 0, scale * (a + 2 * F.log1p(F.exp(-a)) - 1))
+def crps_logistic(y: Column, location: Column, scale: Column, z: Column | None = None) -> Column:
+    a = F.abs((y - location) / scale if z is None else z)
+    return F.when((scale > 0) & y.isNotNull() & location.isNotNull(), scale * (a + 2 * F.log1p(F.exp(-a)) - 1))
 
 
-def logs_logistic(y: Column, location: Column, scale: Column) -> Column:
-    a = F.abs((y - location) / scale)
-    return F.when(scale > 0, F.ln(scale) + a + 2 * F.log1p(F.exp(-a)))
+def logs_logistic(y: Column, location: Column, scale: Column, z: Column | None = None) -> Column:
+    a = F.abs((y - location) / scale if z is None else z)
+    return F.when((scale > 0) & y.isNotNull() & location.isNotNull(), F.ln(scale) + a + 2 * F.log1p(F.exp(-a)))
 
 
 def crps_exponential(y: Column, rate: Column) -> Column:

@@ -18,6 +18,10 @@ TAIL_DENOMINATOR = (
     296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752,
 )
 TAIL_SWITCH = 7.07106781186547
+# Beyond it x + 1/(x + 2/(x + 3/(x + 4/(x + 0.65)))), as a ratio of polynomials, and where exp(-x * x / 2) is 0.
+FAR_NUMERATOR = (1.0, 0.65, 10.0, 3.9, 15.0, 1.95)
+FAR_DENOMINATOR = (1.0, 0.65, 9.0, 3.25, 8.0)
+FAR = 40.0
 SQRT_2PI = 2.506628274631
 
 # Lanczos coefficients for g = 7.
@@ -45,9 +49,9 @@ def normal_cdf(z: Column) -> Column:
     """Double-precision normal distribution function."""
     a = F.abs(z)
     e = F.exp(-a * a / 2)
-    fraction = a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))
+    far = F.least(a, F.lit(FAR))
     tail = F.when(a < TAIL_SWITCH, e * horner(a, TAIL_NUMERATOR) / horner(a, TAIL_DENOMINATOR)).otherwise(
-        e / fraction / SQRT_2PI
+        e * horner(far, FAR_DENOMINATOR) / (horner(far, FAR_NUMERATOR) * SQRT_2PI)
     )
     return F.when(z > 0, 1 - tail).otherwise(tail)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarncast.functions import incomplete, scores
-from tarncast.functions.special import Z_95, Z_975
+from tarncast.functions.special import Z_95, Z_975, normal_cdf
 from tarncast.operators.ranks import quantile, rank_in_slices, weighted_mean
 from tarncast.operators.reshape import parameters_wide, present
 
@@ -230,9 +230,9 @@ def score_samples(
 # --- parametric families ---------------------------------------------------------------------
 
 
-def _by_family(choices: dict[str, Callable[[], Column]], families) -> Column:
+def _by_family(choices: dict[str, Callable[[], Column]], families, kind: str = "double") -> Column:
     """One value for each family; a family that is not listed gives NULL."""
-    out = F.lit(None).cast("double")
+    out = F.lit(None).cast(kind)
     for family, value in choices.items():
         if family in families:
             out = F.when(F.col("family") == family, value()).otherwise(out)
@@ -243,20 +243,45 @@ def _parameter(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+# Columns that hold what the closed scores use again and again.
+STEPS = ["std__z", "std__below"]
+
+
+def _with_steps(wide: DataFrame, families) -> DataFrame:
+    """``wide`` with each row's standard observation, 0 where it has none, and the normal probabilities that its score needs.
+
+    Spark writes an expression out wherever it is used, and the JVM does not compile methods as long as that makes;
+    columns of a step before are computed once, and the probabilities of a row share one function over an array.
+    """
+    y, p = F.col("observation"), _parameter
+    z, sigma = F.col("std__z"), p("sigma")
+    standard = {
+        "normal": lambda: F.when(sigma > 0, (y - p("mu")) / sigma),
+        "lognormal": lambda: F.when(sigma > 0, (F.ln(y) - p("mu")) / sigma),
+        "logistic": lambda: F.when(p("scale") > 0, (y - p("location")) / p("scale")),
+    }
+    points = {"normal": lambda: F.array(z), "lognormal": lambda: F.array(z, z - sigma, sigma / math.sqrt(2))}
+    with_z = wide.withColumn("std__z", F.coalesce(_by_family(standard, families), F.lit(0.0)))
+    of_family = _by_family(points, families, "array<double>")
+    return with_z.withColumn("std__below", F.transform(of_family, normal_cdf))
+
+
 def _closed_scores(families) -> dict[str, Column]:
     y, p = F.col("observation"), _parameter
+    z, below = F.col("std__z"), F.col("std__below")
+    first, shifted, half = (F.get(below, F.lit(at)) for at in range(3))
     crps = {
-        "normal": lambda: scores.crps_normal(y, p("mu"), p("sigma")),
-        "lognormal": lambda: scores.crps_lognormal(y, p("mu"), p("sigma")),
-        "logistic": lambda: scores.crps_logistic(y, p("location"), p("scale")),
+        "normal": lambda: scores.crps_normal(y, p("mu"), p("sigma"), z, first),
+        "lognormal": lambda: scores.crps_lognormal(y, p("mu"), p("sigma"), first, shifted, half),
+        "logistic": lambda: scores.crps_logistic(y, p("location"), p("scale"), z),
         "exponential": lambda: scores.crps_exponential(y, p("rate")),
         "uniform": lambda: scores.crps_uniform(y, p("min"), p("max")),
         "bernoulli": lambda: scores.crps_bernoulli(y, p("prob")),
     }
     logs = {
-        "normal": lambda: scores.logs_normal(y, p("mu"), p("sigma")),
-        "lognormal": lambda: scores.logs_lognormal(y, p("mu"), p("sigma")),
-        "logistic": lambda: scores.logs_logistic(y, p("location"), p("scale")),
+        "normal": lambda: scores.logs_normal(y, p("mu"), p("sigma"), z),
+        "lognormal": lambda: scores.logs_lognormal(y, p("mu"), p("sigma"), z),
+        "logistic": lambda: scores.logs_logistic(y, p("location"), p("scale"), z),
         "exponential": lambda: scores.logs_exponential(y, p("rate")),
         "uniform": lambda: scores.logs_uniform(y, p("min"), p("max")),
         "bernoulli": lambda: scores.logs_bernoulli(y, p("prob")),
@@ -334,7 +359,7 @@ def score_parametric(wide: DataFrame, families=FAMILIES) -> DataFrame:
     ``families`` names the families to score; any other row stays unscored. Gamma, beta and
     Poisson CRPS go through Arrow batches, and only rows of those families do.
     """
-    closed = _with_parameters(wide).withColumns(_closed_scores(families))
+    closed = _with_steps(_with_parameters(wide), families).withColumns(_closed_scores(families)).drop(*STEPS)
     y, p = F.col("observation"), _parameter
     special = {
         "gamma": lambda: incomplete.crps_gamma(y, p("shape"), p("rate")),
