@@ -12,12 +12,14 @@ fetched, a pair must pass a bound from the parities that every set carries.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarncast.llm.components import components
-from tarncast.llm.setjoin import NULL_ID, Similarity, fetch, likely, post, rarity, settle, verify_pairs
+from tarncast.llm.setjoin import NULL_ID, Similarity, Trees, fetch, likely, post, rarity, settle, verify_pairs
 from tarncast.llm.words import shingles
 from tarncast.session import durable
 
@@ -34,6 +36,12 @@ def differing(notes: np.ndarray, at: int) -> np.ndarray:
     return notes != notes[at]
 
 
+def joining(notes: np.ndarray) -> Callable[[int, int], bool]:
+    """Links that join components: of those between the same two, or around a circle of them, the first ones."""
+    first: dict[bytes, int] = {}
+    return Trees([first.setdefault(note, at) for at, note in enumerate(notes)]).join
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, like: Similarity | None = None) -> DataFrame:
     """One row for each row of ``docs`` (``doc_id``, ``text``): doc_id, n_shingles, component_id.
 
@@ -83,7 +91,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, like: Similarity | None = N
     placed = spread.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     open_lists = placed.groupBy("tok").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     rest = placed.join(open_lists.select("tok"), "tok").select("tok", "sid", "n", "rem", F.col("label").alias("note"))
-    more = durable(settle(rest, sets.select("sid", "bits"), fetched, like, differing))
+    more = durable(settle(rest, sets.select("sid", "bits"), fetched, like, differing, joining))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 

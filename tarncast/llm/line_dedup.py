@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,19 @@ def still_open(notes: np.ndarray, at: int) -> np.ndarray:
     return later_open
 
 
+def removing(notes: np.ndarray) -> Callable[[int, int], bool]:
+    """Links that remove a class: one for each later class."""
+    gone = set()
+
+    def told(at: int, other: int) -> bool:
+        later = max(at, other, key=lambda place: (notes[place]["id"], notes[place]["part"]))
+        fresh = later not in gone
+        gone.add(later)
+        return fresh
+
+    return told
+
+
 def removed_lines(docs: DataFrame, words: int = 5, like: Similarity | None = None, short: bool = False) -> DataFrame:
     """The lines to remove: id, part (line number from 0), with null ids as the smallest id."""
     like = like or Similarity()
@@ -75,7 +88,7 @@ def removed_lines(docs: DataFrame, words: int = 5, like: Similarity | None = Non
     note = F.struct(F.col("first.id").alias("id"), F.col("first.part").alias("part"), "gone")
     rest = marked.join(open_lists.select("tok", F.col("open.first").alias("until")), "tok").filter(F.col("first") <= F.col("until"))
     rest = rest.select("tok", "sid", "n", "rem", note.alias("note"))
-    more = settle(rest, bits, fetched, like, still_open)
+    more = settle(rest, bits, fetched, like, still_open, removing)
     order = classes.select("sid", "first")
     later = (
         more.join(order.select(F.col("sid").alias("a"), F.col("first").alias("first_a")), "a")

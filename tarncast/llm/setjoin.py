@@ -372,8 +372,27 @@ def verify_pairs(pairs: DataFrame, arrays: DataFrame, like: Similarity) -> DataF
     return rows.groupBy("unit").applyInArrow(test, "a binary, b binary")
 
 
-def settle(rest: DataFrame, bits: DataFrame, fetched: Callable[[DataFrame], DataFrame], like: Similarity, ask: Callable) -> DataFrame:
-    """Verify every pair of a list that ``ask`` wants: links a, b.
+class Trees:
+    """A union-find forest over places 0 .. count - 1."""
+
+    def __init__(self, root: list[int]):
+        self.root = root
+
+    def top(self, at: int) -> int:
+        root = self.root
+        while root[at] != at:
+            root[at] = at = root[root[at]]
+        return at
+
+    def join(self, one: int, two: int) -> bool:
+        """Whether they stood in two trees, which are one from now on."""
+        one, two = self.top(one), self.top(two)
+        self.root[two] = one
+        return one != two
+
+
+def settle(rest: DataFrame, bits: DataFrame, fetched: Callable[[DataFrame], DataFrame], like: Similarity, ask: Callable, news: Callable) -> DataFrame:
+    """Verify every pair of a list that ``ask`` wants: those links a, b that are ``news``.
 
     ``rest``: tok, sid, n, rem, note; ``bits``: sid, bits. Pairs of a list that pass the length and positional filters and whose bit arrays leave room for
     the threshold are candidates. A list gives a spanning forest of them, so at most its members less one as rows; what
@@ -382,7 +401,7 @@ def settle(rest: DataFrame, bits: DataFrame, fetched: Callable[[DataFrame], Data
     rest = durable(rest)
     clusters = components(candidates(rest, bits, like, ask)).select(F.col("node").alias("sid"), F.col("label").alias("cluster"))
     members = durable(rest.select("sid", "n", "note").distinct().join(clusters, "sid"))
-    return verify_clusters(members, fetched(members.select("sid").distinct()), like, ask)
+    return verify_clusters(members, fetched(members.select("sid").distinct()), like, ask, news)
 
 
 def candidates(rest: DataFrame, bits: DataFrame, like: Similarity, ask: Callable) -> DataFrame:
@@ -405,14 +424,7 @@ def candidates(rest: DataFrame, bits: DataFrame, like: Similarity, ask: Callable
         block, _, n, rem, bits, note = zip(*rows, strict=True)
         blocks, n, rem = np.array(block), np.array(n, dtype=np.int64), np.array(rem, dtype=np.int64)
         notes, parities = np.array([*note, None], dtype=object)[:-1], Parities(list(bits))
-        root = list(range(len(rows)))
-
-        def top(at: int) -> int:
-            while root[at] != at:
-                root[at] = at = root[root[at]]
-            return at
-
-        found = []
+        trees, found = Trees(list(range(len(rows)))), []
         for at in range(len(rows) if i == j else int((blocks == i).sum())):
             todo = like.lengths(n, n[at]) & like.possible(np.minimum(rem, rem[at]), n, n[at])
             todo[: at + 1] = False
@@ -422,11 +434,7 @@ def candidates(rest: DataFrame, bits: DataFrame, like: Similarity, ask: Callable
                 continue
             others = np.flatnonzero(todo & ask(notes, at))
             others = others[like.possible((n[others] + n[at] - parities.differ(at, others)) // 2, n[others], n[at])]
-            for other in others.tolist():
-                one, two = top(at), top(other)
-                if one != two:
-                    root[two] = one
-                    found.append((rows[at][1], rows[other][1]))
+            found += [(rows[at][1], rows[other][1]) for other in others.tolist() if trees.join(at, other)]
         return found
 
     def test(key: tuple, table: pa.Table) -> pa.Table:
@@ -440,12 +448,13 @@ def candidates(rest: DataFrame, bits: DataFrame, like: Similarity, ask: Callable
     return units.groupBy("unit", "i", "j").applyInArrow(test, "a binary, b binary").distinct()
 
 
-def verify_clusters(members: DataFrame, arrays: DataFrame, like: Similarity, ask: Callable) -> DataFrame:
-    """Test all pairs that ``ask`` wants inside each cluster: links a, b.
+def verify_clusters(members: DataFrame, arrays: DataFrame, like: Similarity, ask: Callable, news: Callable) -> DataFrame:
+    """Test all pairs that ``ask`` wants inside each cluster: those links a, b that are ``news``.
 
     ``members``: cluster, sid, n, note (one row for each set). A cluster of up to ``UNIT_TOKENS`` tokens and ``UNIT_SETS`` sets is
     sent once, small ones together; a larger one is dealt into blocks of that size and tested two blocks at a time, so its rows are the
-    square of its size over the block's, and no pair is ever a row. ``ask(notes, at)`` tells which sets are to be tested against set ``at``.
+    square of its size over the block's, and no pair is ever a row. ``ask(notes, at)`` tells which sets are to be tested against set ``at``, and
+    ``news(notes)`` makes a function of two linked places that tells whether their link says more than the links before it: few enough do, however many there are.
     """
     blocks = F.greatest(F.ceil(F.count("*") / F.lit(UNIT_SETS)), F.ceil(F.sum("n") / F.lit(UNIT_TOKENS))).cast("int").alias("blocks")
     size = durable(members.groupBy("cluster").agg(blocks, F.sum("n").alias("tokens")))
@@ -480,7 +489,7 @@ def verify_clusters(members: DataFrame, arrays: DataFrame, like: Similarity, ask
         group = np.empty(len(flat), np.int64)
         group[by] = np.cumsum(new) - 1
         holders = owner[by]
-        found = []
+        told, found = news(notes), []
         for at in range(len(rows) if i == j else int((blocks == i).sum())):
             todo = ask(notes, at) & like.lengths(sizes, sizes[at])
             todo[: at + 1] = False
@@ -492,7 +501,7 @@ def verify_clusters(members: DataFrame, arrays: DataFrame, like: Similarity, ask
             counts = lasts[own] - firsts[own]
             places = np.repeat(firsts[own] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
             shared = np.bincount(holders[places], minlength=len(rows))
-            found += [(rows[at][1], rows[other][1]) for other in np.flatnonzero(todo & like.linked(shared, sizes[at], sizes))]
+            found += [(rows[at][1], rows[other][1]) for other in np.flatnonzero(todo & like.linked(shared, sizes[at], sizes)).tolist() if told(at, other)]
         return found
 
     def test(key: tuple, table: pa.Table) -> pa.Table:
