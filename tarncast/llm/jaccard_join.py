@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarncast.llm.components import components
-from tarncast.llm.setjoin import NULL_ID, Similarity, Trees, fetch, likely, post, rarity, settle, verify_pairs
+from tarncast.llm.setjoin import NULL_ID, Similarity, Trees, fetch, likely, post, rarity, release, settle, verify_pairs
 from tarncast.llm.words import shingles
 from tarncast.session import durable
 
@@ -32,8 +32,9 @@ def document_items(words: int):
     return items
 
 
-def differing(notes: np.ndarray, at: int) -> np.ndarray:
-    return notes != notes[at]
+def differing(notes: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    labels = np.unique(notes, return_inverse=True)[1]
+    return lambda own: labels != labels[own, None]
 
 
 def joining(notes: np.ndarray) -> Callable[[int, int], bool]:
@@ -77,6 +78,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, like: Similarity | None = N
         return fetch(docs, items, sets.join(wanted, "sid").select("id", "sid"))
 
     links = durable(verify_pairs(star, fetched(star.select(F.explode(F.array("a", "b")).alias("sid")).distinct()), like))
+    release(docs.sparkSession)
     labels = components(links)
 
     # Every set of a list, or of a group of several sets, may be linked with any other of it.

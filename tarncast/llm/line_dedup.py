@@ -39,11 +39,12 @@ def line_items(words: int, short: bool = False):
     return items
 
 
-def still_open(notes: np.ndarray, at: int) -> np.ndarray:
+def still_open(notes: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
     """Pairs whose later class is not yet removed; a note is (doc_id, line, removed)."""
-    own = (notes[at]["id"], notes[at]["part"])
-    later_open = np.fromiter(((not note["gone"]) if (note["id"], note["part"]) > own else not notes[at]["gone"] for note in notes), dtype=bool, count=len(notes))
-    return later_open
+    ids, parts, gone = (np.array([note[name] for note in notes]) for name in ("id", "part", "gone"))
+    place = np.empty(len(notes), np.int64)
+    place[np.lexsort((parts, ids))] = np.arange(len(notes))
+    return lambda own: np.where(place > place[own, None], ~gone, ~gone[own, None])
 
 
 def removing(notes: np.ndarray) -> Callable[[int, int], bool]:
@@ -78,6 +79,7 @@ def removed_lines(docs: DataFrame, words: int = 5, like: Similarity | None = Non
 
     arrays = fetched(star.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
     gone = durable(verify_pairs(star, arrays, like).select(F.col("b").alias("sid")).distinct())  # b is always the later one
+    release(docs.sparkSession)
 
     # Lists that hold an open class behind the first: those classes and all before them.
     marked = placed.join(gone.withColumn("gone", F.lit(True)), "sid", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
@@ -124,8 +126,9 @@ def clean_lines(docs: DataFrame, words: int = 5, like: Similarity | None = None,
         keyed = docs.sparkSession.read.parquet(path)
     key = "row" if repeated else "doc_id"
     lines = removed_lines(keyed.select(F.col(key).alias("doc_id"), "text"), words, like, short)
-    release(docs.sparkSession)
     lost = durable(lines.groupBy("id").agg(F.collect_set("part").alias("lost")))  # at most the lines of a document
+    del lines
+    release(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):

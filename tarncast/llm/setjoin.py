@@ -30,6 +30,8 @@ UNIT_SETS = 4_000
 UNIT_TOKENS = 1 << 20
 #: Rows of whole lists that are tested in one task's call.
 UNIT_ROWS = 1 << 17
+#: Pairs of a list or cluster that are looked at in one step.
+CELLS = 1 << 18
 
 #: From the texts of a slice: token hashes with repeats, the item of each (ascending), and each item's row and part of the row.
 Items = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
@@ -303,16 +305,17 @@ def post(docs: DataFrame, items: Items, order: tuple[np.ndarray, int], like: Sim
     posted = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").mapInArrow(emit, f"bucket int, blob binary, items {item}")
     path = work_path(docs.sparkSession, "lists")
     posted.groupBy("bucket").applyInArrow(lists, f"tok bigint, g bigint, n int, rem int, items {item}").write.parquet(path)
-    release(docs.sparkSession)
     stored = docs.sparkSession.read.schema(f"tok bigint, g bigint, n int, rem int, items {item}").parquet(path)
-    return (
-        durable(stored.filter("items is null").groupBy("tok", "g").agg(F.first("n").alias("n"), F.max("rem").alias("rem"))),
-        stored.filter("items is not null").select(F.explode("items").alias("x")).select("x.*"),
-    )
+    found = durable(stored.filter("items is null").groupBy("tok", "g").agg(F.first("n").alias("n"), F.max("rem").alias("rem")))
+    release(docs.sparkSession)
+    return found, stored.filter("items is not null").select(F.explode("items").alias("x")).select("x.*")
 
 
 def release(spark: SparkSession) -> None:
-    """Spark removes the shuffle files of finished steps when the driver collects garbage; ask for it, so that disks hold one step at a time."""
+    """Spark removes the shuffle files of finished steps when the driver collects garbage; ask for it, so that disks hold one step at a time.
+
+    On a cluster the last query's files stay until another query has run: call it behind a small one, or before the next large one.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -338,8 +341,8 @@ def fetch(docs: DataFrame, items: Items, wanted: DataFrame) -> DataFrame:
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("id"), "text").join(asked, "id").select("text", "sids")
     path = work_path(docs.sparkSession, "arrays")
-    rows.mapInArrow(arrays, "sid binary, tokens binary").write.parquet(path)
     release(docs.sparkSession)
+    rows.mapInArrow(arrays, "sid binary, tokens binary").write.parquet(path)
     return docs.sparkSession.read.schema("sid binary, tokens binary").parquet(path)
 
 
@@ -391,6 +394,16 @@ class Trees:
         return one != two
 
 
+def pairings(blocks: np.ndarray, i: int, j: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of one block, or of the first of two, some at a time, and for each which places it is paired with: later ones, or the second block's."""
+    step = max(1, CELLS // len(blocks))
+    count = len(blocks) if i == j else int((blocks == i).sum())
+    for first in range(0, count, step):
+        places = np.arange(first, min(first + step, count))
+        later = np.arange(len(blocks)) > places[:, None]
+        yield places, later if i == j else later & (blocks == j)
+
+
 def settle(rest: DataFrame, bits: DataFrame, fetched: Callable[[DataFrame], DataFrame], like: Similarity, ask: Callable, news: Callable) -> DataFrame:
     """Verify every pair of a list that ``ask`` wants: those links a, b that are ``news``.
 
@@ -423,18 +436,15 @@ def candidates(rest: DataFrame, bits: DataFrame, like: Similarity, ask: Callable
         rows.sort(key=lambda row: (row[0], row[1]))
         block, _, n, rem, bits, note = zip(*rows, strict=True)
         blocks, n, rem = np.array(block), np.array(n, dtype=np.int64), np.array(rem, dtype=np.int64)
-        notes, parities = np.array([*note, None], dtype=object)[:-1], Parities(list(bits))
+        wanted, parities = ask(np.array([*note, None], dtype=object)[:-1]), None
         trees, found = Trees(list(range(len(rows)))), []
-        for at in range(len(rows) if i == j else int((blocks == i).sum())):
-            todo = like.lengths(n, n[at]) & like.possible(np.minimum(rem, rem[at]), n, n[at])
-            todo[: at + 1] = False
-            if i != j:
-                todo &= blocks == j
-            if not todo.any():
-                continue
-            others = np.flatnonzero(todo & ask(notes, at))
-            others = others[like.possible((n[others] + n[at] - parities.differ(at, others)) // 2, n[others], n[at])]
-            found += [(rows[at][1], rows[other][1]) for other in others.tolist() if trees.join(at, other)]
+        for places, later in pairings(blocks, i, j):
+            todo = later & like.lengths(n, n[places, None]) & like.possible(np.minimum(rem, rem[places, None]), n, n[places, None]) & wanted(places)
+            for row in np.flatnonzero(todo.any(axis=1)):
+                parities = parities or Parities(list(bits))
+                at, others = int(places[row]), np.flatnonzero(todo[row])
+                others = others[like.possible((n[others] + n[at] - parities.differ(at, others)) // 2, n[others], n[at])]
+                found += [(rows[at][1], rows[other][1]) for other in others.tolist() if trees.join(at, other)]
         return found
 
     def test(key: tuple, table: pa.Table) -> pa.Table:
@@ -453,7 +463,7 @@ def verify_clusters(members: DataFrame, arrays: DataFrame, like: Similarity, ask
 
     ``members``: cluster, sid, n, note (one row for each set). A cluster of up to ``UNIT_TOKENS`` tokens and ``UNIT_SETS`` sets is
     sent once, small ones together; a larger one is dealt into blocks of that size and tested two blocks at a time, so its rows are the
-    square of its size over the block's, and no pair is ever a row. ``ask(notes, at)`` tells which sets are to be tested against set ``at``, and
+    square of its size over the block's, and no pair is ever a row. ``ask(notes)`` makes a function of some places that tells, a row for each, which sets are to be tested against it, and
     ``news(notes)`` makes a function of two linked places that tells whether their link says more than the links before it: few enough do, however many there are.
     """
     blocks = F.greatest(F.ceil(F.count("*") / F.lit(UNIT_SETS)), F.ceil(F.sum("n") / F.lit(UNIT_TOKENS))).cast("int").alias("blocks")
@@ -489,19 +499,16 @@ def verify_clusters(members: DataFrame, arrays: DataFrame, like: Similarity, ask
         group = np.empty(len(flat), np.int64)
         group[by] = np.cumsum(new) - 1
         holders = owner[by]
-        told, found = news(notes), []
-        for at in range(len(rows) if i == j else int((blocks == i).sum())):
-            todo = ask(notes, at) & like.lengths(sizes, sizes[at])
-            todo[: at + 1] = False
-            if i != j:
-                todo &= blocks == j
-            if not todo.any():
-                continue
-            own = group[starts[at] : starts[at + 1]]
-            counts = lasts[own] - firsts[own]
-            places = np.repeat(firsts[own] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-            shared = np.bincount(holders[places], minlength=len(rows))
-            found += [(rows[at][1], rows[other][1]) for other in np.flatnonzero(todo & like.linked(shared, sizes[at], sizes)).tolist() if told(at, other)]
+        wanted, told, found = ask(notes), news(notes), []
+        for tested, later in pairings(blocks, i, j):
+            todo = later & like.lengths(sizes, sizes[tested, None]) & wanted(tested)
+            for row in np.flatnonzero(todo.any(axis=1)):
+                at = int(tested[row])
+                own = group[starts[at] : starts[at + 1]]
+                counts = lasts[own] - firsts[own]
+                places = np.repeat(firsts[own] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+                shared = np.bincount(holders[places], minlength=len(rows))
+                found += [(rows[at][1], rows[other][1]) for other in np.flatnonzero(todo[row] & like.linked(shared, sizes[at], sizes)).tolist() if told(at, other)]
         return found
 
     def test(key: tuple, table: pa.Table) -> pa.Table:
