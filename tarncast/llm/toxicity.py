@@ -29,7 +29,7 @@ CUT = 0.7
 PART_BYTES, ROUNDS, SLICE_BYTES = 8 << 20, 4, 1 << 19
 #: Logits are counted in cells of 1 / GRID, the outer cells open.
 GRID, REACH = 128, 32
-GROUPS = 16
+PART_COLUMNS = "part int, rows array<struct<deal: bigint, text: string, y: int>>"
 MEAN_COLUMNS = "part int, rows bigint, flat binary"
 MEANS = pa.schema([("part", pa.int32()), ("rows", pa.int64()), ("flat", pa.binary())])
 BATCH_WORDS, EPOCHS, STEPS, RATE, DECAY = 24_000, 6, 400, 0.01, 0.3
@@ -210,15 +210,24 @@ def train(network: Network, texts: list[bytes], labels: np.ndarray, share: float
                 parameter -= RATE * (DECAY * parameter + (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-4))
 
 
-def learner(network: Network, share: float, count: int, number: int) -> Callable[[tuple, pa.Table], pa.Table]:
-    """Trains a copy of the network on the rows of one part; gives its parameters and the number of rows."""
+def gathered(key: tuple, table: pa.Table) -> pa.Table:
+    """The rows of one part as one row."""
+    rows = pa.StructArray.from_arrays([table[name].combine_chunks() for name in ("deal", "text", "y")], names=["deal", "text", "y"])
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "rows": pa.ListArray.from_arrays([0, len(rows)], rows)})
 
-    def learn(key: tuple, table: pa.Table) -> pa.Table:
-        found = sorted(zip(table["deal"].to_pylist(), table["text"].cast(pa.binary()).to_pylist(), table["y"].to_pylist(), strict=True))
-        own = network.copy()
-        train(own, [text for _, text, _ in found], np.array([y for _, _, y in found], np.float32), share, count, 7 + number)
-        give_back()
-        return pa.table({"part": [key[0].as_py()], "rows": [len(found)], "flat": [own.flat().tobytes()]}, MEANS)
+
+def learner(network: Network, share: float, count: int, number: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Trains a copy of the network on each part, given as one row; gives its parameters and the number of rows."""
+
+    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(len(batch)):
+                part, rows = batch["part"][at].as_py(), batch["rows"][at].values
+                found = sorted(zip(rows.field("deal").to_pylist(), rows.field("text").cast(pa.binary()).to_pylist(), rows.field("y").to_pylist(), strict=True))
+                own = network.copy()
+                train(own, [text for _, text, _ in found], np.array([y for _, _, y in found], np.float32), share, count, 7 + number)
+                yield pa.record_batch([[part], [len(found)], [own.flat().tobytes()]], schema=MEANS)
+                give_back()
 
     return learn
 
@@ -241,19 +250,24 @@ def averaged(key: tuple, table: pa.Table) -> pa.Table:
 def fit(rows: DataFrame, share: float, size: int) -> Network:
     """The network after ``ROUNDS`` rounds over all ``rows`` (y, deal, text) of ``size`` bytes; with one part, after one round.
 
-    Copies of the network are averaged in groups first where there are many: the driver gets the square root of their number.
+    Every part is stored as one row, so that the rounds after the first shuffle no texts. Copies of the network are averaged in groups
+    first: the driver gets the square root of their number.
     """
+    spark = rows.sparkSession
     count = max(1, -(-size // PART_BYTES))
     dealt = rows.select(F.pmod(F.xxhash64("deal", "text"), F.lit(count)).cast("int").alias("part"), "y", "deal", "text")
+    path = work_path(spark, "parts")
+    dealt.repartition(count, "part").groupBy("part").applyInArrow(gathered, PART_COLUMNS).write.parquet(path)
+    parts = spark.read.schema(PART_COLUMNS).parquet(path)
     network = Network.fresh()
     for number in range(ROUNDS if count > 1 else 1):
-        copies = dealt.repartition(count, "part").groupBy("part").applyInArrow(learner(network, share, count, number), MEAN_COLUMNS)
-        if count > GROUPS:
+        copies = parts.mapInArrow(learner(network, share, count, number), MEAN_COLUMNS)
+        if count > 1:
             copies = copies.groupBy(F.pmod("part", F.lit(math.isqrt(count))).alias("group")).applyInArrow(averaged, MEAN_COLUMNS)
         _, flat = mean(sorted((row["part"], row["rows"], bytes(row["flat"])) for row in copies.collect()))
         network = network.copy(flat)
-        del copies  # so that the round's shuffle files go
-        release(rows.sparkSession)
+        del copies  # so that the shuffle files of this round, or the one before, go
+        release(spark)
     return network
 
 
@@ -317,13 +331,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> D
     known = known.withColumn("deal", F.xxhash64("doc_id", F.lit(11)))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter(learn)
     use = (F.pmod("deal", F.lit(3)) == 0).cast("int").alias("use")
-    rows = texts.join(known, "doc_id").select(use, "y", "deal", "text")
+    # Merged at every size: the disk then grows with the input, without a jump where labels get too many to be sent to all.
+    rows = texts.join(known.hint("merge"), "doc_id").select(use, "y", "deal", "text")
     path = work_path(spark, "labelled")
     rows.write.parquet(path)
-    stored = spark.read.schema(rows.schema).parquet(path)
-    del rows, texts, known  # so that the join's shuffle files go
-    release(spark)
-    return stored
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, threshold: float = CUT, passed: list[str] | None = None) -> DataFrame:
@@ -336,6 +348,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, thre
     """
     rows = labelled(docs, labels, label, ~held_out)
     met = {(r["use"], r["y"]): r for r in rows.groupBy("use", "y").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()}
+    release(docs.sparkSession)  # the join's files are no longer those of the last query
     if (0, 0) in met and (0, 1) in met:
         share = met[0, 1]["n"] / (met[0, 0]["n"] + met[0, 1]["n"])
         network = fit(rows.filter("use = 0"), share, met[0, 0]["size"] + met[0, 1]["size"])
