@@ -65,43 +65,43 @@ def removed_lines(docs: DataFrame, words: int = 5, like: Similarity | None = Non
     like = like or Similarity()
     items = line_items(words, short)
     lists, found = post(docs, items, rarity(docs, items), like, grouped=False)
-    classes = durable(found.groupBy("sid").agg(F.min(F.struct("id", "part")).alias("first"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("bits").alias("bits")))
-    placed = durable(lists.join(classes.select("g", "sid", "first"), "g"))
+    classes = durable(found.groupBy("sid").agg(F.min(F.struct("id", "part")).alias("first"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("bits").alias("bits"), F.count("*").alias("lines")))
+    placed = durable(lists.join(classes.select("g", "sid", "first", "bits"), "g"))  # few classes have lists, and only those are looked at from here on
 
-    centre = placed.groupBy("tok").agg(F.min(F.struct("first", "sid", "n", "rem")).alias("c"))
+    centre = placed.groupBy("tok").agg(F.min(F.struct("first", "sid", "n", "rem", "bits")).alias("c"))
     star = placed.join(centre, "tok").filter(F.col("sid") != F.col("c.sid")).filter(like.pair(F.col("n"), F.col("rem"), F.col("c.n"), F.col("c.rem")))
-    star = star.select(F.col("c.sid").alias("a"), F.col("c.n").alias("n_a"), F.col("sid").alias("b"), F.col("n").alias("n_b")).distinct()
-    bits = classes.select("sid", "bits")
-    star = durable(likely(star.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b"), like))
+    ends = [F.col(f"{side}{name}").alias(f"{to}{end}") for side, end in (("c.", "a"), ("", "b")) for name, to in (("sid", ""), ("n", "n_"), ("first", "first_"), ("bits", "bits_"))]
+    star = durable(likely(star.select(*ends).distinct(), like))
 
     def fetched(wanted: DataFrame) -> DataFrame:
-        return fetch(docs, items, classes.join(wanted, "sid").select("sid", F.col("first.id").alias("id")))
+        return fetch(docs, items, wanted.select("sid", F.col("note.id").alias("id")))
 
-    arrays = fetched(star.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
-    gone = durable(verify_pairs(star, arrays, like).select(F.col("b").alias("sid")).distinct())  # b is always the later one
+    members = star.select(F.explode(F.array(*[F.struct(F.col(end).alias("sid"), F.col(f"first_{end}").alias("note")) for end in "ab"])).alias("x"))
+    later = verify_pairs(star, fetched(members.select("x.*").distinct()), like).select("b").distinct()  # b is always the later one
+    gone = durable(later.join(star.select("b", "first_b").distinct(), "b").toDF("sid", "first"))
     release(docs.sparkSession)
 
     # Lists that hold an open class behind the first: those classes and all before them.
-    marked = placed.join(gone.withColumn("gone", F.lit(True)), "sid", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    marked = placed.join(gone.select("sid", F.lit(True).alias("gone")), "sid", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     open_lists = marked.groupBy("tok").agg(
         F.min(F.struct("first", "sid")).alias("c"), F.max(F.when(~F.col("gone"), F.struct("first", "sid"))).alias("open"), F.count("*").alias("size")
     )
     open_lists = open_lists.filter((F.col("size") > 2) & F.col("open").isNotNull() & (F.col("open.sid") != F.col("c.sid")))
     note = F.struct(F.col("first.id").alias("id"), F.col("first.part").alias("part"), "gone")
     rest = marked.join(open_lists.select("tok", F.col("open.first").alias("until")), "tok").filter(F.col("first") <= F.col("until"))
-    rest = rest.select("tok", "sid", "n", "rem", note.alias("note"))
-    more = settle(rest, bits, fetched, like, still_open, removing)
-    order = classes.select("sid", "first")
+    rest = durable(rest.select("tok", "sid", "n", "rem", note.alias("note"), "first", "bits"))
+    more = settle(rest.drop("first", "bits"), rest.select("sid", "bits").distinct(), fetched, like, still_open, removing)
+    order = rest.select("sid", "first").distinct()
     later = (
         more.join(order.select(F.col("sid").alias("a"), F.col("first").alias("first_a")), "a")
         .join(order.select(F.col("sid").alias("b"), F.col("first").alias("first_b")), "b")
-        .select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("sid"))
+        .select(F.greatest("first_a", "first_b").alias("first"))
     )
-    gone = durable(gone.unionByName(later).distinct())
+    gone = gone.select("first").unionByName(later).distinct().select("first.*")
 
-    of_class = found.join(classes.select("sid", "first"), "sid").join(gone.withColumn("gone", F.lit(True)), "sid", "left")
-    repeat = (F.col("id") != F.col("first.id")) | (F.col("part") != F.col("first.part"))
-    return of_class.filter(F.col("gone").isNotNull() | repeat).select("id", "part")
+    # Of a class all lines but the first repeat it.
+    repeats = found.select("id", "part", "sid").join(classes.filter("lines > 1").select("sid", "first"), "sid")
+    return gone.unionByName(repeats.filter((F.col("id") != F.col("first.id")) | (F.col("part") != F.col("first.part"))).select("id", "part"))
 
 
 def clean_lines(docs: DataFrame, words: int = 5, like: Similarity | None = None, passed: list[str] | None = None, short: bool = False) -> DataFrame:

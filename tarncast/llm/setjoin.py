@@ -29,7 +29,9 @@ SHIFTS = 48
 UNIT_SETS = 4_000
 UNIT_TOKENS = 1 << 20
 #: Rows of whole lists that are tested in one task's call.
-UNIT_ROWS = 1 << 17
+UNIT_ROWS = 1 << 15
+#: Bits that tell which documents are asked for.
+MARK_BITS = 24
 #: Pairs of a list or cluster that are looked at in one step.
 CELLS = 1 << 18
 
@@ -178,7 +180,8 @@ class Parities:
 
 
 def likely(pairs: DataFrame, like: Similarity) -> DataFrame:
-    """The pairs (a, n_a, bits_a, b, n_b, bits_b) whose bit arrays leave room for the threshold, without the arrays."""
+    """The pairs (a, n_a, bits_a, b, n_b, bits_b; more columns may follow) whose bit arrays leave room for the threshold, without the arrays."""
+    left = pairs.drop("bits_a", "bits_b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,9 +192,10 @@ def likely(pairs: DataFrame, like: Similarity) -> DataFrame:
                 to = min(len(one), len(two))
                 differ[at] = np.bitwise_count(np.bitwise_xor.reduce(one.reshape(-1, to), axis=0) ^ np.bitwise_xor.reduce(two.reshape(-1, to), axis=0)).sum()
             kept = np.flatnonzero(like.possible((n_a + n_b - differ) // 2, n_a, n_b))
-            yield pa.RecordBatch.from_arrays([batch.column(name) for name in ("a", "n_a", "b", "n_b")], names=["a", "n_a", "b", "n_b"]).take(pa.array(kept))
+            yield pa.RecordBatch.from_arrays([batch.column(name) for name in names], names=names).take(pa.array(kept))
 
-    return pairs.select("a", "n_a", "b", "n_b", "bits_a", "bits_b").mapInArrow(run, "a binary, n_a int, b binary, n_b int")
+    names = left.columns
+    return pairs.mapInArrow(run, left.schema)
 
 
 def rank_of(sketch: np.ndarray) -> np.ndarray:
@@ -320,12 +324,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def among(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows whose id may be in ``asked``: an id marks one of 2**``MARK_BITS`` bits, sent to all in at most 2**(``MARK_BITS`` - 6) words, so that other texts are not shuffled."""
+    mark = F.pmod(F.xxhash64("id"), F.lit(1 << MARK_BITS))
+    bit = F.expr("shiftleft(1L, cast(mark & 63 as int))")
+    words = asked.select(mark.alias("mark")).select(F.shiftright("mark", 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("marks"))
+    held = rows.withColumn("mark", mark).withColumn("word", F.shiftright("mark", 6)).join(F.broadcast(words), "word")
+    return held.filter(F.col("marks").bitwiseAND(bit) != 0).drop("mark", "word", "marks")
+
+
 def fetch(docs: DataFrame, items: Items, wanted: DataFrame) -> DataFrame:
     """The token arrays of the sets named in ``wanted`` (id, sid: any document that holds the set), stored: sid, tokens.
 
     A repeated doc_id may bring a set twice.
     """
-    asked = wanted.groupBy("id").agg(F.collect_set("sid").alias("sids"))  # at most the items of one document
+    asked = durable(wanted.groupBy("id").agg(F.collect_set("sid").alias("sids")))  # at most the items of one document
 
     def arrays(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
@@ -339,7 +352,7 @@ def fetch(docs: DataFrame, items: Items, wanted: DataFrame) -> DataFrame:
             yield pa.record_batch({"sid": pa.array(sids, pa.binary()), "tokens": pa.array(blobs, pa.binary())})
         give_back()
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("id"), "text").join(asked, "id").select("text", "sids")
+    rows = among(docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("id"), "text"), asked).join(asked, "id").select("text", "sids")
     path = work_path(docs.sparkSession, "arrays")
     release(docs.sparkSession)
     rows.mapInArrow(arrays, "sid binary, tokens binary").write.parquet(path)
@@ -409,12 +422,12 @@ def settle(rest: DataFrame, bits: DataFrame, fetched: Callable[[DataFrame], Data
 
     ``rest``: tok, sid, n, rem, note; ``bits``: sid, bits. Pairs of a list that pass the length and positional filters and whose bit arrays leave room for
     the threshold are candidates. A list gives a spanning forest of them, so at most its members less one as rows; what
-    they connect is a cluster, and a cluster is tested whole, see ``verify_clusters``, on the tokens that ``fetched`` brings for its sets (sid).
+    they connect is a cluster, and a cluster is tested whole, see ``verify_clusters``, on the tokens that ``fetched`` brings for its sets (sid, note).
     """
     rest = durable(rest)
     clusters = components(candidates(rest, bits, like, ask)).select(F.col("node").alias("sid"), F.col("label").alias("cluster"))
     members = durable(rest.select("sid", "n", "note").distinct().join(clusters, "sid"))
-    return verify_clusters(members, fetched(members.select("sid").distinct()), like, ask, news)
+    return verify_clusters(members, fetched(members.select("sid", "note").distinct()), like, ask, news)
 
 
 def candidates(rest: DataFrame, bits: DataFrame, like: Similarity, ask: Callable) -> DataFrame:
