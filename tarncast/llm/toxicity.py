@@ -363,12 +363,16 @@ def apply(docs: DataFrame, network: Network, held_out: Column, threshold: float
     """Score every row; the network travels with the function and has a fixed size."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_batches(batches, limit=1 << 19):
-            beside = {"passed": batch.column(2)} if passed else {}
+        for batch, texts in text_batches(batches, limit=SLICE_BYTES):
+            beside = {"passed": pa.StructArray.from_arrays([batch.column(at) for at in places], fields=[batch.schema.field(at).with_name(name) for at, name in zip(places, passed, strict=True)])} if passed else {}
             yield pa.record_batch({"doc_id": batch.column(0), "score": pa.array(scores(network, texts)), **beside})
-
-    beside = [F.struct(*[F.col(f"`{name}`") for name in passed]).alias("passed")] if passed else []
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *beside)
-    scored = rows.mapInArrow(run, "doc_id bigint, score double" + (f", passed {rows.schema['passed'].dataType.simpleString()}" if passed else ""))
+        give_back()
+
+    # The text itself goes to Python once, whether or not it is passed.
+    others = [name for name in passed or [] if name != "text"]
+    places = [1 if name == "text" else 2 + others.index(name) for name in passed or []]
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *[F.col(f"`{name}`").alias(f"passed_{at}") for at, name in enumerate(others)])
+    kind = docs.select(F.struct(*[F.col(f"`{name}`") for name in passed]).alias("passed")).schema["passed"].dataType.simpleString() if passed else ""
+    scored = rows.mapInArrow(run, "doc_id bigint, score double" + (f", passed {kind}" if passed else ""))
     marked = (F.col("score") >= threshold).cast("int").alias("predicted")
-    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", marked, *["passed"] * len(beside))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", marked, *["passed"] * bool(passed))
