@@ -160,5 +160,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = 4, least
                     yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
         source.mapInArrow(search, schema).write.mode("append").parquet(path)
-    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    # No rows, for the schema; a list of none would start a second set of Python workers on every executor.
+    spark.range(0).select(*[F.lit(None).cast(part.split()[1]).alias(part.split()[0]) for part in schema.split(", ")]).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path)

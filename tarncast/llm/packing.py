@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarncast.llm.tokens import word_ids
-from tarncast.llm.words import text_batches
+from tarncast.llm.words import give_back, text_batches
 from tarncast.session import work_path
 
 RANK_ROWS = 100_000
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+RUN = ("length", "rank", "n", "sequence", "offset")
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
@@ -45,6 +46,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> D
                     out.append((doc_id, number, first, len(part), zlib.crc32(part.tobytes())))
             columns = zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in columns], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(pieces, PIECE)
 
@@ -160,7 +162,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1)
     pieces = spark.read.schema(PIECE).parquet(path)
     counts = {row["length"]: row["n"] for row in pieces.groupBy("length").agg(F.count("*").alias("n")).toLocalIterator()}  # at most ``capacity`` rows
     plan = Plan(counts, capacity)
-    runs = spark.createDataFrame(plan.runs or [(0, 0, 0, 0, 0)], "length bigint, rank bigint, n bigint, sequence bigint, offset bigint").filter("n > 0")
+    # An Arrow table: a list of rows would start a second set of Python workers on every executor.
+    runs = spark.createDataFrame(pa.table(dict(zip(RUN, zip(*plan.runs or [(0,) * len(RUN)], strict=True), strict=True)), pa.schema([(name, pa.int64()) for name in RUN]))).filter("n > 0")
 
     # The rank of a piece among those of its length: dealt to slots, counted, then numbered inside each slot.
     slots = max(1, math.ceil(sum(counts.values()) / RANK_ROWS))

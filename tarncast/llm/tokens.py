@@ -15,7 +15,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-CACHE_WORDS = 400_000
+#: Words and pieces that a process remembers: a worker stays between tasks and holds them beside the executor's heap.
+CACHE_WORDS, CACHE_PIECES = 400_000, 50_000
 #: A full stop or comma that ends a word is a piece of its own: apart from it, the word is met more often.
 END_MARK = re.compile(r"([a-z])([.,])(?=[ \n]|$)")
 #: The pattern that the vocabulary file itself states for its pieces.
@@ -69,15 +70,15 @@ class WordIds(dict):
         self.special = [token.content for token in self.whole.get_added_tokens_decoder().values()]
         self.letters = byte_letters()
         self.older: dict[str, bytes] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def piece(self, piece: str) -> tuple[int, ...]:
+    def piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            if len(self.pieces) >= CACHE_WORDS:
+            if len(self.pieces) >= CACHE_PIECES:
                 self.pieces.clear()
             text = piece if piece.isascii() and piece.isprintable() else "".join(self.letters[byte] for byte in piece.encode())
-            found = self.pieces[piece] = tuple(token.id for token in self.model.tokenize(text))
+            found = self.pieces[piece] = packed(token.id for token in self.model.tokenize(text))
         return found
 
     def __missing__(self, word: str) -> bytes:
@@ -100,10 +101,10 @@ class WordIds(dict):
             return value
         if plain.isalpha():  # letters only: one piece
             text = plain if plain.isascii() else "".join([self.letters[byte] for byte in plain.encode()])
-            ids = [token.id for token in self.model.tokenize(text)]
+            value = packed([token.id for token in self.model.tokenize(text)])
         else:
-            ids = itertools.chain.from_iterable(map(self.piece, PIECES.findall(plain)))
-        value = self[word] = packed(ids)
+            value = b"".join(map(self.piece, PIECES.findall(plain)))
+        self[word] = value
         return value
 
     def encode(self, text: str) -> np.ndarray:

@@ -192,6 +192,7 @@ def train(network: Network, texts: list[bytes], labels: np.ndarray, share: float
     parts = [encode(part) for part in slices(texts)]
     ids = np.concatenate([part[0] for part in parts])
     bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(part[1]) for part in parts]))])
+    del parts  # as large as ``ids``
     weights = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in network.parameters()]
     step = 0
